@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import CHUNK_WORDS, Scratch, as_bytes, components, groups, mix, shingle_set
 
 SEEDS = 4
+#: Bits of the id filter that spares the texts of documents without a candidate a shuffle; its size is fixed.
+FILTER_BITS = 1 << 26
 
 
 class Levels:
@@ -143,6 +145,27 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, sig long")
 
 
+def passing(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text) whose doc_id may be in ids: a superset, by a bitmap of fixed size that is broadcast.
+
+    With more ids than bits it lets everything pass, and the join that follows moves all texts.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+    bitmap[words["w"].to_numpy()] = words["v"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        held = shared.value.view(np.uint64)
+        for b in batches:
+            at = b.column("bit").to_numpy()
+            ok = (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("doc_id", "text")], names=["doc_id", "text"])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+
+
 def search(sets: list[np.ndarray], labels: list, num: int, den: int) -> np.ndarray:
     """Component number of each set, exactly. Equal labels (None: unknown) are connected from the start.
 
@@ -359,7 +382,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 names=["cell", "doc_id", "label", "items"],
             )
 
-    texts = reps.join(docs, "doc_id").select("cell", "doc_id", "f1", "text").repartition("cell")
+    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "text")
     members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, label string, items binary").dropDuplicates(["cell", "doc_id"]))
     links = divide(scratch, members, num, den, max_docs, max_items, pivots)
     roots = components(scratch, links).withColumnRenamed("id", "rep")
