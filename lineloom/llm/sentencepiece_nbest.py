@@ -31,7 +31,7 @@ UNKNOWN_GAP = 10.0
 CACHE_SEGMENTS = 20_000
 #: Segments up to LOCKSTEP characters take the forward pass side by side, BLOCK of them at a time.
 #: A worker keeps the forward pass of up to KEPT segments.
-LOCKSTEP, BLOCK, CHUNK_SEGMENTS, KEPT = 40, 50_000, 500_000, 1_200_000
+LOCKSTEP, BLOCK, CHUNK_SEGMENTS, KEPT = 40, 20_000, 200_000, 600_000
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Stands for a U+2581 of the text; a lone surrogate is in no valid text.
 _ESCAPED = "\ud800"
