@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SAMPLE = 10_000
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 BLANK = r"[\x20\x09-\x0D]+"
@@ -31,8 +33,6 @@ RATIOS = {
     "repeat_share": "n_repeat_words / n_words",
     "dup_line_share": "n_dup_lines / n_lines",
     "upper_share": "n_upper / word_chars",
-    "digit_share": "n_digits / word_chars",
-    "mark_share": "n_marks / word_chars",
     "words_per_line": "n_words / n_lines",
     "log_words": "ln(n_words)",
 }
@@ -45,19 +45,24 @@ def let(value: Column, body) -> Column:
 
 def _repeated(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more: equal windows meet by sorting (hash, position)."""
+    none = F.lit(0).cast("long")
 
-    def of_words(w: Column) -> Column:
-        window = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    def of_hashes(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def of_sorted(s: Column) -> Column:
             same = lambda i, j: F.get(s, i)["h"].eqNullSafe(F.get(s, j)["h"])
-            places = F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get(s, i)["i"]))
-            covered = lambda p: F.aggregate(p, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n"), i.alias("last")))["n"]
+            places = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: F.get(s, i)["i"]))
+            covered = lambda p: F.aggregate(p, F.struct(none.alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).cast("long").alias("n"), i.alias("last")))["n"]
             return let(places, covered)
 
-        return let(F.array_sort(window), of_sorted)
+        # most texts repeat no window, which a hash set tells
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(placed, of_sorted))
+
+    def of_words(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    return F.when(F.size(words) > 3, of_words(words)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) > 3, let(of_words(words), of_hashes)).otherwise(none)
 
 
 def statistics(text: Column) -> Column:
@@ -77,8 +82,6 @@ def statistics(text: Column) -> Column:
                 _repeated(w).alias("n_repeat_words"),
                 F.size(s).cast("long").alias("n_lines"),
                 count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-                count("0123456789").alias("n_digits"),
-                count("!?;:\"'()[]{}@^~`\\/_=+-").alias("n_marks"),
             ),
         )
 
@@ -89,7 +92,7 @@ def ratios(stats: str) -> dict[str, Column]:
     """Ratio columns over a struct column of statistics, 0 where they have no denominator."""
     out = {}
     for name, rule in RATIOS.items():
-        for field in ("n_symbols", "word_chars", "n_repeat_words", "n_dup_lines", "n_upper", "n_digits", "n_marks", "n_lines", "n_words"):
+        for field in ("n_symbols", "word_chars", "n_repeat_words", "n_dup_lines", "n_upper", "n_lines", "n_words"):
             rule = " ".join(f"{stats}.{x}" if x == field else x for x in rule.replace("(", "( ").replace(")", " )").split())
         out[name] = F.coalesce(F.expr(f"try_divide({rule.replace(' / ', ', ')})" if "/" in rule else rule), F.lit(0.0)).cast("double")
     return out
@@ -190,8 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[T
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q1")).where("q = q1")
     known = known.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "q", "_h")
     # at most `sample` rows: a proven bound
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id").withColumn("_s", statistics(F.col("_text")))
-    got = rows.where(~base_failed("_s")).select("_h", "_id", "q", *(c.alias(n) for n, c in ratios("_s").items())).limit(2 * sample).collect()
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id").select("_h", "_id", "q", statistics(F.col("_text")).alias("_s"))
+    # the statistics are worked out once, before anything reads them twice
+    rows = Scratch(docs.sparkSession, "rules").keep(rows.repartition(8))
+    got = rows.where(~base_failed("_s")).select("_h", "_id", "q", *(c.alias(n) for n, c in ratios("_s").items())).collect()
     got.sort(key=lambda r: (r["_h"], r["_id"]))
     return learn([({n: r[n] for n in RATIOS}, int(r["q"] == 0)) for r in got])
 
