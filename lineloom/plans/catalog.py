@@ -1,4 +1,338 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Each lineage operator runs on the driver's tables: literal statements for SQL text, nation-to-order keys as a call
+graph, page addresses as endpoints, document texts as files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sqltext
+from ..operators import batching, graph
+from .fixtures import LAYERS, STATEMENTS, WATCHED, values_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def plan(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    """A query that both engines say in (nearly) the same SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in spark_sql}
+        return spark.sql(spark_sql, **used)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    duck = duck_sql or spark_sql
+    for t in TABLES:
+        duck = duck.replace(f"{{{t}}}", t)
+    ORACLE[name] = duck
+
+
+def statements(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STATEMENTS, "sql_id string, file string, sql string")
+
+
+S = values_sql(STATEMENTS, "sql_id, file, sql")
+W = values_sql(WATCHED, "table_name, column_name, new_column")
+L = values_sql(LAYERS, "file, layer, ord")
+_N = r"([A-Za-z_][\w.]*)"
+_PATTERNS = [rf"\bFROM\s+{_N}", rf"\s(?:INNER\s+|LEFT\s+|RIGHT\s+|FULL\s+|OUTER\s+|CROSS\s+)*JOIN\s+{_N}", rf"\bINSERT\s+INTO\s+{_N}", rf"\bUPDATE\s+{_N}", rf"\bDELETE\s+FROM\s+{_N}"]
+DUCK_REFS = " union ".join(f"select sql_id, upper(regexp_extract(unnest(regexp_extract_all(sql, '(?i){p}', 1)), '([^.]*)$', 1)) as table_name from {S}" for p in _PATTERNS)
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(sql, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+# --- SQL text -------------------------------------------------------------------------------------------------------
+
+
+@query(f"select distinct sql_id, table_name from ({DUCK_REFS})")
+def sql_table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements(spark).select("sql_id", F.explode(sqltext.table_names(F.col("sql"))).alias("table_name"))
+
+
+_DUCK_COLUMNS = rf"""
+with s as (select * from {S}), refs as (select distinct sql_id, table_name from ({DUCK_REFS})),
+items as (select sql_id, trim(unnest(string_split(regexp_extract(sql, '(?is)\bSELECT\s+(.*?)\s+FROM\b', 1), ','))) as item from s),
+alias as (
+  select sql_id, upper(regexp_extract(regexp_extract(r, '^([\w.]+)', 1), '([^.]*)$', 1)) as table_name, regexp_extract(r, '(\w+)$', 1) as alias
+  from (select sql_id, unnest(regexp_extract_all(sql, '(?i)\b(?:FROM|JOIN|UPDATE)\s+([\w.]+\s+(?:AS\s+)?\w+)', 1)) as r from s)
+),
+bare as (select i.sql_id, regexp_extract(item, '^([A-Za-z_]\w*)', 1) as c from items i where not regexp_matches(item, '^\w+\.\w+')),
+own as (select i.sql_id, r.table_name, regexp_extract(item, '^\w+\.(\w+)', 1) as c from items i join refs r using (sql_id)
+  where regexp_matches(item, '^\w+\.\w+') and (lower(split_part(item, '.', 1)) = lower(r.table_name)
+    or exists (select 1 from alias a where a.sql_id = i.sql_id and a.table_name = r.table_name and a.alias = split_part(item, '.', 1)))),
+ins as (select sql_id, trim(unnest(string_split(regexp_extract(sql, '(?is)INSERT\s+INTO\s+[\w.]+\s*\(([^)]*)\)', 1), ','))) as c from s),
+upd as (select sql_id, unnest(regexp_extract_all(regexp_extract(sql, '(?is)\bSET\s+(.*?)(?:\bWHERE\b|$)', 1), '(\w+)\s*=', 1)) as c from s),
+found as (select sql_id, table_name, c from own union select r.sql_id, r.table_name, c from refs r join (select * from bare union select * from ins union select * from upd) using (sql_id))
+select distinct sql_id, table_name, upper(c) as column_name from found where c <> ''"""
+
+
+def used_columns(spark: SparkSession) -> DataFrame:
+    refs = statements(spark).withColumn("table_name", F.explode(sqltext.table_names(F.col("sql"))))
+    return refs.select("sql_id", "table_name", F.explode(sqltext.column_names(F.col("sql"), F.col("table_name"))).alias("column_name"))
+
+
+@query(_DUCK_COLUMNS)
+def sql_column_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return used_columns(spark)
+
+
+@query(
+    rf"""select sql_id, case when upper(regexp_extract({_CLEAN}, '^(\w+)', 1)) in ('SELECT', 'INSERT', 'UPDATE', 'DELETE') then upper(regexp_extract({_CLEAN}, '^(\w+)', 1)) end as query_type,
+    array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(sql, '#\{{(\w+)\}}', 1), regexp_extract_all(sql, '\$\{{(\w+)\}}', 1)))), ',') as params from {S}"""
+)
+def sql_query_type_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = F.col("sql")
+    return statements(spark).select("sql_id", sqltext.query_type(sql).alias("query_type"), F.array_join(sqltext.parameters(sql), ",").alias("params"))
+
+
+@query(
+    rf"""with n as (
+      select sql_id, upper(regexp_extract(regexp_extract(r, '^([\w.]+)', 1), '([^.]*)$', 1)) as t, upper(regexp_extract(r, '(?i)^[\w.]+\s+(?:AS\s+)?(\w+)$', 1)) as a
+      from (select sql_id, unnest(regexp_extract_all({_CLEAN}, '(?i)\b(?:FROM|JOIN)\s+([\w.]+(?:\s+(?:AS\s+)?\w+)?)', 1)) as r from {S})),
+    names as (select distinct sql_id, t, case when a in ('', 'WHERE', 'ON', 'SET', 'INNER', 'LEFT', 'RIGHT', 'FULL', 'JOIN', 'ORDER', 'GROUP') then t else a end as a from n),
+    j as (select sql_id, unnest(regexp_extract_all({_CLEAN}, '(?i)((?:LEFT|RIGHT|FULL|INNER|CROSS)?\s*(?:OUTER\s+)?JOIN\s+[\w.]+(?:\s+(?:AS\s+)?\w+)?\s+ON\s+\w+\.\w+\s*=\s*\w+\.\w+)', 1)) as j from {S}),
+    e as (select sql_id, coalesce(nullif(upper(regexp_extract(j, '(?i)^(LEFT|RIGHT|FULL|INNER|CROSS)', 1)), ''), 'INNER') as join_type,
+      {", ".join(f"upper(regexp_extract(j, '(?i)\\sON\\s+(\\w+)\\.(\\w+)\\s*=\\s*(\\w+)\\.(\\w+)', {i})) as c{i}" for i in (1, 2, 3, 4))} from j)
+    select distinct e.sql_id, join_type, l.t as left_table, c2 as left_column, r.t as right_table, c4 as right_column
+    from e join names l on l.sql_id = e.sql_id and l.a = c1 join names r on r.sql_id = e.sql_id and r.a = c3"""
+)
+def sql_join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltext.join_edges(statements(spark))
+
+
+# --- access to watched columns --------------------------------------------------------------------------------------
+
+
+def access(spark: SparkSession) -> DataFrame:
+    """(sql_id, table_name) of statements that touch watched columns: one of the old columns, or the table if it has only new ones.
+    SELECT * stands for all old columns where no column was found."""
+    watched = spark.createDataFrame(WATCHED, "table_name string, column_name string, new_column boolean")
+    per = watched.groupBy("table_name").agg(F.collect_set(F.when(~F.col("new_column"), F.col("column_name"))).alias("old"))
+    refs = statements(spark).withColumn("table_name", F.explode(sqltext.table_names(F.col("sql"))))
+    refs = refs.withColumn("used", sqltext.column_names(F.col("sql"), F.col("table_name")))
+    star = (F.size("used") == 0) & F.col("sql").rlike(r"(?is)\bSELECT\s+\*\s+FROM\b")
+    return refs.join(per, "table_name").where((F.size("old") == 0) | F.arrays_overlap("used", "old") | star).select("sql_id", "file", "table_name")
+
+
+_DUCK_ACCESS = rf"""with used as ({_DUCK_COLUMNS}), refs as (select distinct sql_id, table_name from ({DUCK_REFS})), w as (select * from {W}), s as (select * from {S})
+select r.sql_id, s.file, r.table_name from refs r join s using (sql_id)
+where r.table_name in (select table_name from w) and (
+  not exists (select 1 from w where w.table_name = r.table_name and not new_column)
+  or exists (select 1 from w join used u on u.table_name = w.table_name and u.column_name = w.column_name where not new_column and u.sql_id = r.sql_id and w.table_name = r.table_name)
+  or (not exists (select 1 from used u where u.sql_id = r.sql_id and u.table_name = r.table_name) and regexp_matches(s.sql, '(?is)\bSELECT\s+\*\s+FROM\b')))"""
+
+
+@query(_DUCK_ACCESS)
+def sensitive_access_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access(spark)
+
+
+@query(
+    f"""with a as ({_DUCK_ACCESS}), l as (select * from {L}), n as (select table_name, layer, count(distinct file) as c, min(ord) as o from a join l using (file) group by 1, 2)
+    select table_name, count(distinct sql_id) as n_statements, string_agg(distinct sql_id, ',' order by sql_id) as statements, string_agg(distinct file, ',' order by file) as files,
+      (select layer from n where n.table_name = a.table_name order by c desc, o limit 1) as main_layer from a group by table_name"""
+)
+def table_access_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = access(spark).join(F.broadcast(spark.createDataFrame(LAYERS, "file string, layer string, ord int")), "file")
+    n = a.groupBy("table_name", "layer").agg(F.countDistinct("file").alias("c"), F.min("ord").alias("o"))
+    main = n.groupBy("table_name").agg(F.max_by("layer", F.struct("c", -F.col("o"))).alias("main_layer"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return a.groupBy("table_name").agg(F.countDistinct("sql_id").alias("n_statements"), joined("sql_id").alias("statements"), joined("file").alias("files")).join(main, "table_name")
+
+
+# --- files and dedup ------------------------------------------------------------------------------------------------
+
+plan(
+    "file_scan_filter",
+    r"""select page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) as path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '([^/]*)$', 1) as name, cast(octet_length(encode(html, 'utf-8')) as bigint) as size
+    from {pages} where lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) not like '%.net' and regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) <> ''""",
+    r"""select page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) as path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '([^/]*)$', 1) as name, cast(octet_length(encode(html)) as bigint) as size
+    from {pages} where lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) not like '%.net' and regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) <> ''""",
+)
+plan("dedup_latest_wins", "select md5(text) as digest, max_by(source, doc_id) as source, max(doc_id) as doc_id from {documents} group by md5(text)")
+plan("dedup_first_wins", "select conv_id, min_by(role, turn) as role, min(turn) as turn from {conversations} group by conv_id")
+_LAYER = "case when lower(p_type) like '%brass%' then 'controller' when lower(p_type) like '%steel%' then 'service' when p_name like 'a%' then 'repository' else 'unknown' end"
+plan("layer_classify", f"select p_partkey, {_LAYER} as layer from {{part}}")
+_TYPE = "case when lower(p_type) like '%page<%' or p_size % 4 = 0 then 'paged_list' when p_size % 3 = 0 then 'unpaged_list' else 'single' end"
+plan("data_type_infer", f"select p_partkey, {_TYPE} as data_type, case when p_size % 5 = 0 then 1000.0 else 1.0 end * p_size + case {_TYPE} when 'single' then 1.0 when 'paged_list' then 20.0 else 100.0 end * 2 as weight from {{part}}", f"select p_partkey, {_TYPE} as data_type, cast(case when p_size % 5 = 0 then 1000.0 else 1.0 end * p_size + case {_TYPE} when 'single' then 1.0 when 'paged_list' then 20.0 else 100.0 end * 2 as decimal(16,1)) as weight from {{part}}")
+
+# --- call graph -----------------------------------------------------------------------------------------------------
+
+EDGES = """select concat('R.', r_regionkey) as caller, concat('N.', n_nationkey) as callee from {region} join {nation} on n_regionkey = r_regionkey
+union all select concat('N.', n_nationkey), concat('C.', c_custkey) from {nation} join {customer} on c_nationkey = n_nationkey
+union all select concat('C.', c_custkey), concat('O.', o_orderkey) from {customer} join {orders} on o_custkey = c_custkey"""
+_E = EDGES.replace("{", "").replace("}", "")
+_REACH = f"""with recursive e as ({_E}), r as (select concat('R.', r_regionkey) as root, concat('R.', r_regionkey) as node, 0 as depth from region
+  union all select r.root, e.callee, r.depth + 1 from r join e on e.caller = r.node where r.depth < 20)"""
+
+
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EDGES, **{t: table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders")})
+
+
+def roots_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select(F.concat(F.lit("R."), "r_regionkey").alias("node"))
+
+
+@query(f"select caller, callee from ({_E}) group by 1, 2")
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.build(edges_of(spark, sf_dir))
+
+
+@query(f"{_REACH} select root, node, min(depth) as depth from r group by 1, 2")
+def endpoint_reach_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reach(edges_of(spark, sf_dir), roots_of(spark, sf_dir))
+
+
+@query(
+    f"""with recursive e as ({_E}), r as (select callee as root, callee as node, 0 as depth from e where callee like 'C.%' group by callee
+    union all select r.root, e.caller, r.depth + 1 from r join e on e.callee = r.node where r.depth < 20) select root, node, min(depth) as depth from r group by 1, 2"""
+)
+def callers_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges_of(spark, sf_dir)
+    return graph.callers(e, e.where("callee like 'C.%'").select(F.col("callee").alias("node")).distinct())
+
+
+@query(f"{_REACH}, m as (select node from r where node like 'N.%' or node like 'R.%' group by node) select distinct m.node as method, r.root as endpoint from m join r on r.node = m.node where not exists (select 1 from r d where d.node = m.node and d.depth = 0) or r.depth = 0")
+def method_to_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closure = graph.reach(edges_of(spark, sf_dir), roots_of(spark, sf_dir)).where("node like 'N.%' or node like 'R.%'")
+    return graph.method_endpoints(closure, closure.select(F.col("node").alias("method")).distinct())
+
+
+_NEXT = "select distinct event_type as caller, nxt as callee from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nxt from {events}) where nxt is not null"
+_DUCK_NEXT = _NEXT.replace("{events}", "events")
+
+
+@query(
+    f"""with recursive e as ({_DUCK_NEXT}), p as (select caller as root, caller as node, 0 as depth, [caller] as path from e group by caller
+    union all select p.root, e.callee, p.depth + 1, list_append(p.path, e.callee) from p join e on e.caller = p.node where not list_contains(p.path, e.callee))
+    select root, node, min(depth) as depth, min_by(array_to_string(path, '>'), depth * 1000000 + rk) as path from (select *, row_number() over (partition by root, node order by depth, path) as rk from p) group by root, node"""
+)
+def shortest_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.sql(_NEXT, events=table(spark, sf_dir, "events"))
+    got = graph.shortest_paths(e, e.select(F.col("caller").alias("node")).distinct())
+    return got.select("root", "node", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""with recursive e as (select * from ({_DUCK_NEXT}) where caller <> callee), r as (select caller as root, callee as node from e union select r.root, e.callee from r join e on e.caller = r.node)
+    select a.root as node, least(a.root, min(a.node)) as component from r a join r b on a.root = b.node and a.node = b.root where a.root <> a.node group by a.root"""
+)
+def cycle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(spark.sql(_NEXT, events=table(spark, sf_dir, "events")))
+
+
+# --- endpoints and weights ------------------------------------------------------------------------------------------
+
+_PATH = r"regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
+plan("endpoint_access_counts", rf"select {_PATH} as end_point, count(*) as access_cnt from {{pages}} group by 1")
+_ESTIMATE = rf"""with c as (select {_PATH} as path, page_id, length(html) % 7 as in_cnt, length(html) % 5 as out_cnt, page_id % 3 as kind from {{pages}}),
+q as (select regexp_replace(path, '[0-9]+', '{{id}}'G) as end_point, path, page_id, in_cnt + out_cnt * case kind when 0 then 1 when 1 then 20 else 100 end as weight from c)
+select end_point, cast(sum(weight) as bigint) as total_weight, count(*) as n_queries, count(distinct path) as n_paths, cast(sum(weight) * count(*) as bigint) as estimated_calls from q group by end_point"""
+
+
+def _estimate(g: str) -> str:
+    return _ESTIMATE.replace("'{{id}}'G" if "'{{id}}'G" in _ESTIMATE else "'{id}'G", f"'{{id}}'{g}")
+
+
+@query(_estimate(", 'g'").replace("{pages}", "pages"))
+def endpoint_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated calls by endpoint: weights of its queries times its accesses, largest first."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1).alias("path"), F.length("html").alias("n"))
+    out_weight = F.when(F.col("page_id") % 3 == 0, 1).when(F.col("page_id") % 3 == 1, 20).otherwise(100)
+    q = p.select(F.regexp_replace("path", "[0-9]+", "{id}").alias("end_point"), "path", (F.col("n") % 7 + F.col("n") % 5 * out_weight).cast("long").alias("weight"))
+    r = q.groupBy("end_point").agg(F.sum("weight").alias("total_weight"), F.count("*").alias("n_queries"), F.countDistinct("path").alias("n_paths"))
+    return r.withColumn("estimated_calls", F.col("total_weight") * F.col("n_queries")).orderBy(F.desc("estimated_calls"), "end_point")
+
+
+_DEPTH = """select l_partkey, count(case when l_quantity < 20 then 1 end) as d0, count(case when l_quantity >= 20 and l_quantity < 35 then 1 end) as d1, count(case when l_quantity >= 35 then 1 end) as d2 from {lineitem} group by l_partkey"""
+
+
+@query(
+    f"""select l_partkey, d0, d1, d2, case when d2 > 0 then case when kind = 'single' then d0 + d1 + d2 else d0 + 10 * d1 + many * d2 end when d1 > 0 then d0 + many * d1 else d0 end as weight
+    from (select *, case l_partkey % 3 when 0 then 'single' when 1 then 'paged_list' else 'unpaged_list' end as kind, case l_partkey % 3 when 0 then 1 when 1 then 20 else 100 end as many from ({_DEPTH.replace('{lineitem}', 'lineitem')}))"""
+)
+def loop_depth_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.sql(_DEPTH, lineitem=table(spark, sf_dir, "lineitem"))
+    kind = F.when(F.col("l_partkey") % 3 == 0, "single").when(F.col("l_partkey") % 3 == 1, "paged_list").otherwise("unpaged_list")
+    return d.withColumn("weight", batching.loop_weight(kind, F.col("d0"), F.col("d1"), F.col("d2")))
+
+
+plan("reachable_only", "select c_custkey, c_name from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey)")
+
+# --- differences ----------------------------------------------------------------------------------------------------
+
+_OLD = "select doc_id, case when doc_id % 7 = 0 then concat(text, '!') else text end as text from {documents} where doc_id % 11 <> 0"
+plan("changed_rows", f"select t.doc_id, case when o.doc_id is null then 'new' else 'changed' end as status from {{documents}} t left join ({_OLD}) o on o.doc_id = t.doc_id where o.doc_id is null or md5(o.text) <> md5(t.text)")
+plan(
+    "line_diff_counts",
+    f"""select doc_id, count(*) as n_lines from (select doc_id, explode(split(text, '\\n')) as line from {{documents}} except all select doc_id, explode(split(text, '\\n')) as line from ({_OLD})) group by doc_id""",
+    f"""select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from {{documents}} except all select doc_id, unnest(string_split(text, chr(10))) as line from ({_OLD})) group by doc_id""",
+)
+_RANGES = "select o_orderkey, o_custkey, o_orderdate as s, o_orderdate + interval '30' day as e from {orders}"
+plan("interval_enclosing", f"select a.o_orderkey, count(*) as n_enclosing from ({_RANGES}) a join ({_RANGES}) b on a.o_custkey = b.o_custkey and a.s between b.s and b.e group by a.o_orderkey")
+plan("validation_coverage", "select count(*) as n_docs, count(l.doc_id) as n_labelled, count(*) - count(l.doc_id) as n_missing from {documents} d left join (select distinct doc_id from {labels}) l on l.doc_id = d.doc_id")
+plan("upsert_results", "select c_custkey, c_name, c_acctbal from {customer} where c_custkey % 5 <> 0 union all select c_custkey, concat(c_name, '*'), c_acctbal from {customer} where c_custkey % 5 = 0")
+plan("mod_stats", "select o_orderpriority, count(*) as total, count(case when o_orderstatus = 'F' then 1 end) as success, count(case when o_orderstatus <> 'F' then 1 end) as failed, count(distinct case when o_orderstatus = 'F' then o_custkey end) as success_files from {orders} group by o_orderpriority")
+plan("keyword_groups", rf"select regexp_extract({_PATH}, '^/([a-z]+)/', 1) as keyword, count(*) as n_files from {{pages}} group by 1")
+plan("ancestor_chain", "select o_orderkey as node, 1 as depth, concat('C.', o_custkey) as ancestor from {orders} union all select o_orderkey, 2, concat('N.', c_nationkey) from {orders} join {customer} on c_custkey = o_custkey union all select o_orderkey, 3, concat('R.', n_regionkey) from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey")
+
+# --- order-sensitive folds ------------------------------------------------------------------------------------------
+
+
+@query(
+    """with recursive d as (select source, doc_id, n_chars // 4 as t, row_number() over (partition by source order by doc_id) as n from documents),
+    f as (select source, doc_id, n, 0 as batch, 100 + t as used from d where n = 1
+      union all select d.source, d.doc_id, d.n, case when f.used + d.t + 1 > 8000 then f.batch + 1 else f.batch end, case when f.used + d.t + 1 > 8000 then 100 + d.t else f.used + d.t + 1 end
+      from f join d on d.source = f.source and d.n = f.n + 1)
+    select source, doc_id, batch from f"""
+)
+def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.expr("n_chars div 4").alias("t"))
+    return batching.greedy_batches(d, "source", "doc_id", "t", prompt=100, separator=1, budget=8000)
+
+
+@query(
+    """with recursive d as (select source, doc_id, n_chars // 4 as t, row_number() over (partition by source order by doc_id) as n from documents),
+    f as (select source, doc_id, n, t <= 8000 as ok, case when t <= 8000 then t else 0 end as used from d where n = 1
+      union all select d.source, d.doc_id, d.n, f.used + d.t <= 8000, case when f.used + d.t <= 8000 then f.used + d.t else f.used end from f join d on d.source = f.source and d.n = f.n + 1)
+    select source, doc_id from f where ok"""
+)
+def budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.expr("n_chars div 4").alias("t"))
+    return batching.budget_select(d, "source", "doc_id", "t", budget=8000)
+
+
+@query(
+    """with n as (select user_id, event_type, row_number() over w as n, case when lag(event_type) over w = event_type then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+    r as (select *, sum(new) over (partition by user_id order by n) as run from n)
+    select user_id, event_type, min(n) as first_row, max(n) as last_row from r group by user_id, run, event_type"""
+)
+def adjacent_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.segments(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+# --- external calls -------------------------------------------------------------------------------------------------
+
+plan("external_call_mock", "select conv_id, turn, md5(concat('echo: ', text)) as content, length(text) div 4 as tokens from {conversations}", "select conv_id, turn, md5(concat('echo: ', text)) as content, length(text) // 4 as tokens from {conversations}")
