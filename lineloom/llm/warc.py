@@ -2,7 +2,7 @@
 
 A record is a row (record, chunk, ...) per WARC segment. A payload above ``chunk_chars`` becomes a first segment and
 ``continuation`` records (WARC-Segment-Number, WARC-Segment-Origin-ID), so no task holds or parses a whole oversized
-record; digests are carried from chunk to chunk. Files are text with CRLF CRLF between records; readers cut at the
+record; digests are carried from chunk to chunk. Files are gzipped text with CRLF CRLF between records; readers cut at the
 version line, so payloads that hold that line are segmented inside it, which keeps any text readable.
 
 Edge cases: null payload is empty; a null id gets no record of its own kind but is kept (page_id null, always
@@ -90,7 +90,7 @@ def records(pages: DataFrame, chunk: int = CHUNK_CHARS) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, chunk: int = CHUNK_CHARS) -> None:
     """Archive files under path; the first record with a payload (smallest page_id) is its response, others revisit it."""
-    records(pages, chunk).select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    records(pages, chunk).select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
