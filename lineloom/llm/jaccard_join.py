@@ -305,6 +305,7 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
         found = small.repartition("cell").sortWithinPartitions("cell", "doc_id").select("cell", "doc_id", "label", "items").mapInArrow(solve, "a long, b long")
         links = add(scratch.keep(found))
         if big.isEmpty():
+            scratch.drop(members)
             return links
         rest = scratch.keep(members.join(big.select("cell", "n"), "cell", "left_semi"))
         if level == depth:
@@ -339,11 +340,14 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
         if placed.count() > 2 * rest.count():
             return links.unionByName(blocks(rest, num, den, max_docs, max_items))
         live = placed.groupBy("next").agg(F.count_if(F.col("label").isNull()).alias("open"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("open > 0 or l0 <> l1")
+        whole, parted = members, rest
         members = scratch.keep(
             placed.join(live.select("next"), "next", "left_semi")
             .join(rest.select("cell", "doc_id", "items").dropDuplicates(["cell", "doc_id"]), ["cell", "doc_id"])
             .select(F.col("next").alias("cell"), "doc_id", "label", "items")
         )
+        scratch.drop(whole)
+        scratch.drop(parted)
     return links
 
 
@@ -382,8 +386,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
                 names=["cell", "doc_id", "label", "items"],
             )
 
-    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "text")
-    members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, label string, items binary").dropDuplicates(["cell", "doc_id"]))
+    # repeated rows go as texts, which are smaller than their sets, and where the join has put them
+    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "text").dropDuplicates(["doc_id", "text"])
+    members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, label string, items binary"))
     links = divide(scratch, members, num, den, max_docs, max_items, pivots)
     roots = components(scratch, links).withColumnRenamed("id", "rep")
     copies = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
