@@ -146,6 +146,20 @@ def test_windows_score_each_token_once_and_sum_to_one():
         assert got[k] == pytest.approx(total, rel=1e-4)
 
 
+def test_scores_look_back_as_far_as_stated():
+    net = lm_scoring.Attention()
+    kind, within = lm_scoring.frequency_classes(np.random.default_rng(0).integers(0, 50, 32000).astype(float))
+    assert net.width == 16
+    single = np.flatnonzero(kind < 2)[:2]
+    last = lambda ids: lm_scoring.score_tokens(net, ids, np.array([len(ids)]), kind, within)[0] - lm_scoring.score_tokens(net, ids[:-1], np.array([len(ids) - 1]), kind, within)[0]
+    ids = np.random.default_rng(1).integers(0, 32000, 33)
+    # the 32nd id is scored after all 31 before it; the 33rd, first of a later window, after the 9 before it
+    for size, reach in ((32, 31), (33, 9)):
+        other = ids[:size].copy()
+        other[size - 1 - reach] = single[int(kind[other[size - 1 - reach]] == kind[single[0]])]
+        assert abs(last(ids[:size]) - last(other)) > 1e-5
+
+
 def test_attention_gradient():
     net, r = lm_scoring.Attention(classes=5, width=4, window=6), np.random.default_rng(3)
     before, now, valid = r.integers(0, 6, (3, 6)), r.integers(0, 5, (3, 6)), np.ones((3, 6), bool)
