@@ -160,6 +160,28 @@ def test_scores_look_back_as_far_as_stated():
         assert abs(last(ids[:size]) - last(other)) > 1e-5
 
 
+def test_training_windows_hold_every_id(spark):
+    texts = ["w%d x " % i * n for i, n in enumerate([1, 40, 700])] + [None, "end"]
+    got = lm_scoring.gather(spark.createDataFrame([(t,) for t in texts], "text string"), lm_scoring.MODEL).collect()
+    w = lm_scoring.Words(lm_scoring.MODEL)
+    want = {tuple(w.tokens(w.look_up([(t or "").encode().split()])[0])[0].tolist()) for t in texts}
+    found, whole = set(), []
+    for r in got:
+        if r.kind == 2:
+            before, *ids = np.frombuffer(r.ids, lm_scoring.piece_type(w.size)).tolist()
+            if before == w.size:
+                found.add(tuple(whole))
+                whole = []
+            else:
+                assert before == whole[-1]
+            assert 0 < len(ids) <= lm_scoring.WINDOW
+            whole += ids
+    assert (found | {tuple(whole)}) - {()} == want
+    kind = np.arange(w.size) % lm_scoring.CLASSES
+    before, now, valid = lm_scoring._windows(lm_scoring.cut(np.arange(40), w.size), kind)
+    assert now[valid].tolist() == kind[:40].tolist() and before[valid].tolist() == [lm_scoring.CLASSES, *kind[:39]]
+
+
 def test_attention_gradient():
     net, r = lm_scoring.Attention(classes=5, width=4, window=6), np.random.default_rng(3)
     before, now, valid = r.integers(0, 6, (3, 6)), r.integers(0, 5, (3, 6)), np.ones((3, 6), bool)
