@@ -1,17 +1,19 @@
 """License scans by conditional compression.
 
-Candidate blocks (runs of lines that share the words of licence texts) are compressed alone and with each template as
-a raw zstandard dictionary; templates are ranked by how much smaller the block gets, and the best are confirmed by
-exact wording: a template is found if its words stand in the block in order, with at most ``max_edits`` of them
-missing and the words that tell licences apart (names, versions) all present.
-
-Edge cases: null and empty texts have no blocks; ranking ties go to the longer, then the first template; repeated rows
-are reported each; very long texts are read whole; other columns are ignored, whatever their names.
+In candidate blocks (runs of lines that share the words of licence texts) every template is looked for whose telling
+words (names, versions) stand close enough together, and confirmed by exact wording: a template is found if its words
+stand in the block in order, with at most ``max_edits`` of them missing or put between and the telling words all
+present. Of readings that share words of the block, those with the fewest differences count. Each is compressed, with
+at most MARGIN characters around it, alone and with its template as a raw zstandard dictionary; what that saves is
+reported and orders the readings, but doesn't decide.
+
+Edge cases: null and empty texts have no blocks; ties in what is saved go to the longer, then the first template; a
+notice that a block has several times is reported each time, as are repeated rows; a notice over several lines has the
+number of its first; very long texts are read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pyarrow as pa
@@ -37,6 +39,8 @@ TEMPLATES = [
 ]
 #: A line is of interest if it has one of these, which every template has.
 MARK = r"(?i)licen[sc]e|permission|redistribution|copyright|public\s+domain"
+#: Characters on each side of a notice that are compressed with it.
+MARGIN = 100
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -57,42 +61,81 @@ class Scanner:
         ]
         self.seen: dict[str, list] = {}
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), best first."""
-        data = block.encode()
-        size = len(self.alone.compress(data))
-        saved = [(1 - len(c.compress(data)) / size, i) for i, c in enumerate(self.given)]
-        return sorted(saved, key=lambda x: (-x[0], -len(self.templates[x[1]][1]), x[1]))
+    def saved(self, window: str, i: int) -> float:
+        """Share of the compressed size that the template saves."""
+        data = window.encode("utf-8", "replace")
+        return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
 
-    def confirm(self, block: str, i: int, max_edits: float) -> tuple[int, int] | None:
-        """(template words missing, words of the block put between) where the template stands in the block."""
+    def align(self, have: list[str], i: int, most: int) -> tuple[int, int, int, int] | None:
+        """(template words missing, words put between, first, last) of the reading with the fewest of both, if at most `most`."""
+        _, _, want, must = self.templates[i]
+        bit = {w: 1 << k for k, w in enumerate(sorted(must))}
+        whole = (1 << len(bit)) - 1
+        best, ends = None, []
+        for b, word in enumerate(have):
+            new = []
+            for a, w in enumerate(want):
+                if w != word:
+                    continue
+                own = bit.get(w, 0)
+                # telling words held -> (differences, missing, place of the first word): the template's words before are missing
+                at = {own: (a, a, -b)} if a <= most else {}
+                for a0, b0, held in ends:
+                    if a0 < a and b0 < b:
+                        gap, between = a - a0 - 1, b - b0 - 1
+                        for m, (n, missing, first) in held.items():
+                            to = (n + gap + between, missing + gap, first)
+                            if to[0] <= most and to < at.get(m | own, (most + 1,)):
+                                at[m | own] = to
+                if at:
+                    new.append((a, b, at))
+                    if whole in at:
+                        n, missing, first = at[whole]
+                        rest = len(want) - 1 - a
+                        got = (n + rest, missing + rest, first, b)
+                        if got[0] <= most and (best is None or got < best):
+                            best = got
+            ends += new
+        return best and (best[1], best[0] - best[1], -best[2], best[3])
+
+    def readings(self, have: list[str], i: int, max_edits: float) -> set[tuple[int, int, int, int]]:
+        """Where the template may stand: each place of its rarest telling word, with as many words around as a reading can have."""
         _, _, want, must = self.templates[i]
-        have = words(block)
-        if not must <= set(have):
-            return None
-        blocks = [b for b in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if b.size]
-        if not blocks:
-            return None
-        missing = len(want) - sum(b.size for b in blocks)
-        between = blocks[-1].b + blocks[-1].size - blocks[0].b - sum(b.size for b in blocks)
-        held = {w for b in blocks for w in want[b.a : b.a + b.size]}
-        return (missing, between) if must <= held and missing + between <= max_edits * len(want) else None
-
-    def scan(self, block: str, tries: int = 4, max_edits: float = 0.25, least: float = 0.1) -> list[tuple[str, float, int, int]]:
-        """(licence, saved, missing, between) found in a block. Equal blocks, and common lines, are worked out once."""
+        places: dict[str, list[int]] = {w: [] for w in must}
+        for b, w in enumerate(have):
+            if w in places:
+                places[w].append(b)
+        rarest = min(sorted(must), key=lambda w: len(places[w]))
+        most = int(max_edits * len(want))
+        before, after = max(k for k, w in enumerate(want) if w == rarest) + most, len(want) - want.index(rarest) + most
+        out = set()
+        for b in places[rarest]:
+            lo = max(0, b - before)
+            part = have[lo : b + after]
+            if must <= set(part) and (got := self.align(part, i, most)):
+                out.add((got[0], got[1], lo + got[2], lo + got[3]))
+        return out
+
+    def scan(self, block: str, max_edits: float = 0.25) -> list[tuple[int, str, float, int, int]]:
+        """(line within the block, licence, saved, missing, between) found in a block. Equal short blocks are worked out once."""
         got = self.seen.get(block)
         if got is None:
-            got = []
-            for saved, i in self.rank(block)[:tries]:
-                if saved < least:
-                    break
-                edits = self.confirm(block, i, max_edits)
-                if edits is not None and self.templates[i][0] not in [x[0] for x in got]:
-                    got.append((self.templates[i][0], saved, *edits))
-            # of several readings of one notice, those with the fewest differences
-            if got:
-                fewest = min(x[2] + x[3] for x in got)
-                got = [x for x in got if x[2] + x[3] == fewest]
+            low = block.lower()
+            text = block if len(low) == len(block) else low
+            at = list(_WORD.finditer(low))
+            have, known = [m.group() for m in at], {m.group() for m in at}
+            found = []
+            for i, (name, t, _, must) in enumerate(self.templates):
+                for missing, between, first, last in self.readings(have, i, max_edits) if must <= known else ():
+                    lo, hi = at[first].start(), at[last].end()
+                    saved = self.saved(text[max(0, lo - MARGIN) : hi + MARGIN], i)
+                    found.append((missing + between, -saved, -len(t), i, first, last, name, missing, between, low.count("\n", 0, lo)))
+            kept: list[tuple] = []
+            for x in sorted(found):
+                # of several readings of one notice, those with the fewest differences
+                if not any(x[4] <= y[5] and y[4] <= x[5] and (y[0] < x[0] or y[6] == x[6]) for y in kept):
+                    kept.append(x)
+            got = [(x[9], x[6], -x[1], x[7], x[8]) for x in sorted(kept, key=lambda x: (x[4], x[1:4]))]
             if len(self.seen) > 50_000:
                 self.seen.clear()
             if len(block) < 1000:
@@ -126,16 +169,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not _scanner:
             _scanner.append(Scanner())
         s = _scanner[0]
-        mark = re.compile(MARK)
         for b in batches:
             rows = []
             for i, t in zip(b.column(0), b.column(1).to_pylist()):
                 for first, lines in s.blocks(t):
-                    # a notice may stand on one line or run over several
-                    hits = [(first + k, x) for k, line in enumerate(lines) if mark.search(line) for x in s.scan(line)]
-                    if not hits and len(lines) > 1:
-                        hits = [(first, x) for x in s.scan("\n".join(lines))]
-                    rows += [(i, n, *x) for n, x in hits]
+                    rows += [(i, first + n, *x) for n, *x in s.scan("\n".join(lines))]
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], kinds[0]), *(pa.array(list(c), k) for c, k in zip(cols[1:], kinds[1:]))], names=[id_col, "line", "license", "saved", "missing", "between"])

@@ -304,6 +304,17 @@ def test_licenses(spark):
     assert {(r.doc_id, r.license) for r in got} == {(1, "MIT"), (2, "CC-BY-NC-4.0"), (3, "GPL-3.0"), (5, "Apache-2.0")}
 
 
+def test_every_license_notice_of_a_line(spark):
+    prose = lambda n: "so the grey river went on past the mill and over the hill " * n
+    notice = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.", "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3."}
+    changed = "This work is licensed under the GNU Affero General Public Licence, version 3."
+    docs = [(1, prose(30) + notice["Apache-2.0"] + " " + prose(40)), (2, (" " + prose(2)).join(notice.values())), (3, notice["MIT"] + " " + changed), (4, notice["MIT"] + "\nThis work is licensed under the GNU General Public\nLicense, version 2.")]
+    docs += [(5, notice["MIT"] + " or " + notice["MIT"]), (6, "apache license " + prose(3) + "version 2.0")]
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.line, r.license) for r in got) == sorted([(1, 0, "Apache-2.0"), *((2, 0, x) for x in notice), (3, 0, "AGPL-3.0"), (3, 0, "MIT"), (4, 0, "MIT"), (4, 1, "GPL-2.0"), (5, 0, "MIT"), (5, 0, "MIT")])
+    assert all(r.missing + r.between == (r.license == "AGPL-3.0") * 2 for r in got)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = corpus_pipeline.run(spark, SF)
