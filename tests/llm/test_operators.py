@@ -110,6 +110,16 @@ def test_rule_statistics_equal_brute_force(spark):
         assert (row.s.n_words, row.s.word_chars, row.s.n_symbols, row.s.n_dup_lines, row.s.n_repeat_words) == want, t
 
 
+@pytest.mark.parametrize("junk", ["0123456789", "!?;:\"'()[]{}@^~`\\/_=+-"])
+def test_rules_learn_digits_and_marks(spark, junk):
+    r = random.Random(6)
+    word = lambda chars: "".join(r.choice(chars) for _ in range(6))
+    rows = [(i, " ".join(word(junk if i % 3 == 0 else "abcdefghij") for _ in range(80))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = quality_rules.fit(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int"))
+    assert {x.doc_id: x.kept for x in quality_rules.judge(docs, rules).collect()} == {i: i % 3 > 0 for i in range(120)}
+
+
 def test_base_score_equals_brute_force(spark):
     import math
     from collections import Counter
