@@ -31,7 +31,7 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate class (five words, 0.8); of repeated rows one."""
-    classes = jaccard_join.jaccard_components(docs, k=5, num=80, den=100)
+    classes = jaccard_join.jaccard_components(docs, k=5, num=80, den=100, degrees=False)
     kept = classes.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 

@@ -20,8 +20,14 @@ Regions, from coarse to fine:
    each in one task, under a limit of documents and shingles that doesn't grow with the input. A cell that
    pivots can't shrink is searched in pairs of bounded blocks.
 
-Edge cases: null or blank text is an empty set, which links with nothing (component_id is its own doc_id).
-Repeated rows give repeated rows. A null doc_id takes the smallest doc_id of the copies of its text, if any.
+The number of links of each document comes from the same coarse classes, in Voronoi cells without those short cuts:
+all that a document links with is in the cell of its nearest pivot, as a resident or as a window copy, so its links
+are counted there, each distinct set weighted by its copies, in bounded dense and sparse intersections. Cells that
+pivots can't shrink are counted in pairs of bounded blocks.
+
+Edge cases: null or blank text is an empty set, which links with nothing (component_id is its own doc_id, n_links 0).
+Repeated rows give repeated rows, which link with each other. A null doc_id takes the smallest doc_id of the copies of
+its text, if any; rows of a text that has null ids alone link with their copies only.
 Columns other than the id and the text are ignored, whatever their names.
 Shingles are compared by 64-bit hashes.
 """
@@ -360,8 +366,106 @@ def blocks(members: DataFrame, num: int, den: int, max_docs: int, max_items: int
     return pairs.repartition("cell").sortWithinPartitions("cell", "doc_id").select("cell", "doc_id", "label", "items").mapInArrow(_solve(num, den), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs; component_id is the smallest doc_id reachable by links."""
+def intersections(sets: list[np.ndarray], own: np.ndarray, often: int = 16, width: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of the sets at `own` (rows) with all sets: frequent elements by matrix products, the others by pairs of owners."""
+    m = len(sets)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    _, col, held = np.unique(flat, return_inverse=True, return_counts=True)
+    at = np.full(m, -1)
+    at[own] = np.arange(len(own))
+    both = np.zeros((len(own), m), np.int32)
+    few = (held[col] > 1) & (held[col] <= often)
+    order = np.argsort(col[few], kind="stable")
+    c, r = col[few][order], row[few][order]
+    for step in range(1, often):
+        same = np.flatnonzero(c[step:] == c[:-step])
+        if not len(same):
+            break
+        a, b = r[same], r[same + step]
+        a, b = at[np.concatenate((a, b))], np.concatenate((b, a))
+        both += np.bincount((a * m + b)[a >= 0], minlength=both.size).reshape(both.shape).astype(np.int32)
+    many = held > often
+    number = np.cumsum(many) - 1
+    c, r = number[col[many[col]]], row[many[col]]
+    order = np.argsort(c, kind="stable")
+    c, r = c[order], r[order]
+    for lo in range(0, int(many.sum()), width):
+        part = slice(*np.searchsorted(c, (lo, lo + width)))
+        x = np.zeros((m, width), np.float32)
+        x[r[part], c[part] - lo] = 1
+        both += (x[own] @ x.T).astype(np.int32)
+    return both
+
+
+def _count(num: int, den: int):
+    """(f, links): rows that the own sets of each cell link with there. Sets with a part meet those of other parts only."""
+
+    def run(batches):
+        for t in groups(batches, "cell"):
+            own = np.flatnonzero(t.column("own").to_numpy())
+            if t.num_rows < 2 or not len(own):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+            part = t.column("part").to_numpy()
+            size = np.array([len(x) for x in sets], np.int64)
+            both = intersections(sets, own).astype(np.int64)
+            ok = den * both >= num * (size[own][:, None] + size - both)
+            ok &= (part[own][:, None] < 0) | (part[own][:, None] != part)
+            ok[np.arange(len(own)), own] = False
+            links = np.where(ok, t.column("n_copies").to_numpy(), 0).sum(1)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pa.array(own)), pa.array(links, pa.int64())], names=["f", "links"])
+
+    return run
+
+
+def count_links(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: int, max_items: int, pivots: int = 32, depth: int = 6) -> DataFrame:
+    """(f, links) parts, to be summed, for members (cell, f1, n_copies, items): rows of other sets of its cell that each set links with."""
+    fields = ("cell", "doc_id", "n_copies", "own", "part", "items")
+    members = members.select("cell", F.col("f1").alias("doc_id"), "n_copies", F.lit(True).alias("own"), F.lit(-1).alias("part"), "items")
+    found = None
+    add = lambda x: x if found is None else found.unionByName(x)
+    counted = lambda x: scratch.keep(x.repartition("cell").sortWithinPartitions("cell", "doc_id").select(*fields).mapInArrow(_count(num, den), "f long, links long"))
+
+    def in_blocks(rest: DataFrame) -> DataFrame:
+        total = rest.groupBy("cell").agg(F.greatest(F.ceil(2 * F.count("*") / max_docs), F.ceil(2 * F.sum(F.length("items") / 8) / max_items)).cast("int").alias("b"))
+        dealt = rest.join(total, "cell").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit("b")), F.col("b")).cast("int"))
+        pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+        return counted(pairs.withColumn("part", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i"))).withColumn("cell", F.concat_ws("|", "cell", F.least("i", "j"), F.greatest("i", "j"))))
+
+    for level in range(depth + 1):
+        size = scratch.keep(members.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.length("items") / 8).alias("items_n")))
+        big = size.where((F.col("n") > max_docs) | (F.col("items_n") > max_items)).select("cell")
+        found = add(counted(members.join(big, "cell", "left_anti")))
+        if big.isEmpty():
+            return found
+        rest = scratch.keep(members.join(big, "cell", "left_semi"))
+        if level == depth:
+            return add(in_blocks(rest))
+        ranked = rest.select("cell", "doc_id", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("doc_id", F.lit(level)), "doc_id")).alias("rank"))
+        chosen = rest.join(ranked.where(F.col("rank") <= pivots).select("cell", "doc_id"), ["cell", "doc_id"], "left_semi")
+        # each cell's pivots (at most `pivots` sets) meet its sets in `spread` tasks
+        spread = 32
+        lists = chosen.groupBy("cell").agg(F.collect_list(F.struct("doc_id", "items")).alias("pivots")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        dealt = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")).join(lists, ["cell", "salt"])
+        where = dealt.select("cell", "doc_id", "items", "pivots").mapInArrow(_assign(num, den), "cell string, doc_id long, home int, near array<int>, window array<int>")
+        where = scratch.keep(where.drop("near"))
+        if where.agg(F.sum(F.size("window"))).first()[0] > 2 * rest.count():
+            return add(in_blocks(rest))
+        placed = where.join(rest.select("cell", "doc_id", "own"), ["cell", "doc_id"]).select("cell", "doc_id", F.explode("window").alias("pivot"), "home", "own")
+        placed = scratch.keep(placed.select("cell", "doc_id", F.concat_ws("/", "cell", "pivot").alias("next"), (F.col("own") & (F.col("pivot") == F.col("home"))).alias("own")))
+        # a cell without residents counts nothing
+        live = placed.groupBy("next").agg(F.max("own").alias("any")).where("any").select("next")
+        placed = placed.join(live, "next", "left_semi").join(rest.drop("own"), ["cell", "doc_id"])
+        members = scratch.keep(placed.select(F.col("next").alias("cell"), "doc_id", "n_copies", "own", "part", "items"))
+        scratch.drop(rest)
+    return found
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32, degrees: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row of docs; component_id is the smallest doc_id reachable by links.
+
+    n_links is the number of other rows that the row links with; without `degrees` it is neither worked out nor returned.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -372,9 +476,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     coarse = components(scratch, star.select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
     coarse = scratch.keep(coarse.select(F.col("id").alias("doc_id"), F.col("root").alias("cell")))
     # one document for each text of a coarse class, where it has several
-    reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")).join(coarse, "doc_id")
+    reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).join(coarse, "doc_id")
     several = reps.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    reps = scratch.keep(reps.join(several, "cell", "left_semi").select("doc_id", "f1", "cell"))
+    reps = scratch.keep(reps.join(several, "cell", "left_semi").select("doc_id", "f1", "n_copies", "cell"))
 
     def items(batches):
         for b in batches:
@@ -382,15 +486,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             sets = [shingle_set((x or b"").lower().split(), k).tobytes() for x in t]
             keep = [i for i, s in enumerate(sets) if s and (xxhash.xxh3_128_intdigest(s) & (2**64 - 1)) - 2**63 == f[i]]
             yield pa.RecordBatch.from_arrays(
-                [b.column("cell").cast(pa.string()).take(pa.array(keep, pa.int64())), b.column("doc_id").take(pa.array(keep, pa.int64())), pa.nulls(len(keep), pa.string()), pa.array([sets[i] for i in keep], pa.binary())],
-                names=["cell", "doc_id", "label", "items"],
+                [b.column("cell").cast(pa.string()).take(pa.array(keep, pa.int64())), *(b.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "f1", "n_copies")), pa.nulls(len(keep), pa.string()), pa.array([sets[i] for i in keep], pa.binary())],
+                names=["cell", "doc_id", "f1", "n_copies", "label", "items"],
             )
 
     # repeated rows go as texts, which are smaller than their sets, and where the join has put them
-    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "text").dropDuplicates(["doc_id", "text"])
-    members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, label string, items binary"))
+    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "n_copies", "text").dropDuplicates(["doc_id", "text"])
+    members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, f1 long, n_copies long, label string, items binary"))
+    linked = count_links(scratch, members, num, den, max_docs, max_items, pivots) if degrees else None
     links = divide(scratch, members, num, den, max_docs, max_items, pivots)
     roots = components(scratch, links).withColumnRenamed("id", "rep")
-    copies = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    copies = copies.join(roots, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("component"))
-    return prints.join(copies, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    copies = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    copies = copies.join(roots, "rep", "left").select("f1", "f2", "c", F.coalesce("root", "rep").alias("component"))
+    out = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
+    if degrees:
+        copies = copies.join(linked.groupBy(F.col("f").alias("f1")).agg(F.sum("links").alias("links")), "f1", "left")
+        copies = copies.select("f1", "f2", "component", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        out.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return prints.join(copies, ["f1", "f2"], "left").select(*out)

@@ -57,6 +57,37 @@ def test_jaccard_join_equals_brute_force(spark, kwargs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("kwargs", [{}, {"max_docs": 3, "pivots": 2}, {"max_docs": 8, "pivots": 4}, {"max_items": 300, "pivots": 3}])
+def test_link_counts_equal_brute_force(spark, kwargs):
+    rows = near_copies(3) + near_copies(8, groups=6, copies=5)
+    rows = [(i, t) for i, (_, t) in enumerate(rows + rows[:7])] + [(200, "one two"), (201, "one two"), (202, "one"), (203, "")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100, **kwargs).collect()
+    sets = {i: shingles(t, 4) for i, t in rows}
+    link = lambda x, y: bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(link(x, y) for j, y in sets.items() if i != j) for i, x in sets.items()}
+
+
+def test_link_counts_in_pivot_cells(spark):
+    docs = [jaccard_join.shingle_set(t.encode().split(), 4) for _, t in near_copies(11, groups=30, copies=5)]
+    sets = list({x.tobytes(): x for x in docs}.values())
+    scratch = jaccard_join.Scratch(spark, "test")
+    members = scratch.keep(spark.createDataFrame([("c", i, 1 + i % 3, bytearray(x.tobytes())) for i, x in enumerate(sets)], "cell string, f1 long, n_copies long, items binary"))
+    got = jaccard_join.count_links(scratch, members, 85, 100, max_docs=40, max_items=10**6, pivots=30).groupBy("f").agg(F.sum("links").alias("n")).collect()
+    link = lambda x, y: 185 * len(np.intersect1d(x, y)) >= 85 * (len(x) + len(y))
+    want = {i: sum(1 + j % 3 for j, y in enumerate(sets) if i != j and link(x, y)) for i, x in enumerate(sets)}
+    assert {i: n for i, n in want.items() if n} == {r.f: r.n for r in got if r.n}
+    assert scratch.n > 8  # divided by pivots
+
+
+@pytest.mark.parametrize("often", [2, 16])
+def test_intersections(often):
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    own = np.array([0, 4, 29])
+    got = jaccard_join.intersections(sets, own, often=often, width=8)
+    assert all(got[i, j] == len(np.intersect1d(sets[a], b)) for i, a in enumerate(own) for j, b in enumerate(sets) if a != j)
+
+
 def test_class_signatures_lose_no_linked_pair():
     r = np.random.default_rng(5)
     levels = jaccard_join.Levels(85, 100)
