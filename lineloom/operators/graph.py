@@ -1,6 +1,6 @@
-"""Call graph operators: reachability, shortest stacks, ancestors, cycles.
+"""Call graph operators: reachability, shortest stacks, callers, cycles.
 
-Closures are frontier rounds of joins, bounded by depth; every few rounds the lineage is cut in the shared folder.
+Closures are frontier rounds of joins, bounded by depth but for cycles; every few rounds the lineage is cut in the shared folder.
 Reach keeps one row per (root, node), so it grows with what is reached, not with the number of paths.
 """
 
@@ -45,12 +45,21 @@ def callers(edges: DataFrame, targets: DataFrame, max_depth: int = 20) -> DataFr
     return reach(edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")), targets, max_depth)
 
 
-def cycles(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(node, component) of strongly connected components of two nodes or more; component is the least node. Self-loops don't count."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component) of strongly connected components of two nodes or more, however long; component is the least node. Self-loops don't count.
+
+    Pairs of what reaches what, to a fixed point: each round doubles the length of the paths seen.
+    """
     e = build(edges).where("caller <> callee")
-    nodes = e.select(F.col("caller").alias("node")).distinct()
-    r = reach(e, nodes, max_depth).where("depth > 0")
-    both = r.alias("a").join(r.alias("b"), (F.col("a.root") == F.col("b.node")) & (F.col("a.node") == F.col("b.root"))).select(F.col("a.root").alias("node"), F.col("a.node").alias("other"))
+    spark = e.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    r, before = e.select(F.col("caller").alias("root"), F.col("callee").alias("node")).checkpoint(), 0
+    while (now := r.count()) > before:
+        before = now
+        longer = r.alias("a").join(r.alias("b"), F.col("a.node") == F.col("b.root")).select("a.root", "b.node")
+        r = r.unionByName(longer).distinct().checkpoint()
+    both = r.alias("a").join(r.alias("b"), (F.col("a.root") == F.col("b.node")) & (F.col("a.node") == F.col("b.root"))).where("a.root <> a.node").select(F.col("a.root").alias("node"), F.col("a.node").alias("other"))
     return both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
 
 

@@ -47,6 +47,12 @@ def test_reach_ends_in_a_cycle(spark):
     assert {tuple(r) for r in graph.cycles(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
 
 
+def test_long_cycles(spark):
+    ring = [(f"m{i:02}", f"m{(i + 1) % 45:02}") for i in range(45)]
+    e = spark.createDataFrame([*ring, ("m07", "m07"), ("m03", "out"), ("out", "x"), ("x", "out"), ("in", "m00"), ("self", "self")], "caller string, callee string")
+    assert {tuple(r) for r in graph.cycles(e).collect()} == {*((a, "m00") for a, _ in ring), ("out", "out"), ("x", "out")}
+
+
 def test_batches_never_pass_the_budget_unless_alone(spark):
     d = spark.createDataFrame([("g", i, t) for i, t in enumerate([50, 60, 500, 10, 10])], "g string, i int, t int")
     got = [tuple(r) for r in batching.greedy_batches(d, "g", "i", "t", prompt=0, separator=1, budget=100).orderBy("i").collect()]
