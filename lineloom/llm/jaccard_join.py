@@ -491,7 +491,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             )
 
     # repeated rows go as texts, which are smaller than their sets, and where the join has put them
-    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "n_copies", "text").dropDuplicates(["doc_id", "text"])
+    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "n_copies", "text").dropDuplicates(["doc_id", "text", "f1"])
     members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, f1 long, n_copies long, label string, items binary"))
     linked = count_links(scratch, members, num, den, max_docs, max_items, pivots) if degrees else None
     links = divide(scratch, members, num, den, max_docs, max_items, pivots)

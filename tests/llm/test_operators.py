@@ -82,6 +82,15 @@ def test_link_counts_in_pivot_cells(spark):
     assert divided
 
 
+def test_one_id_with_several_texts_links_each(spark):
+    base = [[f"v{g}w{i}" for i in range(60)] for g in range(4)]
+    near = lambda ws: " ".join([*ws[:-1], "changed"])
+    # the texts of one id meet in one coarse class through it
+    rows = [(1, " ".join(ws)) for ws in base] + [(10 + g, near(ws)) for g, ws in enumerate(base)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == sorted((i, 1, 1) for i, _ in rows)
+
+
 @pytest.mark.parametrize("often", [2, 16])
 def test_intersections(often):
     r = np.random.default_rng(4)
