@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,12 +15,20 @@ from pyspark.sql import functions as F
 #: Words of the contracts that split on ASCII white space: bytes.split() cuts at exactly
 #: \x20 and \x09-\x0D, and bytes.lower() changes A-Z alone.
 CHUNK_WORDS = 400_000
+_local: dict[SparkSession, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; spark.checkpoint.dir, a default only where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a temporary one; others may not go on."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "/tmp/checkpoints"
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark not in _local:
+        _local[spark] = tempfile.mkdtemp(prefix="lineloom-")
+    return _local[spark]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,29 +38,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Intermediate Parquet tables in the shared folder, so that a lost executor costs no recomputation.
 
-    keep(df) writes and rereads; drop(df) deletes a table that no later plan reads.
+    keep(df) writes and rereads; drop(df) deletes a table that no later plan reads. What a lazy result still reads goes
+    when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        path, files = self._path(self.root)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p, files = self._path(path)
+            files.delete(p, True)
+
+    def _path(self, path: str):
+        """A Hadoop path and its file system."""
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -110,18 +125,21 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, drop_input: bool = False) -> DataFrame:
     """Connected components of undirected links (a, b): one row (id, root) for each id in a link, root the smallest id.
 
     Alternating large-star and small-star rounds; each is two partial aggregates and a joinable shuffle, so a hub
     of any degree is combined before it moves. Every round is a table in the shared folder.
     """
+    given = edges
     edges = (
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     edges = scratch.keep(edges)
+    if drop_input:
+        scratch.drop(given)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,45 +1,43 @@
-"""Exact set-similarity join under the Jaccard metric, to connected components.
+"""Exact set-similarity join under the Jaccard metric: links, their number, and connected components.
 
 A document is the set of its distinct k-word shingles; two documents link when
 ``den * |x & y| >= num * |x | y|``, i.e. when their Jaccard distance is at most eps = 1 - num / den.
 
-Regions, from coarse to fine:
-
-1. The empty set is the first pivot. Under the symmetric-difference metric the distance to it is the size, and
-   linked sizes differ by at most the factor num / den: that window puts a set into the size region of its own
-   level and, as a boundary document, into the one below.
-2. In natural-language data nearly all pairs are at distance 1 from each other and from any pivot, so document
-   pivots alone can't divide a corpus. Within a size region the universe is therefore hashed into K classes; a
-   linked pair differs in at most D < K elements, so in at least one class the two projections coincide. Each
-   projection is the pivot of the region of all sets that coincide with it. Links are never lost; connected
-   regions (star links to the smallest id, never pairs) form a coarse class that contains whole components.
-3. Inside a coarse class documents are close and pivots work: k sampled documents become pivots, each document
-   belongs to the Voronoi cell of its nearest, links to every pivot within eps, and is replicated to every cell i
-   with d(x, p_i) <= d(x, p_home) + 2 eps, unless it is already connected to p_i. Cells above the limit are
-   divided again; a cell whose documents are all connected already is dropped; the rest are searched exactly,
-   each in one task, under a limit of documents and shingles that doesn't grow with the input. A cell that
-   pivots can't shrink is searched in pairs of bounded blocks.
-
-The number of links of each document comes from the same coarse classes, in Voronoi cells without those short cuts:
-all that a document links with is in the cell of its nearest pivot, as a resident or as a window copy, so its links
-are counted there, each distinct set weighted by its copies, in bounded dense and sparse intersections. Cells that
-pivots can't shrink are counted in pairs of bounded blocks.
+Equal sets are one point of the metric space, weighted by its copies. Links between points come from pivots:
+
+* Some points of a cell become pivots. Each point belongs to the Voronoi cell of its nearest pivot and is replicated, as
+  a window copy, to every cell i with d(x, p_i) <= d(x, p_home) + 2 eps; by the triangle inequality the cell where a
+  point is at home holds all that it links with. Cells divide again while that shrinks them; a point's links are
+  counted in its last home cell, exactly, and nowhere else.
+* Cells of at most ``max_docs`` points and ``max_items`` shingles divide inside one task. Larger ones divide as tables;
+  what pivots can't shrink is compared in pairs of bounded blocks, each a cell of its own.
+
+In natural-language data nearly all pairs are at distance 1 from each other and from any pivot, so pivots alone would
+replicate everything everywhere. Two exact prunings come first; they only say which points may share a cell:
+
+* Size regions: linked sizes differ by at most the factor num / den. Level g holds sizes from starts[g] on; what is
+  small enough to link with level g also enters it from the level above.
+* Class regions: the universe is hashed into K(g) classes. A linked pair differs in at most D elements, so with more
+  than D classes some coincide; a set signs its first D + 1 classes that hold enough elements, which is enough for one of
+  them to coincide. Points with a common signature are in one region (star links to the smallest, never pairs).
+
+A region holds whole components, so a region within the limits is finished by its task.
 
 Edge cases: null or blank text is an empty set, which links with nothing (component_id is its own doc_id, n_links 0).
-Repeated rows give repeated rows, which link with each other. A null doc_id takes the smallest doc_id of the copies of
-its text, if any; rows of a text that has null ids alone link with their copies only.
-Columns other than the id and the text are ignored, whatever their names.
-Shingles are compared by 64-bit hashes.
+Repeated rows give repeated rows, which link with each other; an id with several texts counts each. A null doc_id takes
+the smallest doc_id of its component, null if that has none. Columns other than the id and the text are ignored,
+whatever their names. Shingles are compared by 64-bit hashes, sets by 128-bit fingerprints.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_WORDS, Scratch, as_bytes, components, groups, mix, shingle_set
@@ -50,36 +48,56 @@ FILTER_BITS = 1 << 26
 
 
 class Levels:
-    """Size regions: level g holds sizes in [starts[g], starts[g + 1]); K(g) classes serve pairs of g and g + 1."""
+    """Size regions: level g holds sizes in [starts[g], starts[g + 1]); K(g) classes serve pairs of g and of g with g + 1.
+
+    From the size `rich` on, only classes of two or more elements sign; there are few enough classes for that.
+    """
 
-    def __init__(self, num: int, den: int, longest: int = 1 << 26):
+    def __init__(self, num: int, den: int, longest: int = 1 << 26, span: float = 1.8, rich: int = 60):
         self.num, self.den = num, den
-        starts = [1]
+        span, starts = max(span, 1.01 * den / num), [1]
         while starts[-1] <= longest:
-            starts.append(max(starts[-1] + 1, starts[-1] * den // num + 1))
+            starts.append(max(starts[-1] + 1, int(starts[-1] * span) + 1))
         self.starts = np.array(starts, np.int64)
-        top = self.starts[1:-1] - 1  # largest size of each level
-        partner = np.minimum(top * den // num, self.starts[2:] - 1)
-        self.differ = (den - num) * (top + partner) // (den + num)
-        slack = np.where(self.differ > 0, 2 + self.differ // 40, 0)
-        self.classes = self.differ + 1 + slack
+        self.top = self.starts[1:] - 1  # largest size of each level
+        share = (den - num) * (1 + den / num) / (den + num)  # differences for an element of the smaller set, at most
+        # elements a class, such that classes of `least` elements or more outnumber the differences
+        self.least = np.where(self.starts[:-1] >= rich, 2, 1)
+        fill = {}
+        for least in (1, 2):
+            x = np.arange(1.0, 12.0, 0.05)
+            strong = (1 - np.exp(-x) * (1 + (x if least == 2 else 0))) / x
+            fill[least] = float(x[strong >= 1.03 * share].max(initial=1.0))
+        self.classes = np.ceil(self.top / np.where(self.least == 2, fill[2], fill[1])).astype(np.int64) + 1
+        self.classes[self.starts[:-1] < rich] += 2
+        self.classes[0] = 1 if self.top[0] * den // num == self.top[0] else self.classes[0]
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
 
+    def differ(self, n: np.ndarray, below: int) -> np.ndarray:
+        """Most elements in which a set of n differs from what it links with in its level, or in the level below."""
+        other = self.top[np.maximum(self.of(n) - 1, 0)] if below else n * self.den // self.num
+        return (self.den - self.num) * (n + other) // (self.den + self.num)
+
+    def enters(self, n: np.ndarray, below: int) -> np.ndarray:
+        """Whether a set of n takes part in its level, or in the one below."""
+        level = self.of(n) - below
+        return (n > 0) & (level >= 0) & ((below == 0) | (n <= self.top[np.maximum(level, 0)] * self.den // self.num))
+
 
 def class_signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, 64-bit signature) rows: what each set has in every class, for its own level and the one below.
+    """(index of the set, 64-bit signature) rows: what each set has in its first classes, for its level and the one below.
 
-    Empty classes are not evidence. A set that has so many of them that a link could rest on those alone is hashed
-    again with another seed; after the last seed it gets one common signature, so no link is lost.
+    A set signs its first D + 1 classes of `least` elements or more. A linked pair differs in at most D, so up to the
+    smaller of the two last classes one such class coincides, and both sign it. A set with fewer such classes signs them
+    all and is hashed again with another seed; after the last seed it gets one common signature, so no link is lost.
     """
     n = np.array([len(s) for s in sets], np.int64)
     out_i, out_s = [], []
-    base = levels.of(n)
     for below in (0, 1):
-        level = base - below
-        todo = np.flatnonzero((n > 0) & (level >= 0))
+        level, differ = np.maximum(levels.of(n) - below, 0), levels.differ(n, below)
+        todo = np.flatnonzero(levels.enters(n, below))
         for seed in range(SEEDS):
             if not len(todo):
                 break
@@ -94,82 +112,128 @@ def class_signatures(sets: list[np.ndarray], levels: Levels) -> tuple[np.ndarray
                 v = mix(h + np.uint64(0x2545F4914F6CDD1D))
                 low = np.bincount(at, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), start[-1]).astype(np.uint64)
                 high = np.bincount(at, (v >> np.uint64(32)).astype(np.float64), start[-1]).astype(np.uint64)
-                held = np.bincount(at, minlength=start[-1])
+                strong = np.bincount(at, minlength=start[-1]) >= np.repeat(levels.least[level[todo]], k)
                 doc = np.repeat(np.arange(len(todo)), k)
+                total = np.cumsum(strong)
+                nth = total - (total[start[:-1]] - strong[start[:-1]])[doc]
                 number = np.arange(start[-1]) - start[doc]
                 tag = ((level[todo][doc].astype(np.uint64) << np.uint64(40)) + (np.uint64(seed) << np.uint64(32))) + number.astype(np.uint64)
                 sig = mix(mix(low + (high << np.uint64(32))) ^ mix(tag + np.uint64(0x9E3779B97F4A7C15)))
-            full = held > 0
-            out_i.append(todo[doc[full]])
-            out_s.append(sig[full])
-            empty = np.bincount(doc[~full], minlength=len(todo))
-            todo = todo[empty >= k - levels.differ[level[todo]]]
+            signed = strong & (nth <= differ[todo][doc] + 1)
+            out_i.append(todo[doc[signed]])
+            out_s.append(sig[signed])
+            todo = todo[np.bincount(doc[strong], minlength=len(todo)) <= differ[todo]]
         out_i.append(todo)
         out_s.append(mix(level[todo].astype(np.uint64) + np.uint64(77)))
     return np.concatenate(out_i), np.concatenate(out_s)
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(ids, sets) of bounded chunks of a batch."""
-    ids, sets, held = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-        ids.append(i)
+def _sets(ids: list, texts: list[bytes | None], k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, sets) of bounded chunks of texts."""
+    part, sets, held = [], [], 0
+    for i, t in zip(ids, texts):
+        part.append(i)
         sets.append(shingle_set((t or b"").lower().split(), k))
         held += len(sets[-1])
         if held > CHUNK_WORDS:
-            yield ids, sets
-            ids, sets, held = [], [], 0
-    yield ids, sets
+            yield part, sets
+            part, sets, held = [], [], 0
+    if part:
+        yield part, sets
+
+
+def _print(x: np.ndarray) -> tuple[int | None, int | None]:
+    """128-bit fingerprint of a set in two signed halves; none for the empty set."""
+    if not len(x):
+        return None, None
+    f = xxhash.xxh3_128_intdigest(x.tobytes())
+    return (f & (2**64 - 1)) - 2**63, (f >> 64) - 2**63
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): size and 128-bit fingerprint of each document's set; null for an empty one."""
+    """(doc_id, n_shingles, f1, f2): size and fingerprint of each document's set; null for an empty one."""
 
     def run(batches):
         for b in batches:
-            for ids, sets in _sets(b, k):
-                f = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
-                half = lambda x, by: None if x is None else ((x >> by) & (2**64 - 1)) - 2**63
+            for ids, sets in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
+                f = [_print(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([half(x, 0) for x in f], pa.int64()), pa.array([half(x, 64) for x in f], pa.int64())],
+                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64())],
                     names=["doc_id", "n_shingles", "f1", "f2"],
                 )
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+class Bits:
+    """Filter of longs by a bitmap of fixed size, which is broadcast: passes all that are in `ids`, and few others.
+
+    With more ids than bits it lets everything pass.
+    """
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column of longs without nulls."""
+
+        def run(batches):
+            held = np.zeros(FILTER_BITS >> 6, np.uint64)
+            for b in batches:
+                at = self.of(b.column(0).to_numpy())
+                np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], names=["w", "v"])
+
+        got = ids.mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+        bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+        bitmap[got["w"].to_numpy()] = got["v"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @staticmethod
+    def of(x: np.ndarray) -> np.ndarray:
+        return (mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(40)).astype(np.int64) % FILTER_BITS
+
+    def __getstate__(self):
+        return {"shared": self.shared} if hasattr(self, "shared") else {}
+
+    def passing(self, ids: list[int | None]) -> np.ndarray:
+        """Places of the ids that may be in; a null always may."""
+        none = np.array([x is None for x in ids], bool)
+        at = self.of(np.array([x or 0 for x in ids], np.int64))
+        return np.flatnonzero(none | ((self.shared.value.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+
+def signatures(docs: DataFrame, firsts: Bits, k: int, num: int, den: int) -> DataFrame:
+    """(sig, node): signatures of the sets of documents that may be the first of their set; node is the id, or a hash for none."""
+
     def run(batches):
         levels = Levels(num, den)
         for b in batches:
-            for ids, sets in _sets(b, k):
-                if not sets:
-                    continue
+            keep = pa.array(firsts.passing(b.column(0).to_pylist()))
+            b = b.take(keep)
+            for ids, sets in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
+                node = np.array([(_print(s)[0] or 0) if x is None else x for x, s in zip(ids, sets)], np.int64)
                 i, s = class_signatures(sets, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[i]), pa.array(s.view(np.int64))], names=["doc_id", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(node[i])], names=["sig", "node"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, sig long")
+    return docs.mapInArrow(run, "sig long, node long")
 
 
-def passing(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) whose doc_id may be in ids: a superset, by a bitmap of fixed size that is broadcast.
-
-    With more ids than bits it lets everything pass, and the join that follows moves all texts.
-    """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v")).toArrow()
-    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
-    bitmap[words["w"].to_numpy()] = words["v"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def stars(sigs: DataFrame) -> DataFrame:
+    """(a, b): each node with the smallest node of its signature. Rows arrive sorted and are never gathered."""
 
     def run(batches):
-        held = shared.value.view(np.uint64)
+        last, first = None, None
         for b in batches:
-            at = b.column("bit").to_numpy()
-            ok = (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("doc_id", "text")], names=["doc_id", "text"])
+            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(sig):
+                continue
+            new = np.concatenate(([sig[0] != last], sig[1:] != sig[:-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+            low = np.where(at >= 0, node[at], first if first is not None else 0)
+            last, first = sig[-1], low[-1]
+            keep = low != node
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], names=["a", "b"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text string")
+    return sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long")
 
 
 def search(sets: list[np.ndarray], labels: list, num: int, den: int) -> np.ndarray:
@@ -298,6 +362,12 @@ def _pivot_groups(key, pdf):
     return pd.DataFrame([(c, p, f"{c}#{name[g]}") for c, p, g in rows], columns=["cell", "pivot", "grp"])
 
 
+def _pivots(rest: DataFrame, level: int, pivots: int) -> DataFrame:
+    """(cell, doc_id) of at most `pivots` points of each cell: the one with the least hash of each part of it."""
+    h = F.xxhash64("doc_id", F.lit(level))
+    return rest.groupBy("cell", F.pmod(h, F.lit(pivots)).alias("part")).agg(F.min_by("doc_id", F.struct(h, "doc_id")).alias("doc_id")).select("cell", "doc_id")
+
+
 def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: int, max_items: int, pivots: int = 32, depth: int = 6) -> DataFrame:
     """Links (a, b) whose components are those of all links within each cell of members (cell, doc_id, label, items)."""
     links = None
@@ -316,8 +386,7 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
         rest = scratch.keep(members.join(big.select("cell", "n"), "cell", "left_semi"))
         if level == depth:
             return links.unionByName(blocks(rest, num, den, max_docs, max_items))
-        narrow = rest.select("cell", "doc_id", F.xxhash64("doc_id", F.lit(level)).alias("h"))
-        chosen = narrow.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "doc_id"))).where(F.col("rank") <= pivots)
+        chosen = _pivots(rest, level, pivots)
         own = rest.select("cell", "doc_id", "items", "label").join(chosen.select("cell", "doc_id"), ["cell", "doc_id"], "left_semi").dropDuplicates(["cell", "doc_id"])
         own = scratch.keep(own)
         # each cell's pivots (at most `pivots` sets) meet its documents in `spread` tasks
@@ -325,7 +394,8 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
         lists = own.groupBy("cell").agg(F.collect_list(F.struct("doc_id", "items")).alias("pivots")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         dealt = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")).join(lists, ["cell", "salt"])
         where = scratch.keep(dealt.select("cell", "doc_id", "items", "pivots").mapInArrow(_assign(num, den), "cell string, doc_id long, home int, near array<int>, window array<int>"))
-        names = own.select("cell", (F.row_number().over(Window.partitionBy("cell").orderBy("doc_id")) - 1).alias("pivot"), F.col("doc_id").alias("pid"), F.col("label").alias("plabel"))
+        # at most `pivots` rows a cell
+        names = own.groupBy("cell").agg(F.array_sort(F.collect_list("doc_id")).alias("p")).select("cell", F.posexplode("p").alias("pivot", "pid"))
         names = scratch.keep(names)
         near = where.select("cell", "doc_id", F.explode("near").alias("pivot"))
         links = add(scratch.keep(near.join(names, ["cell", "pivot"]).select(F.col("doc_id").alias("a"), F.col("pid").alias("b")).where("a <> b")))
@@ -397,8 +467,101 @@ def intersections(sets: list[np.ndarray], own: np.ndarray, often: int = 16, widt
     return both
 
 
+def distances(sets: list[np.ndarray], pivots: np.ndarray) -> np.ndarray:
+    """Intersection sizes of all sets (rows) with those at `pivots` (columns)."""
+    p = len(pivots)
+    flat = np.concatenate([sets[i] for i in pivots])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], np.repeat(np.arange(p), [len(sets[i]) for i in pivots])[order]
+    x, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.bincount(np.repeat(row, n) * p + own[at], minlength=len(sets) * p).reshape(len(sets), p)
+
+
+def voronoi_links(sets: list[np.ndarray], own: np.ndarray, num: int, den: int, counter: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All links (x, y) of the sets at `own` with any set, each once; pivots divide the cell until that shrinks it no more."""
+    out_x, out_y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    size = np.array([len(s) for s in sets], np.int64)
+    cells = [(np.asarray(own, np.int64), np.setdiff1d(np.arange(len(sets)), own))]
+    while cells:
+        home, copies = cells.pop()
+        if not len(home) or len(home) + len(copies) < 2:
+            continue
+        all_ = np.concatenate((home, copies))
+        m = len(all_)
+        if m > 2:
+            step = max(2, math.isqrt(m))
+            pivots = np.arange(step) * m // step
+            both = distances([sets[i] for i in all_], pivots)
+            d = 1 - both / (size[all_][:, None] + size[all_][pivots][None] - both)
+            nearest = d.argmin(1)
+            window = d <= d[np.arange(m), nearest][:, None] + 2 * (1 - num / den) + 1e-9
+            held = window.sum(0)
+            if held.max() < m and held.sum() <= 3 * m:
+                if counter is not None:
+                    counter["placed"] = counter.get("placed", 0) + len(home)
+                resident = np.arange(m) < len(home)
+                for i in range(step):
+                    at = nearest == i
+                    cells.append((all_[at & resident], all_[window[:, i] & ~(at & resident)]))
+                continue
+        part = [sets[i] for i in all_]
+        both = intersections(part, np.arange(len(home))).astype(np.int64)
+        ok = den * both >= num * (size[home][:, None] + size[all_] - both)
+        ok[np.arange(len(home)), np.arange(len(home))] = False
+        x, y = np.nonzero(ok)
+        out_x.append(home[x])
+        out_y.append(all_[y])
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
+def connected(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Component of each of m nodes under links x-y: the smallest node in it."""
+    low = np.arange(m)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, x, low[y])
+        np.minimum.at(low, y, low[x])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _finish(k: int, num: int, den: int):
+    """(f1, f2, component, links) of the sets of whole regions that arrive one after the other, as texts."""
+
+    def run(batches):
+        for t in groups(batches, "cell"):
+            f1, node = t.column("f1").to_pylist(), t.column("rep").to_pylist()
+            # rows of one set stand side by side
+            first = [i for i in range(len(f1)) if i == 0 or f1[i] != f1[i - 1]]
+            if len(first) < 2:
+                continue
+            t, node = t.take(pa.array(first)), [node[i] for i in first]
+            sets = [shingle_set(x.lower().split(), k) for x in t.column("text").cast(pa.binary()).to_pylist()]
+            x, y = voronoi_links(sets, np.arange(len(sets)), num, den)
+            if not len(x):
+                continue
+            low = connected(len(sets), x, y)
+            least: dict[int, int] = {}
+            for c, i in zip(low.tolist(), node):
+                if i is not None:
+                    least[c] = min(i, least.get(c, i))
+            links = np.bincount(x, t.column("n_copies").to_numpy()[y], len(sets)).astype(np.int64)
+            some = pa.array(np.flatnonzero(links))
+            own = [least.get(c) for c in low.tolist()]
+            yield pa.RecordBatch.from_arrays([t.column("f1").combine_chunks().take(some), t.column("f2").combine_chunks().take(some), pa.array(own, pa.int64()).take(some), pa.array(links).take(some)], names=["f1", "f2", "component", "links"])
+
+    return run
+
+
 def _count(num: int, den: int):
-    """(f, links): rows that the own sets of each cell link with there. Sets with a part meet those of other parts only."""
+    """(f, links, low): rows that the own sets of each cell link with there, and the smallest member each member links up with.
+
+    Sets with a part meet those of other parts only.
+    """
 
     def run(batches):
         for t in groups(batches, "cell"):
@@ -406,25 +569,25 @@ def _count(num: int, den: int):
             if t.num_rows < 2 or not len(own):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
-            part = t.column("part").to_numpy()
-            size = np.array([len(x) for x in sets], np.int64)
-            both = intersections(sets, own).astype(np.int64)
-            ok = den * both >= num * (size[own][:, None] + size - both)
-            ok &= (part[own][:, None] < 0) | (part[own][:, None] != part)
-            ok[np.arange(len(own)), own] = False
-            links = np.where(ok, t.column("n_copies").to_numpy(), 0).sum(1)
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pa.array(own)), pa.array(links, pa.int64())], names=["f", "links"])
+            part, name = t.column("part").to_numpy(), t.column("doc_id").to_numpy()
+            x, y = voronoi_links(sets, own, num, den)
+            ok = (part[x] < 0) | (part[x] != part[y])
+            x, y = x[ok], y[ok]
+            links = np.bincount(x, t.column("n_copies").to_numpy()[y], len(sets)).astype(np.int64)
+            low = connected(len(sets), x, y)
+            some = np.flatnonzero((links > 0) | (low < np.arange(len(sets))))
+            yield pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(links[some]), pa.array(name[low[some]])], names=["f", "links", "low"])
 
     return run
 
 
 def count_links(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: int, max_items: int, pivots: int = 32, depth: int = 6) -> DataFrame:
-    """(f, links) parts, to be summed, for members (cell, f1, n_copies, items): rows of other sets of its cell that each set links with."""
+    """(f, links, low) parts for members (cell, f1, n_copies, items): links of each set, to be summed, and what connects it."""
     fields = ("cell", "doc_id", "n_copies", "own", "part", "items")
     members = members.select("cell", F.col("f1").alias("doc_id"), "n_copies", F.lit(True).alias("own"), F.lit(-1).alias("part"), "items")
     found = None
     add = lambda x: x if found is None else found.unionByName(x)
-    counted = lambda x: scratch.keep(x.repartition("cell").sortWithinPartitions("cell", "doc_id").select(*fields).mapInArrow(_count(num, den), "f long, links long"))
+    counted = lambda x: scratch.keep(x.repartition("cell").sortWithinPartitions("cell", "doc_id").select(*fields).mapInArrow(_count(num, den), "f long, links long, low long"))
 
     def in_blocks(rest: DataFrame) -> DataFrame:
         total = rest.groupBy("cell").agg(F.greatest(F.ceil(2 * F.count("*") / max_docs), F.ceil(2 * F.sum(F.length("items") / 8) / max_items)).cast("int").alias("b"))
@@ -441,8 +604,7 @@ def count_links(scratch: Scratch, members: DataFrame, num: int, den: int, max_do
         rest = scratch.keep(members.join(big, "cell", "left_semi"))
         if level == depth:
             return add(in_blocks(rest))
-        ranked = rest.select("cell", "doc_id", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("doc_id", F.lit(level)), "doc_id")).alias("rank"))
-        chosen = rest.join(ranked.where(F.col("rank") <= pivots).select("cell", "doc_id"), ["cell", "doc_id"], "left_semi")
+        chosen = rest.join(_pivots(rest, level, pivots), ["cell", "doc_id"], "left_semi")
         # each cell's pivots (at most `pivots` sets) meet its sets in `spread` tasks
         spread = 32
         lists = chosen.groupBy("cell").agg(F.collect_list(F.struct("doc_id", "items")).alias("pivots")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
@@ -464,43 +626,75 @@ def count_links(scratch: Scratch, members: DataFrame, num: int, den: int, max_do
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32, degrees: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) per row of docs; component_id is the smallest doc_id reachable by links.
 
-    n_links is the number of other rows that the row links with; without `degrees` it is neither worked out nor returned.
+    n_links is the number of other rows that the row links with; without `degrees` it isn't returned, and large regions
+    are not searched for links between what is connected already.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = scratch.keep(fingerprints(docs, k))
-    # star links of each projection's region
-    sigs = signatures(docs, k, num, den)
-    star = sigs.withColumn("m", F.min("doc_id").over(Window.partitionBy("sig").orderBy("doc_id"))).where("m < doc_id")
-    coarse = components(scratch, star.select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    coarse = scratch.keep(coarse.select(F.col("id").alias("doc_id"), F.col("root").alias("cell")))
-    # one document for each text of a coarse class, where it has several
-    reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")).join(coarse, "doc_id")
-    several = reps.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    reps = scratch.keep(reps.join(several, "cell", "left_semi").select("doc_id", "f1", "n_copies", "cell"))
-
-    def items(batches):
-        for b in batches:
-            t, f = as_bytes(b.column("text")), b.column("f1").to_pylist()
-            sets = [shingle_set((x or b"").lower().split(), k).tobytes() for x in t]
-            keep = [i for i, s in enumerate(sets) if s and (xxhash.xxh3_128_intdigest(s) & (2**64 - 1)) - 2**63 == f[i]]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cell").cast(pa.string()).take(pa.array(keep, pa.int64())), *(b.column(c).take(pa.array(keep, pa.int64())) for c in ("doc_id", "f1", "n_copies")), pa.nulls(len(keep), pa.string()), pa.array([sets[i] for i in keep], pa.binary())],
-                names=["cell", "doc_id", "f1", "n_copies", "label", "items"],
-            )
-
-    # repeated rows go as texts, which are smaller than their sets, and where the join has put them
-    texts = reps.join(passing(docs, reps), "doc_id").select("cell", "doc_id", "f1", "n_copies", "text").dropDuplicates(["doc_id", "text", "f1"])
-    members = scratch.keep(texts.mapInArrow(items, "cell string, doc_id long, f1 long, n_copies long, label string, items binary"))
-    linked = count_links(scratch, members, num, den, max_docs, max_items, pivots) if degrees else None
-    links = divide(scratch, members, num, den, max_docs, max_items, pivots)
-    roots = components(scratch, links).withColumnRenamed("id", "rep")
-    copies = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    copies = copies.join(roots, "rep", "left").select("f1", "f2", "c", F.coalesce("root", "rep").alias("component"))
+    reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"))
+    reps = scratch.keep(reps.withColumn("node", F.coalesce("rep", "f1")))
+    firsts = Bits(reps.where("rep is not null").select("rep"))
+    regions = components(scratch, scratch.keep(stars(signatures(docs, firsts, k, num, den))), drop_input=True)
+    regions = scratch.keep(regions.select(F.col("id").alias("node"), F.col("root").alias("region")))
+    placed = scratch.keep(reps.join(regions, "node").select("f1", "f2", "rep", "node", "n_copies", "n", F.col("region").cast("string").alias("cell")))
+    scratch.drop(regions)
+    size = placed.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("items_n")).where("m > 1")
+    size = scratch.keep(size.select("cell", ((F.col("m") > max_docs) | (F.col("items_n") > max_items)).alias("big")))
+    several = scratch.keep(placed.join(size, "cell"))
+    scratch.drop(placed)
+
+    def fetch(which: DataFrame) -> DataFrame:
+        """which with the text of each set; a set may come more than once."""
+        wanted = Bits(which.where("rep is not null").select("rep"))
+
+        def run(batches):
+            seen: set = set()
+            for b in batches:
+                b = b.take(pa.array(wanted.passing(b.column(0).to_pylist())))
+                at = 0
+                for ids, sets in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
+                    f = [_print(s)[0] for s in sets]
+                    node = [y if x is None else x for x, y in zip(ids, f)]
+                    keep = [i for i, (x, y) in enumerate(zip(node, f)) if y is not None and (x, y) not in seen]
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.update((node[i], f[i]) for i in keep)
+                    keep_at = pa.array(keep, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()).take(keep_at), pa.array(f, pa.int64()).take(keep_at), b.column(1).slice(at, len(ids)).take(keep_at)], names=["node", "f1", "text"])
+                    at += len(ids)
+
+        return docs.mapInArrow(run, "node long, f1 long, text string").join(which, ["node", "f1"]).select("cell", "f1", "f2", "rep", "n_copies", "text")
+
+    found = fetch(several.where("not big")).repartition("cell").sortWithinPartitions("cell", "f1")
+    found = scratch.keep(found.mapInArrow(_finish(k, num, den), "f1 long, f2 long, component long, links long"))
+    if not several.where("big").isEmpty():
+
+        def items(batches):
+            for b in batches:
+                sets = [shingle_set(x.lower().split(), k).tobytes() for x in as_bytes(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cell", "f1", "n_copies")), pa.nulls(len(sets), pa.string()), pa.array(sets, pa.binary())], names=["cell", "f1", "n_copies", "label", "items"])
+
+        large = several.where("big").select("f1", "f2", "rep", "node", "n_copies", "cell")
+        texts = fetch(large).dropDuplicates(["cell", "f1"])
+        members = scratch.keep(texts.select("cell", "f1", "n_copies", "text").mapInArrow(items, "cell string, f1 long, n_copies long, label string, items binary"))
+        if degrees:
+            linked = count_links(scratch, members, num, den, max_docs, max_items, pivots)
+            edges = linked.select(F.col("f").alias("a"), F.col("low").alias("b"))
+        else:
+            linked = None
+            edges = divide(scratch, members.withColumnRenamed("f1", "doc_id"), num, den, max_docs, max_items, pivots)
+        roots = large.join(components(scratch, edges).withColumnRenamed("id", "f1"), "f1").select("f1", "f2", "rep", "root")
+        more = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component")), "root").select("f1", "f2", "component")
+        if degrees:
+            more = more.join(linked.groupBy(F.col("f").alias("f1")).agg(F.sum("links").alias("links")), "f1").select("f1", "f2", "component", "links")
+        else:
+            more = more.withColumn("links", F.lit(0).cast("long"))
+        found = found.unionByName(more)
+    sets = reps.join(found, ["f1", "f2"], "left").where("n_copies > 1 or links is not null")
+    sets = sets.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
     if degrees:
-        copies = copies.join(linked.groupBy(F.col("f").alias("f1")).agg(F.sum("links").alias("links")), "f1", "left")
-        copies = copies.select("f1", "f2", "component", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
         out.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    return prints.join(copies, ["f1", "f2"], "left").select(*out)
+    return prints.join(sets, ["f1", "f2"], "left").select(*out)
