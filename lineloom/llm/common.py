@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts that split on ASCII white space: bytes.split() cuts at exactly
 #: \x20 and \x09-\x0D, and bytes.lower() changes A-Z alone.
 CHUNK_WORDS = 400_000
+#: Bits of a filter that spares most rows a shuffle; its size is fixed.
+FILTER_BITS = 1 << 26
 _local: dict[SparkSession, str] = {}
 
 
@@ -62,6 +64,11 @@ class Scratch:
             p, files = self._path(path)
             files.delete(p, True)
 
+    def clear(self) -> None:
+        """Delete all tables."""
+        p, files = self._path(self.root)
+        files.delete(p, True)
+
     def _path(self, path: str):
         """A Hadoop path and its file system."""
         sc = self.spark.sparkContext
@@ -69,6 +76,42 @@ class Scratch:
         return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+class Bits:
+    """Filter of longs by a bitmap of fixed size, which is broadcast: passes all that are in `ids`, and few others.
+
+    With more ids than bits it lets everything pass.
+    """
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column of longs without nulls."""
+
+        def run(batches):
+            held = np.zeros(FILTER_BITS >> 6, np.uint64)
+            for b in batches:
+                at = self.of(b.column(0).to_numpy())
+                np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], names=["w", "v"])
+
+        got = ids.mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+        bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+        bitmap[got["w"].to_numpy()] = got["v"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @staticmethod
+    def of(x: np.ndarray) -> np.ndarray:
+        return (mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(40)).astype(np.int64) % FILTER_BITS
+
+    def __getstate__(self):
+        return {"shared": self.shared} if hasattr(self, "shared") else {}
+
+    def passing(self, ids: list[int | None] | np.ndarray) -> np.ndarray:
+        """Places of the ids that may be in; a null always may."""
+        none = np.array([x is None for x in ids], bool) if isinstance(ids, list) else np.zeros(len(ids), bool)
+        at = self.of(np.array([x or 0 for x in ids], np.int64) if isinstance(ids, list) else ids)
+        return np.flatnonzero(none | ((self.shared.value.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -143,11 +186,12 @@ def components(scratch: Scratch, edges: DataFrame, drop_input: bool = False) ->
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a table of its own, so that both sides of the join are shuffled and a hub's rows can be split
+        low = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(low, "a")
+            large.join(least, "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.*")
             .where("a <> b")
@@ -155,6 +199,7 @@ def components(scratch: Scratch, edges: DataFrame, drop_input: bool = False) ->
         )
         after = scratch.keep(small)
         scratch.drop(edges)
+        scratch.drop(low)
         edges = after
         now = edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")

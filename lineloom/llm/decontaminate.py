@@ -1,21 +1,22 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 Benchmark windows (13 words, or a whole shorter item) are the patterns. A shard is a bounded run of documents of one
-task: its words are numbered by the benchmark's vocabulary, and what can't be part of a window (a word whose pairs with
-both neighbours occur in no item) becomes a separator. Over the rest stand a suffix array, its Burrows-Wheeler
-transform in a wavelet matrix, and sampled suffix positions. All patterns are searched backward at once; occurrences
-are located by walking to the nearest sample; their word ranges are merged into removal spans.
-
-The benchmark is broadcast in blocks of at most ``block_words`` words; a larger one takes several passes, whose spans
-are merged by document. Edge cases: null or wordless text has no words, no hits; an item without words has no window;
-a null item_id contaminates but is named in no list; repeated rows are judged each by itself; other columns are kept or
-ignored, whatever their names.
+task. All its words are numbered by a vocabulary of its own; over them, with a separator after each document, stand a
+suffix array, its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. All patterns whose words
+the shard has are searched backward at once; occurrences are located by walking to the nearest sample; their word
+ranges are merged into removal spans.
+
+The benchmark is a stated query set: it is broadcast in blocks of at most ``block_words`` words and one item, each of which
+meets all documents; spans of several blocks are merged by document. Edge cases: null or wordless text has no words, no
+hits; an item without words has no window; a null item_id contaminates but is named in no list; repeated rows are
+judged each by itself; very long texts are a shard of their own; other columns are kept or ignored (keep_clean keeps any).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes
 
 WINDOW = 13
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 600_000
 BLOCK_WORDS = 1_000_000
 SAMPLE = 8
 #: A-Z to a-z; other ASCII that is no letter or digit to white space.
@@ -74,8 +75,7 @@ class FMIndex:
     """Index of a sequence of symbols >= 1 in which 0 separates runs; it ends with 0."""
 
     def __init__(self, seq: np.ndarray, sample: int = SAMPLE):
-        n = len(seq)
-        sa = self._suffixes(seq)
+        sa = self.suffixes(seq)
         before = seq[sa - 1]  # sa == 0 wraps to the final separator
         self.bwt = WaveletMatrix(before, max(1, int(seq.max()).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq))))
@@ -83,29 +83,43 @@ class FMIndex:
         marked = (sa % sample == 0) | start[sa]
         self.marks = np.concatenate(([0], np.cumsum(marked)))
         self.samples = sa[marked]
-        self.n = n
+        self.n = len(seq)
 
     @staticmethod
-    def _suffixes(seq: np.ndarray) -> np.ndarray:
-        """Suffix array by prefix doubling; separators are ordered by position, so each run ends all ties."""
+    def suffixes(seq: np.ndarray) -> np.ndarray:
+        """Suffix array by prefix doubling; separators are ordered by position, so each run ends all ties.
+
+        The first sort takes as many symbols as fit 62 bits; later ones only what is not in place yet.
+        """
         n, zero = len(seq), np.flatnonzero(seq == 0)
         rank = seq.astype(np.int64) + len(zero)
         rank[zero] = np.arange(len(zero))
-        k = 1
+        bits = max(1, int(rank.max()).bit_length())
+        k = max(1, 62 // bits)
+        key = rank.copy()
+        for i in range(1, k):
+            key <<= bits
+            key[: n - i] |= rank[i:]
+        # what follows a separator doesn't count
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        rank = np.empty(n, np.int64)
+        rank[order] = place
         while True:
-            nxt = np.full(n, -1, np.int64)
-            nxt[:-k or None] = rank[k:]
-            # a suffix that has met its separator is unique already
-            key = rank * (n + int(seq.max()) + len(zero) + 2) + nxt + 1
-            order = np.argsort(key, kind="stable")
-            step = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = step
-            if step[-1] == n - 1:
+            single = new & np.concatenate((new[1:], [True]))
+            todo = np.flatnonzero(~single)
+            if not len(todo):
                 return order
+            at = order[todo]
+            key = rank[at] * n + rank[np.minimum(at + k, n - 1)]
+            by = np.argsort(key, kind="stable")
+            order[todo], key = at[by], key[by]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            new[todo] = first
+            rank[order[todo]] = np.maximum.accumulate(np.where(first, todo, 0))
             k *= 2
-            if k >= n:
-                return order
 
     def search(self, patterns: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges [lo, hi) of the suffixes that start with each pattern (rows, right-aligned)."""
@@ -155,21 +169,6 @@ class Patterns:
         self.matrix = np.zeros((len(self.rows), max([1, *self.length])), np.int64)
         for i, r in enumerate(self.rows):
             self.matrix[i, self.matrix.shape[1] - len(r) :] = r
-        self.base = len(self.vocab) + 1
-        self.pairs = np.unique(np.array([a * self.base + b for r in self.rows for a, b in zip(r, r[1:])], np.int64))
-        self.single = np.zeros(self.base, bool)
-        self.single[[r[0] for r in self.rows if len(r) == 1]] = True
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Mask of the words that may lie in a window."""
-        out = self.single[ids]
-        if len(ids) > 1 and len(self.pairs):
-            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            key = ids[both] * self.base + ids[both + 1]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            both = both[self.pairs[at] == key]
-            out[both] = out[both + 1] = True
-        return out
 
 
 def merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -183,29 +182,31 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def scan_shard(patterns: Patterns, docs: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set]]:
-    """(merged word spans, item ids) of each document (symbol rows, 0: unknown)."""
+def scan_shard(patterns: Patterns, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+    """(merged word spans, item ids) of each document (words)."""
     out: list[tuple[list, set]] = [([], set()) for _ in docs]
-    if not docs or not len(patterns.rows):
+    size = np.array([len(d) + 1 for d in docs], np.int64)
+    if not len(patterns.rows) or size.sum() == len(docs):
         return out
-    size = np.array([len(d) + 1 for d in docs])
+    number: dict[bytes, int] = {}
+    give = number.setdefault
     flat = np.zeros(int(size.sum()), np.int64)
     start = np.cumsum(size) - size
     for d, s in zip(docs, start):
-        flat[s : s + len(d)] = d
-    keep = patterns.candidates(flat)
-    if not keep.any():
+        flat[s : s + len(d)] = [give(w, len(number) + 1) for w in d]
+    symbol = np.zeros(len(patterns.vocab) + 1, np.int64)
+    symbol[1:] = [number.get(w, -1) for w in patterns.vocab]
+    matrix = symbol[patterns.matrix]
+    can = np.flatnonzero((matrix >= 0).all(1))
+    if not len(can):
         return out
-    # runs of candidates, each closed by a separator
-    keep |= np.concatenate(([False], keep[:-1])) & ~keep
-    where = np.flatnonzero(keep)
-    seq = np.where(patterns.candidates(flat), flat, 0)[where]
-    index = FMIndex(np.append(seq, 0) if seq[-1] else seq)
-    lo, hi = index.search(patterns.matrix, patterns.length)
+    length = patterns.length[can]
+    index = FMIndex(flat)
+    lo, hi = index.search(matrix[can], length)
     n = np.maximum(hi - lo, 0)
     which = np.repeat(np.arange(len(n)), n)
     rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pos = where[index.locate(rows)]
+    pos = index.locate(rows)
     doc = np.searchsorted(start, pos, "right") - 1
     order = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
@@ -214,8 +215,8 @@ def scan_shard(patterns: Patterns, docs: list[np.ndarray]) -> list[tuple[list[tu
         s = pos[part] - start[d]
         found: set = set()
         for i in np.unique(which[part]):
-            found |= patterns.owners[i]
-        out[d] = (merge(s, s + patterns.length[which[part]]), found)
+            found |= patterns.owners[can[i]]
+        out[d] = (merge(s, s + length[which[part]]), found)
     return out
 
 
@@ -235,12 +236,26 @@ def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_wo
         yield block
 
 
+_patterns: dict[tuple, Patterns] = {}
+
+
+def _patterns_of(shared, window: int) -> Patterns:
+    """Patterns of a broadcast block; a worker keeps those of the last one."""
+    name, block = shared.value
+    if (name, window) not in _patterns:
+        _patterns.clear()
+        _patterns[name, window] = Patterns(block, window)
+    return _patterns[name, window]
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' id, the columns of keep, n_words, n_hit, spans (merged word ranges [start, end)), items (ids with windows in it)."""
     key, passes = "_row", []
-    kinds = dict(docs.dtypes)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
-    blocks = list(_benchmark_blocks(benchmark, item_col, item_text, block_words)) or [[]]
+    # one block at a time is on the driver
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = [share((uuid.uuid4().hex, x)) for x in _benchmark_blocks(benchmark, item_col, item_text, block_words)] or [share(("", []))]
     if len(blocks) > 1:
         base = base.withColumn(key, F.monotonically_increasing_id())
     carried = [id_col, *keep, *([key] if len(blocks) > 1 else [])]
@@ -249,21 +264,20 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def scan(block):
         def run(batches):
-            patterns = Patterns(block, window)
-            number = patterns.vocab.get
+            patterns = _patterns_of(block, window)
             for b in batches:
                 done: list = []
-                shard: list[np.ndarray] = []
+                shard: list[list[bytes]] = []
                 held = 0
                 n_words = []
                 for t in as_bytes(b.column("_text")):
                     ws = words(t)
                     n_words.append(len(ws))
-                    shard.append(np.fromiter((number(w, 0) for w in ws), np.int64, len(ws)))
-                    held += len(ws)
-                    if held >= shard_words:
+                    if held and held + len(ws) > shard_words:
                         done += scan_shard(patterns, shard)
                         shard, held = [], 0
+                    shard.append(ws)
+                    held += len(ws)
                 done += scan_shard(patterns, shard)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in carried), pa.array(n_words, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s, _ in done], span), pa.array([sorted(x for x in i if x is not None) for _, i in done], pa.list_(pa.string()))],
@@ -296,6 +310,12 @@ def contaminated(min_share: int = 20):
     return (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, as they are, that the benchmark doesn't contaminate; columns may have any names."""
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    return spans(packed, benchmark, id_col="id", keep=("row",)).where(~contaminated()).select("row.*")
+
+
 def remove_spans(text: str, found: list[tuple[int, int]]) -> str:
     """text without the words of the spans and what stands between them."""
     data, out, at = text.encode(), [], 0

@@ -39,12 +39,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import CHUNK_WORDS, Scratch, as_bytes, components, groups, mix, shingle_set
+from .common import CHUNK_WORDS, Bits, Scratch, as_bytes, components, groups, mix, shingle_set
 
 SEEDS = 4
-#: Bits of the id filter that spares the texts of documents without a candidate a shuffle; its size is fixed.
-FILTER_BITS = 1 << 26
 
 
 class Levels:
@@ -165,42 +164,6 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-class Bits:
-    """Filter of longs by a bitmap of fixed size, which is broadcast: passes all that are in `ids`, and few others.
-
-    With more ids than bits it lets everything pass.
-    """
-
-    def __init__(self, ids: DataFrame):
-        """ids: one column of longs without nulls."""
-
-        def run(batches):
-            held = np.zeros(FILTER_BITS >> 6, np.uint64)
-            for b in batches:
-                at = self.of(b.column(0).to_numpy())
-                np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-            some = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], names=["w", "v"])
-
-        got = ids.mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-        bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
-        bitmap[got["w"].to_numpy()] = got["v"].to_numpy()
-        self.shared = ids.sparkSession.sparkContext.broadcast(bitmap)
-
-    @staticmethod
-    def of(x: np.ndarray) -> np.ndarray:
-        return (mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B)) >> np.uint64(40)).astype(np.int64) % FILTER_BITS
-
-    def __getstate__(self):
-        return {"shared": self.shared} if hasattr(self, "shared") else {}
-
-    def passing(self, ids: list[int | None]) -> np.ndarray:
-        """Places of the ids that may be in; a null always may."""
-        none = np.array([x is None for x in ids], bool)
-        at = self.of(np.array([x or 0 for x in ids], np.int64))
-        return np.flatnonzero(none | ((self.shared.value.view(np.uint64)[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-
-
 def signatures(docs: DataFrame, firsts: Bits, k: int, num: int, den: int) -> DataFrame:
     """(sig, node): signatures of the sets of documents that may be the first of their set; node is the id, or a hash for none."""
 
@@ -530,7 +493,10 @@ def connected(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _finish(k: int, num: int, den: int):
-    """(f1, f2, component, links) of the sets of whole regions that arrive one after the other, as texts."""
+    """(f1, f2, component, links, chosen) of the linked sets of whole regions that arrive one after the other, as texts.
+
+    chosen: the member with the smallest id, of equal ones with the smallest f1.
+    """
 
     def run(batches):
         for t in groups(batches, "cell"):
@@ -545,14 +511,16 @@ def _finish(k: int, num: int, den: int):
             if not len(x):
                 continue
             low = connected(len(sets), x, y)
-            least: dict[int, int] = {}
-            for c, i in zip(low.tolist(), node):
-                if i is not None:
-                    least[c] = min(i, least.get(c, i))
+            best: dict[int, tuple] = {}
+            for i, c in enumerate(low.tolist()):
+                own_place = (node[i] is None, node[i] or 0, i)
+                best[c] = min(best.get(c, own_place), own_place)
             links = np.bincount(x, t.column("n_copies").to_numpy()[y], len(sets)).astype(np.int64)
-            some = pa.array(np.flatnonzero(links))
-            own = [least.get(c) for c in low.tolist()]
-            yield pa.RecordBatch.from_arrays([t.column("f1").combine_chunks().take(some), t.column("f2").combine_chunks().take(some), pa.array(own, pa.int64()).take(some), pa.array(links).take(some)], names=["f1", "f2", "component", "links"])
+            some = np.flatnonzero(links)
+            top = [best[c] for c in low[some].tolist()]
+            own, chosen = [None if z[0] else z[1] for z in top], [z[2] == i for z, i in zip(top, some.tolist())]
+            take = lambda c: t.column(c).combine_chunks().take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([take("f1"), take("f2"), pa.array(own, pa.int64()), pa.array(links[some]), pa.array(chosen, pa.bool_())], names=["f1", "f2", "component", "links", "chosen"])
 
     return run
 
@@ -623,15 +591,13 @@ def count_links(scratch: Scratch, members: DataFrame, num: int, den: int, max_do
     return found
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32, degrees: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per row of docs; component_id is the smallest doc_id reachable by links.
+def linked_sets(scratch: Scratch, docs: DataFrame, k: int, num: int, den: int, max_docs: int, max_items: int, pivots: int, degrees: bool) -> tuple[DataFrame, DataFrame]:
+    """Two tables for docs (doc_id, text): the fingerprint of each row, and the sets that have copies or links.
 
-    n_links is the number of other rows that the row links with; without `degrees` it isn't returned, and large regions
-    are not searched for links between what is connected already.
+    The sets: (f1, f2, rep, component, links, chosen); rep is the smallest id of the set's rows, component that of all sets
+    it is connected with, chosen holds for one set of them; links counts rows. Without `degrees` links of sets in large
+    regions are not counted, as what is connected there already isn't compared.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = scratch.keep(fingerprints(docs, k))
     reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"))
     reps = scratch.keep(reps.withColumn("node", F.coalesce("rep", "f1")))
@@ -668,7 +634,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return docs.mapInArrow(run, "node long, f1 long, text string").join(which, ["node", "f1"]).select("cell", "f1", "f2", "rep", "n_copies", "text")
 
     found = fetch(several.where("not big")).repartition("cell").sortWithinPartitions("cell", "f1")
-    found = scratch.keep(found.mapInArrow(_finish(k, num, den), "f1 long, f2 long, component long, links long"))
+    found = scratch.keep(found.mapInArrow(_finish(k, num, den), "f1 long, f2 long, component long, links long, chosen boolean"))
     if not several.where("big").isEmpty():
 
         def items(batches):
@@ -686,15 +652,63 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             linked = None
             edges = divide(scratch, members.withColumnRenamed("f1", "doc_id"), num, den, max_docs, max_items, pivots)
         roots = large.join(components(scratch, edges).withColumnRenamed("id", "f1"), "f1").select("f1", "f2", "rep", "root")
-        more = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component")), "root").select("f1", "f2", "component")
+        best = roots.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "f1")).alias("best"))
+        more = roots.join(best, "root").select("f1", "f2", F.col("best.rep").alias("component"), (F.col("f1") == F.col("best.f1")).alias("chosen"))
         if degrees:
-            more = more.join(linked.groupBy(F.col("f").alias("f1")).agg(F.sum("links").alias("links")), "f1").select("f1", "f2", "component", "links")
+            more = more.join(linked.groupBy(F.col("f").alias("f1")).agg(F.sum("links").alias("links")), "f1")
         else:
             more = more.withColumn("links", F.lit(0).cast("long"))
         found = found.unionByName(more)
     sets = reps.join(found, ["f1", "f2"], "left").where("n_copies > 1 or links is not null")
-    sets = sets.select("f1", "f2", F.coalesce("component", "rep").alias("component"), (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    links = F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))
+    return prints, sets.select("f1", "f2", "rep", F.coalesce("component", "rep").alias("component"), links.alias("links"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32, degrees: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) per row of docs; component_id is the smallest doc_id reachable by links.
+
+    n_links is the number of other rows that the row links with; without `degrees` it isn't returned.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints, sets = linked_sets(Scratch(docs.sparkSession, "jaccard"), docs, k, num, den, max_docs, max_items, pivots, degrees)
     out = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")]
     if degrees:
         out.append(F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     return prints.join(sets, ["f1", "f2"], "left").select(*out)
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2048, max_items: int = 4_000_000, pivots: int = 32) -> DataFrame:
+    """One row of docs, with all its columns, for each component: that with the smallest doc_id; rows without words all stay.
+
+    Rows whose id no linked set or copy has, which a bitmap of fixed size tells, are passed on where they are.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints, sets = linked_sets(scratch, keys, k, num, den, max_docs, max_items, pivots, degrees=False)
+    sets = scratch.keep(sets)
+    ids = prints.join(sets.select("f1", "f2"), ["f1", "f2"], "left_semi").where("doc_id is not null")
+    touched = Bits(ids.select("doc_id"))
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+
+    def alone(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[touched.passing(b.column(0).to_pylist())] = False
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep))], names=["row"])
+
+    def others(batches):
+        for b in batches:
+            b = b.take(pa.array(touched.passing(b.column(0).to_pylist())))
+            at = 0
+            for ids, parts in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
+                f = [_print(x) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), b.column(2).slice(at, len(ids))], names=["doc_id", "f1", "f2", "row"])
+                at += len(ids)
+
+    kind = StructType([packed.schema["row"]])
+    free = packed.select("doc_id", "row").mapInArrow(alone, kind)
+    named = StructType([StructField(c, LongType()) for c in ("doc_id", "f1", "f2")] + [packed.schema["row"]])
+    held = packed.mapInArrow(others, named).join(sets.select("f1", "f2", "rep", "chosen"), ["f1", "f2"], "left")
+    held = scratch.keep(held.where("chosen is null or (chosen and doc_id <=> rep)"))
+    first = held.where("chosen").groupBy("f1", "f2").agg(F.first("row").alias("row"))
+    return free.unionByName(held.where("chosen is null").select("row")).unionByName(first.select("row")).select("row.*")

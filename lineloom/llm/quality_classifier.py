@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes
+from .common import Bits, Scratch, as_bytes
 
 SHRINK, RIDGE, THRESHOLD = 0.1, 1e-3, 0.3
 NAMES = ("log_words", "word_length", "upper", "symbols", "digits", "marks", "distinct_words", "repeated_triples", "repeated_lines", "line_words")
@@ -56,6 +56,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution of a lower triangular system, by forward substitution over all columns."""
+    z = np.empty_like(right)
+    for i in range(len(factor)):
+        z[i] = (right[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Log prior, mean and Cholesky factor of each class; NAMES order."""
@@ -68,7 +76,7 @@ class Discriminant:
             return np.full(len(x), float(next(iter(self.classes), 0.5)))
         log = {}
         for y, (prior, mean, factor) in self.classes.items():
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             log[y] = prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(0)
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
@@ -111,3 +119,31 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = scratch.keep(features(docs))
     labelled = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").join(x, "doc_id")
     return classify(x, fit(labelled))
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """Discriminant of all labelled documents; statistics are taken of no others, but for what the id filter lets by."""
+    labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    wanted = Bits(labels.select("doc_id"))
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            at = [i for i in wanted.passing(ids).tolist() if ids[i] is not None]
+            x = [statistics(t) for t in as_bytes(b.column(1).take(pa.array(at, pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return fit(labels.join(x, "doc_id"))
+
+
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of docs, as they are, whose text scores at least the threshold. Decided row by row, where the row is."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t) for t in as_bytes(b.column(at))], float).reshape(-1, len(NAMES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

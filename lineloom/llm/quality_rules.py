@@ -8,7 +8,8 @@ one CASE expression. Learning uses a documented sample: the labelled documents w
 Edge cases: null, empty or blank text has no words: all statistics 0, base_failed (n_words < 50), not kept. Repeated
 rows are judged alike; ties don't matter, rules depend on one row alone. Without labels of both kinds the list is empty
 and keeps what passes the base. Labels: null ids or qualities are ignored, repeated labels of a document must agree,
-else the document is not learned from. Other columns are kept, whatever their names (statistics live in one struct).
+else the document is not learned from. Other columns are kept; judge() replaces columns named _s, base_failed or kept, and
+keep_good() returns the rows just as they came, whatever the names of their columns.
 """
 
 from __future__ import annotations
@@ -210,3 +211,9 @@ def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     out = docs.withColumn("_s", statistics(F.col("text")))
     failed = base_failed("_s")
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules, ratios("_s")))
+
+
+def keep_good(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """Rows of docs, as they are, that pass the base and the rules."""
+    packed = docs.select(F.col("text"), F.struct("*").alias("row"))
+    return judge(packed, rules).where("kept").select("row.*")

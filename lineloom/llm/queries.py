@@ -48,8 +48,9 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sentencepiece_nbest.encode(table(spark, sf_dir, "documents"), n=4)
-    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), "score", "losses", "lossless")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    others = F.array_join(F.transform("edits", lambda e: F.to_json(e)), "\n")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest(F.array_join("ids", ",")).alias("ids_sha256"), "score", "losses", digest(others).alias("others_sha256"), "lossless")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,11 +304,14 @@ def lattice(model: str) -> Lattice:
     return _lattices[model]
 
 
+_EDITS = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
 def _encoded(lat: Lattice, ids: pa.Array, texts: list, cut: list[list[str]], n: int, id_col: str) -> pa.RecordBatch:
     """Rows of encode() for some texts and their segments; each distinct segment is worked out once."""
     at, (pieces, start, score, loss) = lat.look_up(cut)
     size = np.diff(start)
-    out: dict[str, list] = {"ids": [], "score": [], "losses": [], "lossless": []}
+    out: dict[str, list] = {"ids": [], "score": [], "losses": [], "edits": [], "lossless": []}
     for t, segs, a in zip(texts, cut, at):
         k = size[a]
         own = pieces[np.repeat(start[:-1][a] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
@@ -319,15 +322,17 @@ def _encoded(lat: Lattice, ids: pa.Array, texts: list, cut: list[list[str]], n:
         out["ids"].append(own)
         out["score"].append(ways[0][0])
         out["losses"].append([ways[0][0] - s for s, _ in ways[1:]])
+        end = np.cumsum(k)
+        out["edits"].append([[{"start": int(end[i] - k[i]), "end": int(end[i]), "ids": lat.nbest(segs[i], n)[r][1]} for i, r in c] for _, c in ways[1:]])
         out["lossless"].append(same and lat.decode(own.tolist()) == (t or ""))
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in out["ids"]]))).astype(np.int32)
     flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *out["ids"]])))
-    return pa.RecordBatch.from_arrays([ids, flat, pa.array(out["score"], pa.float64()), pa.array(out["losses"], pa.list_(pa.float64())), pa.array(out["lossless"], pa.bool_())], names=[id_col, "ids", "score", "losses", "lossless"])
+    return pa.RecordBatch.from_arrays([ids, flat, pa.array(out["score"], pa.float64()), pa.array(out["losses"], pa.list_(pa.float64())), pa.array(out["edits"], _EDITS), pa.array(out["lossless"], pa.bool_())], names=[id_col, "ids", "score", "losses", "edits", "lossless"])
 
 
 def encode(docs: DataFrame, n: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, score, losses, lossless): best ids, their score, how much the next n - 1 lose, whether the ids of
-    each of them decode to the text."""
+    """(doc_id, ids, score, losses, edits, lossless): best ids, their score, how much each of the next n - 1 segmentations
+    loses and where it has other ids than the best (nbest_ids() gives them whole), whether all of them decode to the text."""
     assert Path(model).exists() or not model.startswith("/"), model
 
     def run(batches):
@@ -342,7 +347,15 @@ def encode(docs: DataFrame, n: int = 4, model: str = MODEL, id_col: str = "doc_i
                     yield _encoded(lat, b.column(0).slice(lo, len(cut)), texts[lo : i + 1], cut, n, id_col)
                     lo, held, cut = i + 1, 0, []
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>, score double, losses array<double>, lossless boolean")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>, score double, losses array<double>, edits array<array<struct<start:int,end:int,ids:array<int>>>>, lossless boolean")
+
+
+def nbest_ids(ids: str = "ids", edits: str = "edits"):
+    """Column of the ids of all segmentations, best first, from encode()'s ids and edits."""
+    one = f"""aggregate(e, named_struct('out', cast(array() as array<int>), 'at', 0),
+        (a, x) -> named_struct('out', concat(a.out, slice({ids}, a.at + 1, x.start - a.at), x.ids), 'at', x.end),
+        a -> concat(a.out, slice({ids}, a.at + 1, size({ids}) - a.at)))"""
+    return F.concat(F.array(F.col(ids)), F.expr(f"transform({edits}, e -> {one})"))
 
 
 def ids_digest(ids: list[int]) -> str:

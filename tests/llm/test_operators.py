@@ -303,12 +303,41 @@ def test_nbest_equals_brute_force():
         assert [(tuple(ids[start[i] : start[i + 1]]), score[i], loss[i]) for i in range(len(segments))] == [lat.best(s) for s in segments]
 
 
+def test_nbest_ids_of_the_table_equal_encode(spark):
+    texts = ["the grey river went past the mill", "unbelievable  tokens!", "", None, "ab" * 40, "\u2581 odd \U0001f600"]
+    got = sentencepiece_nbest.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=4)
+    lat = sentencepiece_nbest.lattice(sentencepiece_nbest.MODEL)
+    for r in got.withColumn("all", sentencepiece_nbest.nbest_ids()).collect():
+        want = lat.encode(texts[r.doc_id], 4)
+        assert [list(x) for x in r.all] == [ids for _, ids in want]
+        assert all(lat.decode(x) == (texts[r.doc_id] or "") for x in r.all)
+        assert np.allclose([0, *r.losses], [want[0][0] - s for s, _ in want])
+
+
 def test_classifier_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op8_quality_classifier(spark, SF).join(labels, "doc_id").collect()
     assert sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
 
 
+def test_suffix_array_and_search_of_a_whole_shard():
+    r = np.random.default_rng(3)
+    part = r.integers(1, 4, 40)
+    seq = np.concatenate([x for _ in range(6) for x in (part, r.integers(1, 5, r.integers(0, 9)), [0])])
+    index = decontaminate.FMIndex(seq)
+    ends = np.flatnonzero(seq == 0)
+    suffix = lambda i: [*seq[i : ends[ends >= i][0]].tolist(), -1, int(ends[ends >= i][0])]
+    order = sorted(range(len(seq)), key=lambda i: [(0, x, 0) if x < 0 else (1, x, 0) for x in suffix(i)[:-1]] + [(2, suffix(i)[-1], 0)])
+    assert decontaminate.FMIndex.suffixes(seq).tolist() == order
+    for n in (1, 2, 3, 7, 40):
+        for i in range(0, len(seq) - n, 5):
+            word = seq[i : i + n]
+            if (word > 0).all():
+                lo, hi = index.search(word[None], np.array([n]))
+                want = [j for j in range(len(seq) - n + 1) if (seq[j : j + n] == word).all()]
+                assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
+
+
 @pytest.mark.parametrize("block_words", [30, 10**6])
 def test_decontamination_equals_brute_force(spark, block_words):
     r = random.Random(4)
@@ -337,18 +366,51 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert decontaminate.remove_spans("A b, C d!", [(1, 3)]) == "A  d!"
 
 
-def test_warc_round_trip(spark, tmp_path):
-    pages = [(1, "http://a", "x" * 50), (2, None, "x" * 50), (3, "http://c", "WARC/1.1\r\nWARC-Type: x\r\n\r\né" * 9), (3, "http://c", "WARC/1.1\r\nWARC-Type: x\r\n\r\né" * 9), (4, "http://d", None), (None, "http://e", "y")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = warc.archive(df, chunk=16, path=str(tmp_path / "w")).collect()
+def warc_brute(pages):
     import base64
     import hashlib
 
-    want = []
+    first = {}
     for i, _, h in pages:
-        data = (h or "").encode()
-        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if i == 2 else "response", 1 if i == 2 else None))
-    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    out = []
+    for i, _, h in pages:
+        data, f = (h or "").encode(), first.get(h or "")
+        again = i is not None and i > f
+        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", f if again else None))
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("chunk", [16, 1 << 18])
+def test_warc_round_trip(spark, tmp_path, chunk):
+    mark = "WARC/1.1\r\nWARC-Type: x\r\n\r\né" * 9
+    pages = [(1, "http://a", "x" * 50), (2, None, "x" * 50), (3, "http://c/WARC/1.html", mark), (3, "http://c", mark), (4, "http://d", None), (None, "http://e", "y"), (7, "u", "long ü " * 9000), (8, "u", "long ü " * 9000)]
+    # one id with several payloads, of which some are copies
+    pages += [(11, "u", "XX"), (12, "u", "YY"), (13, "u", "XX"), (13, "u", "YY"), (21, "u", "ZZ"), (23, "u", "ZZ"), (23, "u", "WWWWW")]
+    df = spark.createDataFrame([(*p, "n", 0) for p in pages], "page_id long, url string, html string, record string, chunk int")
+    got = warc.archive(df, chunk=chunk, path=str(tmp_path / "w")).collect()
+    assert sorted(repr(tuple(r)) for r in got) == warc_brute(pages)
+    read = warc.read_warc(spark, str(tmp_path / "w")).where("record_type = 'response'").select("record").collect()
+    assert len(read) == len(set(read)) == sum("'response'" in x for x in warc_brute(pages))
+
+
+def test_warc_of_others_and_damage(spark, tmp_path):
+    import gzip
+
+    record = lambda v, head, block: f"WARC/{v}\r\n{head}Content-Length:{len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    http = "HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    with open(tmp_path / "x.warc.gz", "wb") as f:
+        f.write(gzip.compress(record("1.0", "WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0>\r\n", "a: b")))
+        f.write(gzip.compress(record("1.0", "WARC-Type: response\r\nWARC-Record-ID:<urn:uuid:1>\r\nContent-Type: application/http;msgtype=response\r\n", http + "tells of WARC/1.1\r\n\r\nfiles")))
+        f.write(gzip.compress(record("1.1", "WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: text/plain\r\n", "plain")))
+    rows = warc.read_warc(spark, str(tmp_path / "x.warc.gz"))
+    assert sorted((r.record, r.page_id, bytes(r.data)) for r in rows.collect()) == [("urn:uuid:1", None, b"tells of WARC/1.1\r\n\r\nfiles"), ("urn:uuid:2", None, b"plain")]
+    assert sorted(r.payload_bytes for r in warc.verify(rows).collect()) == [5, 26]
+    df = spark.createDataFrame([(1, "u", "abcdefgh" * 9)], "page_id long, url string, payload string")
+    warc.write_warc(df, str(tmp_path / "d"), chunk=16)
+    with pytest.raises(Exception, match="missing or damaged"):
+        warc.verify(warc.read_warc(spark, str(tmp_path / "d")).where("chunk <> 2")).collect()
 
 
 def test_licenses(spark):
@@ -368,8 +430,88 @@ def test_every_license_notice_of_a_line(spark):
     assert all(r.missing + r.between == (r.license == "AGPL-3.0") * 2 for r in got)
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on all that the one before kept, with null ids, repeated ids and clashing columns among the documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = corpus_pipeline.run(spark, SF)
-    ids = [r.doc_id for r in got.select("doc_id", "lossless").collect() if r.lossless]
-    assert len(ids) == len(set(ids)) == got.count() and 0 < len(ids) < docs.count()
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    long = next(t for _, t in rows if t and len(t.split()) > 120 and t.split("\n")[0])
+    more = [(None, long), (None, long + " end"), (7_000_001, long.upper()), (7_000_001, long.upper()), (7_000_002, None), (None, "")]
+    names = ["_s", "kept", "n_words", "n_hit", "items", "spans", "row", "x", "f1", "rep", "cell"]
+    kind = "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(*r, *("mine" for _ in names)) for r in rows + more], kind)
+    docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/stages")
+    docs, kept = spark.read.parquet(path), {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = [tuple(r) for r in docs.collect()]
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/stage-{i}-{random.random()}")
+        after = [tuple(r) for r in spark.read.parquet(path).collect()]
+        kept[name] = before, after
+        assert all(r[2:] == ("mine",) * len(names) for r in after) and set(after) <= set(before)
+        docs = spark.read.parquet(path)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    before, after = kept["quality rules"]
+    stats = quality_rules.judge(spark.createDataFrame([r[:2] for r in before], "doc_id long, text string"), quality_rules.fit(spark.createDataFrame([r[:2] for r in before], "doc_id long, text string"), labels))
+    assert sorted(repr(r[:2]) for r in after) == sorted(repr((r.doc_id, r.text)) for r in stats.where("kept").collect())
+    before, after = kept["quality classifier"]
+    quality = [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None]
+    of = {}
+    for r in before:
+        of.setdefault(r[0], []).append(quality_classifier.statistics((r[1] or "").encode()))
+    x = spark.createDataFrame([(q, v) for i, q in quality if i is not None for v in of.get(i, [])], "quality int, x array<double>")
+    score = quality_classifier.fit(x).score(np.array([quality_classifier.statistics((r[1] or "").encode()) for r in before]))
+    assert sorted(map(repr, after)) == sorted(repr(r) for r, s in zip(before, score) if s >= 0.3)
+    before, after = kept["n-gram Jaccard join"]
+    sets = [shingles(r[1], 5) for r in before]
+    root = list(range(len(before)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(range(len(before)), key=lambda i: (before[i][0] is None, before[i][0] or 0))
+    place = {i: n for n, i in enumerate(order)}
+    for a, b in itertools.combinations(order, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)), key=place.get)
+            root[y] = x
+    want = [before[find(i)] for i in range(len(before)) if find(i) == i]
+    assert sorted(map(repr, after)) == sorted(map(repr, want)) and len(after) < len(before)
+    before, after = kept["benchmark decontamination"]
+    items = [decontaminate.words((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 13]) for w in items if w for i in range(max(1, len(w) - 12))}
+
+    def clean(text):
+        ws, hit = decontaminate.words((text or "").encode()), set()
+        for n in {len(w) for w in windows}:
+            hit |= {i + j for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in windows for j in range(n)}
+        return not (hit and 20 * len(hit) >= len(ws))
+
+    assert sorted(map(repr, after)) == sorted(repr(r) for r in before if clean(r[1]))
+    got = corpus_pipeline.to_pieces(spark, docs, SF).collect()
+    assert len(got) == len(after) and all(r.lossless for r in got)
+
+
+def test_pivots_place_the_documents_of_a_table(spark):
+    """At default settings, regions of three sets or more are divided by pivots."""
+    sets = list({x.tobytes(): x for _, t in near_copies(11, groups=12, copies=9) for x in [jaccard_join.shingle_set(t.encode().split(), 4)]}.values())
+    seen: dict = {}
+    x, y = jaccard_join.voronoi_links(sets, np.arange(len(sets)), 85, 100, seen)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 185 * len(np.intersect1d(a, b)) >= 85 * (len(a) + len(b))}
+    assert set(zip(x.tolist(), y.tolist())) == want and len(x) == len(want)
+    assert seen["placed"] >= len(sets)
+
+
+def test_null_ids_link_and_bridge(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(base))
+    # 1 and the null row link, the null row and 9 link, 1 and 9 don't
+    rows = [(1, near()), (None, near(0, 59)), (9, near(0, 59, 1)), (None, "one two three"), (None, "one two three"), (4, "other words")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=91, den=100).collect()
+    link = lambda x, y: 191 * len(x & y) >= 91 * (len(x) + len(y))
+    sets = [shingles(t, 4) for _, t in rows]
+    assert link(sets[0], sets[1]) and link(sets[1], sets[2]) and not link(sets[0], sets[2])
+    assert sorted(repr((r.doc_id, r.component_id, r.n_links)) for r in got) == sorted(map(repr, [(1, 1, 1), (None, 1, 2), (9, 1, 1), (None, None, 1), (None, None, 1), (4, 4, 0)]))
