@@ -15,32 +15,22 @@ from lineloom.llm.common import Scratch, table
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the learned decision list."""
-    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of high quality reaches the threshold; the labelled ones left here are learned from."""
-    scratch = Scratch(spark, "by-classifier")
-    x = scratch.keep(quality_classifier.features(docs))
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").select("doc_id", "quality")
-    model = quality_classifier.fit(labels.join(x, "doc_id"))
-    rejected = quality_classifier.classify(x, model).where(F.col("score") < quality_classifier.THRESHOLD).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return quality_classifier.keep_good(docs, quality_classifier.fit_documents(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate class (five words, 0.8); of repeated rows one."""
-    classes = jaccard_join.jaccard_components(docs, k=5, num=80, den=100, degrees=False)
-    kept = classes.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return jaccard_join.one_of_each(docs, k=5, num=80, den=100)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate, unchanged."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id",))
-    found = decontaminate.spans(docs, table(spark, sf_dir, "benchmark"), keep=rest)
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
