@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,6 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_caches: dict[str, object] = {}
+
+
+def enter(name: str, clear=None) -> None:
+    """Called by a task when it begins: what other operators have left in this worker process (`clear` frees it) goes."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    if clear:
+        _caches[name] = clear
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder, so that a lost executor costs no recomputation.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, enter
 
 WINDOW = 13
 SHARD_WORDS = 600_000
@@ -242,20 +242,39 @@ _patterns: dict[tuple, Patterns] = {}
 def _patterns_of(shared, window: int) -> Patterns:
     """Patterns of a broadcast block; a worker keeps those of the last one."""
     name, block = shared.value
+    enter("decontaminate", _patterns.clear)
     if (name, window) not in _patterns:
         _patterns.clear()
         _patterns[name, window] = Patterns(block, window)
     return _patterns[name, window]
 
 
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, block_words: int) -> list:
+    """Broadcasts of the benchmark's blocks; one block at a time is on the driver."""
+    share = docs.sparkSession.sparkContext.broadcast
+    return [share((uuid.uuid4().hex, x)) for x in _benchmark_blocks(benchmark, item_col, item_text, block_words)] or [share(("", []))]
+
+
+def _scan(patterns: Patterns, texts: list[bytes | None], shard_words: int) -> tuple[list[int], list[tuple[list[tuple[int, int]], set]]]:
+    """(words, scan_shard() rows) of texts, in shards of bounded size."""
+    n_words, done, shard, held = [], [], [], 0
+    for t in texts:
+        ws = words(t)
+        n_words.append(len(ws))
+        if held and held + len(ws) > shard_words:
+            done += scan_shard(patterns, shard)
+            shard, held = [], 0
+        shard.append(ws)
+        held += len(ws)
+    return n_words, done + scan_shard(patterns, shard)
+
+
 def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' id, the columns of keep, n_words, n_hit, spans (merged word ranges [start, end)), items (ids with windows in it)."""
     key, passes = "_row", []
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
-    # one block at a time is on the driver
-    share = docs.sparkSession.sparkContext.broadcast
-    blocks = [share((uuid.uuid4().hex, x)) for x in _benchmark_blocks(benchmark, item_col, item_text, block_words)] or [share(("", []))]
+    blocks = _shared_blocks(docs, benchmark, item_col, item_text, block_words)
     if len(blocks) > 1:
         base = base.withColumn(key, F.monotonically_increasing_id())
     carried = [id_col, *keep, *([key] if len(blocks) > 1 else [])]
@@ -266,19 +285,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches):
             patterns = _patterns_of(block, window)
             for b in batches:
-                done: list = []
-                shard: list[list[bytes]] = []
-                held = 0
-                n_words = []
-                for t in as_bytes(b.column("_text")):
-                    ws = words(t)
-                    n_words.append(len(ws))
-                    if held and held + len(ws) > shard_words:
-                        done += scan_shard(patterns, shard)
-                        shard, held = [], 0
-                    shard.append(ws)
-                    held += len(ws)
-                done += scan_shard(patterns, shard)
+                n_words, done = _scan(patterns, as_bytes(b.column("_text")), shard_words)
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in carried), pa.array(n_words, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in s] for s, _ in done], span), pa.array([sorted(x for x in i if x is not None) for _, i in done], pa.list_(pa.string()))],
                     names=[*carried, "n_words", "spans", "items"],
@@ -310,10 +317,25 @@ def contaminated(min_share: int = 20):
     return (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, as they are, that the benchmark doesn't contaminate; columns may have any names."""
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
-    return spans(packed, benchmark, id_col="id", keep=("row",)).where(~contaminated()).select("row.*")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of docs, as they are, that the benchmark doesn't contaminate; columns may have any names.
+
+    A benchmark of one block decides on rows where they are; with more, spans() of all blocks are merged first.
+    """
+    blocks = _shared_blocks(docs, benchmark, "item_id", "text", block_words)
+    if len(blocks) > 1:
+        packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+        return spans(packed, benchmark, id_col="id", window=window, block_words=block_words, keep=("row",)).where(~contaminated()).select("row.*")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        patterns = _patterns_of(blocks[0], window)
+        for b in batches:
+            n, found = _scan(patterns, as_bytes(b.column(at)), SHARD_WORDS)
+            hit = [sum(y - x for x, y in s) for s, _ in found]
+            yield b.filter(pa.array([not (h and 20 * h >= w) for h, w in zip(hit, n)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remove_spans(text: str, found: list[tuple[int, int]]) -> str:

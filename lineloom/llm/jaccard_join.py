@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import CHUNK_WORDS, Bits, Scratch, as_bytes, components, groups, mix, shingle_set
+from .common import CHUNK_WORDS, Bits, Scratch, as_bytes, components, enter, groups, mix, shingle_set
 
 SEEDS = 4
 
@@ -153,6 +153,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2): size and fingerprint of each document's set; null for an empty one."""
 
     def run(batches):
+        enter("jaccard")
         for b in batches:
             for ids, sets in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
                 f = [_print(s) for s in sets]
@@ -688,7 +689,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
     sets = scratch.keep(sets)
     ids = prints.join(sets.select("f1", "f2"), ["f1", "f2"], "left_semi").where("doc_id is not null")
     touched = Bits(ids.select("doc_id"))
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    text_at = docs.columns.index(text_col)
 
     def alone(batches):
         for b in batches:
@@ -700,13 +702,13 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
         for b in batches:
             b = b.take(pa.array(touched.passing(b.column(0).to_pylist())))
             at = 0
-            for ids, parts in _sets(b.column(0).to_pylist(), as_bytes(b.column(1)), k):
+            for ids, parts in _sets(b.column(0).to_pylist(), as_bytes(b.column(1).field(text_at)), k):
                 f = [_print(x) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), b.column(2).slice(at, len(ids))], names=["doc_id", "f1", "f2", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in f], pa.int64()), pa.array([x[1] for x in f], pa.int64()), b.column(1).slice(at, len(ids))], names=["doc_id", "f1", "f2", "row"])
                 at += len(ids)
 
     kind = StructType([packed.schema["row"]])
-    free = packed.select("doc_id", "row").mapInArrow(alone, kind)
+    free = packed.mapInArrow(alone, kind)
     named = StructType([StructField(c, LongType()) for c in ("doc_id", "f1", "f2")] + [packed.schema["row"]])
     held = packed.mapInArrow(others, named).join(sets.select("f1", "f2", "rep", "chosen"), ["f1", "f2"], "left")
     held = scratch.keep(held.where("chosen is null or (chosen and doc_id <=> rep)"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Scratch, as_bytes
+from .common import Bits, Scratch, as_bytes, enter
 
 SHRINK, RIDGE, THRESHOLD = 0.1, 1e-3, 0.3
 NAMES = ("log_words", "word_length", "upper", "symbols", "digits", "marks", "distinct_words", "repeated_triples", "repeated_lines", "line_words")
@@ -142,6 +142,7 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD
     at = docs.columns.index(text_col)
 
     def run(batches):
+        enter("quality")
         for b in batches:
             x = np.array([statistics(t) for t in as_bytes(b.column(at))], float).reshape(-1, len(NAMES))
             yield b.filter(pa.array(model.score(x) >= threshold))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import enter
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNKNOWN_GAP = 10.0
@@ -336,6 +338,7 @@ def encode(docs: DataFrame, n: int = 4, model: str = MODEL, id_col: str = "doc_i
     assert Path(model).exists() or not model.startswith("/"), model
 
     def run(batches):
+        enter("sentencepiece", _lattices.clear)
         lat = lattice(model)
         for b in batches:
             texts = b.column(1).to_pylist()

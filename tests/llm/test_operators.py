@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -131,6 +132,8 @@ def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")
     assert jaccard_join.jaccard_components(docs).count() == 0
+    assert license_scan.scan(docs).count() == 0
+    assert language_id.training_texts(docs.withColumn("lang", F.lit("x"))) == {} and language_id.identify(docs, {}).count() == 0
     assert sentencepiece_nbest.encode(docs).count() == 0
     assert lm_scoring.score(docs, docs).count() == 0
     assert decontaminate.spans(docs, bench).count() == 0
@@ -267,6 +270,42 @@ def test_phrases_are_greedy_longest_matches():
     assert a.phrases(text) == want
 
 
+@pytest.mark.parametrize("few", [1, 3, 10**9])
+def test_languages_equal_brute_force(spark, monkeypatch, few):
+    """Fewest bits of a greedy parse by substring search, over whole texts, words and blanks alike."""
+    monkeypatch.setattr(language_id, "FEW", few)
+    train = {"de": " der alte fluss ging weiter ", "en": " the old river went on and on ", "th": " \u0e01\u0e33\u0e41\u0e1e\u0e07 "}
+    r = random.Random(4)
+    texts = [" ".join(r.choices("the der alte old xx went ging river fluss \u0e01\u0e33 12 . on".split(), k=r.randrange(1, 40))) for _ in range(30)]
+    texts += [None, "", "\u00bd \u00b2 _ 7", "\u0301", "q", "The OLD river", "der alte fluss ging weiter " * 30]
+
+    def bits(text, known):
+        n = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in known:
+                size += 1
+            at, n = at + size, n + 1
+        return n * np.log2(len(known))
+
+    def want(text):
+        ws = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+        ws = [w for w in ws if any(unicodedata.category(c)[0] == "L" for c in w)]
+        if not ws:
+            return "und", 0.0
+        cost = sorted((bits(f" {' '.join(ws)} ", known), lang) for lang, known in train.items())
+        return cost[0][1], cost[1][0] / (cost[0][0] + cost[1][0])
+
+    got = language_id.Model(train).predict(texts)
+    assert [(x, round(y, 9)) for x, y in got] == [(x, round(y, 9)) for x, y in map(want, texts)]
+
+
+def test_training_texts_of_repeated_ids_and_hot_languages(spark):
+    rows = [(1, "one text", "en")] * 50 + [(1, "another text", "en")] * 50 + [(i, f"w{'x' * (i % 7)} y", "en") for i in range(2, 900)] + [(None, "none", "en"), (5, None, "en"), (6, "ohne", None)]
+    got = language_id.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_chars=4000)
+    assert set(got) == {"en"} and got["en"].count("text") <= 1 and 1000 < len(got["en"]) <= 4100 and "none" not in got["en"]
+
+
 def test_chat_round_trip():
     r = random.Random(1)
     piece = ["#", "###", "\\", "</", "</turn>", "\n", "a", "<", "### a:\n", ":"]
