@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The clauses by which SQL itself names tables.
 NAME = r"([A-Za-z_][\w.]*)"
 TABLE_PATTERNS = (
     r"(?i)\bFROM\s+" + NAME,
@@ -20,8 +21,10 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def without_comments(sql: Column) -> Column:
-    """Block and line comments out, white space single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " "), r"\s+", " "))
+    """Block and line comments out, white space single; what looks like a comment inside a string stays."""
+    # a mark after each string and in place of each comment; a string loses its mark, a comment becomes a blank
+    marked = F.regexp_replace(sql, r"(?s)('(?:[^']|'')*'|\"[^\"]*\")|/\*.*?\*/|--[^\n]*", "$1\x01")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "(['\"])\x01", "$1"), "\x01", " "), r"\s+", " "))
 
 
 def table_names(sql: Column) -> Column:
@@ -77,3 +80,47 @@ def join_edges(statements: DataFrame) -> DataFrame:
     e = e.join(names.select("sql_id", F.col("alias").alias("la"), F.col("table_name").alias("left_table")), ["sql_id", "la"])
     e = e.join(names.select("sql_id", F.col("alias").alias("ra"), F.col("table_name").alias("right_table")), ["sql_id", "ra"])
     return e.select("sql_id", "join_type", "left_table", "left_column", "right_table", "right_column").distinct()
+
+
+def select_items(sql: Column) -> Column:
+    """Items of the outermost SELECT list, as (column, alias) structs; commas and FROMs in brackets or strings don't count.
+
+    `x AS a` and `x a` have an alias; the column is the last name of a plain reference, null for an expression. A fold over the
+    statement's tokens.
+    """
+    tokens = F.regexp_extract_all(without_comments(sql), F.lit(r"(?s)'(?:[^']|'')*'|\w+|\s+|."), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("part"), F.lit("").alias("item"), F.expr("cast(array() as array<string>)").alias("items"))
+
+    def step(a, t):
+        up = F.upper(t)
+        top = a["depth"] == 0
+        begins, ends = top & (a["part"] == 0) & (up == "SELECT"), top & (a["part"] == 1) & (up == "FROM")
+        comma = top & (a["part"] == 1) & (t == ",")
+        done = F.array_append(a["items"], F.trim(a["item"]))
+        return F.struct(
+            (a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
+            F.when(begins, 1).when(ends, 2).otherwise(a["part"]).alias("part"),
+            F.when(begins | ends | comma, F.lit("")).when(a["part"] == 1, F.concat(a["item"], t)).otherwise(a["item"]).alias("item"),
+            F.when(comma | ends, done).otherwise(a["items"]).alias("items"),
+        )
+
+    folded = F.aggregate(tokens, start, step, lambda a: F.when(a["part"] == 1, F.array_append(a["items"], F.trim(a["item"]))).otherwise(a["items"]))
+
+    def parsed(x):
+        x = F.regexp_replace(x, r"(?i)^(?:DISTINCT|ALL)\s+", "")
+        alias = F.regexp_extract(x, r"(?is)^.*[\w)'\"]\s+(?:AS\s+)?(\w+)$", 1)
+        body = F.when(alias != "", F.regexp_replace(x, r"(?is)\s+(?:AS\s+)?\w+$", "")).otherwise(x)
+        return F.struct(F.nullif(F.regexp_extract(body, r"^(?:\w+\.)*(\w+)$", 1), F.lit("")).alias("column"), F.nullif(alias, F.lit("")).alias("alias"), body.alias("expression"))
+
+    return F.transform(F.filter(folded, lambda x: x != ""), parsed)
+
+
+def plain_columns(sql: Column) -> Column:
+    """The other reading of a SELECT list: its plain names, without qualifier, sorted; expressions and * are left out."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(select_items(sql), lambda x: x["column"].isNotNull()), lambda x: x["column"])))
+
+
+def columns_by_alias(sql: Column, targets: Column) -> Column:
+    """(column, alias) of SELECT items in which a target column stands as a word; without an alias the column's own name."""
+    items = F.transform(select_items(sql), lambda x: F.struct(F.get(F.filter(targets, lambda t: F.regexp_like(F.lower(x["expression"]), F.concat(F.lit(r"\b"), F.lower(t), F.lit(r"\b")))), F.lit(0)).alias("column"), x["alias"].alias("alias")))
+    return F.transform(F.filter(items, lambda x: x["column"].isNotNull()), lambda x: F.struct(x["column"].alias("column"), F.coalesce(x["alias"], x["column"]).alias("alias")))

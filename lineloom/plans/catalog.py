@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sqltext
-from ..operators import batching, graph, matching
+from ..functions import classify, sqltext
+from ..operators import access as acc
+from ..operators import batching, external, graph, matching, resolve
+from ..sources import files, javaparse
+from . import javafixtures as J
 from .fixtures import LAYERS, STATEMENTS, WATCHED, values_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,21 +37,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def plan(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
-    """A query that both engines say in (nearly) the same SQL."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in spark_sql}
-        return spark.sql(spark_sql, **used)
-
-    run.__name__ = name
-    QUERIES[name] = run
-    duck = duck_sql or spark_sql
-    for t in TABLES:
-        duck = duck.replace(f"{{{t}}}", t)
-    ORACLE[name] = duck
-
-
 def statements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATEMENTS, "sql_id string, file string, sql string")
 
@@ -125,14 +113,7 @@ def sql_join_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access(spark: SparkSession) -> DataFrame:
-    """(sql_id, table_name) of statements that touch watched columns: one of the old columns, or the table if it has only new ones.
-    SELECT * stands for all old columns where no column was found."""
-    watched = spark.createDataFrame(WATCHED, "table_name string, column_name string, new_column boolean")
-    per = watched.groupBy("table_name").agg(F.collect_set(F.when(~F.col("new_column"), F.col("column_name"))).alias("old"))
-    refs = statements(spark).withColumn("table_name", F.explode(sqltext.table_names(F.col("sql"))))
-    refs = refs.withColumn("used", sqltext.column_names(F.col("sql"), F.col("table_name")))
-    star = (F.size("used") == 0) & F.col("sql").rlike(r"(?is)\bSELECT\s+\*\s+FROM\b")
-    return refs.join(per, "table_name").where((F.size("old") == 0) | F.arrays_overlap("used", "old") | star).select("sql_id", "file", "table_name")
+    return acc.watched_access(statements(spark), spark.createDataFrame(WATCHED, "table_name string, column_name string, new_column boolean"))
 
 
 _DUCK_ACCESS = rf"""with used as ({_DUCK_COLUMNS}), refs as (select distinct sql_id, table_name from ({DUCK_REFS})), w as (select * from {W}), s as (select * from {S})
@@ -155,27 +136,137 @@ def sensitive_access_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def table_access_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = access(spark).join(F.broadcast(spark.createDataFrame(LAYERS, "file string, layer string, ord int")), "file")
-    n = a.groupBy("table_name", "layer").agg(F.countDistinct("file").alias("c"), F.min("ord").alias("o"))
-    main = n.groupBy("table_name").agg(F.max_by("layer", F.struct("c", -F.col("o"))).alias("main_layer"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return a.groupBy("table_name").agg(F.countDistinct("sql_id").alias("n_statements"), joined("sql_id").alias("statements"), joined("file").alias("files")).join(main, "table_name")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return acc.table_rollup(a, statements(spark)).select("table_name", "n_statements", joined("statements"), joined("files"), "main_layer")
 
 
 # --- files and dedup ------------------------------------------------------------------------------------------------
 
-plan(
-    "file_scan_filter",
-    r"""select page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) as path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '([^/]*)$', 1) as name, cast(octet_length(encode(html, 'utf-8')) as bigint) as size
-    from {pages} where lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) not like '%.net' and regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) <> ''""",
-    r"""select page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) as path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1), '([^/]*)$', 1) as name, cast(octet_length(encode(html)) as bigint) as size
-    from {pages} where lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) not like '%.net' and regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) <> ''""",
+_PATH = r"regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
+
+
+@query(
+    rf"""with p as (select page_id, {_PATH} as path from pages), x as (select *, string_split(path, '/') as parts from p)
+    select page_id, path, parts[-1] as filename, substring(path, 2) as relative_path from x
+    where not list_has_any(parts[:-2], ['en', 'target', 'build', 'out', 'bin']) and not starts_with(parts[-1], '.') and not starts_with(parts[-1], '1')"""
 )
-plan("dedup_latest_wins", "select md5(text) as digest, max_by(source, doc_id) as source, max(doc_id) as doc_id from {documents} group by md5(text)")
-plan("dedup_first_wins", "select conv_id, min_by(role, turn) as role, min(turn) as turn from {conversations} group by conv_id")
-_LAYER = "case when lower(p_type) like '%brass%' then 'controller' when lower(p_type) like '%steel%' then 'service' when p_name like 'a%' then 'repository' else 'unknown' end"
-plan("layer_classify", f"select p_partkey, {_LAYER} as layer from {{part}}")
-_TYPE = "case when lower(p_type) like '%page<%' or p_size % 4 = 0 then 'paged_list' when p_size % 3 = 0 then 'unpaged_list' else 'single' end"
-plan("data_type_infer", f"select p_partkey, {_TYPE} as data_type, case when p_size % 5 = 0 then 1000.0 else 1.0 end * p_size + case {_TYPE} when 'single' then 1.0 when 'paged_list' then 20.0 else 100.0 end * 2 as weight from {{part}}", f"select p_partkey, {_TYPE} as data_type, cast(case when p_size % 5 = 0 then 1000.0 else 1.0 end * p_size + case {_TYPE} when 'single' then 1.0 when 'paged_list' then 20.0 else 100.0 end * 2 as decimal(16,1)) as weight from {{part}}")
+def file_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr(_PATH).alias("path"))
+    return files.keep(p, "path", extensions=(), exclude_dirs=("en",), exclude_files=("1*",)).select("page_id", "path", "filename", "relative_path")
+
+
+@query("select digest, source, doc_id from (select md5(text) as digest, source, doc_id, row_number() over (partition by md5(text) order by doc_id desc) as n from documents) where n = 1")
+def dedup_latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.md5("text").alias("digest"), "source", "doc_id")
+    return graph.one_per_key(d, ["digest"], [F.desc("doc_id")])
+
+
+@query("select conv_id, min_by(role, turn) as role, min(turn) as turn from conversations group by conv_id")
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.one_per_key(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ["conv_id"], [F.asc("turn")])
+
+
+# --- Java sources ---------------------------------------------------------------------------------------------------
+
+
+def java_types(spark: SparkSession) -> DataFrame:
+    return javaparse.types(spark.createDataFrame(J.JAVA, "path string, text string"))
+
+
+def java_edges(spark: SparkSession) -> DataFrame:
+    t = java_types(spark)
+    return resolve.expand_interfaces(resolve.call_edges(t, javaparse.methods(t)), t)
+
+
+@query(f"select * from {values_sql(J.CLASSES, 'path, class_name, kind, superclass, interfaces')}")
+def java_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java_types(spark).select("path", "class_name", "kind", F.coalesce("superclass", F.lit("")).alias("superclass"), F.array_join("interfaces", ",").alias("interfaces"))
+
+
+@query(f"select * from {values_sql(J.METHODS, 'class_name, name, return_type, params, calls, start_line, end_line')}")
+def java_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = F.array_join(F.transform("params", lambda p: F.concat_ws(" ", p["type"], p["name"])), ",")
+    return javaparse.methods(java_types(spark)).select("class_name", "name", "return_type", params.alias("params"), F.array_join("calls", " ").alias("calls"), "start_line", "end_line")
+
+
+@query(f"select * from {values_sql(J.EDGES, 'caller, callee, callee_file')}")
+def java_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = java_types(spark)
+    return resolve.call_edges(t, javaparse.methods(t)).select("caller", "callee", "callee_file")
+
+
+@query(f"select * from {values_sql(J.EDGES + J.MORE_EDGES, 'caller, callee, callee_file')}")
+def java_interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java_edges(spark).select("caller", "callee", "callee_file")
+
+
+@query(f"select * from {values_sql(J.CLASS_LAYERS, 'class_name, layer')}")
+def layer_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda c: F.transform(c, lambda x: x["type"])
+    return java_types(spark).select("class_name", classify.layer(F.col("class_name"), F.col("package"), F.col("annotations"), F.col("interfaces"), of("fields")).alias("layer"))
+
+
+@query(f"select * from {values_sql(J.DATA_TYPES, 'class_name, name, data_type')}")
+def data_type_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return javaparse.methods(java_types(spark)).select("class_name", "name", classify.data_type(F.col("return_type"), F.col("params"), F.lit("SELECT 1")).alias("data_type"))
+
+
+_TREE_E = f"select caller, callee from {values_sql(J.EDGES + J.MORE_EDGES, 'caller, callee, callee_file')}"
+_TREE = f"""with recursive e as ({_TREE_E}), t as (
+  select n as root, n as node, 0 as depth, [n] as path, false as is_circular from (values ('OrderController.find'), ('OrderController.add')) as r(n)
+  union all select t.root, e.callee, t.depth + 1, list_append(t.path, e.callee), list_contains(t.path, e.callee) from t join e on e.caller = t.node where not t.is_circular and t.depth < 10)"""
+
+
+def java_tree(spark: SparkSession) -> DataFrame:
+    roots = spark.createDataFrame([("OrderController.find",), ("OrderController.add",)], "node string")
+    return graph.call_tree(java_edges(spark), roots)
+
+
+@query(f"{_TREE} select root, node, depth, array_to_string(path, '>') as path, is_circular from t")
+def call_tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return java_tree(spark).select("root", "node", "depth", F.array_join("path", ">").alias("path"), "is_circular")
+
+
+@query(f"{_TREE} select root, row_number() over (partition by root order by path) as place, repeat('  ', depth) || node || case when is_circular then ' (circular)' else '' end as line from t")
+def call_tree_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.printed(java_tree(spark)).select("root", F.col("place").cast("long").alias("place"), "line")
+
+
+@query(f"{_TREE} select root, array_to_string(path, '>') as path from t where not is_circular and ends_with(node, 'Mapper.insert')")
+def call_paths_to_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.paths_to(java_tree(spark), "Mapper.insert").select("root", F.array_join("path", ">").alias("path"))
+
+
+@query(f"with e as ({_TREE_E}) select (select count(*) from (select caller from e union select callee from e)) as n_nodes, (select count(*) from (select distinct caller, callee from e)) as n_edges")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counts(java_edges(spark))
+
+
+_REGIONS = """select cast(r_regionkey as varchar) as node, case when r_regionkey > 0 then cast(r_regionkey - 1 as varchar) else 'Object' end as parent from region
+union all select concat('n', n_nationkey), cast(n_regionkey as varchar) from nation"""
+
+
+@query(
+    f"""with recursive p as ({_REGIONS}), a as (select node, parent as ancestor, 1 as depth from p where parent <> 'Object'
+    union all select a.node, p.parent, a.depth + 1 from a join p on p.node = a.ancestor where p.parent <> 'Object') select node, ancestor, depth from a"""
+)
+def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.sql(_REGIONS.replace("varchar", "string").replace("region\n", "{region}\n").replace("from nation", "from {nation}"), region=table(spark, sf_dir, "region"), nation=table(spark, sf_dir, "nation"))
+    return graph.ancestors(p)
+
+
+@query(f"select sql_id, nullif(c, '') as \"column\", nullif(a, '') as alias from {values_sql(J.ITEMS, 'sql_id, c, a')}")
+def sql_select_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.createDataFrame(J.SELECTS, "sql_id string, sql string")
+    return s.select("sql_id", F.explode(sqltext.select_items(F.col("sql"))).alias("i")).select("sql_id", "i.column", "i.alias")
+
+
+@query(f"select * from {values_sql(J.TARGETS, 'sql_id, c, alias')}")
+def sql_select_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.createDataFrame(J.SELECTS, "sql_id string, sql string")
+    targets = F.array(F.lit("NAME"), F.lit("AGE"))
+    return s.select("sql_id", F.explode(sqltext.columns_by_alias(F.col("sql"), targets)).alias("i")).select("sql_id", F.col("i.column").alias("c"), "i.alias")
+
 
 # --- call graph -----------------------------------------------------------------------------------------------------
 
@@ -245,25 +336,38 @@ def cycle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- endpoints and weights ------------------------------------------------------------------------------------------
 
-_PATH = r"regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1)"
-plan("endpoint_access_counts", rf"select {_PATH} as end_point, count(*) as access_cnt from {{pages}} group by 1")
-_ESTIMATE = rf"""with c as (select {_PATH} as path, page_id, length(html) % 7 as in_cnt, length(html) % 5 as out_cnt, page_id % 3 as kind from {{pages}}),
-q as (select regexp_replace(path, '[0-9]+', '{{id}}'G) as end_point, path, page_id, in_cnt + out_cnt * case kind when 0 then 1 when 1 then 20 else 100 end as weight from c)
-select end_point, cast(sum(weight) as bigint) as total_weight, count(*) as n_queries, count(distinct path) as n_paths, cast(sum(weight) * count(*) as bigint) as estimated_calls from q group by end_point"""
+_TEMPLATE = "regexp_replace(path, '[0-9]+', '{id}', 'g')"
+_PLACE = "select path, page_id, length(html) % 7 as in_cnt, length(html) % 5 as out_cnt, page_id % 3 as kind from (select " + _PATH + " as path, page_id, html from pages)"
 
 
-def _estimate(g: str) -> str:
-    return _ESTIMATE.replace("'{{id}}'G" if "'{{id}}'G" in _ESTIMATE else "'{id}'G", f"'{{id}}'{g}")
+@query(
+    f"""select * from {values_sql(J.ACCESS_FOUND, 'end_point, access_cnt')}
+    union all select e.end_point, (select count(*) from ({_PLACE}) p where regexp_matches(p.path, '^' || replace(replace(e.end_point, '.', '[.]'), '{{id}}', '.+') || '$'))
+    from (select distinct {_TEMPLATE} as end_point from ({_PLACE})) e where e.end_point like '%{{%'"""
+)
+def endpoint_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = acc.endpoint_access(spark.createDataFrame(J.ACCESS_ENDPOINTS, "end_point string"), spark.createDataFrame(J.ACCESS_COUNTS, "path string, access_cnt long, ord int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr(_PATH).alias("path"))
+    counts = p.groupBy("path").agg(F.count("*").alias("access_cnt"), F.min("page_id").alias("ord"))
+    ends = p.select(F.regexp_replace("path", "[0-9]+", "{id}").alias("end_point")).where("end_point like '%{%'")
+    return few.unionByName(acc.endpoint_access(ends, counts))
 
 
-@query(_estimate(", 'g'").replace("{pages}", "pages"))
+@query(
+    f"""with q as (select {_TEMPLATE} as end_point, path, in_cnt + out_cnt * case kind when 0 then 1 when 1 then 20 else 100 end as weight from ({_PLACE})),
+    w as (select end_point, sum(weight) as total_weight, count(*) as n_queries from q group by end_point),
+    a as (select w.end_point, (select count(*) from q q2 where q2.path <> '' and regexp_matches(q2.path, '^' || replace(w.end_point, '{{id}}', '.+') || '$')) as c from w)
+    select end_point, cast(total_weight as bigint) as total_weight, n_queries, cast(case when end_point = '' then 0 else c end as bigint) as access_cnt, cast(total_weight * case when end_point = '' then 0 else c end as bigint) as estimated_calls from w join a using (end_point)"""
+)
 def endpoint_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated calls by endpoint: weights of its queries times its accesses, largest first."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+([^?#]*)", 1).alias("path"), F.length("html").alias("n"))
-    out_weight = F.when(F.col("page_id") % 3 == 0, 1).when(F.col("page_id") % 3 == 1, 20).otherwise(100)
-    q = p.select(F.regexp_replace("path", "[0-9]+", "{id}").alias("end_point"), "path", (F.col("n") % 7 + F.col("n") % 5 * out_weight).cast("long").alias("weight"))
-    r = q.groupBy("end_point").agg(F.sum("weight").alias("total_weight"), F.count("*").alias("n_queries"), F.countDistinct("path").alias("n_paths"))
-    return r.withColumn("estimated_calls", F.col("total_weight") * F.col("n_queries")).orderBy(F.desc("estimated_calls"), "end_point")
+    """Estimated calls by endpoint: weights of its queries times the accesses that its template counts, largest first."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.expr(_PATH).alias("path"), F.length("html").alias("n"))
+    kind = F.when(F.col("page_id") % 3 == 0, "single").when(F.col("page_id") % 3 == 1, "paged_list").otherwise("unpaged_list")
+    weight = classify.weight(F.col("n") % 7, F.lit(1), F.col("n") % 5, kind, F.lit("Order"))
+    q = p.select(F.regexp_replace("path", "[0-9]+", "{id}").alias("end_point"), F.lit("T").alias("table_name"), F.col("page_id").alias("query_id"), weight.cast("long").alias("weight"))
+    counts = p.groupBy("path").agg(F.count("*").alias("access_cnt"), F.min("page_id").alias("ord")).where("path <> ''")
+    r = acc.endpoint_rollup(q, acc.endpoint_access(q, counts))
+    return r.drop("queries").orderBy(F.desc("estimated_calls"), "end_point")
 
 
 _DEPTH = """select l_partkey, count(case when l_quantity < 20 then 1 end) as d0, count(case when l_quantity >= 20 and l_quantity < 35 then 1 end) as d1, count(case when l_quantity >= 35 then 1 end) as d2 from {lineitem} group by l_partkey"""
@@ -279,24 +383,68 @@ def loop_depth_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("weight", batching.loop_weight(kind, F.col("d0"), F.col("d1"), F.col("d2")))
 
 
-plan("reachable_only", "select c_custkey, c_name from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders)")
+def reachable_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return acc.only_reachable(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
 
 # --- differences ----------------------------------------------------------------------------------------------------
 
 _OLD = "select doc_id, case when doc_id % 7 = 0 then concat(text, '!') else text end as text from {documents} where doc_id % 11 <> 0"
-plan("changed_rows", f"select t.doc_id, case when o.doc_id is null then 'new' else 'changed' end as status from {{documents}} t left join ({_OLD}) o on o.doc_id = t.doc_id where o.doc_id is null or md5(o.text) <> md5(t.text)")
-plan(
-    "line_diff_counts",
-    f"""select doc_id, count(*) as n_lines from (select doc_id, explode(split(text, '\\n')) as line from {{documents}} except all select doc_id, explode(split(text, '\\n')) as line from ({_OLD})) group by doc_id""",
-    f"""select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from {{documents}} except all select doc_id, unnest(string_split(text, chr(10))) as line from ({_OLD})) group by doc_id""",
-)
-_RANGES = "select o_orderkey, o_custkey, o_orderdate as s, o_orderdate + interval '30' day as e from {orders}"
-plan("interval_enclosing", f"select a.o_orderkey, count(*) as n_enclosing from ({_RANGES}) a join ({_RANGES}) b on a.o_custkey = b.o_custkey and a.s between b.s and b.e group by a.o_orderkey")
-plan("validation_coverage", "select count(*) as n_docs, count(l.doc_id) as n_labelled, count(*) - count(l.doc_id) as n_missing from {documents} d left join (select distinct doc_id from {labels}) l on l.doc_id = d.doc_id")
-plan("upsert_results", "select c_custkey, c_name, c_acctbal from {customer} where c_custkey % 5 <> 0 union all select c_custkey, concat(c_name, '*'), c_acctbal from {customer} where c_custkey % 5 = 0")
-plan("mod_stats", "select o_orderpriority, count(*) as total, count(case when o_orderstatus = 'F' then 1 end) as success, count(case when o_orderstatus <> 'F' then 1 end) as failed, count(distinct case when o_orderstatus = 'F' then o_custkey end) as success_files from {orders} group by o_orderpriority")
-plan("keyword_groups", rf"select regexp_extract({_PATH}, '^/([a-z]+)/', 1) as keyword, count(*) as n_files from {{pages}} group by 1")
-plan("ancestor_chain", "select o_orderkey as node, 1 as depth, concat('C.', o_custkey) as ancestor from {orders} union all select o_orderkey, 2, concat('N.', c_nationkey) from {orders} join {customer} on c_custkey = o_custkey union all select o_orderkey, 3, concat('R.', n_regionkey) from {orders} join {customer} on c_custkey = o_custkey join {nation} on n_nationkey = c_nationkey")
+_DUCK_OLD = _OLD.replace("{documents}", "documents")
+
+
+def old_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_OLD, documents=table(spark, sf_dir, "documents"))
+
+
+@query(f"select t.doc_id, case when o.doc_id is null then 'new' else 'changed' end as status from documents t left join ({_DUCK_OLD}) o on o.doc_id = t.doc_id where o.doc_id is null or o.text <> t.text")
+def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.changed_files(table(spark, sf_dir, "documents").select("doc_id", "text"), old_documents(spark, sf_dir), key="doc_id")
+
+
+@query(f"""select doc_id, count(*) as n_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents except all select doc_id, unnest(string_split(text, chr(10))) as line from ({_DUCK_OLD})) group by doc_id""")
+def line_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.added_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), old_documents(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"select t.doc_id, 'replace' as tag, len(string_split(t.text, chr(10))) - 1 as old_start, len(string_split(t.text, chr(10))) as old_end from documents t join ({_DUCK_OLD}) o using (doc_id) where o.text <> t.text")
+def line_diff_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = old_documents(spark, sf_dir).withColumnRenamed("text", "old").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("new")), "doc_id").where("old <> new")
+    c = matching.line_changes(both, "old", "new").select("doc_id", F.explode("changes").alias("c"))
+    return c.select("doc_id", "c.tag", F.col("c.old_start").cast("long").alias("old_start"), F.col("c.old_end").cast("long").alias("old_end"))
+
+
+_RANGES = "select o_orderkey, o_custkey, o_orderdate as s, o_orderdate + interval '30' day as e from orders"
+
+
+@query(f"select a.o_orderkey, count(*) as n_enclosing from ({_RANGES}) a join ({_RANGES}) b on a.o_custkey = b.o_custkey and a.s between b.s and b.e group by a.o_orderkey")
+def interval_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("s"), F.expr("o_orderdate + interval 30 days").alias("e"))
+    return acc.enclosing_counts(r, "o_orderkey", "o_custkey", "s", "e")
+
+
+@query("select count(*) as n_all, count(l.doc_id) as n_found, count(*) - count(l.doc_id) as n_missing, round(100.0 * count(l.doc_id) / count(*), 1) as percent from (select distinct doc_id from documents) d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id")
+def validation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("select c_custkey, case when c_custkey % 5 = 0 then c_name || '*' else c_name end as c_name, c_acctbal from customer")
+def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return acc.upsert(c, c.where("c_custkey % 5 = 0").withColumn("c_name", F.concat("c_name", F.lit("*"))), ["c_custkey"])
+
+
+@query("select o_orderpriority, count(*) as total, count(*) filter (o_orderstatus = 'F') as success, count(*) filter (o_orderstatus <> 'F') as failed, count(distinct o_custkey) filter (o_orderstatus = 'F') as success_files from orders group by o_orderpriority")
+def mod_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.modification_stats(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", "o_custkey", "F")
+
+
+@query(rf"select regexp_extract({_PATH}, '^/([a-z]+)/', 1) as keyword, count(*) as n_files from pages group by 1")
+def keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.keyword_groups(table(spark, sf_dir, "pages").select(F.expr(_PATH).alias("path")), "path")
+
 
 # --- order-sensitive folds ------------------------------------------------------------------------------------------
 
@@ -335,7 +483,12 @@ def adjacent_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- external calls -------------------------------------------------------------------------------------------------
 
-plan("external_call_mock", "select conv_id, turn, md5(concat('echo: ', text)) as content, length(text) div 4 as tokens from {conversations}", "select conv_id, turn, md5(concat('echo: ', text)) as content, length(text) // 4 as tokens from {conversations}")
+@query("select conv_id, turn, md5('say: ' || text) as content, cast(8 as bigint) as tokens from conversations where text is not null")
+def external_call_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    asked = table(spark, sf_dir, "conversations").where("text is not null").withColumn("prompt", external.render("say: {t}", t="text"))
+    return external.call(asked, "prompt", lambda p: hashlib.md5(p.encode()).hexdigest()).select("conv_id", "turn", "content", "tokens")
 
 
 # --- names, reports and checks --------------------------------------------------------------------------------------
@@ -359,20 +512,29 @@ def unknown_join_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqltext.join_edges(statements(spark)).select("right_table", "right_column").distinct().join(known, ["right_table", "right_column"], "left_anti")
 
 
-@query(r"select page_id, lower(t) as tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) as t from pages) group by 1, 2")
-def html_tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.explode(sqltext.all_of(F.col("html"), r"<([A-Za-z][A-Za-z0-9]*)"))
-    return table(spark, sf_dir, "pages").select("page_id", tags.alias("t")).groupBy("page_id", F.lower("t").alias("tag")).agg(F.count("*").alias("n"))
-
-
-plan(
-    "report_order",
+@query(
     r"""select page_id, cast(row_number() over (order by case when ep = '' then 1 else 0 end, lower(ep), page_id) as bigint) as position
-    from (select page_id, case when page_id % 5 = 0 then '' else url end as ep from {pages} where url is not null)""",
+    from (select page_id, case when page_id % 5 = 0 then '' else url end as ep from pages where url is not null)"""
 )
-plan(
-    "weight_correction",
-    """select l_orderkey, reported, actual, case when reported <> actual then actual else reported end as corrected, reported <> actual as was_wrong
-    from (select l_orderkey, max(l_linenumber) as reported, cast(count(*) as int) as actual from {lineitem} where l_quantity > 5 group by l_orderkey)""",
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.expr("case when page_id % 5 = 0 then '' else url end").alias("ep"))
+    return acc.report_order(p, "ep", ["page_id"]).select("page_id", "position")
+
+
+@query(
+    """select l_orderkey, reported, actual, actual as corrected, reported is distinct from actual as was_wrong
+    from (select l_orderkey, max(l_linenumber) as reported, cast(count(*) as int) as actual from lineitem where l_quantity > 5 group by l_orderkey)"""
 )
-plan("text_totals", "select source, cast(sum(length(text)) as bigint) as chars, cast(sum(length(text) div 4) as bigint) as tokens from {documents} group by source", "select source, cast(sum(length(text)) as bigint) as chars, cast(sum(length(text) // 4) as bigint) as tokens from {documents} group by source")
+def weight_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").where("l_quantity > 5").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("reported"), F.count("*").cast("int").alias("actual"))
+    return acc.corrected(r, "reported", "actual")
+
+
+@query("select source, cast(sum(length(text)) as bigint) as chars, cast(sum(length(text) // 4) as bigint) as tokens from documents group by source")
+def text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.text_totals(table(spark, sf_dir, "documents"), "source", "text")
+
+
+@query("select distinct doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def ids_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acc.missing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

@@ -1,0 +1,120 @@
+"""Literal Java sources of the code queries, and the rows that reading them by hand gives."""
+
+JAVA = [
+    ("web/OrderController.java", """package shop.web;
+import shop.svc.OrderService;
+@RestController
+@RequestMapping("/orders")
+public class OrderController {
+    private final OrderService service;
+    // service.fake();
+    @GetMapping("/{id}")
+    public Order find(Long id) {
+        log("/* not a comment */ find(");
+        return service.load(id);
+    }
+    @PostMapping
+    public void add(Order order, Pageable page) {
+        Checker<Order> checker = new Checker<>();
+        if (checker.valid(order)) { this.service.save(order); }
+    }
+}
+"""),
+    ("svc/OrderService.java", """package shop.svc;
+public interface OrderService {
+    Order load(Long id);
+    void save(Order order);
+}
+"""),
+    ("svc/OrderServiceImpl.java", """package shop.svc;
+import shop.db.OrderMapper;
+@Service
+public class OrderServiceImpl extends BaseService implements shop.svc.OrderService {
+    @Autowired private OrderMapper mapper;
+    public Order load(Long id) { return mapper.select(id).orElse(new Fallback().make()); }
+    public void save(Order order) { audit(order); mapper.insert(order); retry(order); }
+    void retry(Order order) { save(order); }
+}
+"""),
+    ("db/OrderMapper.java", """package shop.db;
+@Mapper
+public interface OrderMapper {
+    Optional<Order> select(Long id);
+    int insert(Order order);
+    List<Order> all();
+}
+"""),
+    ("svc/BaseService.java", """package shop.svc;
+abstract class BaseService extends Object {
+    protected void audit(Object what) { }
+}
+"""),
+]
+
+#: (path, class_name, kind, superclass, interfaces)
+CLASSES = [
+    ("web/OrderController.java", "OrderController", "class", "", ""),
+    ("svc/OrderService.java", "OrderService", "interface", "", ""),
+    ("svc/OrderServiceImpl.java", "OrderServiceImpl", "class", "BaseService", "shop.svc.OrderService"),
+    ("db/OrderMapper.java", "OrderMapper", "interface", "", ""),
+    ("svc/BaseService.java", "BaseService", "class", "Object", ""),
+]
+#: (class_name, name, return_type, params, calls, start_line, end_line)
+METHODS = [
+    ("OrderController", "find", "Order", "Long id", "log service.load", 8, 12),
+    ("OrderController", "add", "void", "Order order,Pageable page", "checker.valid service.save", 13, 17),
+    ("OrderService", "load", "Order", "Long id", "", 3, 3),
+    ("OrderService", "save", "void", "Order order", "", 4, 4),
+    ("OrderServiceImpl", "load", "Order", "Long id", "mapper.select mapper.orElse Fallback.make", 6, 6),
+    ("OrderServiceImpl", "save", "void", "Order order", "audit mapper.insert retry", 7, 7),
+    ("OrderServiceImpl", "retry", "void", "Order order", "save", 8, 8),
+    ("OrderMapper", "select", "Optional<Order>", "Long id", "", 4, 4),
+    ("OrderMapper", "insert", "int", "Order order", "", 5, 5),
+    ("OrderMapper", "all", "List<Order>", "", "", 6, 6),
+    ("BaseService", "audit", "void", "Object what", "", 3, 3),
+]
+#: (caller, callee, callee_file), without interfaces expanded
+EDGES = [
+    ("OrderController.find", "OrderController.log", "web/OrderController.java"),
+    ("OrderController.find", "OrderService.load", "svc/OrderService.java"),
+    ("OrderController.add", "Checker.valid", "web/OrderController.java"),
+    ("OrderController.add", "OrderService.save", "svc/OrderService.java"),
+    ("OrderServiceImpl.load", "OrderMapper.select", "db/OrderMapper.java"),
+    ("OrderServiceImpl.load", "OrderMapper.orElse", "db/OrderMapper.java"),
+    ("OrderServiceImpl.load", "Fallback.make", "svc/OrderServiceImpl.java"),
+    ("OrderServiceImpl.save", "OrderServiceImpl.audit", "svc/OrderServiceImpl.java"),
+    ("OrderServiceImpl.save", "OrderMapper.insert", "db/OrderMapper.java"),
+    ("OrderServiceImpl.save", "OrderServiceImpl.retry", "svc/OrderServiceImpl.java"),
+    ("OrderServiceImpl.retry", "OrderServiceImpl.save", "svc/OrderServiceImpl.java"),
+]
+#: what expanding interfaces adds
+MORE_EDGES = [
+    ("OrderController.find", "OrderServiceImpl.load", "svc/OrderServiceImpl.java"),
+    ("OrderController.add", "OrderServiceImpl.save", "svc/OrderServiceImpl.java"),
+]
+#: (class_name, layer)
+CLASS_LAYERS = [("OrderController", "Controller"), ("OrderService", "Service"), ("OrderServiceImpl", "Service"), ("OrderMapper", "Mapper"), ("BaseService", "Service")]
+#: (class_name, name, data_type)
+DATA_TYPES = [
+    ("OrderController", "find", "single"), ("OrderController", "add", "paged_list"), ("OrderService", "load", "single"), ("OrderService", "save", "single"),
+    ("OrderServiceImpl", "load", "single"), ("OrderServiceImpl", "save", "single"), ("OrderServiceImpl", "retry", "single"), ("OrderMapper", "select", "single"),
+    ("OrderMapper", "insert", "single"), ("OrderMapper", "all", "unpaged_list"), ("BaseService", "audit", "single"),
+]
+#: (sql_id, sql)
+SELECTS = [
+    ("q1", "SELECT a.NAME AS n, (SELECT max(x) FROM t2) top, COUNT(*), f(a, 'x, FROM y') g, a.AGE FROM t a WHERE z = 1"),
+    ("q2", "select distinct NAME nm, '--no' c -- AGE\n from t"),
+    ("q3", "SELECT * FROM t"),
+    ("q4", "UPDATE t SET a = 1"),
+    ("q5", "SELECT enc(b.AGE) AS age2, NAMES FROM b"),
+]
+#: (sql_id, column, alias) of each item; empty: none
+ITEMS = [
+    ("q1", "NAME", "n"), ("q1", "", "top"), ("q1", "", ""), ("q1", "", "g"), ("q1", "AGE", ""), ("q2", "NAME", "nm"), ("q2", "", "c"), ("q3", "", ""), ("q5", "", "age2"), ("q5", "NAMES", ""),
+]
+#: (sql_id, column, alias) of items that hold NAME or AGE
+TARGETS = [("q1", "NAME", "n"), ("q1", "AGE", "AGE"), ("q2", "NAME", "nm"), ("q5", "AGE", "age2")]
+#: (end_point) and (path, access_cnt, ord) of the access counts, and what they give
+ACCESS_ENDPOINTS = [("/orders/{id}",), ("/orders",), ("/list",), ("/none",), ("",), ("/x/{a}/y",), ("/v.1/{z}",)]
+ACCESS_COUNTS = [("/orders/1", 5, 1), ("/orders/22", 7, 2), ("/orders", 3, 3), ("/orders", 9, 4), ("/app/list", 4, 5), ("/b/list", 8, 6), ("/app/x/1/y/z", 2, 7), ("/vx1/3", 100, 8), ("/v.1/3", 6, 9)]
+ACCESS_FOUND = [("/orders/{id}", 12), ("/orders", 3), ("/list", 4), ("/none", 0), ("", 0), ("/x/{a}/y", 2), ("/v.1/{z}", 6)]

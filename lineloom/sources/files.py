@@ -25,25 +25,32 @@ def _glob(name: Column, relative: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
-def scan(spark: SparkSession, root: str, extensions: Sequence[str] = (".java", ".xml"), exclude_dirs: Sequence[str] = (), exclude_files: Sequence[str] = (), content: bool = False) -> DataFrame:
-    """(path, relative_path, filename, extension, size, modified_time[, content]) of the files below root, one row a path.
+def keep(files: DataFrame, path: str, top: str = "", extensions: Sequence[str] = (".java", ".xml"), exclude_dirs: Sequence[str] = (), exclude_files: Sequence[str] = ()) -> DataFrame:
+    """Rows of files whose path may be a source, with relative_path (below top), filename and extension.
 
     A file is left out if any part of its whole path is an excluded directory or starts with a dot, or if an exclude
-    pattern fits its name or relative path. Extensions are compared without case. Spark's listing doesn't see names
-    that start with "_". An empty tree gives no rows.
+    pattern fits its name or relative path. Extensions are compared without case; without any all are taken.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    path = F.regexp_replace("path", _SCHEME, "")
-    name = F.element_at(F.split("p", "/"), -1)
-    out = files.withColumn("p", path).withColumn("filename", name).withColumn("relative_path", F.expr(f"substring(p, {len(top) + 2})"))
-    parts = F.slice(F.split("p", "/"), 1, F.size(F.split("p", "/")) - 1)
+    parts = F.split(path, "/")
+    out = files.withColumn("filename", F.element_at(parts, -1)).withColumn("relative_path", F.expr(f"substring(`{path}`, {len(top) + 2})"))
     banned = sorted({*EXCLUDED_DIRS, *exclude_dirs})
-    bad = F.exists(parts, lambda x: x.isin(banned) | x.startswith("."))
-    extension = F.regexp_extract("filename", r".(\.[^.]*)$", 1)
-    out = out.withColumn("extension", extension).where(~bad & ~F.col("filename").startswith(".") & F.lower("extension").isin([e.lower() for e in extensions]))
+    bad = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda x: x.isin(banned) | x.startswith("."))
+    out = out.withColumn("extension", F.regexp_extract("filename", r".(\.[^.]*)$", 1)).where(~bad & ~F.col("filename").startswith("."))
+    if extensions:
+        out = out.where(F.lower("extension").isin([e.lower() for e in extensions]))
     if exclude_files:
         out = out.where(~_glob(F.col("filename"), F.col("relative_path"), exclude_files))
+    return out
+
+
+def scan(spark: SparkSession, root: str, extensions: Sequence[str] = (".java", ".xml"), exclude_dirs: Sequence[str] = (), exclude_files: Sequence[str] = (), content: bool = False) -> DataFrame:
+    """(path, relative_path, filename, extension, size, modified_time[, content]) of the files below root that keep() takes, one row a path.
+
+    Spark's listing doesn't see names that start with "_". An empty tree gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    out = keep(files.withColumn("p", F.regexp_replace("path", _SCHEME, "")), "p", top, extensions, exclude_dirs, exclude_files)
     cols = [F.col("p").alias("path"), "relative_path", "filename", "extension", F.col("length").alias("size"), F.col("modificationTime").alias("modified_time")]
     return out.select(*cols, *(["content"] if content else [])).dropDuplicates(["path"])
 
@@ -100,3 +107,16 @@ def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
 def to_parse(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose (path, modified_time) the parse cache lacks."""
     return files.join(cache.select("path", "modified_time").distinct(), ["path", "modified_time"], "left_anti")
+
+
+def nested_results(spark: SparkSession, path: str) -> DataFrame:
+    """Nested JSON results (<ts>/<table>/<class>/*.json) with table_name and class_name from the directories."""
+    file = F.col("_metadata.file_path")
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").json(path).select(
+        "*", F.regexp_extract(file, r"/([^/]+)/[^/]+/[^/]+$", 1).alias("table_name"), F.regexp_extract(file, r"/([^/]+)/[^/]+$", 1).alias("class_name")
+    )
+
+
+def shown(df: DataFrame, n: int = 20) -> str:
+    """A table as text, as the console lists show it."""
+    return df._show_string(n, truncate=False)
