@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, sqltext
 from ..operators import access as acc
-from ..operators import batching, external, graph, matching, resolve
+from ..operators import batching, external, graph, matching, reports, resolve
 from ..sources import files, javaparse
 from . import javafixtures as J
 from .fixtures import LAYERS, STATEMENTS, WATCHED, values_sql
@@ -538,3 +538,42 @@ def text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select distinct doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
 def ids_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acc.missing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+# --- report fields --------------------------------------------------------------------------------------------------
+
+
+@query(f"select * from {values_sql(J.CRYPTO_DEPTHS, 'name, dep0, dep1, dep2, max_loop_depth, total_calls')}")
+def crypto_calls_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = spark.createDataFrame(J.CRYPTO_CODE, "name string, code string")
+    return code.select("name", reports.calls_by_depth(F.col("code"), J.CRYPTO_NAMES).alias("c")).select("name", "c.*")
+
+
+_METHODS = "select concat(case when c_custkey % 3 = 0 then 'Y.' else 'X.' end, c_nationkey) as method from {customer}"
+_HANDLERS = "select concat('X.', s_nationkey) as method, concat('/s/', s_suppkey) as path, s_suppkey as ord from {supplier}"
+
+
+@query(
+    f"""with h as ({_HANDLERS.replace("{supplier}", "supplier")}), k as (select method, arg_max(path, ord) as p, min(ord) as o from h group by method)
+    select method, coalesce((select p from k where k.method = m.method), (select p from k where split_part(k.method, '.', 2) = split_part(m.method, '.', 2) order by o limit 1)) as path
+    from (select distinct method from ({_METHODS.replace("{customer}", "customer")})) m"""
+)
+def endpoint_of_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.endpoint_of_methods(spark.sql(_METHODS, customer=table(spark, sf_dir, "customer")), spark.sql(_HANDLERS, supplier=table(spark, sf_dir, "supplier")))
+
+
+@query("select concat('C', o_custkey, '.', o_orderstatus, '>O.', o_orderpriority) as stack from orders where o_custkey in (select c_custkey from customer where c_custkey % 3 = 0) group by 1")
+def relevant_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = F.array(F.concat(F.lit("C"), "o_custkey", F.lit("."), "o_orderstatus"), F.concat(F.lit("O."), "o_orderpriority")).alias("stack")
+    files = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("src/C"), "c_custkey", F.lit(".java")).alias("path"))
+    return reports.relevant_stacks(table(spark, sf_dir, "orders").select(stack), files).select(F.array_join("stack", ">").alias("stack"))
+
+
+@query(
+    f"""with s as (select distinct concat('ns.', lower(o_orderstatus)) as namespace, split_part(o_orderpriority, '-', 1) as sql_id from orders), k as (select * from {values_sql(J.NAMESPACES, 'namespace, class_name, method, sql_id, ord')}),
+    m as (select s.namespace, s.sql_id, k.class_name, k.method, row_number() over (partition by s.namespace, s.sql_id order by k.ord) as n from s left join k on k.namespace = s.namespace and (k.sql_id = s.sql_id or k.method = s.sql_id))
+    select namespace, sql_id, coalesce(class_name, regexp_extract(namespace, '[^.]*$')) as class_name, coalesce(method, sql_id) as method from m where n = 1"""
+)
+def mapped_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").select(F.concat(F.lit("ns."), F.lower("o_orderstatus")).alias("namespace"), F.substring_index("o_orderpriority", "-", 1).alias("sql_id"))
+    return reports.mapped_methods(s, spark.createDataFrame(J.NAMESPACES, "namespace string, class_name string, method string, sql_id string, ord int"))

@@ -118,3 +118,13 @@ TARGETS = [("q1", "NAME", "n"), ("q1", "AGE", "AGE"), ("q2", "NAME", "nm"), ("q5
 ACCESS_ENDPOINTS = [("/orders/{id}",), ("/orders",), ("/list",), ("/none",), ("",), ("/x/{a}/y",), ("/v.1/{z}",)]
 ACCESS_COUNTS = [("/orders/1", 5, 1), ("/orders/22", 7, 2), ("/orders", 3, 3), ("/orders", 9, 4), ("/app/list", 4, 5), ("/b/list", 8, 6), ("/app/x/1/y/z", 2, 7), ("/vx1/3", 100, 8), ("/v.1/3", 6, 9)]
 ACCESS_FOUND = [("/orders/{id}", 12), ("/orders", 3), ("/list", 4), ("/none", 0), ("", 0), ("/x/{a}/y", 2), ("/v.1/{z}", 6)]
+
+#: Methods that call a utility, its signatures, and the calls by loop depth: outside, in one, in more, the deepest, all.
+CRYPTO_NAMES = ["com.shop.CipherUtil.encrypt(String) -> String", "CipherUtil.decryptAll", "CipherUtil.name"]
+CRYPTO_CODE = [
+    ("plain", "String f(String s) { return CipherUtil.encrypt(s); }"),
+    ("commented", "void f() { /* CipherUtil.encrypt(a) */ log(\"CipherUtil.encrypt(b)\"); // CipherUtil.encrypt(c)\n }"),
+    ("loops", "void f() { for (A a : all) { CipherUtil . encrypt(a.x); while (a.next()) { CipherUtil.decryptAll(a); for (;;) { CipherUtil.encrypt(a); } } } CipherUtil.encrypt(z); CipherUtil.name(z); }"),
+]
+CRYPTO_DEPTHS = [("plain", 1, 0, 0, 0, 1), ("commented", 0, 0, 0, 0, 0), ("loops", 1, 1, 2, 3, 4)]
+NAMESPACES = [("ns.o", "OrderDao", "find", "1", 1), ("ns.o", "OldOrderDao", "load", "1", 2), ("ns.f", "FilledDao", "3", "x", 3)]
