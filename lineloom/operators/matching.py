@@ -34,3 +34,51 @@ def line_changes(df: DataFrame, old: str, new: str) -> DataFrame:
 
     kind = "array<struct<tag:string,old_start:int,old_end:int,new_start:int,new_end:int>>"
     return df.withColumn("changes", F.pandas_udf(run, kind)(old, new))
+
+
+def named_files(asked: DataFrame, files: DataFrame, least: float = 0.7) -> DataFrame:
+    """asked (request, ident, code) with file and way: which of the files (request, idx, path, text) of its request an answer means.
+
+    In order: the tag FILE_<idx>, the file name, the name in any case, package and class of the code, the name with the
+    largest ratio of equal parts, at least `least`. The last of files with one name counts for names, the first for code.
+    None: file null, way failed. A request's files stood in one prompt, so they are few.
+    """
+    from ..functions.javatext import without_comments
+
+    base = lambda p: F.regexp_extract(p, r"([^/]*)/*$", 1)
+    package = lambda c: F.nullif(F.regexp_extract(without_comments(c), r"\bpackage\s+([\w.]+)\s*;", 1), F.lit(""))
+    kind = lambda c: F.nullif(F.regexp_extract(without_comments(c), r"\b(?:class|interface|enum)\s+(\w+)", 1), F.lit(""))
+    f = files.select("request", F.struct("idx", "path", base(F.col("path")).alias("name"), package(F.col("text")).alias("package"), kind(F.col("text")).alias("kind")).alias("f"))
+    f = f.groupBy("request").agg(F.array_sort(F.collect_list("f")).alias("_files"))
+    a = asked.join(f, "request", "left").withColumn("_files", F.coalesce("_files", F.expr("array()").cast("array<struct<idx:int,path:string,name:string,package:string,kind:string>>")))
+    a = a.withColumn("_name", base(F.trim("ident"))).withColumn("_package", package(F.col("code"))).withColumn("_kind", kind(F.col("code")))
+    a = a.withColumn("_idx", F.expr(r"try_cast(nullif(regexp_extract(trim(ident), '(?i)^FILE_([0-9]+)', 1), '') as int)"))
+    first = lambda test: F.get(F.filter("_files", test), F.lit(0))["path"]
+    last = lambda test: F.get(F.reverse(F.filter("_files", test)), F.lit(0))["path"]
+    same = lambda x: (x["kind"] == F.col("_kind")) & F.coalesce(x["package"] == F.col("_package"), F.lit(True))
+    ways = {
+        "index": first(lambda x: x["idx"] == F.col("_idx")),
+        "exact": last(lambda x: x["name"] == F.col("_name")),
+        "case_insensitive": last(lambda x: F.lower(x["name"]) == F.lower("_name")),
+        "signature": first(same),
+    }
+    known = F.coalesce(*ways.values())
+
+    def near(name: pd.Series, names: pd.Series) -> pd.Series:
+        def one(n, many):
+            best, out = 0.0, None
+            for x in dict.fromkeys(many) if isinstance(n, str) else ():
+                r = difflib.SequenceMatcher(None, n.lower(), x.lower()).ratio()
+                if r > best and r >= least:
+                    best, out = r, x
+            return out
+
+        return pd.Series([one(*x) for x in zip(name, names)], dtype=object)
+
+    names = F.when(known.isNull(), F.transform("_files", lambda x: x["name"])).otherwise(F.array().cast("array<string>"))
+    a = a.withColumn("_near", F.pandas_udf(near, "string")("_name", names))
+    file = F.coalesce(known, last(lambda x: x["name"] == F.col("_near")))
+    way = F.lit("failed")
+    for k, test in reversed([*ways.items(), ("fuzzy", file)]):
+        way = F.when(test.isNotNull(), k).otherwise(way)
+    return a.withColumn("file", file).withColumn("way", way).drop("_files", "_name", "_package", "_kind", "_idx", "_near")

@@ -96,3 +96,73 @@ def enclosing(lines: DataFrame, ranges: DataFrame, by: str = "path") -> DataFram
     hit = lines.join(r, (F.col(by) == F.col("_by")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
     w = Window.partitionBy(by, "line").orderBy(F.col("start_line").asc_nulls_last(), "end_line", "name")
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(by, "line", "name")
+
+
+def statement_files(statements: DataFrame, types: DataFrame, layer: str = "mapper") -> DataFrame:
+    """(path, namespace, sql_id, method, layer, file): the files of a mapper statement.
+
+    The classes that its namespace, parameter type, result type and result map name are of the given layer, its own file
+    is of layer xml. method is the last name of the namespace with the id; null without a namespace.
+    """
+    has = F.coalesce(F.col("namespace"), F.lit("")) != ""
+    s = statements.where("sql_id is not null").select("path", "namespace", "sql_id", F.when(has, F.concat_ws(".", last_name(F.col("namespace")), "sql_id")).alias("method"), "parameter_type", "result_type", "result_map")
+    refs = s.select("path", "namespace", "sql_id", "method", F.explode(F.array("namespace", "parameter_type", "result_type", "result_map")).alias("name")).where("name <> ''")
+    found = resolve_class(refs, types).where("class_path is not null").select("path", "namespace", "sql_id", "method", F.lit(layer).alias("layer"), F.col("class_path").alias("file"))
+    return found.unionByName(s.select("path", "namespace", "sql_id", "method", F.lit("xml").alias("layer"), F.col("path").alias("file"))).distinct()
+
+
+def local_calls(methods: DataFrame) -> DataFrame:
+    """(caller, callee, caller_file, callee_file): every call taken as one of the caller's own class.
+
+    The file is that of a method with the called name, of several the last by path and line; else the caller's.
+    """
+    calls = methods.select("path", "class_name", "name", F.explode("calls").alias("call")).select("path", "class_name", "name", last_name(F.col("call")).alias("m"))
+    files = methods.groupBy(F.col("name").alias("m")).agg(F.max_by("path", F.struct("path", "start_line")).alias("file"))
+    return calls.join(files, "m", "left").select(F.concat_ws(".", "class_name", "name").alias("caller"), F.concat_ws(".", "class_name", "m").alias("callee"), F.col("path").alias("caller_file"), F.coalesce("file", "path").alias("callee_file")).distinct()
+
+
+#: The ends of a class that implements a service interface, in the order in which they are tried.
+IMPL_ENDS = ("Impl", "IMPL", "impl")
+
+
+def service_imports(types: DataFrame, services: DataFrame) -> DataFrame:
+    """(path, imported): for each import the service file (services: path) that it means.
+
+    A leading I before a capital is left out; first with an end of IMPL_ENDS, then the full name with one, then the name
+    itself with or without the I; of several the least path.
+    """
+    asked = types.select(F.col("path").alias("from"), F.explode("imports").alias("i")).select("from", "i", last_name(F.col("i")).alias("n")).distinct()
+    bare = F.regexp_replace("n", "^I(?=[A-Z])", "")
+    names = [F.concat(x, F.lit(e)) for x in (bare, F.col("n")) for e in IMPL_ENDS]
+    ways = F.array(*(F.struct(F.lit(k).alias("way"), x.alias("stem")) for k, x in enumerate(names)), *(F.struct(F.lit(len(names)).alias("way"), x.alias("stem")) for x in (F.col("n"), bare)))
+    files = services.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")).distinct()
+    hit = asked.select("from", "i", F.inline(ways)).join(files, "stem")
+    best = hit.groupBy("from", "i").agg(F.min(F.struct("way", "path")).alias("x"))
+    return best.select(F.col("from").alias("path"), F.col("x.path").alias("imported")).distinct()
+
+
+def service_chain(types: DataFrame, services: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, file, depth): service files that each root (path) reaches over imports, by least depth; a root is no file of its own chain unless it is reached."""
+    from .graph import reach
+
+    edges = service_imports(types, services).select(F.col("path").alias("caller"), F.col("imported").alias("callee"))
+    far = reach(edges, roots.select(F.col("path").alias("node")), max_depth=1 << 30)
+    back = far.join(edges, far["node"] == edges["caller"]).where(F.col("callee") == F.col("root")).groupBy("root").agg(F.min(F.col("depth") + 1).alias("depth"))
+    return far.where("depth > 0").select("root", F.col("node").alias("file"), "depth").unionByName(back.select("root", F.col("root").alias("file"), "depth"))
+
+
+def namespace_methods(sources: DataFrame, methods: DataFrame) -> DataFrame:
+    """(namespace, class_name, method, sql_id, path): methods of classes with a constant NAMESPACE, and the id that each adds to it.
+
+    Of a file counts the class of its name, else the first. A method without `NAMESPACE + "id"` has sql_id null.
+    """
+    from ..functions.javatext import without_comments
+
+    code = without_comments(F.col("text"))
+    name = F.regexp_extract(code, r'\bNAMESPACE\s*=\s*"([^"]*)"', 1)
+    files = sources.select("path", F.trim(name, F.lit(".")).alias("namespace"), F.split("text", "\n").alias("lines")).where("namespace <> ''")
+    own = (F.col("class_name") == F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).cast("int")
+    chosen = methods.groupBy("path").agg(F.max_by("class_name", F.struct(own, -F.col("start_line"))).alias("class_name"))
+    body = without_comments(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
+    found = methods.join(chosen, ["path", "class_name"]).join(files, "path")
+    return found.select("namespace", "class_name", F.col("name").alias("method"), F.nullif(F.regexp_extract(body, r'NAMESPACE\s*\+\s*"([^"]+)"', 1), F.lit("")).alias("sql_id"), "path")

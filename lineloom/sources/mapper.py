@@ -111,7 +111,9 @@ def statements(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist(parse(p, t), schema=schema)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                rows = [r for p, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in parse(p, t)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "text").mapInArrow(run, STATEMENT_SCHEMA)
