@@ -111,3 +111,36 @@ def cardinality(kind: Column) -> Column:
     for w in MANY:
         many = many | low.contains(w)
     return F.when(F.coalesce(kind, F.lit("")).isin("", "void") | (low == "null"), "none").when(many, "multiple").otherwise("single")
+
+
+def service_endpoints(sources: DataFrame) -> DataFrame:
+    """(path, class_name, method_name, http_method, end_point) of methods with a service id, below the local name of their class.
+
+    http_method is ServiceIdMapping. Local name and id are joined by one slash; a method without an id is none.
+    """
+    code = sources.select("path", without_comments(F.col("text")).alias("code"))
+    local = annotation_path(F.regexp_extract("code", rf"@LocalName\s*\([^)]*\)\s*{_ANNOTATIONS}(?:(?:public|abstract|final)\s+)*class\s+\w+", 0))
+    handler = rf"@ServiceIdMapping\s*\([^)]*\)\s*{_ANNOTATIONS}(?:{_MODIFIER}\s+)*{_NO_TYPE}{_TYPE}\s+[A-Za-z_$][\w$]*\s*\("
+    found = code.select("path", F.regexp_extract("code", r"\bclass\s+(\w+)", 1).alias("class_name"), F.coalesce(local, F.lit("")).alias("base"), F.explode(all_of(F.col("code"), handler, 0)).alias("h"))
+    own = annotation_path(F.regexp_extract("h", r"^@\w+\s*\([^)]*\)", 0))
+    joined = F.when(F.col("base") == "", own).otherwise(F.concat(F.regexp_replace("base", "/$", ""), F.lit("/"), F.regexp_replace(own, "^/", "")))
+    return found.where(own.isNotNull()).select("path", "class_name", F.regexp_extract("h", r"([\w$]+)\s*\($", 1).alias("method_name"), F.lit("ServiceIdMapping").alias("http_method"), joined.alias("end_point"))
+
+
+def mapping_paths(sources: DataFrame) -> DataFrame:
+    """Distinct (path, http_method, end_point) of all mapping annotations of controllers, wherever they stand.
+
+    The first request mapping is the base and an endpoint itself. A path that begins with the base, or of which both begin
+    with /api, stands alone; else it follows the base. Slashes are single. A request mapping without method is GET.
+    """
+    value = r"\(\s*(?:value\s*=\s*)?[\"']([^\"']+)[\"']"
+    request = rf"@RequestMapping\s*{value}(?:\s*,\s*method\s*=\s*RequestMethod\.[A-Z]+)?"
+    text = F.coalesce("text", F.lit(""))
+    first = F.regexp_replace(F.regexp_extract(text, rf"@RequestMapping\s*{value}", 1), "/+$", "")
+    marks = F.concat(all_of(text, rf"@(?:Get|Post|Put|Delete|Patch)Mapping\s*{value}", 0), all_of(text, request, 0))
+    rooted = lambda c: F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
+    found = sources.select("path", F.when(first != "", rooted(first)).alias("base"), F.explode(marks).alias("m"))
+    own = rooted(F.regexp_extract("m", value, 1))
+    alone = F.col("base").isNull() | own.startswith(F.col("base")) | (own.startswith("/api") & F.col("base").startswith("/api"))
+    full = F.regexp_replace(F.when(alone, own).otherwise(F.concat("base", own)), "/+", "/")
+    return found.select("path", http_method(F.col("m")).alias("http_method"), full.alias("end_point")).distinct()

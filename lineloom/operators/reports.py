@@ -101,3 +101,42 @@ def mapped_methods(statements: DataFrame, known: DataFrame) -> DataFrame:
     first = by_id.unionByName(by_name).groupBy("namespace", "sql_id").agg(F.min_by(F.struct("class_name", "method"), "ord").alias("m"))
     found = s.join(first, ["namespace", "sql_id"], "left")
     return found.select("namespace", "sql_id", F.coalesce("m.class_name", F.substring_index("namespace", ".", -1)).alias("class_name"), F.coalesce("m.method", "sql_id").alias("method"))
+
+
+def class_paths(names: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
+    """(class_name, path) of distinct names: by the index of files with access (known: class_name, path, ord; the last
+    counts), else the Java file (files: path) of that name with the least path; null without one."""
+    n = names.select("class_name").distinct()
+    k = known.groupBy("class_name").agg(F.max_by("path", "ord").alias("k"))
+    stem = F.regexp_extract("path", r"([^/]+)\.java$", 1)
+    f = files.where(stem != "").groupBy(stem.alias("class_name")).agg(F.min("path").alias("f"))
+    return n.join(k, "class_name", "left").join(f, "class_name", "left").select("class_name", F.coalesce("k", "f").alias("path"))
+
+
+def method_types(asked: DataFrame, methods: DataFrame, sources: DataFrame) -> DataFrame:
+    """asked (path, method) with in_type and out_type: the first parameter's type, void without one, and the return type.
+
+    Of the class named as the file its first method of that name counts, else what stands in the text of the file before
+    the first such name with brackets, its parameters cut at the first comma, even inside a type; null without either.
+    """
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    own = methods.where(F.col("class_name") == stem).groupBy("path", F.col("name").alias("method"))
+    own = own.agg(F.min_by(F.struct(F.coalesce(F.get("params", F.lit(0))["type"], F.lit("void")).alias("in_type"), F.col("return_type").alias("out_type")), F.struct("start_line", "place")).alias("x"))
+    left = asked.join(own, ["path", "method"], "left").join(sources.select("path", "text"), "path", "left")
+    declared = lambda g: F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"([\w<>.,\[\]]+)\s+\Q"), F.col("method"), F.lit(r"\E\s*\(([^)]*)\)")), F.lit(g))
+    out = F.nullif(declared(1), F.lit(""))
+    head = F.trim(F.substring_index(F.trim(declared(2)), ",", 1))
+    inward = F.when(out.isNull(), F.lit(None)).when(head == "", "void").otherwise(F.regexp_extract(head, r"^(\S+)", 1))
+    return left.select(*asked.columns, F.coalesce(F.col("x.in_type"), inward).alias("in_type"), F.coalesce(F.col("x.out_type"), out).alias("out_type"))
+
+
+def calling_methods(methods: DataFrame, sources: DataFrame, patterns: list[str]) -> DataFrame:
+    """methods whose lines, from the declaration to the last, hold the name of one of the utility calls (`Util.name(..)`)."""
+    names = sorted({m[1] for p in patterns if (m := re.search(r"\.(\w+)\s*\(", p))})
+    lines = sources.select("path", F.split("text", "\n").alias("_lines"))
+    body = F.array_join(F.slice("_lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    inside = F.regexp_replace(body, r"^[^{]*", "")
+    test = F.lit(False)
+    for n in names:
+        test = test | inside.contains(n)
+    return methods.join(lines, "path").where(test).drop("_lines")

@@ -166,3 +166,47 @@ def namespace_methods(sources: DataFrame, methods: DataFrame) -> DataFrame:
     body = without_comments(F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
     found = methods.join(chosen, ["path", "class_name"]).join(files, "path")
     return found.select("namespace", "class_name", F.col("name").alias("method"), F.nullif(F.regexp_extract(body, r'NAMESPACE\s*\+\s*"([^"]+)"', 1), F.lit("")).alias("sql_id"), "path")
+
+
+def batch_endpoints(methods: DataFrame, suffix: str = "BAT", method: str = "execute") -> DataFrame:
+    """(path, signature, http_method, end_point): methods of that name in classes with that end in any case, whose end point
+    is their file, and `run` of classes named ..Tasklet, whose end point is the class and whose verb is BATCH."""
+    own = methods.select("path", "class_name", "name", F.concat_ws(".", "class_name", "name").alias("signature"))
+    by_suffix = own.where(F.upper("class_name").endswith(suffix.upper()) & (F.col("name") == method)).select("path", "signature", F.lit(None).cast("string").alias("http_method"), F.col("path").alias("end_point"))
+    tasklets = own.where(F.col("class_name").endswith("Tasklet") & (F.col("name") == "run")).select("path", "signature", F.lit("BATCH").alias("http_method"), F.col("class_name").alias("end_point"))
+    return by_suffix.unionByName(tasklets).distinct()
+
+
+def chains_to(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(root, chain): for each root (path) the shortest chain of files whose last uses a target (path); the least in order of several, none without one.
+
+    edges (path, imported) are imports, files of one package and what else counts. Chains don't pass through targets.
+    """
+    from .graph import shortest_paths
+
+    goal = targets.select(F.col("path").alias("imported")).distinct()
+    uses = edges.join(goal, "imported", "left_semi").select(F.col("path").alias("node")).distinct()
+    between = edges.join(goal, "imported", "left_anti").select(F.col("path").alias("caller"), F.col("imported").alias("callee"))
+    far = shortest_paths(between, roots.select(F.col("path").alias("node")).distinct(), max_depth=1 << 30)
+    best = far.join(uses, "node", "left_semi").groupBy("root").agg(F.min(F.struct("depth", "path")).alias("x"))
+    return best.select("root", F.col("x.path").alias("chain"))
+
+
+def package_edges(files: DataFrame, others: DataFrame) -> DataFrame:
+    """(path, imported): files (path, text) and those of others (path) in the same folder whose name stands in the text as a word."""
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    words = files.select(F.col("path").alias("from"), folder.alias("folder"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\w$]+)"), F.lit(1)))).alias("stem"))
+    named = others.select("path", folder.alias("folder"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")).distinct()
+    return words.join(named, ["folder", "stem"]).where("from <> path").select(F.col("from").alias("path"), F.col("path").alias("imported")).distinct()
+
+
+def controller_groups(types: DataFrame, controllers: DataFrame, services: DataFrame, values: DataFrame) -> DataFrame:
+    """(controller, files, context): per controller (path) itself and the services (path) it imports, and the value files
+    (path) that it or those services import; arrays in order. An import means the file of its name or that with Impl."""
+    edges = import_files(types)
+    c = controllers.select(F.col("path").alias("controller")).distinct()
+    first = c.join(edges, c["controller"] == edges["path"]).select("controller", F.col("imported").alias("file")).join(services.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    files = c.select("controller", F.col("controller").alias("file")).unionByName(first.select("controller", "file")).distinct()
+    vo = files.join(edges, files["file"] == edges["path"]).select("controller", F.col("imported").alias("vo")).join(values.select(F.col("path").alias("vo")).distinct(), "vo", "left_semi")
+    lists = lambda df, col, name: df.groupBy("controller").agg(F.array_sort(F.collect_set(col)).alias(name))
+    return lists(files, "file", "files").join(lists(vo, "vo", "context"), "controller", "left").select("controller", "files", F.coalesce("context", F.array().cast("array<string>")).alias("context"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, patching, resolve
+from ..functions import javatext
+from ..operators import matching, patching, reports, resolve
 from ..sources import batchsql, javaparse
 from . import javafixtures as J
 from .catalog import query, table
@@ -129,6 +130,115 @@ def namespace_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.namespace_methods(sources, javaparse.methods(javaparse.types(sources))).drop("path")
 
 
+# --- endpoints of other frameworks, chains and groups of files ---------------------------------------------------------
+
+ENDPOINTS = [
+    ("w/A.java", '@LocalName("svc/")\npublic class A {\n  @ServiceIdMapping("/tx1") @Trace\n  public Map<String, Object> one(Map in) { return null; }\n  // @ServiceIdMapping("no") void no() { }\n  @ServiceIdMapping(value = "tx2")\n  void two() { }\n  public void three() { }\n}\n'),
+    ("w/B.java", '@Service class B { @ServiceIdMapping("tx3") public void f() { } }'),
+    ("b/NightBat.java", "class NightBat { void execute() { } void other() { } }"),
+    ("b/LoadTasklet.java", "class LoadTasklet { public void run() { } void execute() { } }"),
+    ("c/C.java", '@RequestMapping("/api/")\nclass C {\n @GetMapping("list") void a(){}\n @PostMapping(value = "/api/x") void b(){}\n @RequestMapping(value = "//y", method = RequestMethod.PUT) void c(){}\n @GetMapping("list") void d(){}\n @DeleteMapping void e(){}\n}'),
+    ("c/D.java", "class D { @PatchMapping('p') void a(){} @RequestMapping(\"q\") void b(){} }"),
+]
+SERVICE_IDS = [("w/A.java", "A", "one", "svc/tx1"), ("w/A.java", "A", "two", "svc/tx2"), ("w/B.java", "B", "f", "tx3")]
+BATCH_POINTS = [("b/NightBat.java", "NightBat.execute", "", "b/NightBat.java"), ("b/LoadTasklet.java", "LoadTasklet.run", "BATCH", "LoadTasklet")]
+PATHS = [("c/C.java", "GET", "/api/"), ("c/C.java", "GET", "/api/list"), ("c/C.java", "POST", "/api/x"), ("c/C.java", "PUT", "/api/y"), ("c/D.java", "PATCH", "/q/p"), ("c/D.java", "GET", "/q")]
+
+
+def endpoint_sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ENDPOINTS, "path string, text string")
+
+
+@query(f"select *, 'ServiceIdMapping' as http_method from {values_sql(SERVICE_IDS, 'path, class_name, method_name, end_point')}")
+def service_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return javatext.service_endpoints(endpoint_sources(spark))
+
+
+@query(f"select path, signature, nullif(http_method, '') as http_method, end_point from {values_sql(BATCH_POINTS, 'path, signature, http_method, end_point')}")
+def batch_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.batch_endpoints(javaparse.methods(javaparse.types(endpoint_sources(spark))))
+
+
+@query(f"select * from {values_sql(PATHS, 'path, http_method, end_point')}")
+def mapping_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return javatext.mapping_paths(endpoint_sources(spark))
+
+
+_IMPORTS = "select concat('N', n_nationkey) as path, concat('N', (n_nationkey * 2 + 1) % 25) as imported from {nation} union all select concat('N', n_nationkey), concat('N', n_nationkey * 3 % 25) from {nation} union all select concat('N', n_nationkey), concat('T', n_nationkey) from {nation} where n_regionkey = 0"
+
+
+@query(
+    """with recursive e as (select n_nationkey as a, (n_nationkey * 2 + 1) % 25 as b from nation union select n_nationkey, n_nationkey * 3 % 25 from nation),
+    r as (select n_nationkey as root, n_nationkey as k, 0 as depth, concat('N', n_nationkey) as chain from nation union all
+      select root, b, depth + 1, chain || '>N' || b from r join e on e.a = r.k where depth < 6 and not list_contains(string_split(chain, '>'), concat('N', b))),
+    u as (select root, depth, chain from r where k in (select n_nationkey from nation where n_regionkey = 0))
+    select concat('N', root) as root, arg_min(chain, (depth, string_split(chain, '>'))) as chain from u group by root"""
+)
+def chains_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    edges = spark.sql(_IMPORTS, nation=nation)
+    got = resolve.chains_to(edges, edges.select("path"), edges.where("imported like 'T%'").select(F.col("imported").alias("path")))
+    return got.select("root", F.array_join("chain", ">").alias("chain"))
+
+
+_NEAR = "select concat('p', s_nationkey, '/S', s_suppkey, '.java') as path, concat('use(S', s_suppkey + 25, '); new S', s_suppkey, '(); XS', s_suppkey + 50, ' // ', s_name) as text from {supplier}"
+
+
+@query("select concat('p', a.s_nationkey, '/S', a.s_suppkey, '.java') as path, concat('p', b.s_nationkey, '/S', b.s_suppkey, '.java') as imported from supplier a join supplier b on b.s_suppkey = a.s_suppkey + 25 and b.s_nationkey = a.s_nationkey")
+def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spark.sql(_NEAR, supplier=table(spark, sf_dir, "supplier"))
+    return resolve.package_edges(f, f)
+
+
+GROUPS = [("web/OrderController.java", "svc/OrderService.java,svc/OrderServiceImpl.java,web/OrderController.java", "db/OrderMapper.java"), ("web/None.java", "web/None.java", "")]
+
+
+@query(f"select * from {values_sql(GROUPS, 'controller, files, context')}")
+def controller_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    got = resolve.controller_groups(javaparse.types(java_sources(spark)), paths("web/OrderController.java", "web/None.java"), paths("svc/OrderService.java", "svc/OrderServiceImpl.java", "svc/BaseService.java"), paths("db/OrderMapper.java"))
+    return got.select("controller", F.array_join("files", ",").alias("files"), F.array_join("context", ",").alias("context"))
+
+
+# --- report lookups -------------------------------------------------------------------------------------------------
+
+_CLASSES = "select concat('C', c_nationkey) as class_name from {customer}"
+_ACCESS = "select concat('C', s_nationkey) as class_name, concat('acc/', s_suppkey, '/C', s_nationkey, '.java') as path, s_suppkey as ord from {supplier} where s_suppkey % 3 = 0"
+_PROJECT = "select concat('m', c_custkey % 7, '/C', c_custkey % 40, case when c_custkey % 11 = 0 then '.xml' else '.java' end) as path from {customer} where c_nationkey < 12"
+
+
+@query(
+    """with k as (select concat('C', s_nationkey) as class_name, arg_max(concat('acc/', s_suppkey, '/C', s_nationkey, '.java'), s_suppkey) as k from supplier where s_suppkey % 3 = 0 group by 1),
+    f as (select concat('C', c_custkey % 40) as class_name, min(concat('m', c_custkey % 7, '/C', c_custkey % 40, '.java')) as f from customer where c_nationkey < 12 and c_custkey % 11 <> 0 group by 1)
+    select c.class_name, coalesce(k, f) as path from (select distinct concat('C', c_nationkey) as class_name from customer) c left join k using (class_name) left join f using (class_name)"""
+)
+def class_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return reports.class_paths(spark.sql(_CLASSES, customer=customer), spark.sql(_ACCESS, supplier=supplier), spark.sql(_PROJECT, customer=customer))
+
+
+ASKED_METHODS = [("web/OrderController.java", "find"), ("web/OrderController.java", "add"), ("db/OrderMapper.java", "all"), ("web/OrderController.java", "valid"), ("db/OrderMapper.java", "gone"), ("no/File.java", "find"), ("svc/Text.txt", "call")]
+METHOD_TYPES = [
+    ("web/OrderController.java", "find", "Long", "Order"), ("web/OrderController.java", "add", "Order", "void"), ("db/OrderMapper.java", "all", "void", "List<Order>"), ("web/OrderController.java", "valid", "", ""),
+    ("db/OrderMapper.java", "gone", "", ""), ("no/File.java", "find", "", ""), ("svc/Text.txt", "call", "Map<K", "List<X>"),
+]
+
+
+@query(f"select path, method, nullif(in_type, '') as in_type, nullif(out_type, '') as out_type from {values_sql(METHOD_TYPES, 'path, method, in_type, out_type')}")
+def method_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = java_sources(spark).unionByName(spark.createDataFrame([("svc/Text.txt", "List<X> call( Map<K,V> m, int n) ...")], "path string, text string"))
+    return reports.method_types(spark.createDataFrame(ASKED_METHODS, "path string, method string"), javaparse.methods(javaparse.types(sources)), sources)
+
+
+CALLING = [("OrderController", "add"), ("OrderServiceImpl", "load")]
+
+
+@query(f"select * from {values_sql(CALLING, 'class_name, name')}")
+def calling_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = java_sources(spark)
+    return reports.calling_methods(javaparse.methods(javaparse.types(s)), s, ["Checker.valid(Order)", "Fallback.make()", "noDot"]).select("class_name", "name")
+
+
 # --- proposed changes -----------------------------------------------------------------------------------------------
 
 ASKED = [
