@@ -39,7 +39,10 @@ class Hunk:
 
 
 def hunks(diff: str) -> list[Hunk]:
-    """Hunks of a unified diff; without file headers the paths are /dev/null; counts left out are 1; an empty line is context."""
+    """Hunks of a unified diff; without file headers the paths are /dev/null; counts left out are 1; an empty line is context.
+
+    Counts aren't relied on, as answers get them wrong, so a line `--- x` before one `+++ y` is always a file header.
+    """
     out: list[Hunk] = []
     paths, is_open, rows = ("/dev/null", "/dev/null"), False, diff.splitlines()
     for i, row in enumerate(rows):
