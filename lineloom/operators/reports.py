@@ -140,3 +140,19 @@ def calling_methods(methods: DataFrame, sources: DataFrame, patterns: list[str])
     for n in names:
         test = test | inside.contains(n)
     return methods.join(lines, "path").where(test).drop("_lines")
+
+
+def stack_methods(stacks: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (path, method): for each of files (path) the methods of its class in the relevant stacks, in any frame."""
+    frame = relevant_stacks(stacks, files).select(F.explode("stack").alias("f")).where(F.col("f").contains("."))
+    frame = frame.select(F.substring_index("f", ".", 1).alias("stem"), F.regexp_replace("f", r"^[^.]*\.", "").alias("method")).distinct()
+    named = files.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")).distinct()
+    return named.join(frame, "stem").select("path", "method")
+
+
+def statement_signatures(statements: DataFrame) -> DataFrame:
+    """(path, signature, parameters) of mapper statements: the id after its namespace, if it has one, and the names of its parameters."""
+    from ..functions.sqltext import parameters
+
+    name = F.concat_ws(".", F.nullif(F.col("namespace"), F.lit("")), "sql_id")
+    return statements.where("sql_id is not null").select("path", name.alias("signature"), parameters(F.col("sql")).alias("parameters"))

@@ -239,6 +239,27 @@ def calling_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.calling_methods(javaparse.methods(javaparse.types(s)), s, ["Checker.valid(Order)", "Fallback.make()", "noDot"]).select("class_name", "name")
 
 
+_STACKS = "select array(concat('C', o_custkey, '.f'), concat('O', o_custkey % 9, '.', o_orderpriority), concat('C', o_custkey + 1, '.', o_orderstatus, '.x'), 'plain') as stack from {orders}"
+
+
+@query(
+    """with f as (select distinct concat('C', c_custkey) as stem from customer where c_custkey % 3 > 0), s as (select distinct o_custkey as k, o_orderstatus as st from orders where concat('C', o_custkey) in (select stem from f))
+    select distinct concat('src/', stem, '.java') as path, method from f join (select concat('C', k) as stem, 'f' as method from s union all select concat('C', k + 1), concat(st, '.x') from s) using (stem)"""
+)
+def stack_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("src/C"), "c_custkey", F.lit(".java")).alias("path"))
+    return reports.stack_methods(spark.sql(_STACKS, orders=table(spark, sf_dir, "orders")), files)
+
+
+SIGNED = [("m/A.xml", "a.B", "find", "select * from t where x = #{x} and y = ${y} or z = #{x}"), ("m/A.xml", "", "all", "select 1")]
+
+
+@query(f"select * from {values_sql([('m/A.xml', 'a.B.find', 'x,y'), ('m/A.xml', 'all', '')], 'path, signature, parameters')}")
+def statement_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.statement_signatures(spark.createDataFrame(SIGNED, "path string, namespace string, sql_id string, sql string"))
+    return s.withColumn("parameters", F.array_join("parameters", ","))
+
+
 # --- proposed changes -----------------------------------------------------------------------------------------------
 
 ASKED = [
