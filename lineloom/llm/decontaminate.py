@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, enter
+from .common import Scratch, as_bytes, enter
 
 WINDOW = 13
 SHARD_WORDS = 600_000
@@ -95,7 +95,7 @@ class FMIndex:
         rank = seq.astype(np.int64) + len(zero)
         rank[zero] = np.arange(len(zero))
         bits = max(1, int(rank.max()).bit_length())
-        k = max(1, 62 // bits)
+        k = min(n, max(1, 62 // bits))
         key = rank.copy()
         for i in range(1, k):
             key <<= bits
@@ -250,7 +250,7 @@ def _patterns_of(shared, window: int) -> Patterns:
 
 
 def _shared_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, block_words: int) -> list:
-    """Broadcasts of the benchmark's blocks; one block at a time is on the driver."""
+    """Broadcasts of the benchmark's blocks, which are read one at a time; all of them stay with the executors until the scans end."""
     share = docs.sparkSession.sparkContext.broadcast
     return [share((uuid.uuid4().hex, x)) for x in _benchmark_blocks(benchmark, item_col, item_text, block_words)] or [share(("", []))]
 
@@ -276,7 +276,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("_text"), *keep)
     blocks = _shared_blocks(docs, benchmark, item_col, item_text, block_words)
     if len(blocks) > 1:
-        base = base.withColumn(key, F.monotonically_increasing_id())
+        # written, as every pass must see the same numbers
+        base = Scratch(docs.sparkSession, "decontaminate").keep(base.withColumn(key, F.monotonically_increasing_id()))
     carried = [id_col, *keep, *([key] if len(blocks) > 1 else [])]
     schema = ", ".join(f"`{c}` {'long' if c == key else kinds[c]}" for c in carried) + ", n_words long, spans array<struct<start:int,end:int>>, items array<string>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -126,6 +126,11 @@ def test_odd_rows_everywhere(spark):
     labels = spark.createDataFrame([(5, 1), (None, 0), (4, None)], "doc_id long, quality int")
     assert quality_rules.judge(docs, quality_rules.fit(docs, labels)).where("kept").count() == 0
     assert quality_classifier.scores(docs, labels).count() == len(ODD)
+    said = spark.createDataFrame([(1, 0, None, None, "x"), (1, 1, "assistant", "", "x"), (1, 1, "assistant", "", "x"), (None, None, "user", "a" * 5000, None), (None, 1, "assistant", " </turn>", None)], "conv_id long, turn long, role string, text string, cell string")
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in chat.digest(chat.conversations(chat.linear(said))).collect()} == {(1, 3, 0), (None, 2, 8)}
+    pages = [(i, "u", t) for i, t, *_ in ODD]
+    got = warc.archive(spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, items string"))
+    assert sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got.collect()) == warc_brute(pages)
 
 
 def test_empty_tables(spark):
@@ -140,6 +145,7 @@ def test_empty_tables(spark):
     assert quality_classifier.scores(docs, labels).count() == 0
     assert quality_rules.judge(docs, quality_rules.fit(docs, labels)).count() == 0
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert chat.digest(chat.conversations(chat.linear(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
 
 
 def test_rule_statistics_equal_brute_force(spark):
@@ -377,6 +383,38 @@ def test_suffix_array_and_search_of_a_whole_shard():
                 assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 
 
+def brute_hits(ws, items, window=13):
+    hit, found = set(), set()
+    for name, iw in items:
+        k = min(window, len(iw))
+        for j in range(len(iw) - k + 1 if k else 0):
+            for i in range(len(ws) - k + 1):
+                if ws[i : i + k] == iw[j : j + k]:
+                    hit |= set(range(i, i + k))
+                    found.add(name)
+    return hit, found
+
+
+@pytest.mark.parametrize("letters", [1, 2, 5, 4000])
+def test_short_shards_equal_brute_force(letters):
+    r = random.Random(letters)
+    word = lambda: b"w%d" % r.randrange(letters)
+    for n in range(1, 71):
+        doc = [word() for _ in range(n)]
+        items = [("a", doc[: r.choice([1, 2, 14])]), ("b", [word() for _ in range(3)]), ("c", doc[-20:])]
+        for docs in ([doc], [[], doc, []], [doc[:1], doc]):
+            for ws, (spans, found) in zip(docs, decontaminate.scan_shard(decontaminate.Patterns(items, 13), docs)):
+                hit, names = brute_hits(ws, items)
+                assert ({i for a, b in spans for i in range(a, b)}, found) == (hit, names), (n, docs)
+
+
+def test_documents_alone_in_their_partitions(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4))) for i in range(12)], "doc_id long, text string").repartition(12, "doc_id")
+    items = spark.createDataFrame([(1, "W1"), (2, "w0 w1 w2")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(decontaminate.spans(docs, items)).collect()}
+    assert got == {i: ((0, 0), (0, 0), (1, 1), (3, 2))[i % 4] for i in range(12)}
+
+
 @pytest.mark.parametrize("block_words", [30, 10**6])
 def test_decontamination_equals_brute_force(spark, block_words):
     r = random.Random(4)
@@ -392,15 +430,7 @@ def test_decontamination_equals_brute_force(spark, block_words):
     got = decontaminate.spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
     for row in got:
         ws = decontaminate.words(dict(docs)[row.doc_id].encode())
-        hit, found = set(), set()
-        for name, text in items:
-            iw = decontaminate.words(text.encode())
-            k = min(13, len(iw))
-            for j in range(len(iw) - k + 1 if k else 0):
-                for i in range(len(ws) - k + 1):
-                    if ws[i : i + k] == iw[j : j + k]:
-                        hit |= set(range(i, i + k))
-                        found.add(str(name))
+        hit, found = brute_hits(ws, [(str(i), decontaminate.words(t.encode())) for i, t in items])
         assert (row.n_words, row.n_hit, sorted(row["items"])) == (len(ws), len(hit), sorted(found))
     assert decontaminate.remove_spans("A b, C d!", [(1, 3)]) == "A  d!"
 
