@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, quality_classifier, quality_rules, sentencepiece_nbest, warc
+from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, periodic_runs, quality_classifier, quality_rules, sentencepiece_nbest, warc
 from .common import table
 
 
@@ -67,11 +67,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, one in ten of them with a repeated tail."""
+    return periodic_runs.report(periodic_runs.find(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_license_scans, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_chat_formatting,
-        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc,
+        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc, op11_periodic_runs,
     )
 }
 
