@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, periodic_runs, quality_classifier, quality_rules, sentencepiece_nbest, warc
+from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, periodic_runs, piecewise, quality_classifier, quality_rules, sentencepiece_nbest, warc
 from .common import table
 
 
@@ -72,11 +72,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(periodic_runs.find(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
 
 
+def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near these and the next document are."""
+    return piecewise.against_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_license_scans, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_chat_formatting,
-        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc, op11_periodic_runs,
+        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc, op11_periodic_runs, op13_piecewise_fingerprints,
     )
 }
 
