@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, periodic_runs, piecewise, quality_classifier, quality_rules, sentencepiece_nbest, warc
+from . import chat, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, periodic_runs, piecewise, quality_classifier, quality_rules, sentencepiece_nbest, tiered_search, warc
 from .common import table
 
 
@@ -72,6 +72,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(periodic_runs.find(periodic_runs.repeated_tail(table(spark, sf_dir, "documents"))))
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return tiered_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near these and the next document are."""
     return piecewise.against_next(table(spark, sf_dir, "documents"))
@@ -81,10 +86,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_license_scans, op3_quality_rules, op4_lm_scoring, op5_language_id, op6_chat_formatting,
-        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc, op11_periodic_runs, op13_piecewise_fingerprints,
+        op7_sentencepiece_nbest, op8_quality_classifier, op9_benchmark_decontamination, op10_warc, op11_periodic_runs, op12_tiered_search, op13_piecewise_fingerprints,
     )
 }
 
+_TERMS = r"list_transform(regexp_extract_all(regexp_replace({0}, '[\x{{0}}]', ' ', 'g'), '[^\x01-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '###', '\###'), '</', '\</')"
 ORACLE = {
     "op6_chat_formatting": f"""
@@ -134,4 +140,14 @@ with p as (
 select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type,
   case when page_id > first then first end as refers_to
 from f""",
+    "op12_tiered_search": rf"""
+with d as (select doc_id, {_TERMS.format("text")} as w from documents where text is not null),
+b as (select item_id, row_number() over () as i, {_TERMS.format("text")} as w from benchmark where text is not null),
+g as (select count(*) as dn, cast(sum(len(w)) as bigint) as ln from d where len(w) > 0),
+p as (select doc_id, t, count(*) as tf, any_value(n) as n from (select doc_id, len(w) as n, unnest(w) as t from d) group by doc_id, t),
+f as (select t, count(*) as df from p group by t),
+wt as (select t, cast(floor(1000 * ln((2 * dn + 2) / (2 * df + 1))) as bigint) as w from f, g),
+q as (select i, item_id, t, count(*) as c from (select i, item_id, unnest(w) as t from b) group by i, item_id, t),
+s as (select i, item_id, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * dn) // ln)))) as bigint) as score from q join wt using (t) join p using (t), g group by i, item_id, doc_id)
+select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by i order by score desc, doc_id) as rank from s where score > 0) where rank <= 20""",
 }
