@@ -71,8 +71,9 @@ def test_items_fall_through_only_without_proof():
     items = tiered_search.Items([[0, 1, 39, 38], [39], [5, 5, 20, 37], []], weight)
     full, _ = tiered_search.tiers(n, ends, terms, tf, weight, n_docs, int(n.sum()), ())
     exact = {i: dict(zip(d.tolist(), s.tolist())) for i, d, s, _ in tiered_search.segment_scores(items, full, [], n_docs, np.zeros(4, np.int64))}
-    parts, rests = tiered_search.tiers(n, ends, terms, tf, weight, n_docs, int(n.sum()), (0.12, 0.05, 0.02))
-    assert sum(len(p[0]) > 0 for p in parts) > 2
+    gives = full[0][3] * np.repeat(weight[full[0][0]], np.diff(full[0][1], prepend=0)) / (math.floor(1000 * math.log(2 * n_docs + 2)) * 10**6)
+    parts, rests = tiered_search.tiers(n, ends, terms, tf, weight, n_docs, int(n.sum()), tuple(np.quantile(gives, (0.9, 0.6, 0.3))))
+    assert all(len(p[2]) > len(seen) // 20 for p in parts)
     # bounds hold for every posting below
     for j, (own, bound) in enumerate(rests):
         for t, b in zip(own.tolist(), bound.tolist()):
