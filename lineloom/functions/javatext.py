@@ -18,6 +18,13 @@ def without_comments(source: Column) -> Column:
     return F.regexp_replace(source, rf"({_STRING})|//[^\n]*|(?s:/\*.*?\*/)", "$1")
 
 
+def code_only(source: Column, literals: bool = False) -> Column:
+    """source with nothing but line ends left of its comments and nothing between the quotes of its literals, or all of these; it has as many lines."""
+    tokens = all_of(source, rf"(?s:/\*.*?(?:\*/|\z))|//[^\n]*|{_STRING}|[^/\"']++|(?s:.)", 0)
+    kept = lambda x: F.when(x.startswith("/*"), F.regexp_replace(x, r"[^\n]++", "")).when(x.startswith("//"), "").when(F.lit(not literals) & x.rlike("^[\"'].*[\"']$"), F.concat(F.left(x, F.lit(1)), F.left(x, F.lit(1)))).otherwise(x)
+    return F.array_join(F.transform(tokens, kept), "")
+
+
 _MODIFIER = "(?:public|private|protected|static|final|abstract|synchronized|native|default|transient|volatile)"
 _TYPE = r"[A-Za-z_$][\w$.]*(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\])*"
 _NO_TYPE = r"(?!(?:return|new|throw|else|case|goto|package|import|class|interface|enum|extends|implements|instanceof)\b)"

@@ -1,3 +1,3 @@
 """Registered queries: each module adds its own to the tables of catalog."""
 
-from . import catalog, projects  # noqa: F401
+from . import catalog, projects, versions  # noqa: F401
