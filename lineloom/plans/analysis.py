@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reconcile
+from ..operators import discover, lineage, reconcile
 from .catalog import query, table
 
 _ID = "concat(case {0} % 3 when 0 then 'a.b.' when 1 then 'c.' else '' end, 'Q', {0} % {1})"
@@ -92,3 +92,62 @@ def first_of_seven_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line item of each combination of seven columns, nulls included."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(*_KEYS, "l_orderkey", "l_linenumber", "l_orderkey * 10 + l_linenumber as at")
     return reconcile.first_rows(rows, ["l_returnflag", "l_linestatus", "line", "q", "s", "p", "t"], "at").drop("at")
+
+
+_BATCHES = "select concat('/b', s_suppkey % 7, '/J', s_suppkey, case when s_suppkey % 4 = 0 then '_SQL.XML' else '_SQL.xml' end) as path from {supplier}"
+_STEM = "case when c_custkey >= 300 then concat('X', c_custkey) when c_custkey % 3 = 0 then concat('J', c_custkey % 100) when c_custkey % 3 = 1 then concat('j', c_custkey % 100) else concat('K', c_custkey % 100) end"
+_JAVA = f"""select concat('/b', c_custkey % 7, '/', {_STEM}, '.java') as path, concat('class A {{{{ void go() {{{{ // setQueryPath("J7_SQL.xml")\n', case when c_custkey % 5 = 0 then
+  concat('q.setQueryPath( dir + "/sub/J', c_custkey % 150, '_sql.xml");\nq.setQueryPath(path, "J', c_custkey % 31, '_SQL.xml")') when c_custkey % 5 = 1 then concat('q.setOther("J', c_custkey % 150, '_SQL.xml")') else 'x = 1' end, ';}}}} }}}}') as text from {{customer}}"""
+_CONFIGS = r"""select concat('/cfg/P', p_partkey, case when p_partkey % 3 = 0 then '_cfg.xml' else '_CFG.xml' end) as path, concat('<jobs><!-- <step query-file="J1_SQL.xml" class="k.C1"/> -->', case when p_partkey % 20 = 0 then
+  concat('<step class="', case p_partkey % 3 when 0 then 'k.' when 1 then 'other.' else '' end, 'C', p_partkey % 40, '" text="a > b" query-file="a/b/J', p_partkey % 120, '_SQL.xml"/><step query-file="J', p_partkey % 90, '_SQL.xml"/>') else '' end,
+  case when p_partkey % 35 = 0 then concat('<step query-file=''J', p_partkey % 110, '_sql.xml'' class=''k.C', p_partkey % 29, '''></step>') else '' end, '</jobs>') as text from {part}"""
+_CLASSES = "select distinct concat('C', c_custkey % 30) as class_name, concat('k.C', c_custkey % 30) as full_name, concat('/k/C', c_custkey % 30, '.java') as path from {customer}"
+
+
+@query(
+    f"""with q as (select s_suppkey as s, path from (select s_suppkey, concat('/b', s_suppkey % 7, '/J', s_suppkey, case when s_suppkey % 4 = 0 then '_SQL.XML' else '_SQL.xml' end) as path from supplier)),
+    j as (select c_custkey as c, c_custkey % 7 as b, concat('/b', c_custkey % 7, '/', {_STEM}, '.java') as file from customer),
+    r as (select path, file, 0 as k, 'query path' as rule from q join j on c % 5 = 0 and (c % 150 = s or c % 31 = s)
+      union select path, concat('/k/C', p % 40, '.java'), 1, 'config' from q join (select p_partkey as p from part where p_partkey % 20 = 0) on p % 120 = s where p % 40 < 30
+      union select path, concat('/k/C', p % 29, '.java'), 1, 'config' from q join (select p_partkey as p from part where p_partkey % 35 = 0) on p % 110 = s
+      union select path, file, 2, 'name' from q join j on j.b = s % 7 and c < 300 and c % 100 = s and c % 3 < 2)
+    select path, file, rules, first_rule from q left join (select path, file, string_agg(rule, ', ' order by k) as rules, arg_min(rule, k) as first_rule from r group by path, file) using (path)"""
+)
+def batch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Java files of all suppliers' query files, by calls, by the configs of all parts and by name."""
+    made = lambda sql, name: spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    return discover.batch_sources(made(_BATCHES, "supplier"), made(_JAVA, "customer"), made(_CONFIGS, "part"), made(_CLASSES, "customer"))
+
+
+_NESTED = r"""select concat('q', o_orderkey) as sql_id, case o_orderkey % 5
+  when 0 then concat('SELECT a.X', o_custkey, ' AS OUT_A, b.TOTAL /* , gone */ FROM (SELECT t.CUST_NM AS X', o_custkey, ', NVL(t.AMT, (0)) AMT2 FROM SALES.CUSTOMER t) a, (SELECT SUM(AMT2) TOTAL, KEY FROM (SELECT o.AMT AS AMT2, o.KEY FROM ORDERS o WHERE o.Z IN (SELECT JUMIN_NO FROM ZZ)) i GROUP BY KEY) b WHERE a.K = b.K')
+  when 1 then concat('select * from (select c.jumin_no as no_', o_custkey, ', c.* from cust c) z')
+  when 2 then concat('SELECT CUST_NM, JUMIN_NO || \'-, (\' || X', o_custkey, ' AS MIXED FROM CUST')
+  when 3 then concat('SELECT p.NM AS N1, p.AMT FROM P p UNION ALL SELECT q.CUST_NM, MAX(q.V', o_custkey, ') FROM Q q LEFT OUTER JOIN R r ON q.A = r.A')
+  else 'UPDATE CUST SET CUST_NM = (SELECT JUMIN_NO FROM T)' end as sql from {orders}"""
+
+
+@query(
+    """with k as (select concat('q', o_orderkey) as sql_id, o_orderkey % 5 as m, o_custkey as c from orders)
+    select sql_id, 'OUT_A' as name, 'CUSTOMER' as table_name, 'CUST_NM' as "column" from k where m = 0 union all select sql_id, 'TOTAL', 'ORDERS', 'AMT' from k where m = 0
+    union all select sql_id, concat('NO_', c), 'CUST', 'JUMIN_NO' from k where m = 1 union all select sql_id, '*', 'CUST', '*' from k where m = 1
+    union all select sql_id, 'CUST_NM', 'CUST', 'CUST_NM' from k where m = 2 union all select sql_id, 'MIXED', 'CUST', 'JUMIN_NO' from k where m = 2 union all select sql_id, 'MIXED', 'CUST', concat('X', c) from k where m = 2
+    union all select sql_id, 'N1', 'P', 'NM' from k where m = 3 union all select sql_id, 'N1', 'Q', 'CUST_NM' from k where m = 3 union all select sql_id, 'AMT', 'P', 'AMT' from k where m = 3 union all select sql_id, 'AMT', 'Q', concat('V', c) from k where m = 3"""
+)
+def column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table columns of the result columns of a nested statement of every order."""
+    return lineage.columns(spark.sql(_NESTED, orders=table(spark, sf_dir, "orders")))
+
+
+@query(
+    """with k as (select concat('q', o_orderkey) as sql_id, o_orderkey % 5 as m, o_custkey as c from orders), f as (select sql_id, m, unnest(['OUT_A', 'no_' || c, 'mixed', 'N1', 'CUST_NM', 'OTHER']) as col from k)
+    select sql_id, concat('f', lower(col)) as java_field, col as "column", case when m = 0 and col = 'OUT_A' or m = 3 and col = 'N1' or m = 2 and col = 'CUST_NM' then 'CUST_NM' when m = 1 and col like 'no%' or m = 2 and col = 'mixed' then 'JUMIN_NO' end as original,
+      case when m = 0 and col = 'OUT_A' then 'CUSTOMER' when m = 3 and col = 'N1' then 'Q' when m = 2 and col in ('CUST_NM', 'mixed') or m = 1 and col like 'no%' then 'CUST' end as table_name
+    from f where m = 0 and col = 'OUT_A' or m = 1 and col like 'no%' or m = 2 and col = 'mixed' or m = 3 and col = 'N1' or col = 'CUST_NM'"""
+)
+def field_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of every order's result map that come from watched columns."""
+    orders = table(spark, sf_dir, "orders")
+    fields = orders.select(F.expr("concat('q', o_orderkey)").alias("sql_id"), F.explode(F.expr("array('OUT_A', concat('no_', o_custkey), 'mixed', 'N1', 'CUST_NM', 'OTHER')")).alias("column"))
+    targets = table(spark, sf_dir, "region").selectExpr("case r_regionkey when 0 then 'cust_nm' when 1 then 'JUMIN_NO' else concat('NEVER', r_regionkey) end as column")
+    return lineage.field_columns(spark.sql(_NESTED, orders=orders), fields.withColumn("java_field", F.concat(F.lit("f"), F.lower("column"))), targets)
