@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, builders, methods
+from ..operators import blocks, builders, methods, specs
 from ..sources import javaparse
 from .catalog import query, table
 
@@ -129,3 +129,45 @@ def change_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of changed lines in the texts of all documents, with comment marks put in."""
     raw = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "t")).withColumn("n", F.col("n") + 1)
     return blocks.change_blocks(raw.select(F.col("doc_id").cast("string").alias("path"), F.col("n").alias("line"), F.expr(_MARKED).alias("text"), F.expr(_CHANGED).alias("changed")))
+
+
+#: A file of each part: a header javadoc, a class comment in one of three styles or none, methods with and without comments of their own.
+_SPEC = r"""concat_ws('\n', case when p_partkey % 4 = 0 then concat('/**\n * ***\n * TITLE : Part ', p_partkey, '\n * author: ', p_brand, '\n * History\n *  first line\n *  ', p_name, ' 2020-01-0', p_partkey % 9 + 1, '\n * NOTE made 2021.02.03\n * plain\n */') end,
+  'package a.b;', 'import x.Y;', '@Note(value = ")/** no */")',
+  case p_partkey % 4 when 1 then concat('/* summary= Kept ', p_size, '\n TODO more */') when 2 then concat('// first\n  // AB ', p_partkey, '\n@Other') end,
+  concat(case when p_partkey % 3 = 0 then 'public abstract ' else '' end, 'class C', p_partkey, case when p_partkey % 2 = 0 then ' extends Base' else '' end, case when p_partkey % 5 = 0 then ' implements I1, I2<T>' else '' end, ' {'),
+  '  String s = "class X {";', case when p_partkey % 4 <> 3 then '  /** Gets it.\n   * 작성자 : me */' else '  /* not it */' end, '  @Override', concat('  public Map<String, Long> get', p_partkey, '(int a, String b) { return "/** */"; }'),
+  case when p_partkey % 6 = 0 then '  /** lost */ int x = 1;' end, '  protected void put() throws E { }', '}')"""
+
+
+def spec_files(part: DataFrame) -> DataFrame:
+    return part.select(F.expr("concat('src/C', p_partkey, '.java')").alias("path"), F.expr(_SPEC).alias("text"))
+
+
+@query(
+    """with k as (select p_partkey as k, p_size as z, concat('src/C', p_partkey, '.java') as path, p_brand as b, p_name as n from part)
+    select path, 'class' as kind, concat('C', k) as name, case when k % 2 = 0 then 'Base' end as extends, case when k % 5 = 0 then 'I1, I2<T>' else '' end as implements, null as return_type, null as params,
+      case k % 4 when 0 then 'javadoc' when 1 then 'block' when 2 then 'line' end as style from k
+    union all select path, 'method', concat('get', k), null, '', 'Map<String, Long>', 'int a, String b', case when k % 4 <> 3 then 'javadoc' end from k
+    union all select path, 'method', 'put', null, '', 'void', '', null from k"""
+)
+def class_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and methods of all parts' files, with the style of the comment of each."""
+    found = specs.declarations(spec_files(table(spark, sf_dir, "part")))
+    return found.select("path", "kind", "name", "extends", F.array_join("implements", ", ").alias("implements"), "return_type", "params", "style")
+
+
+@query(
+    """with k as (select p_partkey as k, p_size as z, concat('src/C', p_partkey, '.java') as path, p_brand as b, p_name as n from part), f as (
+      select path, 'class' as kind, 0 as line, 'title' as field, concat('Part ', k) as value from k where k % 4 = 0 union all select path, 'class', 1, 'author', b from k where k % 4 = 0 union all select path, 'class', 1, 'body', concat('author: ', b) from k where k % 4 = 0
+      union all select path, 'class', 2, 'body', 'History' from k where k % 4 = 0 union all select path, 'class', 3, 'history', 'first line' from k where k % 4 = 0 union all select path, 'class', 4, 'history', concat(n, ' 2020-01-0', k % 9 + 1) from k where k % 4 = 0
+      union all select path, 'class', 5, 'date', '2021.02.03' from k where k % 4 = 0 union all select path, 'class', 5, 'tag', 'NOTE made 2021.02.03' from k where k % 4 = 0 union all select path, 'class', 5, 'body', 'NOTE made 2021.02.03' from k where k % 4 = 0 union all select path, 'class', 6, 'body', 'plain' from k where k % 4 = 0
+      union all select path, 'class', 0, 'title', concat('Kept ', z) from k where k % 4 = 1 union all select path, 'class', 1, 'tag', 'TODO more' from k where k % 4 = 1 union all select path, 'class', 1, 'body', 'TODO more' from k where k % 4 = 1
+      union all select path, 'class', 0, 'body', 'first' from k where k % 4 = 2 union all select path, 'class', 1, 'title', concat('AB ', k) from k where k % 4 = 2
+      union all select path, 'method', 0, 'body', 'Gets it.' from k where k % 4 <> 3 union all select path, 'method', 1, 'title', '작성자 : me' from k where k % 4 <> 3 union all select path, 'method', 1, 'author', 'me' from k where k % 4 <> 3)
+    select * from f"""
+)
+def spec_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the comments of all parts' classes and methods."""
+    found = specs.declarations(spec_files(table(spark, sf_dir, "part")))
+    return specs.comment_fields(found).join(found.select("path", "place", "kind"), ["path", "place"]).select("path", "kind", "line", "field", "value")
