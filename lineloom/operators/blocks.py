@@ -15,7 +15,7 @@ HEAD = r"\b(?:public|protected|private)\b[^=;]*\("
 
 def opens(text: Column) -> Column:
     """Whether a block comment that begins in the line is open at its end, the line beginning in code."""
-    return F.regexp_replace(text, _SKIPPED, "").contains("/*")
+    return F.regexp_replace(text, _SKIPPED, " ").contains("/*")
 
 
 def transition(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import javatext
+from ..functions.sqltext import all_of
 from . import prefix
 
 _HEAD = r"^[\s}]*(?:@\w+(?:\s*\([^)]*\))?\s*)*(?:(?:public|protected|private|abstract|static|synchronized|native|default|final)\s+)+(?:<[^>]*>\s*)?[\w$.]+(?:\s*<[^(){}=;]*>)?(?:\s*\[\s*\])*\s+([a-z_$][\w$]*)\s*\("
@@ -26,11 +27,18 @@ def _count(code: Column, sign: str) -> Column:
     return F.length(code) - F.length(F.replace(code, F.lit(sign), F.lit("")))
 
 
+def _dip(code: Column) -> Column:
+    """The lowest that the number of open blocks falls in a line, against its start."""
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("low"))
+    step = lambda s, b: (s["now"] + F.when(b == "{", 1).otherwise(-1)).alias("now")
+    return F.aggregate(all_of(code, "[{}]", 0), none, lambda s, b: F.struct(step(s, b), F.least(s["low"], s["now"] + F.when(b == "{", 1).otherwise(-1)).alias("low")))["low"]
+
+
 def ranges(sources: DataFrame) -> DataFrame:
     """(path, name, nth, start_line, end_line) of the methods with a modifier in sources (path, text); nth counts those of a name in a file from 1.
 
-    A method starts where its head stands and ends with the first line that closes the block it opens: the next line after which as
-    many blocks are open as before the head, an as-of join backward on (file, depth). A head that ends with a semicolon is a line alone, one
+    A method starts where its head stands and ends with the first line that closes the block it opens: the next line in which
+    the number of open blocks falls to that before the head, an as-of join backward on (file, depth). A head that ends with a semicolon is a line alone, one
     without an end goes to none. Methods within methods (local and anonymous classes) belong to the outer one. Names that start with
     a capital are constructors. Null text has none.
     """
@@ -40,13 +48,13 @@ def ranges(sources: DataFrame) -> DataFrame:
     depth = prefix.running_sum(lines.select("path", "line", "code", delta.alias("delta")), ["path"], "line", F.col("delta"), "open", last=last)
     name = F.regexp_extract("code", _HEAD, 1)
     shut = F.length(F.replace(F.regexp_extract("code", r"^[\s}]*", 0), F.lit(" "), F.lit("")))
-    marked = depth.withColumn("after", F.col("open") + F.col("delta")).withColumn("name", F.nullif(name, F.lit(""))).withColumn("depth", F.col("open") - shut)
+    marked = depth.withColumn("low", F.col("open") + _dip(F.col("code"))).withColumn("after", F.col("open") + F.col("delta")).withColumn("name", F.nullif(name, F.lit(""))).withColumn("depth", F.col("open") - shut)
     alone = (F.col("after") <= F.col("depth")) & (F.col("code").contains("}") & F.col("code").contains("{") | F.col("code").rlike(r";\s*$"))
     heads = marked.where("name is not null").select("path", "depth", "line", "name", F.when(alone, F.col("line")).alias("own_end"), F.lit(None).cast("int").alias("shut"))
-    falls = marked.where("after < open").select("path", F.explode(F.sequence("after", F.col("open") - 1)).alias("depth"), "line", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("own_end"), F.col("line").alias("shut"))
+    falls = marked.where("low < open").select("path", F.explode(F.sequence("low", F.col("open") - 1)).alias("depth"), "line", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("own_end"), F.col("line").alias("shut"))
     ended = prefix.as_of(heads.unionByName(falls), ["path", "depth"], "line", F.col("shut"), "next_shut", backward=True, last=last)
     ended = ended.where("name is not null").select("path", "name", F.col("line").alias("start_line"), F.coalesce("own_end", "next_shut").alias("end_line")).where("end_line is not null")
-    outer = prefix.prefix(ended, ["path"], "start_line", F.col("end_line"), lambda a, b: F.greatest(a, b), F.lit(0), "reached", last=last).where("reached < start_line").drop("reached")
+    outer = prefix.prefix(ended, ["path"], "start_line", F.col("end_line"), lambda a, b: F.greatest(a, b), F.lit(0), "reached", last=last).where("reached <= start_line").drop("reached")
     nth = F.row_number().over(Window.partitionBy("path", "name").orderBy("start_line"))
     return outer.select("path", "name", nth.alias("nth"), "start_line", "end_line")
 

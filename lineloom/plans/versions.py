@@ -106,8 +106,8 @@ _CHANGED = "(n * 5 + doc_id) % 7 < 4"
 @query(
     rf"""with recursive raw as (select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents where text is not null),
     l as (select doc_id, cast(n as int) as line, {_MARKED} as text, {_CHANGED} as changed from raw),
-    m as (select *, contains(regexp_replace(text, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|//.*|/[*].*?[*]/', '', 'g'), '/*') as a,
-      contains(text, '*/') as shut, contains(regexp_replace(substr(text, strpos(text, '*/') + 2), '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|//.*|/[*].*?[*]/', '', 'g'), '/*') as b from l),
+    m as (select *, contains(regexp_replace(text, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|//.*|/[*].*?[*]/', ' ', 'g'), '/*') as a,
+      contains(text, '*/') as shut, contains(regexp_replace(substr(text, strpos(text, '*/') + 2), '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|//.*|/[*].*?[*]/', ' ', 'g'), '/*') as b from l),
     s as (select doc_id, line, false as inside, case when a then true else false end as later from m where line = 1
       union all select m.doc_id, m.line, s.later, case when not s.later then m.a when m.shut then m.b else true end from s join m on m.doc_id = s.doc_id and m.line = s.line + 1),
     k as (select m.doc_id, m.line, text, changed, inside, regexp_replace(text, '\s', '', 'g') = '' as blank from m join s using (doc_id, line)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,10 @@ def _decode(content: pd.Series) -> pd.Series:
 
 def access_counts(spark: SparkSession, path: str) -> DataFrame:
     """(end_point, access_cnt) of lines `end_point,count` or `end_point count`; blank and malformed lines are skipped, the
-    last line of an end point counts."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("n"))
+    last line of an end point counts, of several files in the order of their names."""
+    # the place of a line: its file, the block of the file, and the order in which the block is read
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.trim("value").alias("v"), place.alias("n"))
     parts = F.when(F.col("v").contains(","), F.transform(F.split("v", ","), lambda x: F.trim(x))).otherwise(F.split("v", r"\s+"))
     rows = lines.where("v <> ''").select("n", F.get(parts, F.lit(0)).alias("end_point"), F.get(parts, F.lit(1)).try_cast("bigint").alias("c"))
     return rows.where("c is not null").groupBy("end_point").agg(F.max_by("c", "n").alias("access_cnt"))
@@ -95,13 +98,36 @@ def latest(df: DataFrame, by: str = "ts") -> DataFrame:
     return df.join(F.broadcast(df.agg(F.max(by).alias(by))), by, "left_semi")
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Result store: a Parquet table, replaced as a whole."""
-    df.write.mode("overwrite").parquet(path)
+def save(df: DataFrame, path: str) -> str:
+    """Result store: df as a new version of the table at path; the versions before it stay. The version's name is the time (UTC)."""
+    version = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    df.write.parquet(f"{path}/version={version}")
+    return version
 
 
-def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions of the table at path, in their order; one whose write has failed is none."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS"))
+    return sorted(f.getPath().getParent().getName().split("=")[1] for f in found or [])
+
+
+def version_info(spark: SparkSession, path: str) -> DataFrame:
+    """(version, n_files, bytes) of the whole versions of the table at path; contents aren't read."""
+    whole = versions(spark, path)
+    if not whole:
+        return spark.createDataFrame([], "version string, n_files long, bytes long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{path}/version={v}" for v in whole])
+    version = F.regexp_extract("path", r"/version=([^/]*)/[^/]*$", 1)
+    return found.groupBy(version.alias("version")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+
+
+def load(spark: SparkSession, path: str, schema: str, version: str | None = None) -> DataFrame:
+    """A version of the table at path, by default the last whole one, by an explicit schema; without one no rows."""
+    version = version or max(versions(spark, path), default=None)
+    return spark.read.schema(schema).parquet(f"{path}/version={version}") if version else spark.createDataFrame([], schema)
 
 
 def to_parse(files: DataFrame, cache: DataFrame) -> DataFrame:
@@ -109,14 +135,6 @@ def to_parse(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(cache.select("path", "modified_time").distinct(), ["path", "modified_time"], "left_anti")
 
 
-def nested_results(spark: SparkSession, path: str) -> DataFrame:
-    """Nested JSON results (<ts>/<table>/<class>/*.json) with table_name and class_name from the directories."""
-    file = F.col("_metadata.file_path")
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").json(path).select(
-        "*", F.regexp_extract(file, r"/([^/]+)/[^/]+/[^/]+$", 1).alias("table_name"), F.regexp_extract(file, r"/([^/]+)/[^/]+$", 1).alias("class_name")
-    )
-
-
 def shown(df: DataFrame, n: int = 20) -> str:
     """A table as text, as the console lists show it."""
     return df._show_string(n, truncate=False)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 CORRUPT = "_corrupt"
+#: How a quoted empty text is read, so that it isn't taken for a null.
+_EMPTY = "\ue000"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -147,7 +149,9 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     found = _manifest(spark, path)
     if not found:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").option("multiLine", "true").option("escape", '"').csv(f"{path.rstrip('/')}/{found[0]}")
+    read = spark.read.schema(schema).option("recursiveFileLookup", "true").option("multiLine", "true").option("escape", '"').option("emptyValue", _EMPTY)
+    rows = read.csv(f"{path.rstrip('/')}/{found[0]}")
+    return rows.select(*(F.when(F.col(c) != _EMPTY, F.col(c)).when(F.col(c) == _EMPTY, "").alias(c) if t == "string" else c for c, t in rows.dtypes))
 
 
 def clear_versions(spark: SparkSession, path: str) -> int:
