@@ -61,13 +61,76 @@ def template_pattern(path: Column) -> Column:
     return F.array_join(quoted, ".+")
 
 
+def _grams(text: Column) -> Column:
+    """Runs of three letters."""
+    at = F.when(F.length(text) > 2, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.lit("~"), F.substring(text, i, F.lit(3))))
+
+
+def _slashes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+
+
+def _path_keys(path: Column) -> Column:
+    """What a path can be found by: its segments (=), their beginnings (^), runs of three letters (~), and every number of slashes up to its own (#)."""
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    begins = F.flatten(F.transform(segments, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.concat(F.lit("^"), F.substring(x, F.lit(1), n)))))
+    depths = F.transform(F.sequence(F.lit(0), _slashes(path)), lambda n: F.concat(F.lit("#"), n.cast("string")))
+    return F.array_distinct(F.concat(F.transform(segments, lambda x: F.concat(F.lit("="), x)), begins, _grams(path), depths))
+
+
+def _template_keys(template: Column) -> Column:
+    """What every path that holds a match of a template has: its fixed segments between slashes and the beginning of a fixed last one; without
+    any, the runs of three letters of its fixed parts; without any, its number of slashes."""
+    parts = F.split(template, "/")
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: (x != "") & ~x.contains("{"))
+    last = F.when(F.size(parts) > 1, F.regexp_extract(F.element_at(parts, -1), r"^[^{]*", 0))
+    fixed = F.concat(F.transform(inner, lambda x: F.concat(F.lit("="), x)), F.array_compact(F.array(F.when(last != "", F.concat(F.lit("^"), last)))))
+    grams = F.flatten(F.transform(F.split(template, r"\{[^}]+\}"), _grams))
+    depth = F.array(F.concat(F.lit("#"), _slashes(template).cast("string")))
+    return F.when(F.size(fixed) > 0, fixed).when(F.size(grams) > 0, grams).otherwise(depth)
+
+
+def template_sums(templates: DataFrame, counts: DataFrame) -> DataFrame:
+    """(end_point, n) of templates (end_point) against counts (path, access_cnt): the sum over paths matched whole, else over those that hold a match.
+
+    A template meets the paths that have the rarest of its keys; the pattern is tested on what meets. Templates that differ in names alone are
+    tested once, so those without a fixed part (`/{a}/{b}`) are few, and meet the paths with as many slashes.
+    """
+    shape = F.regexp_replace("end_point", r"\{[^}]+\}", "{a}")
+    shapes = templates.select(shape.alias("shape")).distinct().withColumn("keys", _template_keys(F.col("shape")))
+    paths = counts.groupBy("path").agg(F.sum("access_cnt").alias("c"))
+    keyed = paths.select("path", "c", F.explode(_path_keys(F.col("path"))).alias("key"))
+    asked = shapes.select("shape", F.explode("keys").alias("key"))
+    n = keyed.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = asked.join(n, "key", "left").groupBy("shape").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    hit = rarest.join(keyed, "key").withColumn("p", template_pattern(F.col("shape"))).where("path rlike p").withColumn("whole", F.expr("path rlike concat('^', p, '$')"))
+    sums = hit.groupBy("shape").agg(F.sum(F.when(F.col("whole"), F.col("c")).otherwise(0)).alias("w"), F.sum("c").alias("any"))
+    found = sums.select("shape", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("any")).alias("n"))
+    return templates.select("end_point", shape.alias("shape")).distinct().join(found, "shape").select("end_point", "n")
+
+
+def ending_rows(plain: DataFrame, counts: DataFrame) -> DataFrame:
+    """(end_point, ord, access_cnt) of counts (path, access_cnt, ord) whose path ends with an end point.
+
+    They meet on endings: an end point by what follows its first slash, or as it is without one, a path by its endings at slashes and the endings
+    of its last segment.
+    """
+    border = F.when(F.col("end_point").contains("/"), F.substring("end_point", F.instr("end_point", "/"), F.length("end_point"))).otherwise(F.col("end_point"))
+    parts = F.split("path", "/")
+    slashes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+    last = F.element_at(parts, -1)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda n: F.right(last, n))
+    tails = counts.select("path", "ord", "access_cnt", F.explode(F.array_distinct(F.concat(slashes, ends))).alias("tail"))
+    return plain.withColumn("tail", border).join(tails, "tail").where("endswith(path, end_point)").select("end_point", "ord", "access_cnt")
+
+
 def endpoint_access(endpoints: DataFrame, counts: DataFrame) -> DataFrame:
     """(end_point, access_cnt) of distinct endpoints, against counts (path, access_cnt, ord).
 
     A path with {names}: the sum over paths that it matches whole; if that is 0, over those that hold a match. A plain path:
     the first equal path, else the first that ends with it, else 0. A blank endpoint has 0. Without counts all have 1.
-    Plain paths are equi joins, on the whole path and on its endings; templates are joined by their first fixed part's
-    length with a pattern test, against a broadcast of the templates, whose number is that of distinct handlers.
+    All joins are on equal keys: whole paths, endings of paths, fixed parts of templates.
     """
     ends = endpoints.select("end_point").distinct()
     if counts.isEmpty():
@@ -75,15 +138,9 @@ def endpoint_access(endpoints: DataFrame, counts: DataFrame) -> DataFrame:
     filled = ends.where(F.trim("end_point") != "")
     plain, templates = filled.where(~F.col("end_point").contains("{")), filled.where(F.col("end_point").contains("{"))
     exact = plain.join(counts, F.col("end_point") == F.col("path")).select("end_point", F.lit(0).alias("way"), "ord", "access_cnt")
-    # endings of each path by length, of the lengths that endpoints have
-    lengths = F.broadcast(plain.select(F.length("end_point").alias("n")).distinct())
-    tails = counts.join(lengths, F.length("path") >= F.col("n")).select(F.expr("right(path, n)").alias("end_point"), "ord", "access_cnt")
-    near = plain.join(tails, "end_point").select("end_point", F.lit(1).alias("way"), "ord", "access_cnt")
+    near = ending_rows(plain, counts).select("end_point", F.lit(1).alias("way"), "ord", "access_cnt")
     first = exact.unionByName(near).groupBy("end_point").agg(F.min_by("access_cnt", F.struct("way", "ord")).alias("n"))
-    pattern = templates.withColumn("p", template_pattern(F.col("end_point")))
-    hit = counts.groupBy("path").agg(F.sum("access_cnt").alias("c")).join(F.broadcast(pattern), F.expr("path rlike p")).withColumn("whole", F.expr("path rlike concat('^', p, '$')"))
-    sums = hit.groupBy("end_point").agg(F.sum(F.when(F.col("whole"), F.col("c")).otherwise(0)).alias("w"), F.sum("c").alias("any"))
-    found = first.unionByName(sums.select("end_point", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("any")).alias("n")))
+    found = first.unionByName(template_sums(templates, counts))
     return ends.join(found, "end_point", "left").select("end_point", F.coalesce("n", F.lit(0)).cast("long").alias("access_cnt"))
 
 

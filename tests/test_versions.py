@@ -217,3 +217,30 @@ def test_versions_of_a_table(spark, tmp_path):
         files.save(df.withColumn("a", F.raise_error(F.lit("no")).cast("int")), path)
     assert len(files.versions(spark, path)) == 2 and files.load(spark, path, "a int").count() == 1 and files.load(spark, path, "a int", first).count() == 2
     assert files.version_info(spark, path).count() == 2
+
+
+def test_endpoint_access_equals_brute_force(spark):
+    import re
+
+    from lineloom.operators import access
+
+    r = random.Random(6)
+    bit = lambda: r.choice(["a", "b", "ab", "api", "list", "7", "42", "x.y", ""])
+    paths = [r.choice(["", "/"]) + "/".join(bit() for _ in range(r.randrange(1, 5))) for _ in range(120)]
+    counts = [(p, r.randrange(4), i) for i, p in enumerate(paths)]
+    spot = lambda: r.choice(["{id}", "{n}", "v{id}", "api{id}x", "list"]) if r.random() < 0.5 else bit()
+    ends = {r.choice(["", "/"]) + "/".join(spot() for _ in range(r.randrange(1, 5))) for _ in range(150)} | {"", " ", "{x}", "/{x}", "/{x}/{y}", "b", "/ab", "i/list", None}
+
+    def want(e):
+        if e is None or not e.strip():
+            return 0
+        if "{" in e:
+            p = ".+".join(re.escape(x) for x in re.split(r"\{[^}]+\}", e))
+            whole = sum(c for q, c, _ in counts if re.fullmatch(p, q))
+            return whole if whole > 0 else sum(c for q, c, _ in counts if re.search(p, q))
+        same = [c for q, c, _ in counts if q == e] or [c for q, c, _ in counts if q.endswith(e)]
+        return same[0] if same else 0
+
+    got = access.endpoint_access(spark.createDataFrame([(e,) for e in ends], "end_point string"), spark.createDataFrame(counts, "path string, access_cnt long, ord int"))
+    assert {x.end_point: x.access_cnt for x in got.collect()} == {e: want(e) for e in ends}
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
