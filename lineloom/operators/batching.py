@@ -5,32 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix
 
-def _ordered(df: DataFrame, group: str, order: str, tokens: str) -> DataFrame:
-    item = F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
-    return df.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+def _items(df: DataFrame, group: str, order: str, tokens: str) -> DataFrame:
+    """(g, o, i, t): items of each group in order, numbered from 0; null and negative tokens are 0."""
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long").alias("t"))
+    return prefix.numbered(rows, ["g"], ["o", "t"], "i").checkpoint()
 
 
 def greedy_batches(df: DataFrame, group: str, order: str, tokens: str, prompt: int, separator: int, budget: int) -> DataFrame:
     """(group, order, batch): items in order; a batch closes when the next item would pass the budget; an item that is too
-    large has its own. The first item of a batch pays no separator."""
-    step = lambda a, x: F.when(
-        (a["n"] > 0) & (a["used"] + x["t"] + separator > budget),
-        F.struct((a["batch"] + 1).alias("batch"), (F.lit(prompt) + x["t"]).cast("long").alias("used"), F.lit(1).alias("n"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), (a["batch"] + 1).alias("b")))).alias("out")),
-    ).otherwise(
-        F.struct(a["batch"].alias("batch"), (a["used"] + x["t"] + F.when(a["n"] > 0, separator).otherwise(0)).cast("long").alias("used"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), a["batch"].alias("b")))).alias("out")),
-    )
-    kind = dict(df.dtypes)[order]
-    start = F.struct(F.lit(0).alias("batch"), F.lit(prompt).cast("long").alias("used"), F.lit(0).alias("n"), F.expr(f"cast(array() as array<struct<o:{kind},b:int>>)").alias("out"))
-    return _ordered(df, group, order, tokens).select(group, F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select(group, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    large has its own. The first item of a batch pays no separator.
+
+    If a batch began with an item, the next one would begin with the first item whose prefix sum passes a bound: an as-of join on sums.
+    The batches of a group are the successors of its first item; after round k of pointer doubling 2^k of them are known. So a
+    group of any size is spread over all tasks; items that take no room at all (no tokens, no separator) share a place.
+    """
+    items = _items(df, group, order, tokens)
+    size = F.col("t") + separator
+    summed = prefix.running_sum(items, ["g"], "i", size, "before").withColumn("upto", F.col("before") + size)
+    bound = F.lit(budget - prompt) - F.col("t") + F.col("upto")
+    asks = summed.select("g", "i", F.greatest(bound, F.col("upto")).alias("at"), F.lit(None).cast("long").alias("j"))
+    marks = summed.select("g", F.lit(None).cast("long").alias("i"), F.col("upto").alias("at"), F.col("i").alias("j"))
+    # of equal places the item comes first, so it is not above the bound
+    line = asks.unionByName(marks).withColumn("at", F.col("at") * 2 + F.col("i").isNotNull().cast("int"))
+    next_one = prefix.as_of(line, ["g"], "at", F.col("j"), "next", backward=True).where("i is not null")
+    jump = next_one.where("next is not null").select("g", "i", "next").checkpoint()
+    starts, step = items.where("i = 0").select("g", "i", F.lit(0).alias("batch")), 1
+    while not jump.isEmpty():
+        more = starts.alias("s").join(jump.alias("j"), F.col("s.g").eqNullSafe(F.col("j.g")) & (F.col("s.i") == F.col("j.i"))).select("s.g", F.col("j.next").alias("i"), (F.col("s.batch") + step).alias("batch"))
+        starts = starts.unionByName(more).checkpoint()
+        on = F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.next") == F.col("b.i"))
+        jump = jump.alias("a").join(jump.alias("b"), on).select("a.g", "a.i", "b.next").checkpoint()
+        step *= 2
+    own = starts.select(F.col("g").alias("_g"), F.col("i").alias("_i"), F.col("batch").alias("own"))
+    known = items.join(own, F.col("g").eqNullSafe(F.col("_g")) & (F.col("i") == F.col("_i")), "left").select(*items.columns, "own")
+    last = prefix.as_of(known, ["g"], "i", F.col("own"), "earlier")
+    return last.select(F.col("g").alias(group), F.col("o").alias(order), F.coalesce("own", "earlier").alias("batch"))
 
 
 def budget_select(df: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """(group, order) of the items taken in order while they fit; one that doesn't is skipped, not the end."""
-    kind = dict(df.dtypes)[order]
-    step = lambda a, x: F.when(a["used"] + x["t"] <= budget, F.struct((a["used"] + x["t"]).alias("used"), F.concat(a["out"], F.array(x["o"])).alias("out"))).otherwise(a)
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-    return _ordered(df, group, order, tokens).select(group, F.explode(F.aggregate("items", start, step)["out"]).alias(order))
+    """(group, order) of the items taken in order while they fit; one that doesn't is skipped, not the end.
+
+    In rounds: items above what is left of a group's budget can't be taken any more and go; of the others all are taken up to the first that doesn't
+    fit. A round is prefix sums over all groups side by side; there are as many as the group with most skips has, and each leaves less.
+    """
+    left, taken = _items(df, group, order, tokens).where(F.col("t") <= budget).withColumn("room", F.lit(budget).cast("long")), None
+    while not left.isEmpty():
+        summed = prefix.running_sum(left, ["g"], "i", F.col("t"), "before").withColumn("fits", F.col("before") + F.col("t") <= F.col("room")).checkpoint()
+        fit = summed.where("fits").select("g", "o")
+        taken = fit if taken is None else taken.unionByName(fit)
+        used = summed.where("fits").groupBy(F.col("g").alias("_g")).agg(F.max(F.col("before") + F.col("t")).alias("used"))
+        rest = summed.where("not fits").join(used, F.col("g").eqNullSafe(F.col("_g"))).withColumn("room", F.col("room") - F.col("used"))
+        left = rest.where("t <= room").select("g", "o", "i", "t", "room").checkpoint()
+    taken = left.select("g", "o") if taken is None else taken
+    return taken.select(F.col("g").alias(group), F.col("o").alias(order))
 
 
 def segments(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import shared_checkpoints
+
 #: Rows, or chunks, that are combined in one go.
 WIDTH = 128
 #: Lines of a bin of a range join.
@@ -64,6 +66,24 @@ def prefix(rows: DataFrame, by: list[str], at: str, value: Column, combine: Call
     return out.select("x.r.row.*", F.col("x.before").alias(name))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """rows with their number from 0 in each group `by`, in order; ties are ordered by all that a row holds.
+
+    Rows are sorted in ranges of (group, order) and each range numbers its own; only the sizes, a row for each group in each range, are
+    added up. The sorted rows are written to the checkpoint folder, so that numbers don't change when a task runs again.
+    """
+    shared_checkpoints(rows.sparkSession)
+    keys = [*by, *order, *(c for c in rows.columns if c not in (*by, *order))]
+    parts = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    sizes = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    named = sizes.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_part").alias("_p"), "_first", before.alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return parts.join(named, on).select(*rows.columns, (F.col("_id") - F.col("_first") + F.col("_before")).alias(name))
+
+
 def running_sum(rows: DataFrame, by: list[str], at: str, value: Column, name: str = "before", width: int = WIDTH, last: int | None = None) -> DataFrame:
     """rows with the sum of the values of all earlier rows of the same `by`; a null counts 0."""
     return prefix(rows, by, at, F.coalesce(value, F.lit(0)).cast("long"), lambda a, b: a + b, F.lit(0), name, width, last)

@@ -244,3 +244,35 @@ def test_endpoint_access_equals_brute_force(spark):
     got = access.endpoint_access(spark.createDataFrame([(e,) for e in ends], "end_point string"), spark.createDataFrame(counts, "path string, access_cnt long, ord int"))
     assert {x.end_point: x.access_cnt for x in got.collect()} == {e: want(e) for e in ends}
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_equal_brute_force(spark, seed):
+    from lineloom.operators import batching
+
+    r = random.Random(seed)
+    prompt, separator, budget = r.choice([(0, 1, 50), (10, 2, 40), (5, 0, 30)])
+    rows = [(g, i, r.choice([0, 1, 5, 20, 60, None, 33])) for g in ("a", "b", None) for i in r.sample(range(200), r.choice([1, 40, 90]))]
+    d = spark.createDataFrame(rows, "g string, o int, t int")
+    batches, chosen = {}, set()
+    for g in {x[0] for x in rows}:
+        batch, used, left = 0, None, budget
+        for _, o, t in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+            t = t or 0
+            if used is not None and used + t + separator > budget:
+                batch, used = batch + 1, prompt + t
+            else:
+                used = prompt + t if used is None else used + t + separator
+            batches[g, o] = batch
+            if t <= left:
+                left -= t
+                chosen.add((g, o))
+    assert {(x.g, x.o): x.batch for x in batching.greedy_batches(d, "g", "o", "t", prompt, separator, budget).collect()} == batches
+    assert {(x.g, x.o) for x in batching.budget_select(d, "g", "o", "t", budget).collect()} == chosen
+
+
+def test_empty_batches(spark):
+    from lineloom.operators import batching
+
+    none = spark.createDataFrame([], "g string, o int, t int")
+    assert batching.greedy_batches(none, "g", "o", "t", 0, 1, 9).count() == batching.budget_select(none, "g", "o", "t", 9).count() == 0
