@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import javatext
-from ..operators import matching, patching, reports, resolve
-from ..sources import batchsql, javaparse
-from . import javafixtures as J
+from ..operators import patching, reports, resolve
+from ..sources import batchsql
 from .catalog import query, table
-from .fixtures import values_sql
 
 _ENDS = "case p_partkey % 8 when 0 then 'Mapper.xml' when 1 then 'dqm.xml' when 2 then 'Bat_SQL.xml' when 3 then '_sql.xml' when 4 then 'Dem.java' when 5 then '.java' when 6 then 'Dqm.java' else 'Mapper.XML' end"
 _FILES = f"select p_partkey, concat('src/', replace(p_type, ' ', ''), {_ENDS}) as path, case when p_size % 3 = 0 then concat('// select ', p_name) when p_size % 3 = 1 then concat('@Entity ', p_name) end as text from {{part}}"
@@ -28,25 +25,6 @@ def sql_files_by_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("p_partkey", F.explode(hits).alias("dialect"))
 
 
-BATCH = [
-    ("a/Job_SQL.xml", "<sql><query id='q1'>SELECT 1 -- one\n <b>FROM</b> t<!-- gone -->x</query><query>no id</query><query id='q2'> /* nothing */ </query><query id=''>x</query><other id='q3'>delete from t</other><query id='q4'>WITH a AS (SELECT '--x') SELECT 1</query></sql>"),
-    ("a/Broken_SQL.xml", "<sql><query id='q1'>"),
-    ("a/Empty_SQL.xml", ""),
-    ("a/Root_SQL.xml", "<query id='root'>SELECT <query id='in'>UPDATE t SET a = 1</query></query>"),
-]
-BATCH_FOUND = [
-    ("a/Job_SQL.xml", "q1", "SELECT", "SELECT 1 FROM tx", True), ("a/Job_SQL.xml", "q4", "SELECT", "WITH a AS (SELECT '--x') SELECT 1", True), ("a/Root_SQL.xml", "in", "UPDATE", "UPDATE t SET a = 1", True),
-    ("a/Job_SQL.xml", "q3", "DELETE", "delete from t", False),
-]
-
-
-@query(f"select * from {values_sql(BATCH_FOUND, 'path, sql_id, query_type, sql, is_query')}")
-def batch_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(BATCH, "path string, text string")
-    some, more = (batchsql.statements(files, any_element=x).drop("place") for x in (False, True))
-    return some.withColumn("is_query", F.lit(True)).unionByName(more.exceptAll(some).withColumn("is_query", F.lit(False)))
-
-
 _QUERY_FILES = "select concat('/b', s_nationkey, '/Job', s_suppkey, case when s_suppkey % 5 = 0 then '_sql.xml' else '_SQL.xml' end) as path from {supplier}"
 _JAVA_FILES = """select concat('/b', c_nationkey, case when c_custkey % 4 = 0 then '/batVO/x' else '' end, '/', case c_custkey % 3 when 0 then 'Job' when 1 then 'JOB' else 'jOb' end, c_custkey % 90, '.java') as path from {customer}
 union all select concat('/b', n_nationkey, '/Job', n_nationkey, '.xml') from {nation}"""
@@ -64,41 +42,6 @@ def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batchsql.batch_files(spark.sql(_QUERY_FILES, supplier=table(spark, sf_dir, "supplier")), java)
 
 
-def java_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(J.JAVA, "path string, text string")
-
-
-MAPPED = [
-    ("m/Order.xml", "shop.db.OrderMapper", "select", "java.lang.Long", "OrderService", None),
-    ("m/Order.xml", "shop.db.OrderMapper", "insert", "other.OrderServiceImpl", None, "orderMap"),
-    ("m/Free.xml", "", "all", None, "shop.svc.BaseService", None),
-]
-MAPPED_FILES = [
-    ("m/Order.xml", "select", "OrderMapper.select", "mapper", "db/OrderMapper.java"), ("m/Order.xml", "select", "OrderMapper.select", "mapper", "svc/OrderService.java"), ("m/Order.xml", "select", "OrderMapper.select", "xml", "m/Order.xml"),
-    ("m/Order.xml", "insert", "OrderMapper.insert", "mapper", "db/OrderMapper.java"), ("m/Order.xml", "insert", "OrderMapper.insert", "mapper", "svc/OrderServiceImpl.java"), ("m/Order.xml", "insert", "OrderMapper.insert", "xml", "m/Order.xml"),
-    ("m/Free.xml", "all", "", "mapper", "svc/BaseService.java"), ("m/Free.xml", "all", "", "xml", "m/Free.xml"),
-]
-
-
-@query(f"select path, sql_id, nullif(method, '') as method, layer, file from {values_sql(MAPPED_FILES, 'path, sql_id, method, layer, file')}")
-def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame(MAPPED, "path string, namespace string, sql_id string, parameter_type string, result_type string, result_map string")
-    return resolve.statement_files(s, javaparse.types(java_sources(spark))).drop("namespace")
-
-
-_M = values_sql(J.METHODS, "class_name, name, return_type, params, calls, start_line, end_line")
-_C = values_sql(J.CLASSES, "path, class_name, kind, superclass, interfaces")
-
-
-@query(
-    f"""with m as (select m.*, c.path from {_M} m join {_C} c using (class_name)), k as (select path, class_name, name, regexp_extract(unnest(string_split(calls, ' ')), '[^.]*$') as callee from m where calls <> ''),
-    f as (select name, arg_max(path, path) as path from m group by name)
-    select distinct concat(k.class_name, '.', k.name) as caller, concat(k.class_name, '.', callee) as callee, k.path as caller_file, coalesce(f.path, k.path) as callee_file from k left join f on f.name = callee"""
-)
-def calls_of_own_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.local_calls(javaparse.methods(javaparse.types(java_sources(spark))))
-
-
 _SERVICES = """select concat('svc/N', n_nationkey, case when n_nationkey % 3 = 0 then '' when n_nationkey % 3 = 1 then 'Impl' else 'IMPL' end, '.java') as path,
   array(concat('a.b.IN', (n_nationkey * 2 + 1) % 25), concat('a.b.N', n_nationkey * 3 % 25), 'java.util.List') as imports from {nation}"""
 _CONTROLS = "select concat('ctl/S', s_suppkey, '.java') as path, array(concat('x.IN', s_nationkey), 'x.INone') as imports from {supplier}"
@@ -116,53 +59,8 @@ def service_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.service_chain(services.unionByName(controls), services.select("path"), controls.select("path"))
 
 
-NAMESPACED = [
-    ("d/OrderDao.java", 'package d;\nclass Other { void no() { } }\npublic class OrderDao {\n  private static final String NAMESPACE = "ns.order.";\n  void find() { run(NAMESPACE + "find1"); run(NAMESPACE + "find2"); }\n  // NAMESPACE + "gone"\n  void none() { run(NAMESPACE); }\n}\n'),
-    ("d/FirstDao.java", 'class Some {\n  static final String NAMESPACE = "ns.first";\n  int all() {\n    return run(NAMESPACE\n      + "all");\n  }\n}\n'),
-    ("d/PlainDao.java", "class PlainDao { void find() { } }"),
-]
-NAMESPACED_METHODS = [("ns.order", "OrderDao", "find", "find1"), ("ns.order", "OrderDao", "none", ""), ("ns.first", "Some", "all", "all")]
-
-
-@query(f"select namespace, class_name, method, nullif(sql_id, '') as sql_id from {values_sql(NAMESPACED_METHODS, 'namespace, class_name, method, sql_id')}")
-def namespace_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = spark.createDataFrame(NAMESPACED, "path string, text string")
-    return resolve.namespace_methods(sources, javaparse.methods(javaparse.types(sources))).drop("path")
-
-
 # --- endpoints of other frameworks, chains and groups of files ---------------------------------------------------------
 
-ENDPOINTS = [
-    ("w/A.java", '@LocalName("svc/")\npublic class A {\n  @ServiceIdMapping("/tx1") @Trace\n  public Map<String, Object> one(Map in) { return null; }\n  // @ServiceIdMapping("no") void no() { }\n  @ServiceIdMapping(value = "tx2")\n  void two() { }\n  public void three() { }\n}\n'),
-    ("w/B.java", '@Service class B { @ServiceIdMapping("tx3") public void f() { } }'),
-    ("b/NightBat.java", "class NightBat { void execute() { } void other() { } }"),
-    ("b/LoadTasklet.java", "class LoadTasklet { public void run() { } void execute() { } }"),
-    ("c/C.java", '@RequestMapping("/api/")\nclass C {\n @GetMapping("list") void a(){}\n @PostMapping(value = "/api/x") void b(){}\n @RequestMapping(value = "//y", method = RequestMethod.PUT) void c(){}\n @GetMapping("list") void d(){}\n @DeleteMapping void e(){}\n}'),
-    ("c/D.java", "class D { @PatchMapping('p') void a(){} @RequestMapping(\"q\") void b(){} }"),
-]
-SERVICE_IDS = [("w/A.java", "A", "one", "svc/tx1"), ("w/A.java", "A", "two", "svc/tx2"), ("w/B.java", "B", "f", "tx3")]
-BATCH_POINTS = [("b/NightBat.java", "NightBat.execute", "", "b/NightBat.java"), ("b/LoadTasklet.java", "LoadTasklet.run", "BATCH", "LoadTasklet")]
-PATHS = [("c/C.java", "GET", "/api/"), ("c/C.java", "GET", "/api/list"), ("c/C.java", "POST", "/api/x"), ("c/C.java", "PUT", "/api/y"), ("c/D.java", "PATCH", "/q/p"), ("c/D.java", "GET", "/q")]
-
-
-def endpoint_sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ENDPOINTS, "path string, text string")
-
-
-@query(f"select *, 'ServiceIdMapping' as http_method from {values_sql(SERVICE_IDS, 'path, class_name, method_name, end_point')}")
-def service_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return javatext.service_endpoints(endpoint_sources(spark))
-
-
-@query(f"select path, signature, nullif(http_method, '') as http_method, end_point from {values_sql(BATCH_POINTS, 'path, signature, http_method, end_point')}")
-def batch_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.batch_endpoints(javaparse.methods(javaparse.types(endpoint_sources(spark))))
-
-
-@query(f"select * from {values_sql(PATHS, 'path, http_method, end_point')}")
-def mapping_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return javatext.mapping_paths(endpoint_sources(spark))
-
 
 _IMPORTS = "select concat('N', n_nationkey) as path, concat('N', (n_nationkey * 2 + 1) % 25) as imported from {nation} union all select concat('N', n_nationkey), concat('N', n_nationkey * 3 % 25) from {nation} union all select concat('N', n_nationkey), concat('T', n_nationkey) from {nation} where n_regionkey = 0"
 
@@ -190,16 +88,6 @@ def package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.package_edges(f, f)
 
 
-GROUPS = [("web/OrderController.java", "svc/OrderService.java,svc/OrderServiceImpl.java,web/OrderController.java", "db/OrderMapper.java"), ("web/None.java", "web/None.java", "")]
-
-
-@query(f"select * from {values_sql(GROUPS, 'controller, files, context')}")
-def controller_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
-    got = resolve.controller_groups(javaparse.types(java_sources(spark)), paths("web/OrderController.java", "web/None.java"), paths("svc/OrderService.java", "svc/OrderServiceImpl.java", "svc/BaseService.java"), paths("db/OrderMapper.java"))
-    return got.select("controller", F.array_join("files", ",").alias("files"), F.array_join("context", ",").alias("context"))
-
-
 # --- report lookups -------------------------------------------------------------------------------------------------
 
 _CLASSES = "select concat('C', c_nationkey) as class_name from {customer}"
@@ -217,28 +105,6 @@ def class_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.class_paths(spark.sql(_CLASSES, customer=customer), spark.sql(_ACCESS, supplier=supplier), spark.sql(_PROJECT, customer=customer))
 
 
-ASKED_METHODS = [("web/OrderController.java", "find"), ("web/OrderController.java", "add"), ("db/OrderMapper.java", "all"), ("web/OrderController.java", "valid"), ("db/OrderMapper.java", "gone"), ("no/File.java", "find"), ("svc/Text.txt", "call")]
-METHOD_TYPES = [
-    ("web/OrderController.java", "find", "Long", "Order"), ("web/OrderController.java", "add", "Order", "void"), ("db/OrderMapper.java", "all", "void", "List<Order>"), ("web/OrderController.java", "valid", "", ""),
-    ("db/OrderMapper.java", "gone", "", ""), ("no/File.java", "find", "", ""), ("svc/Text.txt", "call", "Map<K", "List<X>"),
-]
-
-
-@query(f"select path, method, nullif(in_type, '') as in_type, nullif(out_type, '') as out_type from {values_sql(METHOD_TYPES, 'path, method, in_type, out_type')}")
-def method_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = java_sources(spark).unionByName(spark.createDataFrame([("svc/Text.txt", "List<X> call( Map<K,V> m, int n) ...")], "path string, text string"))
-    return reports.method_types(spark.createDataFrame(ASKED_METHODS, "path string, method string"), javaparse.methods(javaparse.types(sources)), sources)
-
-
-CALLING = [("OrderController", "add"), ("OrderServiceImpl", "load")]
-
-
-@query(f"select * from {values_sql(CALLING, 'class_name, name')}")
-def calling_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = java_sources(spark)
-    return reports.calling_methods(javaparse.methods(javaparse.types(s)), s, ["Checker.valid(Order)", "Fallback.make()", "noDot"]).select("class_name", "name")
-
-
 _STACKS = "select array(concat('C', o_custkey, '.f'), concat('O', o_custkey % 9, '.', o_orderpriority), concat('C', o_custkey + 1, '.', o_orderstatus, '.x'), 'plain') as stack from {orders}"
 
 
@@ -251,60 +117,8 @@ def stack_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stack_methods(spark.sql(_STACKS, orders=table(spark, sf_dir, "orders")), files)
 
 
-SIGNED = [("m/A.xml", "a.B", "find", "select * from t where x = #{x} and y = ${y} or z = #{x}"), ("m/A.xml", "", "all", "select 1")]
-
-
-@query(f"select * from {values_sql([('m/A.xml', 'a.B.find', 'x,y'), ('m/A.xml', 'all', '')], 'path, signature, parameters')}")
-def statement_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reports.statement_signatures(spark.createDataFrame(SIGNED, "path string, namespace string, sql_id string, sql string"))
-    return s.withColumn("parameters", F.array_join("parameters", ","))
-
-
 # --- proposed changes -----------------------------------------------------------------------------------------------
 
-ASKED = [
-    ("FILE_2", None), (" file_1.java ", None), ("FILE_9", None), ("x/y/OrderService.java", None), ("orderservice.JAVA", None), ("New.java", "package shop.svc; interface OrderService { }"),
-    ("New.java", "class OrderMapper { }"), ("New.java", "package no; class OrderMapper { }"), ("OrderControler.java", ""), ("zzz", None), (None, None),
-]
-ASKED_FOUND = [
-    (0, "svc/OrderService.java", "index"), (1, "web/OrderController.java", "index"), (2, "", "failed"), (3, "svc/OrderService.java", "exact"), (4, "svc/OrderService.java", "case_insensitive"), (5, "svc/OrderService.java", "signature"),
-    (6, "db/OrderMapper.java", "signature"), (7, "", "failed"), (8, "web/OrderController.java", "fuzzy"), (9, "", "failed"), (10, "", "failed"),
-]
-
-
-@query(f"select id, nullif(file, '') as file, way from {values_sql(ASKED_FOUND, 'id, file, way')}")
-def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([("r", i, *x) for i, x in enumerate(J.JAVA, 1)], "request string, idx int, path string, text string")
-    asked = spark.createDataFrame([("r", i, *x) for i, x in enumerate(ASKED)], "request string, id int, ident string, code string")
-    return matching.named_files(asked, files).select("id", "file", "way")
-
-
-_TEXT = "a\n// note\nb\nc\nd\n"
-_DIFF = "--- a/x\n+++ b/x\n@@ -1,3 +1,3 @@ part\n a\n-b\n+B\n c\n@@ -9 +9 @@\n-zz\n+y\n@@ -4,0 +5 @@\n+end\n"
-CHANGES = [
-    (1, _TEXT, _DIFF, "diff"), (2, _TEXT, f"```diff\n{_DIFF}```", "diff"), (3, _TEXT, _DIFF + _DIFF.replace("a/x", "a/y"), "diff"), (4, _TEXT, "words", "diff"), (5, _TEXT, "@@ -3 +3 @@\n-d\n+D", "diff"),
-    (6, "x \ny\nx \ny\n", "<<< SEARCH\nx\ny\n===\nq\n>>> REPLACE\nno\n<<< SEARCH\ny\n===\nz\n>>> REPLACE", "part"), (7, _TEXT, "<<< SEARCH\nnone\n===\nq\n>>> REPLACE", "part"), (8, _TEXT, "new\n", "full"), (9, None, None, "part"), (10, _TEXT, "x", "other"),
-]
-CHANGED = [
-    (1, "a\n// note\nB\nc\nend\nd\n", "", "9"), (2, "a\n// note\nB\nc\nend\nd\n", "", "9"), (3, _TEXT, "several files", ""), (4, _TEXT, "no hunks", ""), (5, "a\n// note\nb\nc\nD\n", "", ""),
-    (6, "x \nz\nq\n", "", ""), (7, _TEXT, "block 1 not found", ""), (8, "new\n", "", ""), (9, "", "", ""), (10, _TEXT, "unknown way other", ""),
-]
-
-
-@query(f"select id, text, nullif(problem, '') as problem, rejected from {values_sql(CHANGED, 'id, text, problem, rejected')}")
-def applied_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = patching.apply_changes(spark.createDataFrame(CHANGES, "id int, text string, change string, way string"))
-    return df.select("id", "patch.text", "patch.problem", F.array_join(F.col("patch.rejected").cast("array<string>"), ",").alias("rejected"))
-
-
-HUNKS = [(1, 0, "a/x", "b/x", 1, 3, 1, 3, "part", " a|-b|+B| c"), (1, 1, "a/x", "b/x", 9, 1, 9, 1, "", "-zz|+y"), (1, 2, "a/x", "b/x", 4, 0, 5, 1, "", "+end"), (5, 0, "/dev/null", "/dev/null", 3, 1, 3, 1, "", "-d|+D")]
-
-
-@query(f"select id, place, old_path, new_path, old_start, old_count, new_start, new_count, nullif(section, '') as section, lines from {values_sql(HUNKS, 'id, place, old_path, new_path, old_start, old_count, new_start, new_count, section, lines')}")
-def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([x for x in CHANGES if x[0] in (1, 4, 5, 9)], "id int, text string, change string, way string")
-    return patching.diff_hunks(df, "change").select("id", "place", "hunk.*").withColumn("lines", F.array_join("lines", "|"))
-
 
 _ANSWERS = """select conv_id, turn, concat('said\n======FILE======\n A', turn, '.java \n======REASON======\n', coalesce(text, ''), '\n======MODIFIED_CODE======\nclass A {{ }}\n======END======\n',
   case when turn % 2 = 0 then '======FILE======\nB.java\n======END======' else 'rest' end) as answer from {conversations}"""
