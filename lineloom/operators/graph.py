@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import suffixes
+
 
 def shared_checkpoints(spark) -> None:
     """Lets checkpoint() work: the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
@@ -107,19 +109,21 @@ def callers(edges: DataFrame, targets: DataFrame, max_depth: int = 20) -> DataFr
 
 
 def start_nodes(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(wanted, node): the node of that name, else the first node that holds it or ends with its method name."""
+    """(wanted, node): the node of that name, else the first that ends with it after a dot, else the first with the same last name."""
     nodes = build(edges).select(F.explode(F.array("caller", "callee")).alias("node")).distinct()
-    exact = wanted.join(nodes, F.col("wanted") == F.col("node"))
-    rest = wanted.join(exact.select("wanted"), "wanted", "left_anti")
-    method = F.substring_index("node", ".", -1)
-    by_method = rest.join(nodes, F.substring_index("wanted", ".", -1) == method)
-    near = by_method.groupBy("wanted").agg(F.min("node").alias("node"))
-    return exact.unionByName(near)
+    ends = nodes.select("node", F.explode(suffixes(F.col("node"))).alias("end"))
+    last = F.substring_index("end", ".", -1) == F.col("end")
+    asked = wanted.select("wanted").distinct()
+    whole = asked.join(ends, F.col("wanted") == F.col("end")).select("wanted", "node", F.when(F.col("node") == F.col("wanted"), 0).otherwise(1).alias("way"))
+    named = asked.join(ends.where(last).withColumnRenamed("end", "name"), F.substring_index("wanted", ".", -1) == F.col("name")).select("wanted", "node", F.lit(2).alias("way"))
+    return whole.unionByName(named).groupBy("wanted").agg(F.min(F.struct("way", "node"))["node"].alias("node"))
 
 
 def callers_with_layers(edges: DataFrame, wanted: DataFrame, nodes: DataFrame, max_depth: int = 20) -> DataFrame:
     """(wanted, layer, files): what calls each wanted method, by layer, for nodes (node, layer, file); Unknown is left out."""
-    start = start_nodes(edges, wanted)
+    shared_checkpoints(edges.sparkSession)
+    edges = build(edges).checkpoint()
+    start = start_nodes(edges, wanted).checkpoint()
     up = callers(edges, start.select("node").distinct(), max_depth)
     found = start.join(up.select(F.col("root").alias("node"), F.col("node").alias("caller")), "node").join(nodes.select(F.col("node").alias("caller"), "layer", "file"), "caller")
     found = found.where("layer <> 'Unknown' and file is not null")

@@ -90,14 +90,6 @@ def edges_with_files(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min("file").alias("file"))
 
 
-def enclosing(lines: DataFrame, ranges: DataFrame, by: str = "path") -> DataFrame:
-    """lines (by, line) with the first range (start_line, end_line, name) of the same file that holds each; none: null."""
-    r = ranges.select(F.col(by).alias("_by"), "start_line", "end_line", "name")
-    hit = lines.join(r, (F.col(by) == F.col("_by")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
-    w = Window.partitionBy(by, "line").orderBy(F.col("start_line").asc_nulls_last(), "end_line", "name")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(by, "line", "name")
-
-
 def statement_files(statements: DataFrame, types: DataFrame, layer: str = "mapper") -> DataFrame:
     """(path, namespace, sql_id, method, layer, file): the files of a mapper statement.
 
