@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import javatext
 from ..functions.sqltext import all_of
-from . import prefix
+from . import prefix, reports
 
 _HEAD = r"^[\s}]*(?:@\w+(?:\s*\([^)]*\))?\s*)*(?:(?:public|protected|private|abstract|static|synchronized|native|default|final)\s+)+(?:<[^>]*>\s*)?[\w$.]+(?:\s*<[^(){}=;]*>)?(?:\s*\[\s*\])*\s+([a-z_$][\w$]*)\s*\("
 
@@ -59,14 +59,25 @@ def ranges(sources: DataFrame) -> DataFrame:
     return outer.select("path", "name", nth.alias("nth"), "start_line", "end_line")
 
 
-def texts(sources: DataFrame) -> DataFrame:
-    """ranges() with the digest of each method's lines, in which runs of white space are one blank."""
+def bodies(sources: DataFrame) -> DataFrame:
+    """ranges() with the text of each method's lines, comments included."""
     found = ranges(sources)
     lines = code_lines(sources.where(F.col("text").isNotNull())).select("path", F.col("line").alias("first"), F.col("line").alias("last"), "text")
     each = prefix.meet_ranges(lines, found, "path", ("first", "last"), ("start_line", "end_line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n")
-    whole = each.groupBy("path", "name", "nth", "start_line", "end_line").agg(text.alias("text"))
-    return whole.select("path", "name", "nth", "start_line", "end_line", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")).cast("binary"), 256).alias("digest"))
+    return each.groupBy("path", "name", "nth", "start_line", "end_line").agg(text.alias("text"))
+
+
+def texts(sources: DataFrame) -> DataFrame:
+    """ranges() with the digest of each method's lines, in which runs of white space are one blank."""
+    digest = F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")).cast("binary"), 256)
+    return bodies(sources).select("path", "name", "nth", "start_line", "end_line", digest.alias("digest"))
+
+
+def of_stacks(stacks: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, name, nth, text): methods of files (path) that stand in the relevant stacks, with their lines in sources (path, text)."""
+    asked = reports.stack_methods(stacks, files).withColumnRenamed("method", "name")
+    return bodies(sources.join(files.select("path").distinct(), "path", "left_semi")).join(asked, ["path", "name"], "left_semi").select("path", "name", "nth", "text")
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -55,6 +55,22 @@ def declarations(sources: DataFrame) -> DataFrame:
     )
 
 
+def annotations(sources: DataFrame) -> DataFrame:
+    """(path, place, nth, annotation): the text of the annotations before each declaration of sources, in order, comments between them left out.
+
+    Tokens are numbered by the barriers (other code) before them, so the notes of a declaration are those with its number.
+    """
+    found = sources.select("path", F.posexplode(all_of(F.col("text"), _TOKEN, 0)).alias("place", "t"))
+    last = sources.agg(F.max(F.size(all_of(F.col("text"), _TOKEN, 0)))).first()[0] or 0
+    note = F.col("t").rlike(rf"(?s)^{_NOTE}$")
+    head = F.col("t").rlike(rf"(?s)^(?:{_CLASS}|{_METHOD})$")
+    comment = F.col("t").rlike(r"^(?:/\*|//)")
+    rows = prefix.running_sum(found, ["path"], "place", (~note & ~comment).cast("int"), "group", last=last)
+    heads = rows.where(head).select("path", "group", F.col("place").alias("of"))
+    notes = rows.where(note).join(heads, ["path", "group"])
+    return notes.select("path", F.col("of").alias("place"), F.col("place").alias("nth"), F.col("t").alias("annotation"))
+
+
 def comment_lines(comment: Column) -> Column:
     """Lines of a comment without its marks, blanks round them, and empty ones."""
     bare = F.regexp_replace(F.regexp_replace(comment, r"/\*\*?|\*/", ""), r"(?m)^[ \t]*//+", "")
