@@ -140,14 +140,13 @@ def mapping_paths(sources: DataFrame) -> DataFrame:
     The first request mapping is the base and an endpoint itself. A path that begins with the base, or of which both begin
     with /api, stands alone; else it follows the base. Slashes are single. A request mapping without method is GET.
     """
-    value = r"\(\s*(?:value\s*=\s*)?[\"']([^\"']+)[\"']"
-    request = rf"@RequestMapping\s*{value}(?:\s*,\s*method\s*=\s*RequestMethod\.[A-Z]+)?"
-    text = F.coalesce("text", F.lit(""))
-    first = F.regexp_replace(F.regexp_extract(text, rf"@RequestMapping\s*{value}", 1), "/+$", "")
-    marks = F.concat(all_of(text, rf"@(?:Get|Post|Put|Delete|Patch)Mapping\s*{value}", 0), all_of(text, request, 0))
+    marks = all_of(F.translate(F.coalesce("text", F.lit("")), "'", '"'), r"@(?:\w+\.)*\w+Mapping\b(?:\s*\((?:[^()\"]|\"[^\"]*\")*+\))?", 0)
+    marks = F.filter(F.transform(marks, lambda m: F.struct(m.alias("m"), annotation_path(m).alias("own"))), lambda x: x["own"].isNotNull() & http_method(x["m"]).isNotNull())
+    request = F.filter(marks, lambda x: x["m"].rlike(r"^@(?:\w+\.)*RequestMapping\b"))
     rooted = lambda c: F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
-    found = sources.select("path", F.when(first != "", rooted(first)).alias("base"), F.explode(marks).alias("m"))
-    own = rooted(F.regexp_extract("m", value, 1))
+    base = F.nullif(F.regexp_replace(F.get(request, F.lit(0))["own"], "/+$", ""), F.lit(""))
+    found = sources.select("path", rooted(base).alias("base"), F.explode(marks).alias("x")).select("path", "base", "x.*")
+    own = rooted(F.col("own"))
     alone = F.col("base").isNull() | own.startswith(F.col("base")) | (own.startswith("/api") & F.col("base").startswith("/api"))
     full = F.regexp_replace(F.when(alone, own).otherwise(F.concat("base", own)), "/+", "/")
     return found.select("path", http_method(F.col("m")).alias("http_method"), full.alias("end_point")).distinct()

@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The clauses by which SQL itself names tables.
-NAME = r"([A-Za-z_][\w.]*)"
-TABLE_PATTERNS = (
-    r"(?i)\bFROM\s+" + NAME,
-    r"(?i)\s(?:INNER\s+|LEFT\s+|RIGHT\s+|FULL\s+|OUTER\s+|CROSS\s+)*JOIN\s+" + NAME,
-    r"(?i)\bINSERT\s+INTO\s+" + NAME,
-    r"(?i)\bUPDATE\s+" + NAME,
-    r"(?i)\bDELETE\s+FROM\s+" + NAME,
-)
+#: Words of SQL after which a table stands.
+BEFORE_TABLE = ("FROM", "JOIN", "UPDATE")
 
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
@@ -27,15 +20,22 @@ def without_comments(sql: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "(['\"])\x01", "$1"), "\x01", " "), r"\s+", " "))
 
 
+def _tables(sql: Column) -> Column:
+    """Names as they stand after a word of BEFORE_TABLE, or after INSERT INTO; the statement is read as words and signs."""
+    words = all_of(sql, r"[A-Za-z_][\w.]*+|\S", 0)
+    back = lambda i, n: F.upper(F.when(i >= n, F.get(words, i - n)))
+    after = lambda i: back(i, 1).isin(*BEFORE_TABLE) | ((back(i, 1) == "INTO") & (back(i, 2) == "INSERT"))
+    return F.array_compact(F.transform(words, lambda x, i: F.when(after(i) & x.rlike("^[A-Za-z_]"), x)))
+
+
 def table_names(sql: Column) -> Column:
     """Upper-case table names without schema, sorted."""
-    found = F.concat(*(all_of(sql, p) for p in TABLE_PATTERNS))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.upper(F.substring_index(x, ".", -1)))))
+    return F.array_sort(F.array_distinct(F.transform(_tables(sql), lambda x: F.upper(F.substring_index(x, ".", -1)))))
 
 
 def qualified_tables(sql: Column) -> Column:
     """The other reading: lower case, schema kept, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*(all_of(sql, p) for p in TABLE_PATTERNS)), F.lower)))
+    return F.array_sort(F.array_distinct(F.transform(_tables(sql), F.lower)))
 
 
 def query_type(sql: Column) -> Column:

@@ -7,6 +7,7 @@ Nothing is written to the files; the patched texts are a column. A null text is
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ FILE, REASON, CODE, END = (f"======{x}======" for x in ("FILE", "REASON", "MODIF
 SEARCH, BETWEEN, REPLACE = "<<< SEARCH", "===", ">>> REPLACE"
 PASSED_OVER = ("//", "#", "/*", "*")
 
-_HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)")
+_PIECE = re.compile(r"^--- (?P<old>[^\n]*)\n\+\+\+ (?P<new>[^\n]*)$|^[^\S\n]*@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(?P<section>[^\n]*)$", re.M)
 _mark = lambda m: rf"^[^\S\n]*{re.escape(m)}[^\S\n]*(?:\n|\Z)"
 _BLOCK = re.compile(f"{_mark(SEARCH)}(.*?){_mark(BETWEEN)}(.*?){_mark(REPLACE)}", re.M | re.S)
 _HUNKS = "array<struct<old_path:string,new_path:string,old_start:int,old_count:int,new_start:int,new_count:int,section:string,lines:array<string>>>"
@@ -41,62 +42,91 @@ class Hunk:
 def hunks(diff: str) -> list[Hunk]:
     """Hunks of a unified diff; without file headers the paths are /dev/null; counts left out are 1; an empty line is context.
 
-    Counts aren't relied on, as answers get them wrong, so a line `--- x` before one `+++ y` is always a file header.
+    The diff is cut at file headers and hunk heads; of what stands between, the lines with a mark belong to the hunk. Counts aren't relied on,
+    as answers get them wrong, so a line `--- x` before one `+++ y` is always a file header.
     """
+    pieces = list(_PIECE.finditer("\n".join(diff.splitlines())))
+    ends = [m.start() for m in pieces[1:]] + [len(diff)]
     out: list[Hunk] = []
-    paths, is_open, rows = ("/dev/null", "/dev/null"), False, diff.splitlines()
-    for i, row in enumerate(rows):
-        after = rows[i + 1] if i + 1 < len(rows) else ""
-        if row.startswith("--- ") and after.startswith("+++ "):
-            paths, is_open = (row[4:].strip(), after[4:].strip()), False
-        elif head := _HUNK.fullmatch(row.strip()):
-            n = [1 if x is None else int(x) for x in head.groups()[:4]]
-            out.append(Hunk(*paths, *n, head[5].strip() or None))
-            is_open = True
-        elif is_open and row[:1] in ("", " ", "-", "+"):
-            out[-1].lines.append(row or " ")
+    paths = "/dev/null", "/dev/null"
+    for m, end in zip(pieces, ends):
+        if m["old"] is not None:
+            paths = m["old"].strip(), m["new"].strip()
+            continue
+        numbers = [int(x or 1) for x in m.group(3, 4, 5, 6)]
+        body = m.string[m.end() : end].split("\n")[1:]
+        body = body[:-1] if end < len(m.string) else body
+        out.append(Hunk(*paths, *numbers, m["section"].strip() or None, [x or " " for x in body if x[:1] in ("", " ", "-", "+")]))
     return out
 
 
-def _places(lines: list[str], wanted: list[str], at: int) -> list[int] | None:
-    """Where each wanted line stands from `at` on, blank and comment lines between them passed over; None: not here."""
-    out = []
-    for w in wanted:
-        while at < len(lines) and lines[at] != w:
-            head = lines[at].strip()
-            if head and not head.startswith(PASSED_OVER):
+class Lines:
+    """A text's lines without trailing blanks: where each stands, and for each place the next line that may not be passed over."""
+
+    def __init__(self, raw: list[str]):
+        self.places: dict[str, list[int]] = {}
+        self.solid = [len(raw)] * (len(raw) + 1)
+        for i in range(len(raw) - 1, -1, -1):
+            line = raw[i].rstrip()
+            self.places.setdefault(line, []).append(i)
+            head = line.lstrip()
+            self.solid[i] = self.solid[i + 1] if not head or head.startswith(PASSED_OVER) else i
+        for found in self.places.values():
+            found.reverse()
+
+    def next(self, line: str, at: int) -> int | None:
+        """Where the line stands first at or after a place."""
+        found = self.places.get(line, [])
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else None
+
+    def chain(self, wanted: list[str], at: int) -> list[int] | None:
+        """Places of wanted lines from `at` on, with nothing between that may not be passed over; None: not here."""
+        out: list[int] = []
+        for w in wanted:
+            place = self.next(w, at)
+            if place is None or place > self.solid[at]:
                 return None
-            at += 1
-        if at >= len(lines):
-            return None
-        out.append(at)
-        at += 1
-    return out
+            out.append(place)
+            at = place + 1
+        return out
+
+    def fit(self, wanted: list[str], least: int, hint: int) -> tuple[int, list[int]] | None:
+        """(start, places) of wanted lines: at the hint if they fit there, else at the first start from `least` on.
+
+        A start is a place from which only lines that may be passed over lead to the first wanted line, so all starts before an occurrence
+        of that line, back to the solid line before it, have its chain: only the first of them counts.
+        """
+        if hint >= least and hint <= len(self.solid) - 1 and (there := self.chain(wanted, hint)):
+            return hint, there
+        first = self.next(wanted[0], least)
+        while first is not None:
+            if there := self.chain(wanted, first):
+                start = first
+                while start > least and self.solid[start - 1] != start - 1:
+                    start -= 1
+                return start, there
+            first = self.next(wanted[0], first + 1)
+        return None
 
 
 def apply_hunks(text: str, found: list[Hunk]) -> tuple[str, list[int]]:
     """(patched text, old_start of the hunks that fit nowhere). Hunks apply by old_start, each at its line if it fits there, else at the first later place."""
-    raw, done, rejected, out = text.splitlines(keepends=True), 0, [], []
-    lines = [x.rstrip() for x in raw]
+    raw = text.splitlines(keepends=True)
+    lines, done, rejected, out = Lines(raw), 0, [], []
     for h in sorted(found, key=lambda h: h.old_start):
-        wanted, hint = [x[1:].rstrip() for x in h.lines if x[0] != "+"], h.old_start - 1
-        if wanted:
-            tries = ([hint] if hint >= done else []) + [i for i in range(done, len(raw)) if i != hint]
-            start, at = next(((i, p) for i, p in ((i, _places(lines, wanted, i)) for i in tries) if p), (0, None))
-        else:
-            at, start = [], max(hint, done)
-        if at is None:
+        wanted = [x[1:].rstrip() for x in h.lines if x[0] != "+"]
+        fit = lines.fit(wanted, done, h.old_start - 1) if wanted else (max(h.old_start - 1, done), [])
+        if not fit:
             rejected.append(h.old_start)
             continue
-        out += raw[done:start]
-        done, places = start, iter(at)
-        for x in h.lines:
-            if x[0] != "+":
-                place = next(places)
-                out += raw[done:place]
-                done = place + 1
-            if x[0] != "-":
-                out.append(x[1:] + "\n")
+        places = iter(fit[1])
+        for line in h.lines:
+            mark, rest = line[0], line[1:]
+            upto = fit[0] if mark == "+" else next(places)
+            out += raw[done : max(done, upto)]
+            done = max(done, upto + (mark != "+"))
+            out += [rest + "\n"] if mark != "-" else []
     return "".join(out + raw[done:]), rejected
 
 

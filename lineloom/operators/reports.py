@@ -3,60 +3,51 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NOISE = re.compile(r"/\*.*?\*/|//[^\r\n]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", re.S)
-_LOOP = re.compile(r"\b(?:for|while)\s*\(")
-_BRACE = re.compile(r"[{}]")
-DEPTHS = "dep0 int, dep1 int, dep2 int, max_loop_depth int, total_calls int"
+from ..functions import javatext
+from ..functions.sqltext import all_of
 
-
-def blanked(code: str) -> str:
-    """Code with comments and literals as blanks of the same length; what looks like a comment inside a literal is none."""
-    return _NOISE.sub(lambda m: " " * len(m[0]), code)
-
-
-def loop_ranges(clean: str) -> list[tuple[int, int]]:
-    """(open, close) of the first block after each loop head; a head whose block doesn't close has none."""
-    close, held = {}, []
-    for m in _BRACE.finditer(clean):
-        if m[0] == "{":
-            held.append(m.start())
-        elif held:
-            close[held.pop()] = m.start()
-    opens = (clean.find("{", m.end()) for m in _LOOP.finditer(clean))
-    return [(o, close[o]) for o in opens if o in close]
-
-
-def _depths(code: str | None, calls: list[re.Pattern]) -> tuple[int, int, int, int, int]:
-    clean = blanked(code or "")
-    ranges = loop_ranges(clean)
-    starts, ends = sorted(a for a, _ in ranges), sorted(b for _, b in ranges)
-    at = [m.start() for p in calls for m in p.finditer(clean)]
-    depth = [bisect_left(starts, i) - bisect_right(ends, i) for i in at]
-    n = [sum(min(d, 2) == k for d in depth) for k in range(3)]
-    return *n, max(depth, default=0), len(at)
+def _closed(braces: Column) -> Column:
+    """For each opening brace, the last first, whether one closes it."""
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<boolean>").alias("out"))
+    step = lambda s, b: F.when(b == "}", F.struct((s["free"] + 1).alias("free"), s["out"].alias("out"))).otherwise(F.struct(F.greatest(s["free"] - 1, F.lit(0)).alias("free"), F.array_append(s["out"], s["free"] > 0).alias("out")))
+    return F.aggregate(F.reverse(braces), start, step)["out"]
 
 
 def calls_by_depth(code: Column, names: list[str]) -> Column:
-    """Struct of DEPTHS: calls of the dotted names outside loops, in one, in two or more; blanks may stand round dots.
+    """Struct (dep0, dep1, dep2, max_loop_depth, total_calls): calls of the dotted names outside loops, in one, in two or more; blanks may stand round dots.
 
-    Only methods named after encrypting or decrypting count; of a full signature its last two parts do. Null or empty code
-    has none. Loops nest by their braces, which no pattern can match, so the code is read in Python, one method a string.
+    Only methods named after encrypting or decrypting count; of a full signature its last two parts do. Null or empty code has none. A loop is
+    the first block after its head, if that is closed. A fold over the loop heads, braces and calls that stand in code, with the loops that each
+    open block stands for on a stack.
     """
     dotted = [".".join(n.split(".")[-2:]) if full else n for n, full in ((n.split("(")[0], "(" in n) for n in names)]
     wanted = [n for n in dict.fromkeys(dotted) if re.search("encrypt|decrypt", n.split(".")[-1], re.I)]
-    calls = [re.compile(r"\b" + r"\s*\.\s*".join(map(re.escape, n.split("."))) + r"\s*\(") for n in wanted]
-
-    @F.pandas_udf(DEPTHS)
-    def run(codes: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_depths(c, calls) for c in codes], columns=[f.split()[0] for f in DEPTHS.split(", ")])
-
-    return run(code)
+    calls = [r"\b" + r"\s*\.\s*".join(map(re.escape, n.split("."))) + r"\s*\(" for n in wanted]
+    tokens = all_of(javatext.code_only(F.coalesce(code, F.lit(""))), "|".join([r"\b(?:for|while)\s*\(", "[{}]", *calls]), 0)
+    closed = _closed(F.filter(tokens, lambda t: t.isin("{", "}")))
+    names_of = ("heads", "opened", "depth", "dep0", "dep1", "dep2", "most", "total")
+    start = F.struct(*(F.lit(0).alias(c) for c in names_of), F.array().cast("array<int>").alias("stack"))
+
+    def step(s: Column, t: Column) -> Column:
+        opens, closes, head = t == "{", t == "}", t.rlike("^(?:for|while)")
+        call = ~opens & ~closes & ~head
+        counts = F.coalesce(F.get(closed, F.size(closed) - 1 - s["opened"]), F.lit(False))
+        push = F.when(counts, s["heads"]).otherwise(0)
+        top = F.coalesce(F.get(s["stack"], F.size(s["stack"]) - 1), F.lit(0))
+        at = lambda test: (call & test).cast("int")
+        return F.struct(
+            F.when(head, s["heads"] + 1).when(opens, 0).otherwise(s["heads"]).alias("heads"), (s["opened"] + opens.cast("int")).alias("opened"),
+            (s["depth"] + F.when(opens, push).when(closes, -top).otherwise(0)).alias("depth"), (s["dep0"] + at(s["depth"] == 0)).alias("dep0"), (s["dep1"] + at(s["depth"] == 1)).alias("dep1"), (s["dep2"] + at(s["depth"] > 1)).alias("dep2"),
+            F.when(call, F.greatest(s["most"], s["depth"])).otherwise(s["most"]).alias("most"), (s["total"] + call.cast("int")).alias("total"),
+            F.when(opens, F.array_append(s["stack"], push)).when(closes & (F.size(s["stack"]) > 0), F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)).otherwise(s["stack"]).alias("stack"),
+        )
+
+    out = F.aggregate(tokens, start, step)
+    return F.struct(out["dep0"].alias("dep0"), out["dep1"].alias("dep1"), out["dep2"].alias("dep2"), out["most"].alias("max_loop_depth"), out["total"].alias("total_calls"))
 
 
 def endpoint_of_methods(methods: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lineloom.functions import javatext
 from lineloom.operators import reports
 
 
@@ -14,10 +15,10 @@ def test_calls_by_depth(spark):
     assert got == {"m": (2, 1, 2, 3, 5), "open": (1, 0, 0, 0, 1), "null": (0,) * 5, "empty": (0,) * 5, "late": (0, 1, 0, 1, 1), "long": (20_000, 0, 0, 0, 20_000)}
 
 
-def test_blanks_keep_places():
-    code = 'a("x\\"//y"); /* b\n */ c(\'"\'); // d\ne'
-    clean = reports.blanked(code)
-    assert len(clean) == len(code) and clean.split() == ["a(", ");", "c(", ");", "e"]
+def test_code_keeps_its_lines(spark):
+    code = 'a("x\\"//y"); /* b\n */ c(\'"\'); // d\ne /* f\n'
+    got = spark.createDataFrame([(code,)], "s string").select(javatext.code_only(F.col("s")), javatext.code_only(F.col("s"), literals=True)).first()
+    assert tuple(got) == ('a(""); \n c(\'\'); \ne \n', 'a("x\\"//y"); \n c(\'"\'); \ne \n')
 
 
 def test_endpoint_of_methods(spark):
