@@ -6,8 +6,8 @@ ended (or one unknown letter). A phrase costs log2 of the training text's length
 letter wins. Texts of a batch are parsed side by side, one letter of all of them at a time; the few that are left when
 the others have ended go on alone.
 
-Training text: labelled documents in hash order up to ``train_chars`` letters a language, a documented bound; a document
-of which that is the end is cut there. Score: the runner-up's share of the bits of the best two (0.5 no difference,
+Training text: labelled documents with letters, in hash order, up to ``train_chars`` letters and blanks a language, the only bound; the
+document with which that is reached is cut there. The model has a text of that size for every language that is named. Score: the runner-up's share of the bits of the best two (0.5 no difference,
 1 at most); 1 if there is one language.
 
 Edge cases: null text, or text without letters (Unicode L), is ``und`` with score 0; so is everything where nothing is
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import enter
 
-TRAIN_CHARS, TRAIN_DOCS, SALTS = 40_000, 400, 16
+TRAIN_CHARS, SALTS = 40_000, 16
 #: Characters that become codes at a time.
 PIECE_CHARS = 1_000_000
 #: Texts still being parsed below which they go on one by one.
@@ -226,15 +226,15 @@ def model_of(texts: dict[str, str]) -> Model:
 
 def training_texts(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Words of each language's labelled documents (doc_id, text, lang), by hash of the id, up to train_chars letters."""
-    rows = labelled.where("lang is not null and text is not null and doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.length("text")).alias("n"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    # the least hashes of a language are among the least of each of its parts
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")
-    few = rows.withColumn("rank", F.row_number().over(part)).where(f"rank <= {TRAIN_DOCS}")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = few.withColumn("rank", F.row_number().over(w)).where(f"rank <= {TRAIN_DOCS}")
-    few = few.withColumn("before", F.sum("n").over(w) - F.col("n")).where(F.col("before") < 4 * train_chars).select("doc_id", "lang", "h")
-    # at most TRAIN_DOCS documents of a language, one text of each
+    letters_in = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null").groupBy("lang", "doc_id").agg(F.min(F.struct("text", letters_in.alias("n")))["n"].alias("n"))
+    rows = rows.where("n > 0").withColumn("h", F.xxhash64("doc_id"))
+    # what a language takes is among what each of its parts would take alone
+    for group in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
+        before = F.sum("n").over(Window.partitionBy(*group).orderBy("h", "doc_id")) - F.col("n")
+        rows = rows.withColumn("before", before).where(F.col("before") < train_chars)
+    few = rows.select("doc_id", "lang", "h")
+    # documents of train_chars letters a language at most, and the one with which that is reached
     got = labelled.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
     size: dict[str, int] = {}

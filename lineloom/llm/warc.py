@@ -260,7 +260,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     path = path or f"{scratch.root}/archive"
     write_warc(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")), path, chunk, min_revisit_bytes)
     found = scratch.keep(verify(read_warc(spark, path)))
-    # only records that are referred to, and those that refer, meet
+    # only records that are referred to, and those that refer, meet; responses pass by
     names = found.select(F.col("record").alias("refers_to"), F.col("page_id").alias("refers_page")).join(found.where("refers_to is not null").select("refers_to").distinct(), "refers_to", "left_semi")
-    out = found.join(names, "refers_to", "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    again = found.where("refers_to is not null").join(names, "refers_to", "left").select(*own, F.col("refers_page").alias("refers_to"))
+    return found.where("refers_to is null").select(*own, F.lit(None).cast("long").alias("refers_to")).unionByName(again)

@@ -306,6 +306,12 @@ def test_languages_equal_brute_force(spark, monkeypatch, few):
     assert [(x, round(y, 9)) for x, y in got] == [(x, round(y, 9)) for x, y in map(want, texts)]
 
 
+def test_training_texts_reach_their_bound_with_short_texts_and_texts_without_letters(spark):
+    rows = [(i, "12 34", "aa") for i in range(600)] + [(1000 + i, f"wort {i} drei", "aa") for i in range(900)] + [(5000 + i, "." * 3000 + "x", "bb") for i in range(900)]
+    got = language_id.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_chars=5000)
+    assert 5000 <= len(got["aa"]) < 5020 and len(got["bb"].split()) == 900
+
+
 def test_training_texts_of_repeated_ids_and_hot_languages(spark):
     rows = [(1, "one text", "en")] * 50 + [(1, "another text", "en")] * 50 + [(i, f"w{'x' * (i % 7)} y", "en") for i in range(2, 900)] + [(None, "none", "en"), (5, None, "en"), (6, "ohne", None)]
     got = language_id.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_chars=4000)
