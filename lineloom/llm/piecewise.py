@@ -43,15 +43,16 @@ def _table(name: str) -> np.ndarray:
     if name not in _tables:
         _tables["roll"] = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
         _tables["byte"] = mix(np.arange(1001, 1257, dtype=np.uint64))
-        power = np.full(BLOCK_BYTES, FACTOR, np.uint64)
-        power[0] = 1
-        _tables["power"] = np.multiply.accumulate(power)
+        for key, base in (("power", FACTOR), ("back", BACK)):
+            power = np.full(BLOCK_BYTES, base, np.uint64)
+            power[0] = 1
+            _tables[key] = np.multiply.accumulate(power)
     return _tables[name]
 
 
 def levels(data: np.ndarray) -> np.ndarray:
-    """How many low bits of the rolling hash are ones after each byte."""
-    out, value = np.empty(len(data), np.uint8), _table("roll")
+    """How many low bits of the rolling hash are ones after each byte; 0 for less than LEAST_BITS."""
+    out, value = np.zeros(len(data), np.uint8), _table("roll")
     for lo in range(0, len(data), BLOCK_BYTES):
         b = value[data[max(0, lo - ROLL + 1) : lo + BLOCK_BYTES]]
         h = b.copy()
@@ -61,48 +62,53 @@ def levels(data: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
-        # the lowest zero bit as a power of two: its exponent is what float gives
-        low = ~h & (h + np.uint32(1))
-        out[lo : lo + BLOCK_BYTES] = np.where(low == 0, 32, np.frexp(low.astype(np.float64))[1] - 1)
+        # the lowest zero bit as a power of two: its exponent is what float gives; fewer bits than count aren't told apart
+        some = np.flatnonzero(h & np.uint32((1 << LEAST_BITS) - 1) == (1 << LEAST_BITS) - 1)
+        low = ~h[some] & (h[some] + np.uint32(1))
+        out[lo + some] = np.where(low == 0, 32, np.frexp(low.astype(np.float64))[1] - 1)
     return out
 
 
-def _prefix(data: np.ndarray, at: np.ndarray) -> list[int]:
+def _prefix(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of (hash of byte i) * FACTOR^i over the bytes before each place, modulo 2^64; places in order."""
-    value, power, out, before, base = _table("byte"), _table("power"), [], 0, 1
+    value, power, out, before, base = _table("byte"), _table("power"), [], np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for lo in range(0, len(data), BLOCK_BYTES):
         b = value[data[lo : lo + BLOCK_BYTES]]
-        sums = np.cumsum(b * power[: len(b)])
-        inside = at[(at > lo) & (at <= lo + BLOCK_BYTES)] - lo - 1
-        out += [(before + base * s) % (1 << 64) for s in sums[inside].tolist()]
-        before = (before + base * int(sums[-1])) % (1 << 64)
-        base = base * pow(FACTOR, BLOCK_BYTES, 1 << 64) % (1 << 64)
+        sums = before + base * np.cumsum(b * power[: len(b)])
+        out.append(sums[at[(at > lo) & (at <= lo + BLOCK_BYTES)] - lo - 1])
+        before, base = sums[-1:], base * (power[-1:] * np.uint64(FACTOR))
+    return np.concatenate(out)
+
+
+def _back(places: np.ndarray) -> np.ndarray:
+    """FACTOR^-place modulo 2^64."""
+    whole, rest = np.divmod(places, BLOCK_BYTES)
+    out = _table("back")[rest]
+    if whole.any():
+        out *= np.array([pow(BACK, BLOCK_BYTES * int(k), 1 << 64) for k in whole], np.uint64)
     return out
 
 
-def signature(data: np.ndarray, level: np.ndarray, bits: int) -> str:
-    """Two letters for each piece between cuts of `bits` bits."""
-    if not len(data):
-        return ""
-    cuts = np.flatnonzero(level >= bits) + 1
-    if not len(cuts) or cuts[-1] != len(data):
-        cuts = np.append(cuts, len(data))
-    out, start, before = [], 0, 0
-    for end, total in zip(cuts.tolist(), _prefix(data, cuts)):
-        piece = (total - before) * pow(BACK, start, 1 << 64) % (1 << 64)
-        out.append(_SYMBOLS[(piece * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 52])
-        start, before = end, total
-    return "".join(out)
+def signature(cuts: np.ndarray, sums: np.ndarray) -> str:
+    """Two letters for each piece between cuts, by the sums before them."""
+    start, before = np.concatenate(([0], cuts[:-1])), np.concatenate((np.zeros(1, np.uint64), sums[:-1]))
+    pieces = (sums - before) * _back(start) * np.uint64(0x9E3779B97F4A7C15)
+    return "".join([_SYMBOLS[i] for i in (pieces >> np.uint64(52)).tolist()])
 
 
 def fingerprint(text: str | None) -> str:
     """bits:signature, and the signatures of more bits after colons."""
     data = np.frombuffer((text or "").encode(), np.uint8)
+    if not len(data):
+        return f"{LEAST_BITS}{':' * SIGNATURES}"
     level = levels(data)
-    # pieces at each number of bits: the cuts before the end, and the last piece
-    counts = np.bincount(level[:-1], minlength=34)[::-1].cumsum()[::-1] if len(data) else np.zeros(34, np.int64)
-    bits = next(k for k in range(LEAST_BITS, 34) if counts[k] < PIECES)
-    return ":".join([str(bits), *(signature(data, level, bits + i) for i in range(SIGNATURES))])
+    level[-1] = 64  # the last piece ends with the text
+    counts = np.bincount(level, minlength=65)[::-1].cumsum()[::-1]
+    bits = next(k for k in range(LEAST_BITS, 65) if counts[k] <= PIECES)
+    cuts = np.flatnonzero(level >= bits)
+    of, cuts = level[cuts], cuts + 1
+    sums = _prefix(data, cuts)
+    return ":".join([str(bits), *(signature(cuts[of >= bits + i], sums[of >= bits + i]) for i in range(SIGNATURES))])
 
 
 def edits(a: list[str], b: list[str]) -> int:
