@@ -227,7 +227,7 @@ def model_of(texts: dict[str, str]) -> Model:
 def training_texts(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Words of each language's labelled documents (doc_id, text, lang), by hash of the id, up to train_chars letters."""
     letters_in = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
-    rows = labelled.where("lang is not null and text is not null and doc_id is not null").groupBy("lang", "doc_id").agg(F.min(F.struct("text", letters_in.alias("n")))["n"].alias("n"))
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null").groupBy("lang", "doc_id").agg(F.min_by(letters_in, F.xxhash64("text")).alias("n"))
     rows = rows.where("n > 0").withColumn("h", F.xxhash64("doc_id"))
     # what a language takes is among what each of its parts would take alone
     for group in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):
@@ -235,7 +235,7 @@ def training_texts(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> dict[
         rows = rows.withColumn("before", before).where(F.col("before") < train_chars)
     few = rows.select("doc_id", "lang", "h")
     # documents of train_chars letters a language at most, and the one with which that is reached
-    got = labelled.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text")).collect()
+    got = labelled.join(F.broadcast(few), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     out: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["doc_id"])):
