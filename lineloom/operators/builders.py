@@ -19,9 +19,10 @@ def tokens(sources: DataFrame) -> DataFrame:
     Variables are in lower case; a piece is the literal as it is written. Comments and other literals hold none.
     """
     found = sources.select("path", F.posexplode(sqltext.all_of(javatext.code_only(F.col("text"), literals=True), _TOKEN, 0)).alias("pos", "t"))
-    last = sources.agg(F.max(F.size(sqltext.all_of(F.col("text"), _TOKEN, 0)))).first()[0] or 0
+    # each token holds a line end, a quote or a bracket
+    last = sources.agg(F.max(F.length("text") - F.length(F.translate("text", "\n\"'(", "")))).first()[0] or 0
     breaks = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))
-    numbered = prefix.running_sum(found, ["path"], "pos", breaks, "line", last=last)
+    numbered = prefix.running_sum(found, ["path"], "pos", breaks, "line", last=last, unique=True)
     kind = F.when(F.col("t").rlike(r"(?is)^StringBuilder\s.*new"), "declare").when(F.col("t").rlike(rf"(?is)^\w*\s*\.\s*append\s*\(\s*{_TEXT}$"), "append").when(F.col("t").rlike(r"(?is)^\w+\s*\.\s*toString"), "use")
     name = F.when(kind == "declare", F.regexp_extract("t", r"(?is)^StringBuilder\s+(\w+)", 1)).otherwise(F.regexp_extract("t", r"^(\w+)\s*\.", 1))
     rows = numbered.select("path", "pos", (F.col("line") + 1).alias("line"), kind.alias("kind"), F.nullif(F.lower(name), F.lit("")).alias("variable"), F.regexp_extract("t", rf"({_TEXT})$", 1).alias("piece"))
@@ -57,10 +58,10 @@ def statements(sources: DataFrame, methods: DataFrame, types: DataFrame) -> Data
     inside = prefix.meet_ranges(found.withColumn("_l", F.col("line")), ranges, "path", ("line", "_l"), ("start_line", "end_line"))
     key = ["path", "pos", "line", "kind", "variable", "piece"]
     own = inside.groupBy(*key).agg(F.max_by(F.struct("class_name", "method", "start_line"), F.struct("start_line", F.expr("-end_line"))).alias("m")).select(*key, "m.*")
-    last = sources.agg(F.max(F.length("text"))).first()[0] or 0
-    named = prefix.as_of(own, ["path", "start_line", "class_name"], "pos", F.col("variable"), "before", last=last)
+    last = sources.agg(F.max(F.length("text") - F.length(F.translate("text", "\n\"'(", "")))).first()[0] or 0
+    named = prefix.as_of(own, ["path", "start_line", "class_name"], "pos", F.col("variable"), "before", last=last, unique=True)
     named = named.withColumn("variable", F.coalesce("variable", "before")).drop("before")
-    met = prefix.as_of(named, ["path", "start_line", "class_name", "variable"], "pos", F.when(F.col("kind") == "declare", F.struct("pos", "line")), "declared", last=last)
+    met = prefix.as_of(named, ["path", "start_line", "class_name", "variable"], "pos", F.when(F.col("kind") == "declare", F.struct("pos", "line")), "declared", last=last, unique=True)
     met = met.where("kind <> 'declare' and declared is not null")
     place = ["path", "class_name", "method", "start_line", "variable", "declared"]
     piece = F.when(F.col("kind") == "append", F.struct("pos", "piece"))

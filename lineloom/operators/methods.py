@@ -45,7 +45,7 @@ def ranges(sources: DataFrame) -> DataFrame:
     last = longest(sources)
     lines = code_lines(sources.where(F.col("text").isNotNull()))
     delta = _count(F.col("code"), "{") - _count(F.col("code"), "}")
-    depth = prefix.running_sum(lines.select("path", "line", "code", delta.alias("delta")), ["path"], "line", F.col("delta"), "open", last=last)
+    depth = prefix.running_sum(lines.select("path", "line", "code", delta.alias("delta")), ["path"], "line", F.col("delta"), "open", last=last, unique=True)
     name = F.regexp_extract("code", _HEAD, 1)
     shut = F.length(F.replace(F.regexp_extract("code", r"^[\s}]*", 0), F.lit(" "), F.lit("")))
     marked = depth.withColumn("low", F.col("open") + _dip(F.col("code"))).withColumn("after", F.col("open") + F.col("delta")).withColumn("name", F.nullif(name, F.lit(""))).withColumn("depth", F.col("open") - shut)
@@ -54,7 +54,7 @@ def ranges(sources: DataFrame) -> DataFrame:
     falls = marked.where("low < open").select("path", F.explode(F.sequence("low", F.col("open") - 1)).alias("depth"), "line", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("own_end"), F.col("line").alias("shut"))
     ended = prefix.as_of(heads.unionByName(falls), ["path", "depth"], "line", F.col("shut"), "next_shut", backward=True, last=last)
     ended = ended.where("name is not null").select("path", "name", F.col("line").alias("start_line"), F.coalesce("own_end", "next_shut").alias("end_line")).where("end_line is not null")
-    outer = prefix.prefix(ended, ["path"], "start_line", F.col("end_line"), lambda a, b: F.greatest(a, b), F.lit(0), "reached", last=last).where("reached <= start_line").drop("reached")
+    outer = prefix.running_max(ended, ["path"], "start_line", F.col("end_line"), "reached", last=last, unique=True).where("reached is null or reached <= start_line").drop("reached")
     nth = F.row_number().over(Window.partitionBy("path", "name").orderBy("start_line"))
     return outer.select("path", "name", nth.alias("nth"), "start_line", "end_line")
 

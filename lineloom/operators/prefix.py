@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .graph import shared_checkpoints
@@ -84,22 +84,59 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "plac
     return parts.join(named, on).select(*rows.columns, (F.col("_id") - F.col("_first") + F.col("_before")).alias(name))
 
 
-def running_sum(rows: DataFrame, by: list[str], at: str, value: Column, name: str = "before", width: int = WIDTH, last: int | None = None) -> DataFrame:
+#: Places of a chunk whose rows a window goes over: it keeps no arrays, so chunks are wider than those of prefix().
+SPAN = 1 << 10
+
+
+def _scan(rows: DataFrame, by: list[str], at: str, value: Column, name: str, running: Callable[[Column, WindowSpec], Column], total: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column], backward: bool, last: int | None, unique: bool, width: int) -> DataFrame:
+    """prefix() for functions that windows know: running(v, window) is what comes before a row of a chunk, total(v, order) the value of a chunk.
+
+    Where the largest place is below `width`, groups are the chunks: nothing is joined, and scans of one place after the other share one shuffle.
+    unique: no two rows of a group have one place, so that rows need no further order.
+    """
+    if width < 2:
+        raise ValueError("chunks have two rows or more")
+    own = rows.columns
+    given = rows.where(F.col(at).isNotNull())
+    last = (given.agg(F.max(at)).first()[0] or 0) if last is None else last
+    place = F.desc(at) if backward else F.asc(at)
+    ties = [] if unique else [F.col(c) for c in own if c not in (at, *by)]
+    if last < width:
+        w = Window.partitionBy(*by).orderBy(place, *([] if unique else [value]), *ties).rowsBetween(Window.unboundedPreceding, -1)
+        return given.select(*own, running(value, w).alias(name))
+    # names of this level, so that none is met twice in the levels above
+    p, v, q, total_, before, inside = (f"_{x}_{at}" for x in "pvqtbi")
+    keys = [f"_k{i}_{at}" for i in range(len(by))]
+    cut = given.withColumn(p, F.floor(F.col(at) / width).cast("long")).withColumn(v, value)
+    w = Window.partitionBy(*by, p).orderBy(place, *([] if unique else [v]), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct((-F.col(at) if backward else F.col(at)).alias("at"), v, *(c.alias(f"o{i}") for i, c in enumerate(ties)))
+    sums = cut.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(p).alias(q)).agg(total(F.col(v), order).alias(total_))
+    start = _scan(sums, keys, q, F.col(total_), before, running, total, combine, backward, last // width, True, width)
+    on = F.col(p) == F.col(q)
+    for c, k in zip(by, keys):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    # the hint keeps a side whose size is guessed from narrow keys from being sent to the driver whole
+    return cut.withColumn(inside, running(F.col(v), w)).join(start.hint("merge"), on).select(*own, combine(F.col(before), F.col(inside)).alias(name))
+
+
+def running_sum(rows: DataFrame, by: list[str], at: str, value: Column, name: str = "before", width: int = SPAN, last: int | None = None, unique: bool = False) -> DataFrame:
     """rows with the sum of the values of all earlier rows of the same `by`; a null counts 0."""
-    return prefix(rows, by, at, F.coalesce(value, F.lit(0)).cast("long"), lambda a, b: a + b, F.lit(0), name, width, last)
+    running = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0).cast("long"))
+    return _scan(rows, by, at, F.coalesce(value, F.lit(0)).cast("long"), name, running, lambda v, order: F.sum(v), lambda a, b: a + b, False, last, unique, width)
 
 
-def as_of(rows: DataFrame, by: list[str], at: str, value: Column, name: str, backward: bool = False, width: int = WIDTH, last: int | None = None) -> DataFrame:
+def as_of(rows: DataFrame, by: list[str], at: str, value: Column, name: str, backward: bool = False, width: int = SPAN, last: int | None = None, unique: bool = False) -> DataFrame:
     """rows with the last value that isn't null of the earlier rows of the same `by`; backward: with the first of the later ones.
 
     As an as-of join: union both sides and let only the right one have a value.
     """
-    kind = rows.select(value.alias("v")).schema["v"].dataType.simpleString()
-    if not backward:
-        return prefix(rows, by, at, value, lambda a, b: F.coalesce(b, a), F.lit(None).cast(kind), name, width, last)
-    last = (rows.agg(F.max(at)).first()[0] or 0) if last is None else last
-    turned = rows.withColumn("_back", F.lit(last) - F.col(at))
-    return prefix(turned, by, "_back", value, lambda a, b: F.coalesce(b, a), F.lit(None).cast(kind), name, width, last).drop("_back")
+    running = lambda v, w: F.last(v, ignorenulls=True).over(w)
+    return _scan(rows, by, at, value, name, running, lambda v, order: F.max_by(v, F.when(v.isNotNull(), order)), lambda a, b: F.coalesce(b, a), backward, last, unique, width)
+
+
+def running_max(rows: DataFrame, by: list[str], at: str, value: Column, name: str, width: int = SPAN, last: int | None = None, unique: bool = False) -> DataFrame:
+    """rows with the largest value of all earlier rows of the same `by`; before the first null."""
+    return _scan(rows, by, at, value, name, lambda v, w: F.max(v).over(w), lambda v, order: F.max(v), lambda a, b: F.greatest(a, b), False, last, unique, width)
 
 
 def meet_ranges(left: DataFrame, right: DataFrame, by: str, left_range: tuple[str, str], right_range: tuple[str, str], size: int = BIN) -> DataFrame:

@@ -31,7 +31,7 @@ def declarations(sources: DataFrame) -> DataFrame:
     which other code is a barrier. Methods have a modifier. place numbers the tokens of a file. Null text has no rows.
     """
     found = sources.select("path", F.posexplode(all_of(F.col("text"), _TOKEN, 0)).alias("place", "t"))
-    last = sources.agg(F.max(F.size(all_of(F.col("text"), _TOKEN, 0)))).first()[0] or 0
+    last = sources.agg(F.max(F.length("text"))).first()[0] or 0
     t = F.col("t")
     kind = (
         F.when(t.startswith("/**") & (F.length("t") > 4), "javadoc").when(t.startswith("/*"), "block").when(t.startswith("//"), "line").when(t.rlike(r"^[\"']"), "code").when(t.rlike(rf"(?s)^{_NOTE}$"), "note")
@@ -41,7 +41,7 @@ def declarations(sources: DataFrame) -> DataFrame:
     own = lambda k: F.when(F.col("kind") == k, F.struct(F.lit(k).alias("style"), F.col("t").alias("comment")))
     near = F.when(F.col("kind") != "note", F.struct(F.col("kind").alias("style"), F.when(F.col("kind").isin("javadoc", "line"), F.col("t")).alias("comment")))
     for name, value in (("javadoc", own("javadoc")), ("block", own("block")), ("near", near)):
-        rows = prefix.as_of(rows, ["path"], "place", value, name, last=last)
+        rows = prefix.as_of(rows, ["path"], "place", value, name, last=last, unique=True)
     of_class = F.coalesce("javadoc", "block", F.when(F.col("near.style") == "line", F.col("near")))
     of_method = F.when(F.col("near.style") == "javadoc", F.col("near"))
     rows = rows.where(F.col("kind").isin("class", "method")).withColumn("c", F.when(F.col("kind") == "class", of_class).otherwise(of_method))
@@ -61,11 +61,11 @@ def annotations(sources: DataFrame) -> DataFrame:
     Tokens are numbered by the barriers (other code) before them, so the notes of a declaration are those with its number.
     """
     found = sources.select("path", F.posexplode(all_of(F.col("text"), _TOKEN, 0)).alias("place", "t"))
-    last = sources.agg(F.max(F.size(all_of(F.col("text"), _TOKEN, 0)))).first()[0] or 0
+    last = sources.agg(F.max(F.length("text"))).first()[0] or 0
     note = F.col("t").rlike(rf"(?s)^{_NOTE}$")
     head = F.col("t").rlike(rf"(?s)^(?:{_CLASS}|{_METHOD})$")
     comment = F.col("t").rlike(r"^(?:/\*|//)")
-    rows = prefix.running_sum(found, ["path"], "place", (~note & ~comment).cast("int"), "group", last=last)
+    rows = prefix.running_sum(found, ["path"], "place", (~note & ~comment).cast("int"), "group", last=last, unique=True)
     heads = rows.where(head).select("path", "group", F.col("place").alias("of"))
     notes = rows.where(note).join(heads, ["path", "group"])
     return notes.select("path", F.col("of").alias("place"), F.col("place").alias("nth"), F.col("t").alias("annotation"))
@@ -91,8 +91,8 @@ def comment_fields(found: DataFrame) -> DataFrame:
     for word in HISTORIES:
         starts = starts | label.contains(word)
     rows = lines.withColumn("head", F.coalesce(*heads)).withColumn("starts", starts).withColumn("stops", F.col("v").rlike(r"^[A-Z0-9]{2,}\b"))
-    last = found.agg(F.max(F.size(comment_lines(F.col("comment"))))).first()[0] or 0
-    rows = prefix.as_of(rows, ["path", "place"], "line", F.when(F.col("starts"), "history").when(F.col("stops"), "other"), "under", last=last)
+    last = found.agg(F.max(F.length("comment"))).first()[0] or 0
+    rows = prefix.as_of(rows, ["path", "place"], "line", F.when(F.col("starts"), "history").when(F.col("stops"), "other"), "under", last=last, unique=True)
     guess = F.when((F.length("v") <= 100) & F.col("v").rlike("[가-힣]|[A-Z]{2,}"), F.col("line"))
     first = rows.groupBy("path", "place").agg(F.min(F.when(F.col("head").isNotNull(), F.col("line"))).alias("head_line"), F.min(guess).alias("guess_line"))
     rows = rows.join(first, ["path", "place"])

@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """Rows of keys dealt to all tasks. Texts made of them are many times as large, so the splits of a small file would leave most cores idle."""
+    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, builders, methods, specs
 from ..sources import javaparse
-from .catalog import query, table
+from .catalog import query, spread, table
 
 #: A file of each part, before and after: heads with blanks, braces in literals and comments, overloads, methods that come, go and move.
 _OLD = r"""concat_ws('\n', concat('class P', p_partkey, ' {'), '  // { not a block', '  public String keep() {', concat('    return "}{" + ', p_partkey, ';'), '  }',
@@ -26,11 +26,11 @@ _MOVED = r"concat('class W {\n  static void wander', p_partkey, '() { stay(); }\
 
 
 def old_files(part: DataFrame) -> DataFrame:
-    return part.select(F.expr(_SAME).alias("path"), F.expr(_OLD).alias("text"))
+    return spread(part).select(F.expr(_SAME).alias("path"), F.expr(_OLD).alias("text"))
 
 
 def new_files(part: DataFrame) -> DataFrame:
-    return part.select(F.expr(_SAME).alias("path"), F.expr(_NEW).alias("text")).unionByName(part.where("p_partkey % 5 = 1").select(F.expr(_OTHER).alias("path"), F.expr(_MOVED).alias("text")))
+    return spread(part).select(F.expr(_SAME).alias("path"), F.expr(_NEW).alias("text")).unionByName(spread(part.where("p_partkey % 5 = 1")).select(F.expr(_OTHER).alias("path"), F.expr(_MOVED).alias("text")))
 
 
 @query(
@@ -73,7 +73,7 @@ _DAO = r"""concat_ws('\n', 'package a.b;', concat('class Dao', c_custkey, ' {'),
 
 
 def dao_files(customer: DataFrame) -> DataFrame:
-    return customer.select(F.expr("concat('dao/Dao', c_custkey, '.java')").alias("path"), F.expr(_DAO).alias("text"))
+    return spread(customer).select(F.expr("concat('dao/Dao', c_custkey, '.java')").alias("path"), F.expr(_DAO).alias("text"))
 
 
 def value_files(nation: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ _SPEC = r"""concat_ws('\n', case when p_partkey % 4 = 0 then concat('/**\n * ***
 
 
 def spec_files(part: DataFrame) -> DataFrame:
-    return part.select(F.expr("concat('src/C', p_partkey, '.java')").alias("path"), F.expr(_SPEC).alias("text"))
+    return spread(part).select(F.expr("concat('src/C', p_partkey, '.java')").alias("path"), F.expr(_SPEC).alias("text"))
 
 
 @query(
