@@ -50,29 +50,30 @@ def relations(found: DataFrame) -> DataFrame:
     A star is a name and a column of its own. Branches of a union have the names of the first by position. A name without a source counts where the
     scope has one source; else its source is null. Names are in capitals, tables without their schema.
     """
-    branch = found.select("sql_id", "scope", F.posexplode(F.split("text", r"(?i)\bUNION(?:\s+ALL)?\b")).alias("branch", "text"))
-    head = F.regexp_extract("text", r"(?is)^\s*SELECT\s+(?:DISTINCT\s+|ALL\s+)?(.*?)\s+FROM\s", 1)
-    items = branch.select("sql_id", "scope", "branch", F.posexplode(F.transform(F.split(head, ","), lambda x: F.trim(x))).alias("pos", "item")).where("item <> ''")
-    alias = F.regexp_extract("item", r"(?is)^.*[^\s.]\s+(?:AS\s+)?\"?(\w+)\"?$", 1)
-    star = F.col("item").rlike(r"^(?:\w+\.)?\*$")
-    items = items.withColumn("own", F.when(star, "*").otherwise(F.upper(F.coalesce(F.nullif(alias, F.lit("")), F.regexp_extract("item", r"(\w+)\W*$", 1)))))
-    items = items.withColumn("expr", F.when(alias != "", F.regexp_extract("item", r"(?is)^(.*[^\s.])\s+(?:AS\s+)?\"?\w+\"?$", 1)).otherwise(F.col("item")))
-    first = items.where("branch = 0").select("sql_id", "scope", "pos", F.col("own").alias("name"))
-    items = items.join(first, ["sql_id", "scope", "pos"])
-    dotted = F.transform(all_of(F.col("expr"), r"\b\w+\.(?:\w+|\*)", 0), lambda x: F.struct(F.upper(F.substring_index(x, ".", 1)).alias("q"), F.upper(F.substring_index(x, ".", -1)).alias("c")))
-    bare = F.when(star, F.when(F.col("item") == "*", F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))).otherwise(F.transform(all_of(F.col("expr"), r"(?<![\w.#])([A-Za-z_]\w*+)(?!\s*[.{(])", 1), lambda x: F.upper(x)))
-    bare = F.transform(F.filter(bare, lambda x: ~x.isin(*_WORDS)), lambda x: F.struct(F.lit(None).cast("string").alias("q"), x.alias("c")))
-    refs = items.select("sql_id", "scope", "branch", "name", F.explode(F.array_distinct(F.concat(dotted, bare))).alias("r")).select("sql_id", "scope", "branch", "name", "r.q", F.col("r.c").alias("column"))
+    star = lambda x: x.rlike(r"^(?:\w+\.)?\*$")
+    alias = lambda x: F.regexp_extract(x, r"(?is)^.*[^\s.]\s+(?:AS\s+)?\"?(\w+)\"?$", 1)
+    own = lambda x: F.when(star(x), "*").otherwise(F.upper(F.coalesce(F.nullif(alias(x), F.lit("")), F.regexp_extract(x, r"(\w+)\W*$", 1))))
+    items = lambda text: F.transform(F.split(F.regexp_extract(text, r"(?is)^\s*SELECT\s+(?:DISTINCT\s+|ALL\s+)?(.*?)\s+FROM\s", 1), ","), lambda x: F.trim(x))
+    # all that a scope says stands in its row, so names and sources are met there and nothing is joined
+    branches = found.withColumn("branches", F.split("text", r"(?i)\bUNION(?:\s+ALL)?\b"))
+    branch = branches.select("sql_id", "scope", F.transform(items(F.get("branches", F.lit(0))), lambda x: F.when(x != "", own(x))).alias("names"), F.explode("branches").alias("text"))
     clause = F.regexp_extract("text", r"(?is)\bFROM\b(.*?)(?:\bWHERE\b|\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bCONNECT\b|$)", 1)
     pieces = F.split(clause, r"(?i),|\b(?:(?:INNER|LEFT|RIGHT|FULL|CROSS|OUTER|NATURAL)\s+)*JOIN\b")
     one = r"(?is)^\s*([\w.#]+)(?:\s+(?:AS\s+)?(?!(?:ON|USING)\b)(\w+))?"
-    sources = branch.select("sql_id", "scope", "branch", F.explode(pieces).alias("p")).select("sql_id", "scope", "branch", F.upper(F.substring_index(F.regexp_extract("p", one, 1), ".", -1)).alias("source"), F.upper(F.regexp_extract("p", one, 2)).alias("q")).where("source <> ''")
-    sources = sources.withColumn("q", F.coalesce(F.nullif("q", F.lit("")), "source"))
-    alone = sources.groupBy("sql_id", "scope", "branch").agg(F.when(F.count("*") == 1, F.max("source")).alias("source"))
-    place = ["sql_id", "scope", "branch"]
-    qualified = refs.where("q is not null").join(sources, [*place, "q"]).select("sql_id", "scope", "name", "source", "column")
-    unqualified = refs.where("q is null").join(alone, place).select("sql_id", "scope", "name", "source", "column")
-    return qualified.unionByName(unqualified).distinct()
+    named = F.transform(pieces, lambda p: F.named_struct(F.lit("source"), F.upper(F.substring_index(F.regexp_extract(p, one, 1), ".", -1)), F.lit("q"), F.upper(F.regexp_extract(p, one, 2))))
+    sources = F.transform(F.filter(named, lambda s: s["source"] != ""), lambda s: F.named_struct(F.lit("source"), s["source"], F.lit("q"), F.when(s["q"] == "", s["source"]).otherwise(s["q"])))
+    branch = branch.select("sql_id", "scope", "names", sources.alias("sources"), items(F.col("text")).alias("items")).where("size(sources) > 0")
+    each = branch.select("sql_id", "scope", "names", "sources", F.posexplode("items").alias("pos", "item"))
+    each = each.select("sql_id", "scope", F.get("names", F.col("pos")).alias("name"), "sources", "item").where("item <> '' and name is not null")
+    expr = F.when(alias(F.col("item")) != "", F.regexp_extract("item", r"(?is)^(.*[^\s.])\s+(?:AS\s+)?\"?\w+\"?$", 1)).otherwise(F.col("item"))
+    each = each.withColumn("expr", expr)
+    dotted = F.transform(all_of(F.col("expr"), r"\b\w+\.(?:\w+|\*)", 0), lambda x: F.struct(F.upper(F.substring_index(x, ".", 1)).alias("q"), F.upper(F.substring_index(x, ".", -1)).alias("c")))
+    bare = F.when(star(F.col("item")), F.when(F.col("item") == "*", F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))).otherwise(F.transform(all_of(F.col("expr"), r"(?<![\w.#])([A-Za-z_]\w*+)(?!\s*[.{(])", 1), lambda x: F.upper(x)))
+    bare = F.transform(F.filter(bare, lambda x: ~x.isin(*_WORDS)), lambda x: F.struct(F.lit(None).cast("string").alias("q"), x.alias("c")))
+    refs = each.select("sql_id", "scope", "name", "sources", F.explode(F.array_distinct(F.concat(dotted, bare))).alias("r"))
+    alone = F.array(F.when(F.size("sources") == 1, F.get("sources", F.lit(0))["source"]))
+    met = F.when(F.col("r.q").isNull(), alone).otherwise(F.transform(F.filter("sources", lambda s: s["q"] == F.col("r.q")), lambda s: s["source"]))
+    return refs.select("sql_id", "scope", "name", F.explode(met).alias("source"), F.col("r.c").alias("column")).where("sql_id is not null").distinct()
 
 
 def columns(statements: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def columns(statements: DataFrame) -> DataFrame:
         nested = F.coalesce(F.col("source").startswith("#"), F.lit(False))
         done.append(now.where(~nested))
         asked = now.where(nested)
-        met = asked.join(inner, ["sql_id", "source"]).where("column = below or column = '*' or below = '*'")
+        met = asked.join(inner.hint("merge"), ["sql_id", "source"]).where("column = below or column = '*' or below = '*'")
         name = F.when((F.col("name") == "*") & (F.col("column") == "*"), F.col("below")).otherwise(F.col("name"))
         column = F.when((F.col("below") == "*") & (F.col("then") == "*"), F.col("column")).otherwise(F.col("then"))
         now = met.select("sql_id", name.alias("name"), F.col("to").alias("source"), column.alias("column")).distinct()
@@ -107,7 +108,7 @@ def field_columns(statements: DataFrame, fields: DataFrame, targets: DataFrame)
     wanted = targets.select(F.upper("column").alias("original")).distinct()
     asked = fields.select("sql_id", "java_field", F.upper("column").alias("name"), "column").distinct()
     made = columns(statements).withColumnRenamed("column", "original").join(wanted, "original")
-    known = asked.join(made, ["sql_id", "name"])
-    direct = asked.join(wanted, F.col("name") == F.col("original")).drop("original").join(known.select("sql_id", "name").distinct(), ["sql_id", "name"], "left_anti")
+    known = asked.join(made.hint("merge"), ["sql_id", "name"])
+    direct = asked.join(wanted, F.col("name") == F.col("original")).drop("original").join(known.select("sql_id", "name").distinct().hint("merge"), ["sql_id", "name"], "left_anti")
     none = F.lit(None).cast("string")
     return known.select("sql_id", "java_field", "column", "original", "table_name").unionByName(direct.select("sql_id", "java_field", "column", none.alias("original"), none.alias("table_name"))).distinct()

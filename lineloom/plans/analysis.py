@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discover, lineage, reconcile
-from .catalog import query, table
+from .catalog import query, spread, table
 
 _ID = "concat(case {0} % 3 when 0 then 'a.b.' when 1 then 'c.' else '' end, 'Q', {0} % {1})"
 _ACCESS = f"""select concat('T', o_custkey % 50) as table_name, case when o_orderkey % 97 = 5 then null else {_ID.format("o_orderkey", 211)} end as sql_id, o_orderkey as ord,
@@ -136,7 +136,7 @@ _NESTED = r"""select concat('q', o_orderkey) as sql_id, case o_orderkey % 5
 )
 def column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table columns of the result columns of a nested statement of every order."""
-    return lineage.columns(spark.sql(_NESTED, orders=table(spark, sf_dir, "orders")))
+    return lineage.columns(spark.sql(_NESTED, orders=spread(table(spark, sf_dir, "orders"))))
 
 
 @query(
@@ -150,4 +150,4 @@ def field_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     fields = orders.select(F.expr("concat('q', o_orderkey)").alias("sql_id"), F.explode(F.expr("array('OUT_A', concat('no_', o_custkey), 'mixed', 'N1', 'CUST_NM', 'OTHER')")).alias("column"))
     targets = table(spark, sf_dir, "region").selectExpr("case r_regionkey when 0 then 'cust_nm' when 1 then 'JUMIN_NO' else concat('NEVER', r_regionkey) end as column")
-    return lineage.field_columns(spark.sql(_NESTED, orders=orders), fields.withColumn("java_field", F.concat(F.lit("f"), F.lower("column"))), targets)
+    return lineage.field_columns(spark.sql(_NESTED, orders=spread(orders)), fields.withColumn("java_field", F.concat(F.lit("f"), F.lower("column"))), targets)
