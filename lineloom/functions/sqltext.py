@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once, however often the body names it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_comments(sql: Column) -> Column:
     """Block and line comments out, white space single; what looks like a comment inside a string stays."""
     # a mark after each string and in place of each comment; a string loses its mark, a comment becomes a blank
@@ -23,9 +30,9 @@ def without_comments(sql: Column) -> Column:
 def _tables(sql: Column) -> Column:
     """Names as they stand after a word of BEFORE_TABLE, or after INSERT INTO; the statement is read as words and signs."""
     words = all_of(sql, r"[A-Za-z_][\w.]*+|\S", 0)
-    back = lambda i, n: F.upper(F.when(i >= n, F.get(words, i - n)))
-    after = lambda i: back(i, 1).isin(*BEFORE_TABLE) | ((back(i, 1) == "INTO") & (back(i, 2) == "INSERT"))
-    return F.array_compact(F.transform(words, lambda x, i: F.when(after(i) & x.rlike("^[A-Za-z_]"), x)))
+    back = lambda w, i, n: F.upper(F.when(i >= n, F.get(w, i - n)))
+    after = lambda w, i: back(w, i, 1).isin(*BEFORE_TABLE) | ((back(w, i, 1) == "INTO") & (back(w, i, 2) == "INSERT"))
+    return let(words, lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(x.rlike("^[A-Za-z_]") & after(w, i), x))))
 
 
 def table_names(sql: Column) -> Column:
@@ -57,8 +64,8 @@ def column_names(sql: Column, table: Column) -> Column:
     qualified = F.transform(F.filter(items, lambda x: x.rlike(r"^\w+\.\w+")), lambda x: x)
     refs = F.filter(all_of(sql, r"(?i)\b(?:FROM|JOIN|UPDATE)\s+([\w.]+\s+(?:AS\s+)?\w+)"), lambda x: F.upper(F.substring_index(F.regexp_extract(x, r"^([\w.]+)", 1), ".", -1)) == F.upper(table))
     aliases = F.transform(refs, lambda x: F.regexp_extract(x, r"(\w+)$", 1))
-    own = F.transform(F.filter(qualified, lambda x: F.lower(F.substring_index(x, ".", 1)).eqNullSafe(F.lower(table)) | F.array_contains(aliases, F.substring_index(x, ".", 1))), lambda x: F.regexp_extract(x, r"^\w+\.(\w+)", 1))
-    bare = F.filter(plain, lambda x: ~F.exists(qualified, lambda q: F.substring_index(q, ".", 1) == x))
+    own = let(aliases, lambda a: F.transform(F.filter(qualified, lambda x: F.lower(F.substring_index(x, ".", 1)).eqNullSafe(F.lower(table)) | F.array_contains(a, F.substring_index(x, ".", 1))), lambda x: F.regexp_extract(x, r"^\w+\.(\w+)", 1)))
+    bare = let(qualified, lambda many: F.filter(plain, lambda x: ~F.exists(many, lambda q: F.substring_index(q, ".", 1) == x)))
     inserted = F.filter(F.transform(F.split(F.regexp_extract(sql, r"(?is)INSERT\s+INTO\s+[\w.]+\s*\(([^)]*)\)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     updated = all_of(F.regexp_extract(sql, r"(?is)\bSET\s+(.*?)(?:\bWHERE\b|$)", 1), r"(\w+)\s*=")
     return F.array_sort(F.array_distinct(F.transform(F.concat(bare, own, inserted, updated), F.upper)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
+from .graph import shared_checkpoints
 
 
 def watched_access(statements: DataFrame, watched: DataFrame) -> DataFrame:
@@ -32,10 +33,15 @@ def table_rollup(access: DataFrame, statements: DataFrame) -> DataFrame:
 
     statements and files are sorted; query_type is that of the first statement; layer_files maps layers to sorted files.
     """
-    first = access.join(statements.select("sql_id", "sql"), "sql_id").groupBy("table_name").agg(F.min_by(sqltext.query_type(F.col("sql")), F.col("sql_id")).alias("query_type"))
+    # read once: finding accesses takes most of the time, and they are used five times
+    shared_checkpoints(access.sparkSession)
+    access = access.select("table_name", "sql_id", "file", "layer", "ord").checkpoint()
+    least = access.groupBy("table_name").agg(F.min("sql_id").alias("sql_id"))
+    first = F.broadcast(least).join(statements.select("sql_id", "sql"), "sql_id").groupBy("table_name").agg(F.first(sqltext.query_type(F.col("sql"))).alias("query_type"))
     files = access.groupBy("table_name", "layer").agg(F.array_sort(F.collect_set("file")).alias("files")).groupBy("table_name")
     files = files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "files")))).alias("layer_files"))
-    out = access.groupBy("table_name").agg(F.count_distinct("sql_id").alias("n_statements"), F.array_sort(F.collect_set("sql_id")).alias("statements"), F.array_sort(F.collect_set("file")).alias("files"))
+    ids = access.select("table_name", "sql_id").distinct().groupBy("table_name").agg(F.count("sql_id").alias("n_statements"), F.array_sort(F.collect_list("sql_id")).alias("statements"))
+    out = ids.join(access.groupBy("table_name").agg(F.array_sort(F.collect_set("file")).alias("files")), "table_name")
     return out.join(main_layer(access), "table_name").join(first, "table_name").join(files, "table_name")
 
 
@@ -104,7 +110,7 @@ def template_sums(templates: DataFrame, counts: DataFrame) -> DataFrame:
     asked = shapes.select("shape", F.explode("keys").alias("key"))
     n = keyed.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     rarest = asked.join(n, "key", "left").groupBy("shape").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
-    hit = rarest.join(keyed, "key").withColumn("p", template_pattern(F.col("shape"))).where("path rlike p").withColumn("whole", F.expr("path rlike concat('^', p, '$')"))
+    hit = rarest.join(keyed.hint("merge"), "key").withColumn("p", template_pattern(F.col("shape"))).where("path rlike p").withColumn("whole", F.expr("path rlike concat('^', p, '$')"))
     sums = hit.groupBy("shape").agg(F.sum(F.when(F.col("whole"), F.col("c")).otherwise(0)).alias("w"), F.sum("c").alias("any"))
     found = sums.select("shape", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("any")).alias("n"))
     return templates.select("end_point", shape.alias("shape")).distinct().join(found, "shape").select("end_point", "n")
@@ -122,7 +128,7 @@ def ending_rows(plain: DataFrame, counts: DataFrame) -> DataFrame:
     last = F.element_at(parts, -1)
     ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length(last), F.lit(1))), lambda n: F.right(last, n))
     tails = counts.select("path", "ord", "access_cnt", F.explode(F.array_distinct(F.concat(slashes, ends))).alias("tail"))
-    return plain.withColumn("tail", border).join(tails, "tail").where("endswith(path, end_point)").select("end_point", "ord", "access_cnt")
+    return plain.withColumn("tail", border).join(tails.hint("merge"), "tail").where("endswith(path, end_point)").select("end_point", "ord", "access_cnt")
 
 
 def endpoint_access(endpoints: DataFrame, counts: DataFrame) -> DataFrame:
@@ -137,11 +143,11 @@ def endpoint_access(endpoints: DataFrame, counts: DataFrame) -> DataFrame:
         return ends.withColumn("access_cnt", F.when(F.coalesce(F.trim("end_point"), F.lit("")) == "", 0).otherwise(1).cast("long"))
     filled = ends.where(F.trim("end_point") != "")
     plain, templates = filled.where(~F.col("end_point").contains("{")), filled.where(F.col("end_point").contains("{"))
-    exact = plain.join(counts, F.col("end_point") == F.col("path")).select("end_point", F.lit(0).alias("way"), "ord", "access_cnt")
+    exact = plain.join(counts.hint("merge"), F.col("end_point") == F.col("path")).select("end_point", F.lit(0).alias("way"), "ord", "access_cnt")
     near = ending_rows(plain, counts).select("end_point", F.lit(1).alias("way"), "ord", "access_cnt")
     first = exact.unionByName(near).groupBy("end_point").agg(F.min_by("access_cnt", F.struct("way", "ord")).alias("n"))
     found = first.unionByName(template_sums(templates, counts))
-    return ends.join(found, "end_point", "left").select("end_point", F.coalesce("n", F.lit(0)).cast("long").alias("access_cnt"))
+    return ends.join(found.hint("merge"), "end_point", "left").select("end_point", F.coalesce("n", F.lit(0)).cast("long").alias("access_cnt"))
 
 
 def endpoint_rollup(queries: DataFrame, access: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import classify, javatext, sqltext
 from ..operators import access as acc
 from ..operators import graph, matching, patching, reports, resolve
 from ..sources import batchsql, javaparse
-from .catalog import query, table
+from .catalog import query, spread, table
 
 # --- statements of orders ---------------------------------------------------------------------------------------------
 
@@ -29,7 +29,7 @@ _LAYERS = "select distinct concat('f', o_orderkey % 11, case when o_orderkey % 2
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_columns(_STATEMENTS))
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*_columns(_STATEMENTS))
 
 
 def _columns(text: str) -> list[str]:
@@ -148,7 +148,7 @@ _S = "(select s_suppkey as k, concat('C', s_suppkey) as c, concat('S', s_suppkey
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text) of four files for each supplier."""
-    supplier, out = table(spark, sf_dir, "supplier"), None
+    supplier, out = spread(table(spark, sf_dir, "supplier").select("s_suppkey")), None
     for path, text in _FILES.values():
         one = supplier.select(F.expr(path).alias("path"), F.expr(text.replace("{{", "{").replace("}}", "}")).alias("text"))
         out = one if out is None else out.unionByName(one)
