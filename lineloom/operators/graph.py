@@ -112,10 +112,11 @@ def start_nodes(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, node): the node of that name, else the first that ends with it after a dot, else the first with the same last name."""
     nodes = build(edges).select(F.explode(F.array("caller", "callee")).alias("node")).distinct()
     ends = nodes.select("node", F.explode(suffixes(F.col("node"))).alias("end"))
-    last = F.substring_index("end", ".", -1) == F.col("end")
+    # one row for each end, so that a name that many nodes share meets each wanted name once
+    ends = ends.groupBy("end").agg(F.min(F.struct(F.when(F.col("node") == F.col("end"), 0).otherwise(1).alias("way"), "node")).alias("whole"), F.min("node").alias("node"))
     asked = wanted.select("wanted").distinct()
-    whole = asked.join(ends, F.col("wanted") == F.col("end")).select("wanted", "node", F.when(F.col("node") == F.col("wanted"), 0).otherwise(1).alias("way"))
-    named = asked.join(ends.where(last).withColumnRenamed("end", "name"), F.substring_index("wanted", ".", -1) == F.col("name")).select("wanted", "node", F.lit(2).alias("way"))
+    whole = asked.join(ends, F.col("wanted") == F.col("end")).select("wanted", "whole.node", "whole.way")
+    named = asked.join(ends, F.substring_index("wanted", ".", -1) == F.col("end")).select("wanted", "node", F.lit(2).alias("way"))
     return whole.unionByName(named).groupBy("wanted").agg(F.min(F.struct("way", "node"))["node"].alias("node"))
 
 
