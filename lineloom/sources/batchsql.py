@@ -67,11 +67,13 @@ def batch_java(queries: DataFrame, files: DataFrame) -> DataFrame:
     folder = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
     base = F.regexp_replace(F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", ""), "(?i)_SQL$", "")
     q = queries.select("path").distinct().select("path", base.alias("base"), folder(F.col("path")).alias("folder"))
-    j = files.where(F.col("path").endswith(".java")).select(F.col("path").alias("java"), F.regexp_replace(file_name(F.col("path")), r"\.java$", "").alias("stem"), folder(F.col("path")).alias("at"))
-    near = F.col("folder") == F.col("at")
-    rank = F.when(near & (F.col("stem") == F.col("base")), 0).when(near & (F.col("stem") == F.upper("base")), 1).when(near & (F.col("stem") == F.lower("base")), 2).otherwise(3)
-    hit = q.join(j, F.upper("base") == F.upper("stem"))
-    best = hit.groupBy("path").agg(F.min(F.struct(rank.alias("rank"), "java")).alias("x")).select("path", F.col("x.java").alias("java"))
+    j = files.where(F.col("path").endswith(".java")).select("path").distinct().select(F.col("path").alias("java"), F.regexp_replace(file_name(F.col("path")), r"\.java$", "").alias("stem"), folder(F.col("path")).alias("at"))
+    rank = F.when(F.col("stem") == F.col("base"), 0).when(F.col("stem") == F.upper("base"), 1).when(F.col("stem") == F.lower("base"), 2)
+    near = q.join(j, (F.upper("base") == F.upper("stem")) & (F.col("folder") == F.col("at"))).select("path", rank.alias("rank"), "java").where("rank is not null")
+    # of all files of a name only the first can count
+    anywhere = q.join(j.groupBy(F.upper("stem").alias("name")).agg(F.min("java").alias("java")), F.upper("base") == F.col("name")).select("path", F.lit(3).alias("rank"), "java")
+    hit = near.unionByName(anywhere)
+    best = hit.groupBy("path").agg(F.min(F.struct("rank", "java")).alias("x")).select("path", F.col("x.java").alias("java"))
     return q.select("path").join(best, "path", "left")
 
 
@@ -80,7 +82,7 @@ def batch_files(queries: DataFrame, files: DataFrame) -> DataFrame:
     java = batch_java(queries, files).where("java is not null").select("path", F.lit("bat").alias("layer"), F.col("java").alias("file"))
     folder = F.regexp_extract(F.lower("path"), r"^(.*)/[^/]*$", 1)
     q = queries.select("path", folder.alias("folder")).distinct()
-    vo = files.where(F.col("path").endswith(".java") & F.lower("path").contains("batvo")).select(F.col("path").alias("file"), F.split(F.lower("path"), "/").alias("parts"))
+    vo = files.where(F.col("path").endswith(".java") & F.lower("path").contains("batvo")).select(F.col("path").alias("file")).distinct().select("file", F.split(F.lower("file"), "/").alias("parts"))
     above = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"))
     vo = vo.where(F.size("parts") > 1).select("file", F.explode(above).alias("folder"))
     return java.unionByName(q.join(vo, "folder").select("path", F.lit("batvo").alias("layer"), "file")).distinct()
