@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +50,26 @@ def greedy_batches(df: DataFrame, group: str, order: str, tokens: str, prompt: i
 def budget_select(df: DataFrame, group: str, order: str, tokens: str, budget: int) -> DataFrame:
     """(group, order) of the items taken in order while they fit; one that doesn't is skipped, not the end.
 
-    In rounds: items above what is left of a group's budget can't be taken any more and go; of the others all are taken up to the first that doesn't
-    fit. A round is prefix sums over all groups side by side; there are as many as the group with most skips has, and each leaves less.
+    In phases by the room that is left: while it lies in [k, 2k), items of 2k or more can't be taken, those below k always fit, and one between them that fits leaves
+    less than k. So a phase takes the small items in order up to the first item that brings the room below k, found by prefix sums over all groups side by
+    side; there are as many phases as the budget has binary digits, and one for what takes no room.
     """
-    left, taken = _items(df, group, order, tokens).where(F.col("t") <= budget).withColumn("room", F.lit(budget).cast("long")), None
-    while not left.isEmpty():
-        summed = prefix.running_sum(left, ["g"], "i", F.col("t"), "before").withColumn("fits", F.col("before") + F.col("t") <= F.col("room")).checkpoint()
-        fit = summed.where("fits").select("g", "o")
-        taken = fit if taken is None else taken.unionByName(fit)
-        used = summed.where("fits").groupBy(F.col("g").alias("_g")).agg(F.max(F.col("before") + F.col("t")).alias("used"))
-        rest = summed.where("not fits").join(used, F.col("g").eqNullSafe(F.col("_g"))).withColumn("room", F.col("room") - F.col("used"))
-        left = rest.where("t <= room").select("g", "o", "i", "t", "room").checkpoint()
-    taken = left.select("g", "o") if taken is None else taken
-    return taken.select(F.col("g").alias(group), F.col("o").alias(order))
+    items, pieces = _items(df, group, order, tokens).where(F.col("t") <= budget), []
+    state = items.select("g").distinct().select("g", F.lit(-1).cast("long").alias("at"), F.lit(budget).cast("long").alias("room"))
+    for k in [*(1 << n for n in reversed(range(max(budget, 0).bit_length()))), 0]:
+        own = state.where(F.col("room") >= k).select(F.col("g").alias("_g"), "at", "room")
+        left = items.where(F.col("t") < max(2 * k, 1)).join(own, F.col("g").eqNullSafe(F.col("_g")) & (F.col("i") > F.col("at"))).drop("_g", "at")
+        small = F.col("t") < max(k, 1)
+        summed = prefix.running_sum(left, ["g"], "i", F.when(small, F.col("t")), "before", unique=True)
+        after = F.col("room") - F.col("before") - F.col("t")
+        summed = summed.withColumn("ends", F.when(small, after < k).otherwise(after >= 0)).checkpoint()
+        end = summed.where("ends").groupBy(F.col("g").alias("_g")).agg(F.min("i").alias("end"), F.min_by(after, "i").alias("rest"))
+        met = summed.join(end, F.col("g").eqNullSafe(F.col("_g")), "left")
+        pieces.append(met.where((F.col("end").isNull() & small) | (F.col("i") < F.col("end")) & small | (F.col("i") == F.col("end"))).select("g", "o"))
+        # a group without such an item has taken all it can
+        done = state.join(end, F.col("g").eqNullSafe(F.col("_g")), "left").where((F.col("room") < k) | F.col("end").isNotNull())
+        state = done.select("g", F.coalesce("end", "at").alias("at"), F.coalesce("rest", "room").alias("room")).checkpoint()
+    return reduce(DataFrame.unionByName, pieces).select(F.col("g").alias(group), F.col("o").alias(order))
 
 
 def segments(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
