@@ -77,7 +77,7 @@ def texts(sources: DataFrame) -> DataFrame:
 def of_stacks(stacks: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
     """(path, name, nth, text): methods of files (path) that stand in the relevant stacks, with their lines in sources (path, text)."""
     asked = reports.stack_methods(stacks, files).withColumnRenamed("method", "name")
-    return bodies(sources.join(files.select("path").distinct(), "path", "left_semi")).join(asked, ["path", "name"], "left_semi").select("path", "name", "nth", "text")
+    return bodies(sources.join(files.select("path").distinct().hint("merge"), "path", "left_semi")).join(asked.hint("merge"), ["path", "name"], "left_semi").select("path", "name", "nth", "text")
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     both = side(old, "old_start", "old_end", "was").join(side(new, "start", "end", "now"), ["path", "name", "nth"], "full")
     gone = both.where("now is null").groupBy(F.col("was").alias("digest")).agg(F.min("path").alias("gone_path"))
     come = both.where("was is null").groupBy(F.col("now").alias("digest")).agg(F.min("path").alias("come_path"))
-    moved = gone.join(come, "digest")
-    rows = both.withColumn("digest", F.when(F.col("was").isNull(), F.col("now")).when(F.col("now").isNull(), F.col("was"))).join(moved, "digest", "left")
+    moved = gone.join(come.hint("merge"), "digest")
+    rows = both.withColumn("digest", F.when(F.col("was").isNull(), F.col("now")).when(F.col("now").isNull(), F.col("was"))).join(moved.hint("merge"), "digest", "left")
     status = F.when(F.col("gone_path").isNotNull(), "moved").when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") == F.col("now"), "same").otherwise("changed")
     other = F.when(F.col("was").isNull(), F.col("gone_path")).when(F.col("now").isNull(), F.col("come_path"))
     return rows.select("path", "name", "nth", status.alias("status"), "old_start", "old_end", "start", "end", other.alias("other_path"))

@@ -154,7 +154,7 @@ def meet_ranges(left: DataFrame, right: DataFrame, by: str, left_range: tuple[st
         a, b = (F.floor(F.col(c) / size) for c in ends)
         return d.where(F.col(ends[0]) <= F.col(ends[1])).withColumn(f"_first_{mark}", a).withColumn("_bin", F.explode(F.sequence(a, b)))
 
-    both = cut(left, left_range, "l").join(cut(right, right_range, "r"), [by, "_bin"])
+    both = cut(left, left_range, "l").join(cut(right, right_range, "r").hint("merge"), [by, "_bin"])
     both = both.where(F.col("_bin") == F.greatest("_first_l", "_first_r"))
     return both.where((F.col(left_range[0]) <= F.col(right_range[1])) & (F.col(right_range[0]) <= F.col(left_range[1]))).select(*left.columns, *own)
 
@@ -167,4 +167,4 @@ def enclosing(lines: DataFrame, ranges: DataFrame, by: str = "path", size: int =
     asked = lines.select(by, "line").distinct()
     hit = meet_ranges(asked.withColumn("_l", F.col("line")), ranges.select(by, "start_line", "end_line", "name"), by, ("line", "_l"), ("start_line", "end_line"), size)
     first = hit.groupBy(by, "line").agg(F.min(F.struct("start_line", "end_line", "name")).alias("x")).select(by, "line", "x.name")
-    return asked.join(first, [by, "line"], "left")
+    return asked.join(first.hint("merge"), [by, "line"], "left")
