@@ -21,7 +21,10 @@ replicate everything everywhere. Two exact prunings come first; they only say wh
   than D classes some coincide; a set signs its first D + 1 classes that hold enough elements, which is enough for one of
   them to coincide. Points with a common signature are in one region (star links to the smallest, never pairs).
 
-A region holds whole components, so a region within the limits is finished by its task.
+A region holds whole components, so a region within the limits is finished by its task. Passages that many documents
+quote fill classes of their own and chain documents into large regions that hold hardly a link, so larger regions come
+apart once more, exactly: elements that one set alone holds stand first, those that many hold last, and in any such order
+linked sets have one of their first n - ceil(num n / den) + 1 elements in common.
 
 Edge cases: null or blank text is an empty set, which links with nothing (component_id is its own doc_id, n_links 0).
 Repeated rows give repeated rows, which link with each other; an id with several texts counts each. A null doc_id takes
@@ -200,6 +203,55 @@ def stars(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "a long, b long")
 
 
+def _first(x: np.ndarray, tiers: list[Bits], num: int, den: int) -> np.ndarray:
+    """Of a set's first elements, by tier and then hash, of which linked sets have one in common, those that another set may hold."""
+    rank = np.zeros(len(x), np.uint8)
+    for i, t in enumerate(tiers):  # what is in a tier is in those before it
+        at = np.flatnonzero(rank == i)
+        rank[at[t.passing(x[at].view(np.int64))]] += 1
+    order = np.lexsort((x, rank))[: len(x) - -(-num * len(x) // den) + 1]
+    return x[order[rank[order] > 0]]
+
+
+def refine(scratch: Scratch, members: DataFrame, num: int, den: int, often: tuple[int, ...] = (2, 16, 256)) -> DataFrame:
+    """members (cell, f1, items, ...) of large regions in finer cells, without the sets that link with no other.
+
+    often: an element's tier is the number of these that its sets are at least as many as.
+    """
+
+    def elements(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                x = np.frombuffer(b"".join(b.column(0).slice(lo, 256).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x)], names=["x"])
+
+    held = members.select("items").mapInArrow(elements, "x long").groupBy("x").agg(F.count("*").alias("n"))
+    held = scratch.keep(held.where(F.col("n") >= often[0]))
+    tiers = [Bits(held.where(F.col("n") >= n).select("x")) for n in often]
+
+    def sign(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sigs = [_first(np.frombuffer(x, np.uint64), tiers, num, den) for x in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in sigs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(node)], names=["sig", "node"])
+
+    signed = members.select("f1", "items").mapInArrow(sign, "sig long, node long")
+    found = components(scratch, scratch.keep(stars(signed)), drop_input=True).select(F.col("id").alias("f1"), "root")
+    linked = Bits(found.select("f1"))
+    at = members.columns.index("f1")
+
+    def some(batches):
+        for b in batches:
+            yield b.take(pa.array(linked.passing(b.column(at).to_numpy())))
+
+    out = scratch.keep(members.mapInArrow(some, members.schema).join(found, "f1").withColumn("cell", F.concat_ws("-", "cell", "root")).select(*members.columns))
+    scratch.drop(held)
+    scratch.drop(members)
+    return out
+
+
 def search(sets: list[np.ndarray], labels: list, num: int, den: int) -> np.ndarray:
     """Component number of each set, exactly. Equal labels (None: unknown) are connected from the start.
 
@@ -646,6 +698,7 @@ def linked_sets(scratch: Scratch, docs: DataFrame, k: int, num: int, den: int, m
         large = several.where("big").select("f1", "f2", "rep", "node", "n_copies", "cell")
         texts = fetch(large).dropDuplicates(["cell", "f1"])
         members = scratch.keep(texts.select("cell", "f1", "n_copies", "text").mapInArrow(items, "cell string, f1 long, n_copies long, label string, items binary"))
+        members = refine(scratch, members, num, den)
         if degrees:
             linked = count_links(scratch, members, num, den, max_docs, max_items, pivots)
             edges = linked.select(F.col("f").alias("a"), F.col("low").alias("b"))
