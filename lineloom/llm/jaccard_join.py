@@ -401,7 +401,7 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
             return links
         rest = scratch.keep(members.join(big.select("cell", "n"), "cell", "left_semi"))
         if level == depth:
-            return links.unionByName(blocks(rest, num, den, max_docs, max_items))
+            return add(scratch.keep(blocks(rest, num, den, max_docs, max_items)))
         chosen = _pivots(rest, level, pivots)
         own = rest.select("cell", "doc_id", "items", "label").join(chosen.select("cell", "doc_id"), ["cell", "doc_id"], "left_semi").dropDuplicates(["cell", "doc_id"])
         own = scratch.keep(own)
@@ -430,7 +430,7 @@ def divide(scratch: Scratch, members: DataFrame, num: int, den: int, max_docs: i
         # a cell whose documents are connected already has nothing left to find
         placed = scratch.keep(placed)
         if placed.count() > 2 * rest.count():
-            return links.unionByName(blocks(rest, num, den, max_docs, max_items))
+            return add(scratch.keep(blocks(rest, num, den, max_docs, max_items)))
         live = placed.groupBy("next").agg(F.count_if(F.col("label").isNull()).alias("open"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("open > 0 or l0 <> l1")
         whole, parted = members, rest
         members = scratch.keep(
