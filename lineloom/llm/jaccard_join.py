@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import CHUNK_WORDS, Bits, Scratch, as_bytes, components, enter, groups, mix, shingle_set
+from .common import CHUNK_WORDS, Bits, Scratch, as_bytes, bound_batches, components, enter, groups, mix, shingle_set
 
 SEEDS = 4
 
@@ -651,6 +651,7 @@ def linked_sets(scratch: Scratch, docs: DataFrame, k: int, num: int, den: int, m
     it is connected with, chosen holds for one set of them; links counts rows. Without `degrees` links of sets in large
     regions are not counted, as what is connected there already isn't compared.
     """
+    bound_batches(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, k))
     reps = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n"))
     reps = scratch.keep(reps.withColumn("node", F.coalesce("rep", "f1")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Scratch, as_bytes, enter
+from .common import Bits, Scratch, as_bytes, bound_batches, enter
 
 SHRINK, RIDGE, THRESHOLD = 0.1, 1e-3, 0.3
 NAMES = ("log_words", "word_length", "upper", "symbols", "digits", "marks", "distinct_words", "repeated_triples", "repeated_lines", "line_words")
@@ -125,8 +125,10 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Discriminant of all labelled documents; statistics are taken of no others, but for what the id filter lets by."""
     labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     wanted = Bits(labels.select("doc_id"))
+    bound_batches(docs.sparkSession)
 
     def run(batches):
+        enter("quality")
         for b in batches:
             ids = b.column(0).to_pylist()
             at = [i for i in wanted.passing(ids).tolist() if ids[i] is not None]
@@ -140,6 +142,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """Rows of docs, as they are, whose text scores at least the threshold. Decided row by row, where the row is."""
     at = docs.columns.index(text_col)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         enter("quality")
