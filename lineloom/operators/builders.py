@@ -69,7 +69,7 @@ def statements(sources: DataFrame, methods: DataFrame, types: DataFrame) -> Data
     built = met.groupBy(*place).agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("sql"), F.bool_or(F.col("kind") == "use").alias("used")).where("used and sql <> ''")
     known = types.groupBy("class_name").agg(F.min_by("full_name", "path").alias("full_name")).select(F.col("class_name").alias("kind"), "full_name")
     asked = ranges.select("path", "class_name", "method", "start_line", F.posexplode(F.concat(F.array(F.col("return_type")), F.transform("params", lambda p: p["type"]))).alias("place", "t"))
-    full = asked.withColumn("kind", javatext.inner_type(F.col("t"))).join(known, "kind")
+    full = asked.withColumn("kind", javatext.inner_type(F.col("t"))).join(known.hint("merge"), "kind")
     full = full.groupBy("path", "class_name", "method", "start_line").agg(F.min_by(F.when(F.col("place") > 0, F.col("full_name")), F.when(F.col("place") > 0, F.col("place"))).alias("parameter_type"), F.max(F.when(F.col("place") == 0, F.col("full_name"))).alias("result_type"))
-    out = built.join(full, ["path", "class_name", "method", "start_line"], "left")
+    out = built.join(full.hint("merge"), ["path", "class_name", "method", "start_line"], "left")
     return out.select("path", "class_name", "method", F.col("declared.line").alias("line"), F.coalesce(sqltext.query_type(F.col("sql")), F.lit("SELECT")).alias("query_type"), "sql", "parameter_type", "result_type")

@@ -7,6 +7,7 @@ one narrow row per (root, node); only operators that return paths carry them.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def shared_checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="lineloom-"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder, for plans that read it in many places; it goes when the driver ends."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    sc = spark.sparkContext
+    at = f"{sc.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def build(edges: DataFrame) -> DataFrame:
     """Distinct (caller, callee) edges; nodes exist only in edges, parallel edges collapse."""
     return edges.select("caller", "callee").where("caller is not null and callee is not null").distinct()

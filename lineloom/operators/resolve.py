@@ -66,13 +66,16 @@ def expand_endpoints(edges: DataFrame, endpoints: DataFrame, types: DataFrame, m
 
 
 def resolve_class(names: DataFrame, types: DataFrame, name: str = "name") -> DataFrame:
-    """names with the path of the class each means: by full name, else by simple name with that full name, else the first simple hit by path."""
+    """names with the path of the class each means: by full name, else by simple name with that full name, else the first simple hit by path.
+
+    Types are guessed small from the keys that their texts are made of, so the hints keep them from being sent to the driver whole.
+    """
     full = types.select(F.col("full_name").alias("k"), "path", F.lit(0).alias("way"))
     simple = types.select(F.col("class_name").alias("k"), "path", F.lit(1).alias("way"))
     asked = names.select(name).distinct()
-    found = asked.join(full, F.col(name) == F.col("k")).unionByName(asked.join(simple, last_name(F.col(name)) == F.col("k")))
+    found = asked.join(full.hint("merge"), F.col(name) == F.col("k")).unionByName(asked.join(simple.hint("merge"), last_name(F.col(name)) == F.col("k")))
     best = found.groupBy(name).agg(F.min(F.struct("way", "path")).alias("x")).select(name, F.col("x.path").alias("class_path"))
-    return names.join(best, name, "left")
+    return names.join(best.hint("merge"), name, "left")
 
 
 def import_files(types: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
+import __spark_entry__
 from lineloom.operators import blocks, prefix
 
 
@@ -22,3 +21,8 @@ def test_blocks_of_long_files_move_flags_once(spark, monkeypatch):
     assert len(got) > 300 and plan(long).split("Initial Plan")[-1].count("Exchange") < 20
     monkeypatch.setattr(prefix, "SPAN", 1 << 20)
     assert got == sorted(map(repr, blocks.change_blocks(d).collect()))
+
+
+def test_repository_files_sends_no_types_to_the_driver_and_parses_once(spark):
+    p = plan(__spark_entry__.queries()["repository_files"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in p and "MapInArrow" not in p
