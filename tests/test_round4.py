@@ -26,3 +26,14 @@ def test_blocks_of_long_files_move_flags_once(spark, monkeypatch):
 def test_repository_files_sends_no_types_to_the_driver_and_parses_once(spark):
     p = plan(__spark_entry__.queries()["repository_files"](spark, "/root/testdata/sf0.001"))
     assert "Broadcast" not in p and "MapInArrow" not in p
+
+
+def test_lists_of_a_table_are_written_once_a_file(spark, tmp_path):
+    # nine lists of some 300 KB: two of them in one dictionary, and more, would soon be over Parquet's 1 MB
+    spark.range(300_000).selectExpr("id * 11 as p_partkey", "cast(id % 9 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1200).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    out = __spark_entry__.queries()["targets_of_statements"](spark, str(tmp_path))
+    out.write.parquet(f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 1200 and back.where("length(target_columns) > 300000").count() == 900 and back.where("o_orderkey % 12 > 8 and target_columns = '' and name_only").count() == 300
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 20 << 20
