@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sqltext
 from ..functions.sqltext import all_of
-from .graph import shared_checkpoints
 
 #: Words of expressions that are no columns.
 _WORDS = ("CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "NULL", "IS", "IN", "LIKE", "BETWEEN", "AS", "DISTINCT", "ASC", "DESC", "OVER", "PARTITION", "BY", "ORDER")
@@ -76,39 +77,132 @@ def relations(found: DataFrame) -> DataFrame:
     return refs.select("sql_id", "scope", "name", F.explode(met).alias("source"), F.col("r.c").alias("column")).where("sql_id is not null").distinct()
 
 
+#: The patterns of scopes() and relations() for one statement in Python. Java's \w and \s are ASCII alone, its \b is not.
+_W, _S = "[A-Za-z0-9_]", r"[ \t\n\r\f\v]"
+_P = {
+    name: re.compile(p.replace(r"\w", _W).replace(r"\W", "[^A-Za-z0-9_]").replace(r"\s", _S), flags)
+    for name, p, flags in (
+        ("group", _GROUP, 0), ("token", rf"{_GROUP}|[^()]+|[()]", 0), ("select", r"\(\s*SELECT\b", re.I), ("root", r"\s*(?:#|SELECT\b)", re.I), ("union", r"\bUNION(?:\s+ALL)?\b", re.I), ("star", r"(?:\w+\.)?\*$", 0),
+        ("aliased", r"(.*[^ \t\n\r\f\v.])\s+(?:AS\s+)?\"?(\w+)\"?$", re.I | re.S), ("tail", r"(\w+)\W*$", 0), ("items", r"\s*SELECT\s+(?:DISTINCT\s+|ALL\s+)?(.*?)\s+FROM\s", re.I | re.S),
+        ("clause", r"\bFROM\b(.*?)(?:\bWHERE\b|\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bCONNECT\b|$)", re.I | re.S), ("joins", r",|\b(?:(?:INNER|LEFT|RIGHT|FULL|CROSS|OUTER|NATURAL)\s+)*JOIN\b", re.I),
+        ("source", r"\s*([A-Za-z0-9_.#]+)(?:\s+(?:AS\s+)?(?!(?:ON|USING)\b)(\w+))?", re.I), ("dotted", r"\b\w+\.(?:\w+|\*)", 0), ("bare", r"(?<![A-Za-z0-9_.#])([A-Za-z_]\w*+)(?!\s*[.{(])", 0),
+    )
+}
+_BRACES = str.maketrans("(),", "{};")
+
+
+def _scopes_of(text: str) -> tuple[dict[str, str], int]:
+    """Text of each scope of a statement, as scopes() has them, and how many rounds of brackets there were."""
+    found, level = {}, 0
+    while _P["group"].search(text):
+        tokens = _P["token"].findall(text)
+        for i, x in enumerate(tokens):
+            if _P["select"].match(x):
+                found[f"#{level}_{i}"] = x[1:-1]
+                tokens[i] = f" #{level}_{i} "
+            elif x[0] == "(" and len(x) > 1:
+                tokens[i] = x.translate(_BRACES)
+        text, level = "".join(tokens), level + 1
+    if _P["root"].match(text):
+        found["#"] = text
+    return found, level
+
+
+@lru_cache(1 << 14)
+def _item(item: str) -> tuple[str, tuple[tuple[str | None, str], ...]]:
+    """(name, references (qualifier, column)) of an item of a select."""
+    star, aliased = _P["star"].match(item), _P["aliased"].match(item)
+    tail = None if star or aliased else _P["tail"].search(item)
+    name = "*" if star else aliased[2].upper() if aliased else tail[1].upper() if tail else ""
+    expr = aliased[1] if aliased else item
+    dotted = [tuple(x.upper().split(".")) for x in _P["dotted"].findall(expr)]
+    bare = (["*"] if item == "*" else []) if star else [x.upper() for x in _P["bare"].findall(expr)]
+    return name, tuple(dict.fromkeys(dotted + [(None, x) for x in bare if x not in _WORDS]))
+
+
+def _items(text: str) -> list[str]:
+    m = _P["items"].match(text)
+    return [x.strip(" ") for x in (m[1] if m else "").split(",")]
+
+
+def _relations_of(text: str) -> set[tuple[str, str | None, str]]:
+    """(name, source, column) of a scope, as relations() has them."""
+    branches, out = _P["union"].split(text), set()
+    names = [_item(x)[0] if x else None for x in _items(branches[0])]
+    for branch in branches:
+        clause, sources = _P["clause"].search(branch), []
+        for piece in _P["joins"].split(clause[1]) if clause else ():
+            m = _P["source"].match(piece)
+            source = m[1].rsplit(".", 1)[-1].upper() if m else ""
+            if source:
+                sources.append((source, (m[2] or "").upper() or source))
+        if not sources:
+            continue
+        for name, item in zip(names, _items(branch)):
+            if not item or name is None:
+                continue
+            for q, column in _item(item)[1]:
+                met = [sources[0][0] if len(sources) == 1 else None] if q is None else [s for s, own in sources if own == q]
+                out.update((name, source, column) for source in met)
+    return out
+
+
+def columns_of(text: str) -> set[tuple[str, str | None, str]]:
+    """(name, table, column) of a statement without comments and strings: relations composed from the outermost select inward."""
+    scopes_, most = _scopes_of(text)
+    edges = {"#": _relations_of(scopes_["#"])} if "#" in scopes_ else {}
+    now, done = edges.get("#", set()), set()
+    for _ in range(most + 1):
+        nested = {x for x in now if x[1] is not None and x[1].startswith("#")}
+        done |= now - nested
+        for source in {x[1] for x in nested} & scopes_.keys() - edges.keys():
+            edges[source] = _relations_of(scopes_[source])
+        now = {
+            (below if name == column == "*" else name, to, column if below == then == "*" else then)
+            for name, source, column in nested for below, to, then in edges.get(source, ()) if column == below or column == "*" or below == "*"
+        }
+        if not now:
+            break
+    return done
+
+
+def _columns(statements: DataFrame) -> DataFrame:
+    """columns() before rows of statements that share an id are made distinct."""
+    plain = statements.where("sql is not null and sql_id is not null").select("sql_id", F.regexp_replace(sqltext.without_comments(F.col("sql")), r"'(?:[^']|'')*'", "0").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                found = columns_of(text)
+                rows += found
+                at += [i] * len(found)
+            part = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.string()) for x in part)], names=["sql_id", "name", "table_name", "column"])
+
+    kind = statements.schema["sql_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"sql_id {kind}, name string, table_name string, column string")
+
+
 def columns(statements: DataFrame) -> DataFrame:
     """(sql_id, name, table_name, column) of statements (sql_id, sql): the table columns that each result column comes from.
 
     Relations are composed from the outermost select inward, as often as selects are nested; a star takes on every name that stands
-    below it. Columns whose source is open have a null table. Statements without a select have none; null ids are kept apart by text.
+    below it. Columns whose source is open have a null table. Statements without a select or an id have none; those that share an id are read apart.
+    A statement is read whole where it stands, so nothing is joined.
     """
-    found, most = scopes(statements)
-    shared_checkpoints(statements.sparkSession)
-    edges = relations(found).checkpoint()
-    inner = edges.select("sql_id", F.col("scope").alias("source"), F.col("name").alias("below"), F.col("source").alias("to"), F.col("column").alias("then"))
-    now, done = edges.where("scope = '#'").select("sql_id", "name", "source", "column"), []
-    for _ in range(most + 1):
-        nested = F.coalesce(F.col("source").startswith("#"), F.lit(False))
-        done.append(now.where(~nested))
-        asked = now.where(nested)
-        met = asked.join(inner.hint("merge"), ["sql_id", "source"]).where("column = below or column = '*' or below = '*'")
-        name = F.when((F.col("name") == "*") & (F.col("column") == "*"), F.col("below")).otherwise(F.col("name"))
-        column = F.when((F.col("below") == "*") & (F.col("then") == "*"), F.col("column")).otherwise(F.col("then"))
-        now = met.select("sql_id", name.alias("name"), F.col("to").alias("source"), column.alias("column")).distinct()
-    out = reduce(DataFrame.unionByName, done)
-    return out.select("sql_id", "name", F.col("source").alias("table_name"), "column").distinct()
+    return _columns(statements).distinct()
 
 
 def field_columns(statements: DataFrame, fields: DataFrame, targets: DataFrame) -> DataFrame:
     """(sql_id, java_field, column, original, table_name) of result map fields (sql_id, java_field, column) that come from target columns (column).
 
     original is the target that the result column was made of, by columns(); a field whose column is itself a target, but made of none,
-    stands with a null original and table.
+    stands with a null original and table. Each side moves once.
     """
     wanted = targets.select(F.upper("column").alias("original")).distinct()
-    asked = fields.select("sql_id", "java_field", F.upper("column").alias("name"), "column").distinct()
-    made = columns(statements).withColumnRenamed("column", "original").join(wanted, "original")
-    known = asked.join(made.hint("merge"), ["sql_id", "name"])
-    direct = asked.join(wanted, F.col("name") == F.col("original")).drop("original").join(known.select("sql_id", "name").distinct().hint("merge"), ["sql_id", "name"], "left_anti")
-    none = F.lit(None).cast("string")
-    return known.select("sql_id", "java_field", "column", "original", "table_name").unionByName(direct.select("sql_id", "java_field", "column", none.alias("original"), none.alias("table_name"))).distinct()
+    key = ["sql_id", "name"]
+    asked = fields.select("sql_id", "java_field", F.upper("column").alias("name"), "column").where("name is not null").repartition(*key).distinct()
+    made = _columns(statements).withColumnRenamed("column", "original").join(wanted, "original").repartition(*key).distinct()
+    met = asked.join(made.hint("merge"), key, "left").join(wanted.select(F.col("original").alias("_own")), F.col("name") == F.col("_own"), "left")
+    return met.where("original is not null or _own is not null").select("sql_id", "java_field", "column", "original", "table_name")

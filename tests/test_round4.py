@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from lineloom.operators import blocks, prefix
+from lineloom.operators import blocks, lineage, prefix
 
 
 def plan(df):
@@ -37,3 +39,42 @@ def test_lists_of_a_table_are_written_once_a_file(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 1200 and back.where("length(target_columns) > 300000").count() == 900 and back.where("o_orderkey % 12 > 8 and target_columns = '' and name_only").count() == 300
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 20 << 20
+
+
+def composed(statements):
+    """columns() by relations() as expressions, their rows met in Python."""
+    found, most = lineage.scopes(statements)
+    edges = [tuple(r) for r in lineage.relations(found).select("sql_id", "scope", "name", "source", "column").collect()]
+    now, done = {(q, n, s, c) for q, scope, n, s, c in edges if scope == "#"}, set()
+    for _ in range(most + 1):
+        nested = {x for x in now if (x[2] or "").startswith("#")}
+        done |= now - nested
+        now = {(q, b if n == c == "*" else n, s2, c if b == t == "*" else t) for q, n, s, c in nested for q2, scope, b, s2, t in edges if (q, s) == (q2, scope) and (c == b or "*" in (c, b))}
+    return done
+
+
+def test_statements_are_read_in_one_pass_as_their_relations_say(spark):
+    r = random.Random(4)
+    item = lambda d: r.choice(["a", "b.c", "x.*", "*", "NVL(t.q, (0)) AS z", "sum(a) Total", "CASE WHEN a = 'x,(' THEN b END", 'c "Q"', "a || b.c m", "(SELECT k FROM u)" if d else "k", "한글 as n", "", "f.g.h i", "#x", "distinct a", "t.b\n  AS\tw"])
+    source = lambda d: r.choice(["t", "s.t a", "t AS b", "u x", "b", "#tmp", f"({select(d - 1)}) x" if d else "v", f"({select(d - 1)})" if d else "w t", "(t)", ""])
+
+    def select(d):
+        text = f"{r.choice(['SELECT', 'select distinct', 'Select ALL'])} {', '.join(item(d) for _ in range(r.randrange(1, 4)))} FROM {r.choice([', ', ' LEFT OUTER JOIN ', ' join ']).join(source(d) for _ in range(r.randrange(1, 3)))}"
+        text += r.choice(["", " WHERE a IN (1, 2) -- (c", " /* ( */ GROUP BY a", " ON a = b", f" UNION ALL {select(0)}" if d else ""])
+        return text
+
+    odd = ["", "UPDATE t SET a = (SELECT b FROM c)", "SELECT a", "SELECT a FROM", "(SELECT a FROM t)", "((a)", "SELECT (a FROM t", "#", None, "select\u00a0a from t", "SELECT ſ.a FROM ſ", "SELECTa FROM t", "SELECT a FROM t UNION", " FROM t SELECT a"]
+    rows = [(f"q{i}", x) for i, x in enumerate([select(i % 4) for i in range(400)] + odd)]
+    d = spark.createDataFrame([*rows, (None, "SELECT a FROM t")], "sql_id string, sql string")
+    out = lineage.columns(d)
+    got = {(x.sql_id, x.name, x.table_name, x.column) for x in out.collect()}
+    assert len(got) > 300 and got ^ composed(d) == set() and "Join" not in plan(out)
+
+
+def test_fields_of_odd_rows_keep_their_targets(spark):
+    statements = spark.createDataFrame([("a", "SELECT x.P AS N, Q FROM T x"), ("a", "SELECT x.P AS M FROM U x"), (None, "SELECT P FROM T")], "sql_id string, sql string")
+    fields = spark.createDataFrame([("a", "f", "n"), ("a", "f", "n"), ("a", "g", "p"), ("a", "h", "M"), ("b", "i", "P"), (None, "j", "P"), ("a", None, "Q"), ("a", "k", None)], "sql_id string, java_field string, column string")
+    targets = spark.createDataFrame([("p",), ("P",), (None,)], "column string")
+    out = lineage.field_columns(statements, fields, targets)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", "f", "n", "P", "T"), ("a", "g", "p", None, None), ("a", "h", "M", "P", "U"), ("b", "i", "P", None, None), (None, "j", "P", None, None)], key=str)
+    assert lineage.field_columns(statements.limit(0), fields.limit(0), targets.limit(0)).count() == 0
